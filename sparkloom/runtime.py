@@ -99,7 +99,7 @@ def neighbour_in_order(
     day); it must not decrease along ``order``.  The window runs inside a piece;
     the border row of the nearest non-empty piece fills the gap at its edge.
     """
-    fields = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
+    fields = F.struct(*[F.col(c).alias(n) for c, n in columns.items()])
     d = df.withColumn("_chunk", chunk).withColumn("_row", fields)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     across = Window.partitionBy(*keys).orderBy("_chunk")
@@ -122,4 +122,4 @@ def neighbour_in_order(
     on.append(F.col("_chunk").eqNullSafe(F.col("_c")))
     joined = d.join(edges, on, "left")
     near = F.coalesce("_near", "_other")
-    return joined.select(*df.columns, *[near[n].alias(n) for n in columns])
+    return joined.select(*df.columns, *[near[n].alias(n) for n in columns.values()])

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.runtime import spread
 from sparkloom.sources.readers import scan_parquet
 
 TABLES = (
@@ -27,6 +28,15 @@ class Tables:
             raise AttributeError(name)
         return scan_parquet(self.spark, f"{self.folder}/{name}.parquet")
 
+    @property
+    def docs(self) -> DataFrame:
+        """Documents, moved to all cores where the files have too few splits."""
+        return spread(self.documents, "doc_id")
+
+    @property
+    def vectors(self) -> DataFrame:
+        return spread(self.embeddings, "vec_id")
+
 
 @dataclass(frozen=True)
 class Query:

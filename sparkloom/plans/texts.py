@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import textfn
-from sparkloom.operators import aggregate, joins, select, text
+from sparkloom.operators import aggregate, joins, select, setops, text
 from sparkloom.plans.registry import Tables, query
 
 # Stop words removed before classification and weighting.
@@ -28,7 +28,7 @@ def _sql(s: str) -> str:
 
 @query("WITH " + TOK_SQL + "SELECT doc_id, term, count FROM dt")
 def doc_term_counts(t: Tables) -> DataFrame:
-    return text.doc_terms(t.documents, "doc_id", "text")
+    return text.doc_terms(t.docs, "doc_id", "text")
 
 
 KMER_SQL = rf"""ws AS (SELECT regexp_extract_all(lower(line), '{_W}') AS w FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)),
@@ -38,12 +38,12 @@ km AS (SELECT array_to_string(w[i:i + 2], ' ') AS kmer FROM (SELECT w, unnest(ra
 
 @query("WITH " + KMER_SQL + "SELECT kmer, count(*) AS n FROM km GROUP BY kmer")
 def count_kmers(t: Tables) -> DataFrame:
-    return text.count_kmers(t.documents, "text", 3)
+    return text.count_kmers(t.docs, "text", 3)
 
 
 @query("WITH " + KMER_SQL + "SELECT kmer, count(*) AS n FROM km GROUP BY kmer ORDER BY n DESC, kmer LIMIT 10")
 def top_kmers(t: Tables) -> DataFrame:
-    return text.top_kmers(t.documents, "text", 3, 10)
+    return text.top_kmers(t.docs, "text", 3, 10)
 
 
 def _token_sql(source: str) -> str:
@@ -58,7 +58,7 @@ _DOC_ENT = "replace(text, '&amp;', ' and ')"
 
 @query(f"SELECT doc_id, len(w) AS n_tokens, md5(array_to_string(w, chr(10))) AS digest FROM (SELECT doc_id, {_token_sql(_DOC_ENT)} AS w FROM documents)")
 def tokenize_documents(t: Tables) -> DataFrame:
-    w = t.documents.select("doc_id", textfn.tokenize_social(F.col("text")).alias("w"))
+    w = t.docs.select("doc_id", textfn.tokenize_social(F.col("text")).alias("w"))
     return w.select("doc_id", F.size("w").cast("bigint").alias("n_tokens"), F.md5(F.array_join("w", "\n")).alias("digest"))
 
 
@@ -75,20 +75,20 @@ _PAIRS_SQL = f"pairs AS (SELECT DISTINCT source, {_GROUP_SQL} AS grp, unnest({_t
 def user_groups(t: Tables) -> DataFrame:
     """Group 0..6 of the known users."""
     number = F.regexp_replace("source", "src", "").cast("int")
-    return t.documents.select("source").distinct().withColumn("grp", number % 7).filter(number < 14)
+    return t.docs.select("source").distinct().withColumn("grp", number % 7).filter(number < 14)
 
 
 @query(f"SELECT grp, count(*) AS n_posts, count(DISTINCT source) AS n_users FROM (SELECT source, {_GROUP_SQL} AS grp FROM documents) GROUP BY grp")
 def posts_by_group(t: Tables) -> DataFrame:
     """Users missing from the lookup fall into group 7."""
     mapping = user_groups(t).withColumnRenamed("source", "user")
-    tagged = joins.lookup_default(t.documents.select("source"), mapping, "source", "user", "grp", 7)
+    tagged = joins.lookup_default(t.docs.select("source"), mapping, "source", "user", "grp", 7)
     return tagged.groupBy("grp").agg(F.count(F.lit(1)).alias("n_posts"), F.countDistinct("source").alias("n_users"))
 
 
 @query("WITH " + _PAIRS_SQL + " SELECT token, count(*) AS n_users FROM pairs GROUP BY token HAVING count(*) >= 5")
 def mentions_per_token(t: Tables) -> DataFrame:
-    return text.mentions_per_token(t.documents, "source", "text", 5)
+    return text.mentions_per_token(t.docs, "source", "text", 5)
 
 
 @query("WITH " + _PAIRS_SQL + """, g AS (SELECT token, grp, count(*) AS n_group FROM pairs GROUP BY ALL),
@@ -98,7 +98,7 @@ SELECT grp, token, n_group, n_all, round(p, 6) AS popularity, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY grp ORDER BY p DESC, token)::INTEGER AS rank FROM s) WHERE rank <= 10""")
 def relative_popularity(t: Tables) -> DataFrame:
     mapping = user_groups(t).withColumnRenamed("source", "user")
-    tagged = joins.lookup_default(t.documents.select("source", "text"), mapping, "source", "user", "grp", 7)
+    tagged = joins.lookup_default(t.docs.select("source", "text"), mapping, "source", "user", "grp", 7)
     out = text.relative_popularity(tagged, "source", "grp", "text", 5, 10)
     return out.withColumn("popularity", F.round("popularity", 6) + 0.0)
 
@@ -114,8 +114,8 @@ cc AS (SELECT a.word, b.word AS context, count(DISTINCT (a.doc_id, a.p)) AS n
 
 
 def _contexts(t: Tables) -> DataFrame:
-    terms = text.doc_terms(t.documents, "doc_id", "text")
-    return text.context_counts(t.documents, "text", text.most_common(terms, 200), text.most_common(terms, 50))
+    terms = text.doc_terms(t.docs, "doc_id", "text")
+    return text.context_counts(t.docs, "text", text.most_common(terms, 200), text.most_common(terms, 50))
 
 
 @query("WITH " + CTX_SQL + "SELECT * FROM cc")
@@ -134,7 +134,7 @@ def ppmi(t: Tables) -> DataFrame:
 ids AS (SELECT term, row_number() OVER (ORDER BY term) AS word_id FROM (SELECT DISTINCT term FROM kept))
 SELECT doc_id, term, count, word_id FROM kept JOIN ids USING (term)""")
 def remove_stopwords(t: Tables) -> DataFrame:
-    return text.remove_stopwords(text.doc_terms(t.documents, "doc_id", "text"), STOP)
+    return text.remove_stopwords(text.doc_terms(t.docs, "doc_id", "text"), STOP)
 
 
 @query("WITH " + TOK_SQL + f""", kept AS (SELECT * FROM dt WHERE term NOT IN {_STOP_SQL}),
@@ -142,15 +142,15 @@ f AS (SELECT term, sum(count) AS c, count(*) AS df FROM kept GROUP BY term ORDER
 w AS (SELECT doc_id, term, count * (ln((1 + (SELECT count(DISTINCT doc_id) FROM dt)) / (1 + df)) + 1) AS w FROM kept JOIN f USING (term))
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS tfidf FROM w""")
 def tfidf(t: Tables) -> DataFrame:
-    out = text.tfidf(text.doc_terms(t.documents, "doc_id", "text"), "doc_id", 300, STOP)
+    out = text.tfidf(text.doc_terms(t.docs, "doc_id", "text"), "doc_id", 300, STOP)
     return out.withColumn("tfidf", F.round("tfidf", 6))
 
 
 def _nb_parts(t: Tables):
-    terms = text.doc_terms(t.documents, "doc_id", "text", ["lang"])
+    terms = text.doc_terms(t.docs, "doc_id", "text", ["lang"])
     inside = select.hash_share(F.col("doc_id")) < 0.75
     train = terms.filter(inside)
-    return train, terms.filter(~inside).drop("lang"), t.documents.filter(inside).select("doc_id", "lang")
+    return train, terms.filter(~inside).drop("lang"), t.docs.filter(inside).select("doc_id", "lang")
 
 
 NB_SQL = "WITH " + TOK_SQL + SPLIT_SQL + """, train AS (SELECT dt.* FROM dt JOIN split USING (doc_id) WHERE training),
@@ -197,7 +197,7 @@ SELECT doc_id, len(w)::INTEGER AS n_words, len(s)::INTEGER AS n_sentences,
  round(coalesce(len(regexp_extract_all(text, '{_P}')) / nullif(length(text), 0), 0), 6) AS punctuation_share FROM a""")
 def text_shape(t: Tables) -> DataFrame:
     cols = textfn.text_shape(F.col("text"))
-    return t.documents.select("doc_id", *[(F.round(c, 6) if "share" in n else c).alias(n) for n, c in cols.items()])
+    return t.docs.select("doc_id", *[(F.round(c, 6) if "share" in n else c).alias(n) for n, c in cols.items()])
 
 
 @query(rf"""WITH a AS (SELECT doc_id, len(regexp_extract_all(lower(text), '{_W}')) AS w,
@@ -206,7 +206,7 @@ def text_shape(t: Tables) -> DataFrame:
 SELECT doc_id, round(206.835::DOUBLE - 1.015::DOUBLE * (w / s) - 84.6::DOUBLE * (y / nullif(w, 0)), 4) AS flesch,
  round(0.39::DOUBLE * (w / s) + 11.8::DOUBLE * (y / nullif(w, 0)) - 15.59::DOUBLE, 4) AS grade FROM a""")
 def readability(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", *[F.round(c, 4).alias(n) for n, c in textfn.readability(F.col("text")).items()])
+    return t.docs.select("doc_id", *[F.round(c, 4).alias(n) for n, c in textfn.readability(F.col("text")).items()])
 
 
 @query(rf"""WITH a AS (SELECT doc_id, regexp_extract_all(lower(text), '{_W}') AS w FROM documents)
@@ -214,26 +214,26 @@ SELECT doc_id, round(list_sum(list_transform(w, lambda x: length(x))) / len(w),
  len(list_filter(w, lambda x: NOT regexp_matches(x, '[aeiou]')))::INTEGER AS n_no_vowel, len(list_filter(w, lambda x: length(x) >= 4))::INTEGER AS n_long FROM a""")
 def word_lengths(t: Tables) -> DataFrame:
     w = textfn.words(F.col("text"))
-    return t.documents.select("doc_id", F.round(textfn.average_word_length(w), 6).alias("avg_length"),
+    return t.docs.select("doc_id", F.round(textfn.average_word_length(w), 6).alias("avg_length"),
                               F.size(textfn.words_without_vowels(w)).alias("n_no_vowel"), F.size(textfn.long_words(w)).alias("n_long"))
 
 
 @query(r"""SELECT sum(len(string_split(text, chr(10))))::BIGINT AS n_lines, sum(len(regexp_extract_all(text, '[^\s]+')))::BIGINT AS n_words,
   sum(length(text))::BIGINT AS n_chars FROM documents""")
 def corpus_size(t: Tables) -> DataFrame:
-    return text.word_counts_total(t.documents, "text")
+    return text.word_counts_total(t.docs, "text")
 
 
 @query(r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}\s]+', '', 'g'), '\s+', ' ', 'g'))) AS digest FROM documents""")
 def normalise_text(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.md5(textfn.normalise_text(F.col("text"))).alias("digest"))
+    return t.docs.select("doc_id", F.md5(textfn.normalise_text(F.col("text"))).alias("digest"))
 
 
 @query("SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM documents")
 def reassemble_fragments(t: Tables) -> DataFrame:
     """Texts cut into pieces of 100 characters and put together again."""
     starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(100))
-    pieces = t.documents.select("doc_id", F.explode(starts).alias("offset"), "text").select(
+    pieces = t.docs.select("doc_id", F.explode(starts).alias("offset"), "text").select(
         "doc_id", "offset", F.col("text").substr(F.col("offset") + 1, F.lit(100)).alias("text"))
     whole = text.reassemble_fragments(pieces, "doc_id", "offset", "text")
     return whole.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
@@ -241,50 +241,42 @@ def reassemble_fragments(t: Tables) -> DataFrame:
 
 @query(r"SELECT letter, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}')) AS letter FROM documents) GROUP BY letter")
 def letter_counts(t: Tables) -> DataFrame:
-    return text.letter_counts(t.documents, "text")
+    return text.letter_counts(t.docs, "text")
 
 
 @query("WITH " + TOK_SQL + """, l AS (SELECT substr(term, 1, 1) AS first, substr(term, 2, 1) AS second FROM tok WHERE length(term) >= 2)
 SELECT first, second, n, round(n / sum(n) OVER (PARTITION BY first), 3) AS share FROM (SELECT first, second, count(*) AS n FROM l GROUP BY first, second)""")
 def second_letter_shares(t: Tables) -> DataFrame:
-    w = t.documents.select(F.explode(textfn.words(F.col("text"))).alias("term"))
+    w = t.docs.select(F.explode(textfn.words(F.col("text"))).alias("term"))
     return aggregate.letter_shares(w, "term")
 
 
 @query(r"SELECT doc_id, md5(regexp_replace(text, '\bthe\b', 'THE', 'g')) AS digest FROM documents")
 def replace_word(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.md5(textfn.replace_word(F.col("text"), "the", "THE")).alias("digest"))
+    return t.docs.select("doc_id", F.md5(textfn.replace_word(F.col("text"), "the", "THE")).alias("digest"))
 
 
 def _tokens_of(t: Tables, lang: str) -> DataFrame:
-    return t.documents.filter(F.col("lang") == lang).select(F.explode(textfn.words(F.col("text"))).alias("term"))
+    return t.docs.filter(F.col("lang") == lang).select(F.explode(textfn.words(F.col("text"))).alias("term"))
 
 
 @query("WITH " + TOK_SQL + "SELECT term, count(*) AS n FROM tok WHERE lang = 'en' AND term NOT IN (SELECT term FROM tok WHERE lang = 'de') GROUP BY term")
 def words_subtracted(t: Tables) -> DataFrame:
     """Words of one language absent from another, duplicates kept and then counted."""
-    from sparkloom.operators.setops import subtract_all
-
-    return subtract_all(_tokens_of(t, "en"), _tokens_of(t, "de"), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return setops.subtract_all(_tokens_of(t, "en"), _tokens_of(t, "de"), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH " + TOK_SQL + "SELECT term FROM tok WHERE lang = 'en' INTERSECT SELECT term FROM tok WHERE lang = 'fr'")
 def words_in_both(t: Tables) -> DataFrame:
-    from sparkloom.operators.setops import intersect_distinct
-
-    return intersect_distinct(_tokens_of(t, "en"), _tokens_of(t, "fr"))
+    return setops.intersect_distinct(_tokens_of(t, "en"), _tokens_of(t, "fr"))
 
 
 @query("WITH " + TOK_SQL + """SELECT term, count(*) AS n FROM (SELECT term FROM tok WHERE lang = 'en' UNION ALL SELECT term FROM tok WHERE lang = 'es') GROUP BY term""")
 def words_of_either(t: Tables) -> DataFrame:
-    from sparkloom.operators.setops import union_all
-
-    return union_all(_tokens_of(t, "en"), _tokens_of(t, "es")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return setops.union_all(_tokens_of(t, "en"), _tokens_of(t, "es")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH " + TOK_SQL + """, a AS (SELECT DISTINCT term FROM tok WHERE lang = 'en'), b AS (SELECT DISTINCT term FROM tok WHERE lang = 'de')
 SELECT (SELECT count(*) FROM a) AS n_first, (SELECT count(*) FROM b) AS n_second, (SELECT count(*) FROM a JOIN b USING (term)) AS n_common""")
 def vocabulary_overlap(t: Tables) -> DataFrame:
-    from sparkloom.operators.setops import overlap_sizes
-
-    return overlap_sizes(_tokens_of(t, "en"), _tokens_of(t, "de"), "term")
+    return setops.overlap_sizes(_tokens_of(t, "en"), _tokens_of(t, "de"), "term")

@@ -123,3 +123,16 @@ def neighbour_in_order(
     joined = d.join(edges, on, "left")
     near = F.coalesce("_near", "_other")
     return joined.select(*df.columns, *[near[n].alias(n) for n in columns.values()])
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rebalance a scan with fewer splits than the session has cores.
+
+    A file of one row group is read by one task; work that costs far more than
+    the read (tokenising, distances) is then better moved to all cores.  Large
+    tables have more splits than cores and pass through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, *keys)
+    return df

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType
 
 
 def array_max_sum(array: Column) -> Column:
@@ -44,13 +45,13 @@ def one_hot(labels: Column, wanted: list[str]) -> list[Column]:
     return [F.array_contains(labels, w).cast("int").alias("is_" + w.lower().replace("#", "").replace(" ", "_")) for w in wanted]
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def pack_array(values: pd.Series) -> pd.Series:
     """Float vectors as little-endian 32-bit bytes (legacy files)."""
     return values.map(lambda v: np.asarray(v, dtype="<f4").tobytes() if v is not None else None)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def unpack_array(values: pd.Series) -> pd.Series:
     return values.map(lambda b: np.frombuffer(b, dtype="<f4").astype("float64") if b is not None else None)
 
@@ -58,12 +59,16 @@ def unpack_array(values: pd.Series) -> pd.Series:
 def parse_csv_record(line: Column, rules: list[tuple], sep: str = ",") -> list[Column]:
     """Typed fields from ``(name, type, width)``; a width above 1 makes an array."""
     fields = F.split(line, "[" + sep + "]", -1)
+
+    def typed(kind):
+        return lambda x: x.try_cast(kind)
+
     out, at = [], 1
     for name, kind, width in rules:
         if width == 1:
             out.append(F.try_element_at(fields, F.lit(at)).try_cast(kind).alias(name))
         else:
-            out.append(F.transform(F.slice(fields, at, width), lambda x, k=kind: x.try_cast(k)).alias(name))
+            out.append(F.transform(F.slice(fields, at, width), typed(kind)).alias(name))
         at += width
     return out
 

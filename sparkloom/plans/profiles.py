@@ -153,12 +153,12 @@ def profile_numeric(t: Tables) -> DataFrame:
     return out.withColumn("mean", F.round("mean", 6)).withColumn("sd", F.round("sd", 6))
 
 
-@query("WITH " + GAPPY_SQL + """, l AS (SELECT 'brand' AS column, brand AS value FROM gappy UNION ALL SELECT 'kind', kind FROM gappy),
-c AS (SELECT column, value, count(*) AS n FROM l WHERE value IS NOT NULL GROUP BY ALL),
-f AS (SELECT column, count(DISTINCT value) AS n_distinct, count(*) - count(value) AS missing FROM l GROUP BY 1),
-r AS (SELECT *, row_number() OVER (PARTITION BY column ORDER BY n DESC, value)::INTEGER AS a, row_number() OVER (PARTITION BY column ORDER BY n, value)::INTEGER AS b FROM c)
-SELECT column, value, n, a AS rank, 'most' AS kind, n_distinct, missing FROM r JOIN f USING (column) WHERE a <= 3
-UNION ALL SELECT column, value, n, b, 'least', n_distinct, missing FROM r JOIN f USING (column) WHERE b <= 3""")
+@query("WITH " + GAPPY_SQL + """, l AS (SELECT 'brand' AS "column", brand AS value FROM gappy UNION ALL SELECT 'kind', kind FROM gappy),
+c AS (SELECT "column", value, count(*) AS n FROM l WHERE value IS NOT NULL GROUP BY ALL),
+f AS (SELECT "column", count(DISTINCT value) AS n_distinct, count(*) - count(value) AS missing FROM l GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value)::INTEGER AS a, row_number() OVER (PARTITION BY "column" ORDER BY n, value)::INTEGER AS b FROM c)
+SELECT "column", value, n, a AS rank, 'most' AS kind, n_distinct, missing FROM r JOIN f USING ("column") WHERE a <= 3
+UNION ALL SELECT "column", value, n, b, 'least', n_distinct, missing FROM r JOIN f USING ("column") WHERE b <= 3""")
 def profile_text(t: Tables) -> DataFrame:
     return aggregate.profile_text(gappy(t), ["brand", "kind"], 3)
 

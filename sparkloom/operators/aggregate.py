@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ONE = F.lit(1)
 
 
 def sales_by(sale: DataFrame, keys: list[str], items: str, sales: str) -> DataFrame:
@@ -62,20 +61,20 @@ def mean_of_daily_max(df: DataFrame, entity: str, date: str, dow: str, slot: str
 
 def entity_lifespan(df: DataFrame, entity: str, ts: str) -> DataFrame:
     """First and last appearance, count and minutes between them."""
-    life = df.groupBy(entity).agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count(ONE).alias("n"))
+    life = df.groupBy(entity).agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count(F.lit(1)).alias("n"))
     return life.withColumn("minutes", F.timestamp_diff("SECOND", F.col("first_ts"), F.col("last_ts")) / 60.0)
 
 
 def values_per_entity_histogram(df: DataFrame, entity: str, value: str) -> DataFrame:
     """How many entities have 1, 2, 3... distinct values."""
     per = df.groupBy(entity).agg(F.countDistinct(value).alias("n_values"))
-    return per.groupBy("n_values").agg(F.count(ONE).alias("n_entities"))
+    return per.groupBy("n_values").agg(F.count(F.lit(1)).alias("n_entities"))
 
 
 def value_counts(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
     """Frequency table with shares of the total, most frequent first."""
-    counts = df.groupBy(column).agg(F.count(ONE).alias("n"))
-    total = df.agg(F.count(ONE)).scalar()
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    total = df.agg(F.count(F.lit(1))).scalar()
     out = counts.withColumn("share", F.col("n") / total).orderBy(F.desc("n"), F.col(column))
     return out.limit(n) if n else out
 
@@ -105,7 +104,7 @@ def profile_text(df: DataFrame, columns: list[str], n: int = 3) -> DataFrame:
     """
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("r"))
-    counts = long.groupBy("r.column", "r.value").agg(F.count(ONE).alias("n"))
+    counts = long.groupBy("r.column", "r.value").agg(F.count(F.lit(1)).alias("n"))
     known = counts.filter(F.col("value").isNotNull())
     most = Window.partitionBy("column").orderBy(F.desc("n"), "value")
     least = Window.partitionBy("column").orderBy("n", "value")
@@ -117,7 +116,7 @@ def profile_text(df: DataFrame, columns: list[str], n: int = 3) -> DataFrame:
 
 
 def find_duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
-    return (df.groupBy(*columns).agg(F.count(ONE).alias("n")).filter("n > 1")
+    return (df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
             .withColumn("surplus", F.col("n") - 1))
 
 
@@ -134,7 +133,7 @@ def attach_rate(df: DataFrame, rates: DataFrame, entity: str, overall: Column) -
 
 
 def review_counts(df: DataFrame, entity: str, rated: Column) -> DataFrame:
-    return df.groupBy(entity).agg(F.count(ONE).alias("n_total"), F.count_if(rated).alias("n_rated")).withColumn(
+    return df.groupBy(entity).agg(F.count(F.lit(1)).alias("n_total"), F.count_if(rated).alias("n_rated")).withColumn(
         "rated_share", F.col("n_rated") / F.col("n_total"))
 
 
@@ -170,7 +169,7 @@ def bounding_box(df: DataFrame, lat: str, lon: str, keys: list[str] | None = Non
 
 
 def group_means(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(ONE).alias("n"), *[F.avg(c).alias(f"avg_{c}") for c in columns])
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"avg_{c}") for c in columns])
 
 
 def neg_pos_ratio(label: Column) -> Column:
@@ -186,7 +185,7 @@ def pct_negative(label: Column) -> Column:
 def row_gap_histogram(df: DataFrame, array: str) -> DataFrame:
     """How many rows have 0, 1, 2... missing entries in their vector."""
     gaps = F.size(F.filter(array, lambda x: x.isNull() | F.isnan(x)))
-    return df.groupBy(gaps.alias("n_gaps")).agg(F.count(ONE).alias("n_rows"))
+    return df.groupBy(gaps.alias("n_gaps")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def yearly_extremes(df: DataFrame, year: str, value: str) -> DataFrame:
@@ -208,7 +207,7 @@ def letter_shares(words: DataFrame, word: str) -> DataFrame:
     """Share of each second letter among the words of each first letter, 3 digits."""
     letters = words.filter(F.length(word) >= 2).select(
         F.substring(word, 1, 1).alias("first"), F.substring(word, 2, 1).alias("second"))
-    counts = letters.groupBy("first", "second").agg(F.count(ONE).alias("n"))
+    counts = letters.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("first").agg(F.sum("n").alias("total"))
     return counts.join(totals, "first").select("first", "second", "n", F.round(F.col("n") / F.col("total"), 3).alias("share"))
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from sparkloom.operators.select import hash_share
 from sparkloom.runtime import global_row_number
 
-ONE = F.lit(1)
 
 
 def split_random(df: DataFrame, key: str, test_share: float) -> DataFrame:
@@ -72,7 +71,7 @@ def attach_predictions(template: DataFrame, predictions: DataFrame, keys: list[s
 
 
 def confusion(df: DataFrame, actual: str, predicted: str, keys: list[str] | None = None) -> DataFrame:
-    return df.groupBy(*(keys or []), actual, predicted).agg(F.count(ONE).alias("n"))
+    return df.groupBy(*(keys or []), actual, predicted).agg(F.count(F.lit(1)).alias("n"))
 
 
 def normalised_confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -123,7 +122,7 @@ def metrics_by_group(df: DataFrame, actual: str, predicted: str, group: str) ->
 def cluster_scores(df: DataFrame, cluster: str, actual: str, models: dict[str, str]) -> DataFrame:
     """Accuracy of several prediction columns per cluster, in one pass."""
     hits = [F.avg((F.col(actual) == F.col(c)).cast("int")).alias(name) for name, c in models.items()]
-    wide = df.groupBy(cluster).agg(F.count(ONE).alias("size"), *hits)
+    wide = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"), *hits)
     return wide.unpivot([cluster, "size"], list(models), "model", "score")
 
 

@@ -12,13 +12,12 @@ from pyspark.sql import functions as F
 from sparkloom.functions import textfn
 from sparkloom.operators.sequence import dense_key, top_n_per_group
 
-N = F.lit(1)
 
 
 def doc_terms(docs: DataFrame, doc: str, text: str, keep: list[str] | None = None) -> DataFrame:
     """Long ``(doc, term, count)`` triplets of whole texts."""
     tokens = docs.select(doc, *(keep or []), F.explode(textfn.words(F.col(text))).alias("term"))
-    return tokens.groupBy(doc, *(keep or []), "term").agg(F.count(N).alias("count"))
+    return tokens.groupBy(doc, *(keep or []), "term").agg(F.count(F.lit(1)).alias("count"))
 
 
 def count_kmers(docs: DataFrame, text: str, k: int) -> DataFrame:
@@ -26,7 +25,7 @@ def count_kmers(docs: DataFrame, text: str, k: int) -> DataFrame:
     one_line = docs.select(F.explode(textfn.lines(F.col(text))).alias("line"))
     tokens = one_line.select(textfn.words(F.col("line")).alias("t"))
     grams = tokens.select(F.explode(textfn.kmers(F.col("t"), k)).alias("kmer"))
-    return grams.groupBy("kmer").agg(F.count(N).alias("n"))
+    return grams.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_kmers(docs: DataFrame, text: str, k: int, n: int) -> DataFrame:
@@ -36,7 +35,7 @@ def top_kmers(docs: DataFrame, text: str, k: int, n: int) -> DataFrame:
 def mentions_per_token(docs: DataFrame, user: str, text: str, least: int) -> DataFrame:
     """Tokens with the number of distinct users who wrote them, if at least ``least``."""
     pairs = docs.select(user, F.explode(F.array_distinct(textfn.tokenize_social(F.col(text)))).alias("token")).distinct()
-    return pairs.groupBy("token").agg(F.count(N).alias("n_users")).filter(F.col("n_users") >= least)
+    return pairs.groupBy("token").agg(F.count(F.lit(1)).alias("n_users")).filter(F.col("n_users") >= least)
 
 
 def relative_popularity(docs: DataFrame, user: str, group: str, text: str, least: int, n: int) -> DataFrame:
@@ -46,7 +45,7 @@ def relative_popularity(docs: DataFrame, user: str, group: str, text: str, least
     every group is ranked in the same pass.
     """
     pairs = docs.select(user, group, F.explode(F.array_distinct(textfn.tokenize_social(F.col(text)))).alias("token")).distinct()
-    per_group = pairs.groupBy("token", group).agg(F.count(N).alias("n_group"))
+    per_group = pairs.groupBy("token", group).agg(F.count(F.lit(1)).alias("n_group"))
     overall = per_group.groupBy("token").agg(F.sum("n_group").alias("n_all")).filter(F.col("n_all") >= least)
     scored = per_group.join(overall, "token").withColumn("popularity", F.log2(F.col("n_group") / F.col("n_all")))
     return top_n_per_group(scored, [group], [F.desc("popularity"), F.col("token")], n)
@@ -73,7 +72,7 @@ def context_counts(docs: DataFrame, text: str, vocabulary: DataFrame, contexts:
     spots = spots.join(vocabulary.select(F.col("term").alias("word")), "word", "left_semi")
     pairs = spots.select("word", F.explode("near").alias("context"))
     pairs = pairs.join(contexts.select(F.col("term").alias("context")), "context", "left_semi")
-    return pairs.groupBy("word", "context").agg(F.count(N).alias("n"))
+    return pairs.groupBy("word", "context").agg(F.count(F.lit(1)).alias("n"))
 
 
 def ppmi(counts: DataFrame) -> DataFrame:
@@ -97,7 +96,7 @@ def tfidf(terms: DataFrame, doc: str, max_features: int, stop: list[str]) -> Dat
     """tf * (ln((1 + n) / (1 + df)) + 1) on the most frequent terms, L2-normalised."""
     listed = terms.sparkSession.createDataFrame([(w,) for w in stop], "term string")
     clean = terms.join(listed, "term", "left_anti")
-    features = clean.groupBy("term").agg(F.sum("count").alias("_c"), F.count(N).alias("_df")).orderBy(
+    features = clean.groupBy("term").agg(F.sum("count").alias("_c"), F.count(F.lit(1)).alias("_df")).orderBy(
         F.desc("_c"), "term").limit(max_features)
     n_docs = terms.agg(F.countDistinct(doc)).scalar()
     weighted = clean.join(features, "term").withColumn("_w", F.col("count") * (F.log((1 + n_docs) / (1 + F.col("_df"))) + 1))
@@ -137,8 +136,8 @@ def _term_weights(counts: DataFrame, label: str, weight: Column) -> DataFrame:
 
 
 def _class_priors(train_docs: DataFrame, label: str) -> DataFrame:
-    total = train_docs.agg(F.count(N)).scalar()
-    return train_docs.groupBy(label).agg(F.count(N).alias("n_docs")).withColumn("log_prior", F.log(F.col("n_docs") / total))
+    total = train_docs.agg(F.count(F.lit(1))).scalar()
+    return train_docs.groupBy(label).agg(F.count(F.lit(1)).alias("n_docs")).withColumn("log_prior", F.log(F.col("n_docs") / total))
 
 
 def multinomial_nb(train: DataFrame, test: DataFrame, train_docs: DataFrame, doc: str, label: str) -> DataFrame:
@@ -162,12 +161,12 @@ def bernoulli_nb(train: DataFrame, test: DataFrame, train_docs: DataFrame, doc:
     The score of an empty document is summed once per class; a present term only
     adds the difference between its presence and its absence.
     """
-    counts = train.groupBy(label, "term").agg(F.count(N).alias("n"))
+    counts = train.groupBy(label, "term").agg(F.count(F.lit(1)).alias("n"))
     vocabulary = counts.agg(F.countDistinct("term")).scalar()
     priors = _class_priors(train_docs, label)
     p = (F.col("n") + 1) / (F.col("n_docs") + 2)
     seen = counts.join(priors, label)
-    absent = seen.groupBy(label).agg(F.sum(F.log(1 - p)).alias("sum_absent"), F.count(N).alias("n_seen"))
+    absent = seen.groupBy(label).agg(F.sum(F.log(1 - p)).alias("sum_absent"), F.count(F.lit(1)).alias("n_seen"))
     p0 = 1 / (F.col("n_docs") + 2)
     per_class = (priors.join(absent, label)
                  .withColumn("base", F.col("log_prior") + F.col("sum_absent") + (vocabulary - F.col("n_seen")) * F.log(1 - p0))
@@ -193,7 +192,7 @@ def reassemble_fragments(fragments: DataFrame, key: str, offset: str, text: str)
 
 def letter_counts(docs: DataFrame, text: str) -> DataFrame:
     letters = docs.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}"), F.lit(0))).alias("letter"))
-    return letters.groupBy("letter").agg(F.count(N).alias("n"))
+    return letters.groupBy("letter").agg(F.count(F.lit(1)).alias("n"))
 
 
 def rank_words(terms: DataFrame, n: int) -> DataFrame:

@@ -61,7 +61,10 @@ def parse_linestring(wkt: Column) -> Column:
 
 
 def consecutive_pairs(points: Column) -> Column:
-    """Segments between neighbouring points as ``(lat1, lon1, lat2, lon2)``."""
+    """Segments between neighbouring points as ``(lat1, lon1, lat2, lon2)``.
+
+    ``points`` is used per segment: give a column of an earlier projection.
+    """
     heads = F.slice(points, F.lit(1), F.greatest(F.size(points) - 1, F.lit(0)))
     return F.transform(heads, lambda p, i: F.struct(
         p["lat"].alias("lat1"), p["lon"].alias("lon1"),

@@ -26,7 +26,10 @@ def lines(text: Column) -> Column:
 
 
 def kmers(tokens: Column, k: int) -> Column:
-    """All runs of ``k`` consecutive tokens, joined by a blank."""
+    """All runs of ``k`` consecutive tokens, joined by a blank.
+
+    ``tokens`` is used per run: give a column of an earlier projection.
+    """
     starts = F.when(F.size(tokens) >= k, F.sequence(F.lit(1), F.size(tokens) - k + 1)).otherwise(
         F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(k)), " "))
@@ -87,12 +90,18 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(text, r"[.!?]+"), lambda s: F.regexp_like(s, F.lit(r"\S")))
 
 
-def text_shape(text: Column) -> dict[str, Column]:
-    """Counts and shares used as review features; safe on empty text."""
-    bare = F.regexp_replace(text, PUNCTUATION, "")
-    tokens = F.regexp_extract_all(bare, F.lit(r"[^\s]+"), F.lit(0))
+def shape_tokens(text: Column) -> Column:
+    """Blank-separated words of the text without punctuation."""
+    return F.regexp_extract_all(F.regexp_replace(text, PUNCTUATION, ""), F.lit(r"[^\s]+"), F.lit(0))
+
+
+def text_shape(text: Column, tokens: Column, sents: Column) -> dict[str, Column]:
+    """Counts and shares used as review features; safe on empty text.
+
+    ``tokens`` and ``sents`` are used several times: give them as columns of an
+    earlier projection, so that each text is cut only once.
+    """
     n_words = F.size(tokens)
-    sents = sentences(text)
     caps_words = F.size(F.filter(tokens, lambda w: F.regexp_like(w, F.lit(r"^\p{Lu}{2,}$"))))
     caps_sents = F.size(F.filter(sents, lambda s: (s == F.upper(s)) & (F.regexp_replace(s, PUNCTUATION + r"|\s", "") != "")))
     return {

@@ -192,8 +192,14 @@ def alternating_effects(df: DataFrame, row: str, col: str, value: str, rounds: i
 
 
 @F.pandas_udf(DoubleType())
-def log_gamma(x: pd.Series) -> pd.Series:
-    return x.map(math.lgamma)
+def overlap_log_p(m: pd.Series, n1: pd.Series, n2: pd.Series, l: pd.Series) -> pd.Series:
+    """Normalised log probability of ``l`` common flags; counts repeat, so each
+    log factorial is computed once per batch."""
+    m, n1, n2, l = (x.to_numpy(dtype="int64") for x in (m, n1, n2, l))
+    table = np.array([math.lgamma(i + 1.0) for i in range(int(m.max(initial=0)) + 1)])
+    plus = table[n1] + table[m - n1] + table[n2] + table[m - n2]
+    minus = table[l] + table[n1 - l] + table[n2 - l] + table[m - n1 - n2 + l] + table[m]
+    return pd.Series((plus - minus) / m)
 
 
 def overlap_significance(df: DataFrame, entity_index: str, day: str, flag: str, size: int, least: int = 200) -> DataFrame:
@@ -211,12 +217,7 @@ def overlap_significance(df: DataFrame, entity_index: str, day: str, flag: str,
     t = sums.join(back, ["i", "j"]).filter("i < j").select(
         "i", "j", F.col("n").alias("m"), F.col("c").cast("bigint").alias("n1"), F.col("c2").cast("bigint").alias("n2"), F.col("s").cast("bigint").alias("l"))
 
-    def g(x):
-        return log_gamma((x + 1).cast("double"))
-
-    m, n1, n2, l = (F.col(x) for x in ("m", "n1", "n2", "l"))
-    p = (-g(l) - g(n1 - l) - g(n2 - l) - g(m - n1 - n2 + l) - g(m) + g(n1) + g(m - n1) + g(n2) + g(m - n2)) / m
-    return t.withColumn("log_p", F.when(m >= least, p))
+    return t.filter("m > 0").withColumn("log_p", F.when(F.col("m") >= least, overlap_log_p("m", "n1", "n2", "l")))
 
 
 def spectral_order(pairs: DataFrame, size: int, value: str, which: int = 1) -> DataFrame:

@@ -6,11 +6,14 @@ sums over the terms a document really has, plus one constant per class.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import textfn
 from sparkloom.operators.sequence import dense_key, top_n_per_group
+from sparkloom.runtime import cut_lineage, materialise
 
 
 
@@ -46,8 +49,10 @@ def relative_popularity(docs: DataFrame, user: str, group: str, text: str, least
     """
     pairs = docs.select(user, group, F.explode(F.array_distinct(textfn.tokenize_social(F.col(text)))).alias("token")).distinct()
     per_group = pairs.groupBy("token", group).agg(F.count(F.lit(1)).alias("n_group"))
-    overall = per_group.groupBy("token").agg(F.sum("n_group").alias("n_all")).filter(F.col("n_all") >= least)
-    scored = per_group.join(overall, "token").withColumn("popularity", F.log2(F.col("n_group") / F.col("n_all")))
+    # One entry per group and token, so the list is as short as the list of groups.
+    by_token = per_group.groupBy("token").agg(F.sum("n_group").alias("n_all"), F.collect_list(F.struct(group, "n_group")).alias("g"))
+    scored = by_token.filter(F.col("n_all") >= least).select("token", "n_all", F.inline("g")).withColumn(
+        "popularity", F.log2(F.col("n_group") / F.col("n_all")))
     return top_n_per_group(scored, [group], [F.desc("popularity"), F.col("token")], n)
 
 
@@ -76,7 +81,11 @@ def context_counts(docs: DataFrame, text: str, vocabulary: DataFrame, contexts:
 
 
 def ppmi(counts: DataFrame) -> DataFrame:
-    """max(0, log10(p(c|w) / p(c))) of sparse (word, context, n) counts."""
+    """max(0, log10(p(c|w) / p(c))) of sparse (word, context, n) counts.
+
+    The counts are bounded by vocabulary times contexts and used four times.
+    """
+    counts = cut_lineage(counts)
     rows = counts.groupBy("word").agg(F.sum("n").alias("row_n"))
     cols = counts.groupBy("context").agg(F.sum("n").alias("col_n"))
     total = counts.agg(F.sum("n")).scalar()
@@ -98,46 +107,42 @@ def tfidf(terms: DataFrame, doc: str, max_features: int, stop: list[str]) -> Dat
     clean = terms.join(listed, "term", "left_anti")
     features = clean.groupBy("term").agg(F.sum("count").alias("_c"), F.count(F.lit(1)).alias("_df")).orderBy(
         F.desc("_c"), "term").limit(max_features)
-    n_docs = terms.agg(F.countDistinct(doc)).scalar()
+    n_docs = terms.select(doc).distinct().agg(F.count(F.lit(1))).scalar()
     weighted = clean.join(features, "term").withColumn("_w", F.col("count") * (F.log((1 + n_docs) / (1 + F.col("_df"))) + 1))
-    norms = weighted.groupBy(doc).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return weighted.join(norms, doc).select(doc, "term", (F.col("_w") / F.col("_norm")).alias("tfidf"))
+    # A document has at most max_features rows here, so the window is bounded.
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc)))
+    return weighted.select(doc, "term", (F.col("_w") / norm).alias("tfidf"))
 
 
-def _argmax(scores: DataFrame, doc: str, label: str) -> DataFrame:
-    best = scores.groupBy(doc).agg(F.max(F.struct(F.col("score"), F.col(label))).alias("m"))
-    return best.select(doc, F.col(f"m.{label}").alias("predicted"), F.col("m.score").alias("score"))
+MAX_CLASSES = 1000
 
 
-def _score_terms(test: DataFrame, per_term: DataFrame, per_class: DataFrame, doc: str, label: str,
-                 constant: Column, missing: Column) -> DataFrame:
-    """score = class constant + sum over present terms of their weight.
+def _class_rows(classes: DataFrame) -> list:
+    rows = classes.limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    return rows
 
-    ``per_term`` holds, for each term, an array of ``(label, weight)`` for the
-    classes that saw it.  Terms a class never saw add ``missing`` per occurrence.
-    """
-    hits = test.join(per_term, "term")
-    known = hits.groupBy(doc).agg(F.sum("count").alias("_len"))
-    seen = (hits.select(doc, "count", F.explode("weights").alias("w"))
-            .groupBy(doc, F.col("w.label").alias(label))
-            .agg(F.sum(F.col("count") * F.col("w.weight")).alias("_sum"), F.sum("count").alias("_seen")))
-    docs = test.select(doc).distinct().join(known, doc, "left")
-    classes = per_class.agg(F.collect_list(F.struct(*per_class.columns))).scalar()
-    full = docs.select(doc, F.coalesce("_len", F.lit(0)).alias("_len"), F.explode(classes).alias("c"))
-    full = full.select(doc, "_len", "c.*").join(seen, [doc, label], "left")
-    unseen = F.col("_len") - F.coalesce("_seen", F.lit(0))
-    score = constant + F.coalesce("_sum", F.lit(0.0)) + unseen * missing
-    return _argmax(full.select(doc, label, score.alias("score")), doc, label)
 
+def _score_terms(test: DataFrame, seen: DataFrame, doc: str, label: str, weight: Column, classes: list[tuple]) -> DataFrame:
+    """score = base of the class + sum over terms of count * weight.
 
-def _term_weights(counts: DataFrame, label: str, weight: Column) -> DataFrame:
-    # One bounded array per term: at most one entry per class.
-    return counts.groupBy("term").agg(F.collect_list(F.struct(F.col(label).alias("label"), weight.alias("weight"))).alias("weights"))
+    ``classes`` lists ``(label, base, weight of a term the class never saw)``.  The
+    weights of a term become one column per class, so a single join and a single
+    grouping score all classes at once; terms outside the vocabulary add nothing.
+    """
+    one = seen.groupBy("term").agg(*[F.coalesce(F.max(F.when(F.col(label) == c, weight)), F.lit(float(missing))).alias(f"_w{i}")
+                                     for i, (c, _, missing) in enumerate(classes)])
+    sums = test.join(one, "term", "left").groupBy(doc).agg(*[
+        (F.lit(float(base)) + F.coalesce(F.sum(F.col("count") * F.col(f"_w{i}")), F.lit(0.0))).alias(f"_s{i}")
+        for i, (_, base, _) in enumerate(classes)])
+    scores = F.array(*[F.struct(F.col(f"_s{i}").alias("score"), F.lit(c).alias("label")) for i, (c, _, _) in enumerate(classes)])
+    return sums.select(doc, F.array_max(scores).alias("m")).select(doc, F.col("m.label").alias("predicted"), F.col("m.score").alias("score"))
 
 
-def _class_priors(train_docs: DataFrame, label: str) -> DataFrame:
-    total = train_docs.agg(F.count(F.lit(1))).scalar()
-    return train_docs.groupBy(label).agg(F.count(F.lit(1)).alias("n_docs")).withColumn("log_prior", F.log(F.col("n_docs") / total))
+def _label_counts(train: DataFrame, label: str, n: Column) -> DataFrame:
+    """(label, term, n): as large as the vocabulary, read by several later steps."""
+    return materialise(train.groupBy(label, "term").agg(n.alias("n")), "label-counts")
 
 
 def multinomial_nb(train: DataFrame, test: DataFrame, train_docs: DataFrame, doc: str, label: str) -> DataFrame:
@@ -146,13 +151,14 @@ def multinomial_nb(train: DataFrame, test: DataFrame, train_docs: DataFrame, doc
     ``train`` holds (doc, label, term, count), ``test`` (doc, term, count); terms
     outside the training vocabulary carry no evidence.  Priors count documents.
     """
-    counts = train.groupBy(label, "term").agg(F.sum("count").alias("n"))
-    vocabulary = counts.agg(F.countDistinct("term")).scalar()
-    totals = counts.groupBy(label).agg(F.sum("n").alias("total"))
-    classes = _class_priors(train_docs, label).join(totals, label).withColumn("log_floor", -F.log(F.col("total") + vocabulary))
-    weights = _term_weights(counts.join(classes, label), label, F.log(F.col("n") + 1) + F.col("log_floor"))
-    per_class = classes.select(label, "log_prior", "log_floor")
-    return _score_terms(test, weights, per_class, doc, label, F.col("log_prior"), F.col("log_floor"))
+    counts = _label_counts(train, label, F.sum("count"))
+    vocabulary = counts.select("term").distinct().count()
+    docs = {r[label]: r.n for r in _class_rows(train_docs.groupBy(label).agg(F.count(F.lit(1)).alias("n")))}
+    total = {r[label]: r.n for r in _class_rows(counts.groupBy(label).agg(F.sum("n").alias("n")))}
+    n_docs = sum(docs.values())
+    classes = [(c, math.log(docs[c] / n_docs), -math.log(total[c] + vocabulary)) for c in sorted(total)]
+    floors = F.create_map(*[F.lit(x) for c, _, missing in classes for x in (c, missing)])
+    return _score_terms(test, counts, doc, label, F.log(F.col("n") + 1) + floors[F.col(label)], classes)
 
 
 def bernoulli_nb(train: DataFrame, test: DataFrame, train_docs: DataFrame, doc: str, label: str) -> DataFrame:
@@ -161,19 +167,19 @@ def bernoulli_nb(train: DataFrame, test: DataFrame, train_docs: DataFrame, doc:
     The score of an empty document is summed once per class; a present term only
     adds the difference between its presence and its absence.
     """
-    counts = train.groupBy(label, "term").agg(F.count(F.lit(1)).alias("n"))
-    vocabulary = counts.agg(F.countDistinct("term")).scalar()
-    priors = _class_priors(train_docs, label)
-    p = (F.col("n") + 1) / (F.col("n_docs") + 2)
-    seen = counts.join(priors, label)
-    absent = seen.groupBy(label).agg(F.sum(F.log(1 - p)).alias("sum_absent"), F.count(F.lit(1)).alias("n_seen"))
-    p0 = 1 / (F.col("n_docs") + 2)
-    per_class = (priors.join(absent, label)
-                 .withColumn("base", F.col("log_prior") + F.col("sum_absent") + (vocabulary - F.col("n_seen")) * F.log(1 - p0))
-                 .select(label, "base", (F.log(p0) - F.log(1 - p0)).alias("swing")))
-    weights = _term_weights(seen, label, F.log(p) - F.log(1 - p))
-    present = test.withColumn("count", F.lit(1).cast("bigint"))
-    return _score_terms(present, weights, per_class, doc, label, F.col("base"), F.col("swing"))
+    counts = _label_counts(train, label, F.count(F.lit(1)))
+    vocabulary = counts.select("term").distinct().count()
+    docs = {r[label]: r.n for r in _class_rows(train_docs.groupBy(label).agg(F.count(F.lit(1)).alias("n")))}
+    n_docs = sum(docs.values())
+    size = F.create_map(*[F.lit(x) for c, n in docs.items() for x in (c, n)])
+    p = (F.col("n") + 1) / (size[F.col(label)] + 2)
+    classes = []
+    for r in _class_rows(counts.groupBy(label).agg(F.sum(F.log(1 - p)).alias("absent"), F.count(F.lit(1)).alias("n_seen"))):
+        p0 = 1 / (docs[r[label]] + 2)
+        base = math.log(docs[r[label]] / n_docs) + r.absent + (vocabulary - r.n_seen) * math.log(1 - p0)
+        classes.append((r[label], base, math.log(p0) - math.log(1 - p0)))
+    present = test.select(doc, "term", F.lit(1).alias("count"))
+    return _score_terms(present, counts, doc, label, F.log(p) - F.log(1 - p), sorted(classes))
 
 
 def word_counts_total(docs: DataFrame, text: str) -> DataFrame:

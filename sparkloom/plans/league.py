@@ -14,6 +14,7 @@ from sparkloom.operators import joins, setops
 from sparkloom.operators.aggregate import league_points
 from sparkloom.operators.select import count_where
 from sparkloom.plans.registry import Tables, query
+from sparkloom.runtime import cut_lineage
 
 LEAGUE_SQL = """teams AS (SELECT n_name AS name, 'coach_' || n_nationkey AS coach FROM nation),
 matches AS (
@@ -108,7 +109,7 @@ def undefeated_coaches(t: Tables) -> DataFrame:
 EXCEPT SELECT w.loser FROM wins w JOIN board s ON w.winner = s.name WHERE s.points < (SELECT max(points) FROM board)
 UNION SELECT name FROM teams t WHERE NOT EXISTS (SELECT 1 FROM wins w WHERE w.loser = t.name)""")
 def beaten_only_by_leaders(t: Tables) -> DataFrame:
-    m = matches(t)
+    m = cut_lineage(matches(t))  # at most one row per pair of teams
     won = winners(m)
     board = league_points(teams(t).select("name"), m)
     top = board.agg(F.max("points")).scalar()
@@ -123,7 +124,7 @@ def beaten_only_by_leaders(t: Tables) -> DataFrame:
   WHERE s.points = (SELECT max(points) FROM board)
 EXCEPT SELECT w.loser FROM wins w JOIN board s ON w.winner = s.name WHERE s.points < (SELECT max(points) FROM board)""")
 def beaten_by_leader_alone(t: Tables) -> DataFrame:
-    m = matches(t)
+    m = cut_lineage(matches(t))  # at most one row per pair of teams
     won = winners(m)
     board = league_points(teams(t).select("name"), m)
     top = board.agg(F.max("points")).scalar()
@@ -134,5 +135,5 @@ def beaten_by_leader_alone(t: Tables) -> DataFrame:
 
 @query("WITH " + LEAGUE_SQL + """SELECT name, points FROM board WHERE points = (SELECT max(points) FROM board)""")
 def league_leaders(t: Tables) -> DataFrame:
-    board = league_points(teams(t).select("name"), matches(t))
+    board = cut_lineage(league_points(teams(t).select("name"), matches(t)))
     return board.filter(F.col("points") == board.agg(F.max("points")).scalar())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import textfn
 from sparkloom.operators import aggregate, joins, select, setops, text
 from sparkloom.plans.registry import Tables, query
+from sparkloom.runtime import cut_lineage, materialise
 
 # Stop words removed before classification and weighting.
 STOP = ("the of and to in is it on that for with as at this be are by an der die das und ist "
@@ -114,8 +115,8 @@ cc AS (SELECT a.word, b.word AS context, count(DISTINCT (a.doc_id, a.p)) AS n
 
 
 def _contexts(t: Tables) -> DataFrame:
-    terms = text.doc_terms(t.docs, "doc_id", "text")
-    return text.context_counts(t.docs, "text", text.most_common(terms, 200), text.most_common(terms, 50))
+    top = cut_lineage(text.most_common(text.doc_terms(t.docs, "doc_id", "text"), 200))
+    return text.context_counts(t.docs, "text", top, top.orderBy(F.desc("count"), "term").limit(50))
 
 
 @query("WITH " + CTX_SQL + "SELECT * FROM cc")
@@ -134,7 +135,7 @@ def ppmi(t: Tables) -> DataFrame:
 ids AS (SELECT term, row_number() OVER (ORDER BY term) AS word_id FROM (SELECT DISTINCT term FROM kept))
 SELECT doc_id, term, count, word_id FROM kept JOIN ids USING (term)""")
 def remove_stopwords(t: Tables) -> DataFrame:
-    return text.remove_stopwords(text.doc_terms(t.docs, "doc_id", "text"), STOP)
+    return text.remove_stopwords(materialise(text.doc_terms(t.docs, "doc_id", "text"), "terms"), STOP)
 
 
 @query("WITH " + TOK_SQL + f""", kept AS (SELECT * FROM dt WHERE term NOT IN {_STOP_SQL}),
@@ -142,12 +143,12 @@ f AS (SELECT term, sum(count) AS c, count(*) AS df FROM kept GROUP BY term ORDER
 w AS (SELECT doc_id, term, count * (ln((1 + (SELECT count(DISTINCT doc_id) FROM dt)) / (1 + df)) + 1) AS w FROM kept JOIN f USING (term))
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS tfidf FROM w""")
 def tfidf(t: Tables) -> DataFrame:
-    out = text.tfidf(text.doc_terms(t.docs, "doc_id", "text"), "doc_id", 300, STOP)
+    out = text.tfidf(materialise(text.doc_terms(t.docs, "doc_id", "text"), "terms"), "doc_id", 300, STOP)
     return out.withColumn("tfidf", F.round("tfidf", 6))
 
 
 def _nb_parts(t: Tables):
-    terms = text.doc_terms(t.docs, "doc_id", "text", ["lang"])
+    terms = materialise(text.doc_terms(t.docs, "doc_id", "text", ["lang"]), "terms")
     inside = select.hash_share(F.col("doc_id")) < 0.75
     train = terms.filter(inside)
     return train, terms.filter(~inside).drop("lang"), t.docs.filter(inside).select("doc_id", "lang")
@@ -196,8 +197,9 @@ SELECT doc_id, len(w)::INTEGER AS n_words, len(s)::INTEGER AS n_sentences,
  round(coalesce(len(regexp_extract_all(text, '[A-Z]')) / nullif(len(regexp_extract_all(text, '[A-Za-z]')), 0), 0), 6) AS capital_share,
  round(coalesce(len(regexp_extract_all(text, '{_P}')) / nullif(length(text), 0), 0), 6) AS punctuation_share FROM a""")
 def text_shape(t: Tables) -> DataFrame:
-    cols = textfn.text_shape(F.col("text"))
-    return t.docs.select("doc_id", *[(F.round(c, 6) if "share" in n else c).alias(n) for n, c in cols.items()])
+    cols = textfn.text_shape(F.col("text"), F.col("tokens"), F.col("sents"))
+    cut = t.docs.select("doc_id", "text", textfn.shape_tokens(F.col("text")).alias("tokens"), textfn.sentences(F.col("text")).alias("sents"))
+    return cut.select("doc_id", *[(F.round(c, 6) if "share" in n else c).alias(n) for n, c in cols.items()])
 
 
 @query(rf"""WITH a AS (SELECT doc_id, len(regexp_extract_all(lower(text), '{_W}')) AS w,

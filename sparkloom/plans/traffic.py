@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import geo, timeparts
 from sparkloom.operators import aggregate, joins, select, sequence
 from sparkloom.plans.registry import Tables, query
+from sparkloom.runtime import materialise
 
 HOLIDAYS = ["2024-01-01", "2024-01-15"]
 BOX = (32.5625, 32.8125, -117.25, -117.03125)
@@ -323,8 +324,8 @@ def linestrings(t: Tables) -> DataFrame:
 
 
 def path_steps(t: Tables) -> DataFrame:
-    pairs = geo.consecutive_pairs(geo.parse_linestring(F.col("wkt")))
-    return (linestrings(t).select("event_id", "bucket", F.posexplode(pairs).alias("pos", "s"))
+    parsed = linestrings(t).select("event_id", "bucket", geo.parse_linestring(F.col("wkt")).alias("pts"))
+    return (parsed.select("event_id", "bucket", F.posexplode(geo.consecutive_pairs(F.col("pts"))).alias("pos", "s"))
             .select("event_id", "bucket", (F.col("pos") + 1).cast("bigint").alias("path"), "s.*"))
 
 
@@ -339,7 +340,7 @@ def parse_linestrings(t: Tables) -> DataFrame:
   JOIN time_key USING (bucket)""")
 def path_bridge(t: Tables) -> DataFrame:
     """One row per report and path position with surrogate keys of time and segment."""
-    steps = path_steps(t)
+    steps = materialise(path_steps(t), "steps")
     keys = ["lat1", "lon1", "lat2", "lon2"]
     with_seg = sequence.attach_dense_key(steps, keys, "segment_id")
     times = sequence.dense_key(steps, ["bucket"], "time_id")

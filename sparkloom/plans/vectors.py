@@ -116,7 +116,7 @@ def overlap_significance(t: Tables) -> DataFrame:
 def overlaps(t: Tables) -> DataFrame:
     d = daily_means(t).select(F.col("user_id").alias("e"), "day", (F.col("s") > 40).cast("int").alias("f"))
     size = d.agg(F.max("e")).first()[0] + 1
-    return linalg.overlap_significance(d, "e", "day", "f", int(size), 20).filter("m > 0")
+    return linalg.overlap_significance(d, "e", "day", "f", int(size), 20)
 
 
 @query()

@@ -36,6 +36,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write a result that several branches read to the shared folder, once.
+
+    Unlike a checkpoint it stays columnar: each branch reads only its columns,
+    and filters reach the files.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def rows_at_most(df: DataFrame, limit: int) -> bool:
     """True if ``df`` holds at most ``limit`` rows; reads no more than needed."""
     return df.limit(limit + 1).count() <= limit

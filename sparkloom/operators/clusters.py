@@ -22,10 +22,8 @@ def _scatter(points: DataFrame) -> tuple[int, int, np.ndarray]:
     v = points.select(vector_to_array("features").alias("v"))
     size = len(v.first()["v"])
     sums = np.zeros((size + 1, size))
-    n = 0
-    for r in linalg.outer_sums(v, "v", size).collect():
-        sums[r.i, r.j] = r.s
-        n = max(n, r.n)
+    i, j, s, counts = linalg.columns_of(linalg.outer_sums(v, "v", size).select("i", "j", "s", "n"))
+    sums[i, j], n = s, int(counts.max())
     mean = sums[-1] / n
     return n, size, sums[:size] - n * np.outer(mean, mean)
 

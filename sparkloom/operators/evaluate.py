@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators.select import hash_share
-from sparkloom.runtime import global_row_number
+from sparkloom.runtime import cut_lineage, global_row_number
 
 
 
@@ -99,7 +99,7 @@ def metrics_by_group(df: DataFrame, actual: str, predicted: str, group: str) ->
     Everything follows from one count per (group, actual, predicted); a class with
     no predictions or no rows scores 0, as usual for macro averages.
     """
-    cells = confusion(df, actual, predicted, [group]).withColumn(group, F.col(group).cast("string"))
+    cells = cut_lineage(confusion(df, actual, predicted, [group]).withColumn(group, F.col(group).cast("string")))
     cells = cells.unionByName(cells.groupBy(actual, predicted).agg(F.sum("n").alias("n")).withColumn(group, F.lit("all")))
     sides = F.array(
         F.struct(F.col(actual).alias("c"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("guessed"),
@@ -120,10 +120,10 @@ def metrics_by_group(df: DataFrame, actual: str, predicted: str, group: str) ->
 
 
 def cluster_scores(df: DataFrame, cluster: str, actual: str, models: dict[str, str]) -> DataFrame:
-    """Accuracy of several prediction columns per cluster, in one pass."""
+    """Accuracy of several prediction columns per cluster, in one pass; a few rows, kept."""
     hits = [F.avg((F.col(actual) == F.col(c)).cast("int")).alias(name) for name, c in models.items()]
     wide = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"), *hits)
-    return wide.unpivot([cluster, "size"], list(models), "model", "score")
+    return cut_lineage(wide).unpivot([cluster, "size"], list(models), "model", "score")
 
 
 def best_model_per_cluster(scores: DataFrame, cluster: str) -> DataFrame:

@@ -27,6 +27,11 @@ def matrix_of(array: pa.Array, size: int) -> np.ndarray:
     return flat.reshape(-1, size)
 
 
+def columns_of(df: DataFrame) -> list[np.ndarray]:
+    """Columns of a result of bounded size as arrays; NULL becomes NaN."""
+    return [c.to_numpy() for c in df.toArrow().itercolumns()]
+
+
 def _partials(vector: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, n, c = np.zeros((size, size)), np.zeros((size, size)), np.zeros((size, size))
@@ -98,9 +103,8 @@ def fit_components(df: DataFrame, vector: str, size: int) -> Components:
     The sign is fixed: the entry of largest magnitude is positive.
     """
     cov, mean = np.zeros((size, size)), np.zeros(size)
-    for r in nan_covariance(df, vector, size).select("i", "j", "cov", "mean_i").collect():
-        cov[r.i, r.j] = r["cov"] if r["cov"] is not None else 0.0
-        mean[r.i] = r.mean_i if r.mean_i is not None else 0.0
+    i, j, c, m = columns_of(nan_covariance(df, vector, size).select("i", "j", "cov", "mean_i"))
+    cov[i, j], mean[i] = np.nan_to_num(c), np.nan_to_num(m)
     values, vecs = np.linalg.eigh((cov + cov.T) / 2)
     order = np.argsort(values)[::-1]
     values, vecs = values[order], vecs.T[order]
@@ -225,8 +229,8 @@ def spectral_order(pairs: DataFrame, size: int, value: str, which: int = 1) -> D
     if size > MAX_LENGTH:
         raise ValueError(f"at most {MAX_LENGTH} entities")
     m = np.zeros((size, size))
-    for r in pairs.select("i", "j", value).collect():
-        m[r.i, r.j] = m[r.j, r.i] = r[value] if r[value] is not None else 0.0
+    i, j, x = columns_of(pairs.select("i", "j", value))
+    m[i, j] = m[j, i] = np.nan_to_num(x)
     values, vecs = np.linalg.eigh(m)
     v = vecs[:, np.argsort(-np.abs(values))[which - 1]]
     v = v * np.sign(v[np.abs(v).argmax()])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.arrays import clip
-from sparkloom.operators.linalg import matrix_of, outer_sums
+from sparkloom.operators.linalg import columns_of, matrix_of, outer_sums
 
 MAX_CLASSES = 1000
 
@@ -87,8 +87,8 @@ def class_moments(df: DataFrame, vector: str, label: str, size: int) -> ClassMom
         raise ValueError(f"more than {MAX_CLASSES} classes")
     at = {c: k for k, c in enumerate(classes)}
     m = np.zeros((len(classes), size + 1, size + 1))
-    for r in long.collect():  # classes * size^2 numbers
-        m[at[r.label], r.i, r.j] = r.v
+    y, i, j, v = columns_of(long.select("label", "i", "j", "v"))  # classes * size^2 numbers
+    m[[at[c] for c in y], i, j] = v
     counts = m[:, 0, 0]
     return ClassMoments(np.array(classes), counts, m[:, 0, 1:] / counts[:, None], m[:, 1:, 1:] / counts[:, None, None])
 
@@ -179,8 +179,8 @@ def gram(df: DataFrame, features: list[str], target: str) -> Gram:
     columns = [F.lit(1.0), *[F.col(f).cast("double") for f in features], F.col(target).cast("double")]
     n = len(columns)
     m = np.zeros((n, n))
-    for r in outer_sums(df.select(F.array(*columns).alias("v")), "v", n).filter("i >= 0").select("i", "j", "s").collect():
-        m[r.i, r.j] = r.s
+    i, j, s = columns_of(outer_sums(df.select(F.array(*columns).alias("v")), "v", n).filter("i >= 0").select("i", "j", "s"))
+    m[i, j] = s
     return Gram(m, features)
 
 

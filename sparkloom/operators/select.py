@@ -9,6 +9,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.runtime import cut_lineage
+
 
 def count_where(df: DataFrame, column: str, value, out: str = "n") -> DataFrame:
     """Parameterised equality count; the value is bound, never pasted in."""
@@ -81,11 +83,12 @@ def select_chain(base: DataFrame, key: str, steps: list[Selector]) -> DataFrame:
     """Apply selectors in turn, each on the set the former ones left.
 
     The order matters for steps that look at the whole set (cumulative shares).
-    A step may return any columns as long as ``key`` is among them.
+    A step may return any columns as long as ``key`` is among them.  What a step
+    leaves is kept, so that a long chain does not run its first steps again.
     """
     current = base
     for step in steps:
-        current = current.join(step(current).select(key).distinct(), key, "left_semi")
+        current = cut_lineage(current.join(step(current).select(key).distinct(), key, "left_semi"))
     return current
 
 

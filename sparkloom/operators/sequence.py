@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.timeparts import time_bucket
 from sparkloom.runtime import global_row_number, neighbour_in_order, running_total
 
 
@@ -96,20 +97,26 @@ def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFram
     run = running_total(counts, ["value"], "n", "_run")
     total = df.agg(F.count(column)).scalar()
     wanted = F.array(*[F.lit(float(s)) for s in shares])
-    # Row r (0-based) sits in the value whose count interval [run-n, run) holds it.
-    spots = run.withColumn("_share", F.explode(wanted)).withColumn("_pos", F.col("_share") * (total - 1))
+    ranked = run.withColumn("_last", total - 1).withColumn("_start", F.col("_run") - F.col("n"))
+
+    def inside(spot):
+        return (spot >= F.col("_start")) & (spot < F.col("_run"))
+
+    # A value's rows have the 0-based ranks [_start, _run); only the few values
+    # that hold a wanted rank go on.
+    here = F.filter(wanted, lambda s: inside(F.floor(s * F.col("_last"))) | inside(F.ceil(s * F.col("_last"))))
+    holds = ranked.withColumn("_share", F.explode(here)).withColumn("_pos", F.col("_share") * F.col("_last"))
     lo, hi = F.floor("_pos"), F.ceil("_pos")
-    start = F.col("_run") - F.col("n")
-    holds = spots.filter((lo < F.col("_run")) & (hi >= start))
-    lower = F.max(F.when((lo >= start) & (lo < F.col("_run")), F.col("value")))
-    upper = F.max(F.when((hi >= start) & (hi < F.col("_run")), F.col("value")))
+    lower = F.max(F.when(inside(lo), F.col("value")))
+    upper = F.max(F.when(inside(hi), F.col("value")))
     rest = F.first(F.col("_pos") - F.floor("_pos"))
     return holds.groupBy(F.col("_share").alias("share")).agg((lower + (upper - lower) * rest).alias("value"))
 
 
 def entity_timeline(df: DataFrame, entity: str, ts: str, tie: str) -> DataFrame:
     """Events of each entity with the time of the one before."""
-    return neighbour_in_order(df, [entity], [ts, tie], F.to_date(ts), {ts: "previous_ts"})
+    hours = time_bucket(F.col(ts), 60)  # even an entity with most rows is cut into hours
+    return neighbour_in_order(df, [entity], [ts, tie], hours, {ts: "previous_ts"})
 
 
 def adjacent_equal(array: Column, value) -> Column:

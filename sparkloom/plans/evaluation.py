@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.operators import evaluate
 from sparkloom.plans.registry import Tables, query
 from sparkloom.plans.traffic import REPORT_SQL, grid, report, text
+from sparkloom.runtime import materialise
 
 TEST_START, TEST_END = "2024-01-22", "2024-01-28"
 
@@ -34,7 +35,7 @@ def tagged_grid(t: Tables) -> DataFrame:
 
 def predictions(t: Tables) -> DataFrame:
     """Three simple models and their two-stage combination on the test week."""
-    g = tagged_grid(t).withColumn("part", F.floor(F.col("slot") / 240))
+    g = materialise(tagged_grid(t).withColumn("part", F.floor(F.col("slot") / 240)), "grid")
     train, test = g.filter("NOT is_test"), g.filter("is_test")
     positive = train.filter("level > 0")
     out = evaluate.baseline_predict(positive, test, ["slot", "cluster", "dow"], "level", "by_slot")
@@ -112,7 +113,7 @@ def weighted_overall(t: Tables) -> DataFrame:
 @query(GRID_SQL + _SCORE_SQL + """SELECT segment_id, bucket::VARCHAR AS bucket, CASE model WHEN 'by_cluster' THEN by_cluster WHEN 'by_slot' THEN by_slot ELSE staged END AS predicted
 FROM preds LEFT JOIN best USING (cluster)""")
 def ensemble_predictions(t: Tables) -> DataFrame:
-    p = predictions(t)
+    p = materialise(predictions(t), "predictions")
     best = evaluate.best_model_per_cluster(evaluate.cluster_scores(p, "cluster", "level", MODELS), "cluster")
     return text(evaluate.ensemble_pick(p, best, "cluster", MODELS, "predicted").select("segment_id", "bucket", "predicted"))
 

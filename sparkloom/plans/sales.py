@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.operators import joins
 from sparkloom.operators.aggregate import max_of_sums, sales_by, top_entities
 from sparkloom.plans.registry import Tables, query
+from sparkloom.runtime import materialise
 
 SALE_SQL = """sale AS (
   SELECT o_custkey AS customer_id, l_partkey AS product_id, l_quantity AS quantity,
@@ -175,7 +176,7 @@ def cross_top_report(t: Tables) -> DataFrame:
     A row of that kind is the largest ``(quantity, sales)`` pair of its group, so
     the candidates come from one aggregate; ties are then picked up by a join.
     """
-    s1 = level_one(t)
+    s1 = materialise(level_one(t), "level-one")
     best = (s1.groupBy("category", "state_name")
             .agg(F.max(F.struct("quantity", "sales")).alias("top"), F.max("sales").alias("max_sales"))
             .filter(F.col("top.sales") == F.col("max_sales"))

@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions import arrays
+from sparkloom.functions import arrays, textfn
 from sparkloom.operators import aggregate, reshape, sequence
 from sparkloom.plans.registry import Tables, query
 from sparkloom.plans.traffic import REPORT_SQL, report, text
@@ -29,13 +29,12 @@ def cosine_lists(t: Tables) -> DataFrame:
                        (F.round(F.aggregate(arrays.map_cos(F.col("e")), F.lit(0.0), lambda a, x: a + x), 6) + 0.0).alias("cos_sum"))
 
 
-@query("""SELECT l_orderkey, coalesce(bool_or(l_linenumber = nxt AND l_linenumber = 1), false) AS doubled FROM (
-  SELECT l_orderkey, l_linenumber, lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) AS nxt FROM lineitem) GROUP BY 1""")
-def adjacent_ones(t: Tables) -> DataFrame:
-    """Orders whose lines, by part, hold line number 1 twice in a row."""
-    seq = F.transform(F.array_sort(F.collect_list(F.struct("l_partkey", "l_suppkey", "l_linenumber"))), lambda s: s["l_linenumber"])
-    lists = t.lineitem.groupBy("l_orderkey").agg(seq.alias("a"))
-    return lists.select("l_orderkey", sequence.adjacent_equal(F.col("a"), 1).alias("doubled"))
+@query(r"""SELECT doc_id, len(list_filter(range(1, len(w)), lambda i: w[i] = 'the' AND w[i + 1] = 'the')) > 0 AS doubled FROM (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents)""")
+def adjacent_equal(t: Tables) -> DataFrame:
+    """Documents in which a word is directly repeated."""
+    w = t.docs.select("doc_id", textfn.words(F.col("text")).alias("w"))
+    return w.select("doc_id", sequence.adjacent_equal(F.col("w"), "the").alias("doubled"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_type = p_brand THEN 1 ELSE 2 END + len(list_filter(string_split(p_name, ' '), lambda w: w <> p_type AND w <> p_brand))::INTEGER AS n_labels,

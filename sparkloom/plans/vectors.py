@@ -12,7 +12,7 @@ from sparkloom.plans.profiles import prices
 from sparkloom.plans.registry import Tables, query
 from sparkloom.plans.shapes import gappy_vectors
 from sparkloom.plans.traffic import segments
-from sparkloom.runtime import global_row_number
+from sparkloom.runtime import global_row_number, materialise
 
 SIZE = 64
 GAP_SQL = """gap AS (SELECT vec_id, label, i - 1 AS i, CASE WHEN (vec_id * 7 + (i - 1) * 13) % 11 <> 0 THEN embedding[i]::DOUBLE END AS x
@@ -134,7 +134,7 @@ def event_series(t: Tables) -> DataFrame:
     """Values of each event type in time order with an index from 0."""
     rows = global_row_number(t.events.select("event_type", "ts", "event_id", "value"), ["event_type", "ts", "event_id"], "rn")
     first = rows.groupBy("event_type").agg(F.min("rn").alias("lo"))
-    return rows.join(first, "event_type").select("event_type", (F.col("rn") - F.col("lo")).alias("idx"), "value")
+    return materialise(rows.join(first, "event_type").select("event_type", (F.col("rn") - F.col("lo")).alias("idx"), "value"), "series")
 
 
 def _boxes_sql(n: int, op: str) -> str:

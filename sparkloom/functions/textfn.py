@@ -74,7 +74,7 @@ SOCIAL = "(?i)" + "|".join(
 def tokenize_social(text: Column) -> Column:
     """Tokens of informal text in lower case; tokens holding a URL keep their case."""
     found = F.regexp_extract_all(unescape_html(text), F.lit(SOCIAL), F.lit(0))
-    return F.transform(found, lambda w: F.when(F.regexp_like(w, F.lit("(?i)" + URL)), w).otherwise(F.lower(w)))
+    return F.transform(found, lambda w: F.when(w.contains("://") & F.regexp_like(w, F.lit("(?i)" + URL)), w).otherwise(F.lower(w)))
 
 
 PUNCTUATION = r"[!-/:-@\[-`{-~]"

@@ -24,6 +24,7 @@ def _scatter(points: DataFrame) -> tuple[int, int, np.ndarray]:
     sums = np.zeros((size + 1, size))
     i, j, s, counts = linalg.columns_of(linalg.outer_sums(v, "v", size).select("i", "j", "s", "n"))
     sums[i, j], n = s, int(counts.max())
+    sums[:size] = np.triu(sums[:size]) + np.triu(sums[:size], 1).T
     mean = sums[-1] / n
     return n, size, sums[:size] - n * np.outer(mean, mean)
 

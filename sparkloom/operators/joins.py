@@ -41,7 +41,9 @@ def cartesian(left: DataFrame, right: DataFrame, limit: int = SPREAD_LIMIT) -> D
         return cartesian(right, left, limit).select(*left.columns, *right.columns)
     fields = right.columns
     bag = right.agg(F.collect_list(F.struct(*fields))).scalar()
-    out = left.select("*", F.explode(bag).alias("_r"))
+    # Few left rows would be packed into few tasks, which then grow by the bound.
+    tasks = max(left.sparkSession.sparkContext.defaultParallelism, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out = left.repartition(tasks).select("*", F.explode(bag).alias("_r"))
     return out.select(*left.columns, *[F.col(f"_r.{c}").alias(c) for c in fields])
 
 

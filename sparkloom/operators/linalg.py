@@ -7,7 +7,7 @@ length, never by the number of rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import math
 
@@ -18,6 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from sparkloom.operators.setops import union_all
+from sparkloom.runtime import cut_lineage, materialise
+
 MAX_LENGTH = 4096
 
 
@@ -32,12 +35,20 @@ def columns_of(df: DataFrame) -> list[np.ndarray]:
     return [c.to_numpy() for c in df.toArrow().itercolumns()]
 
 
-def _partials(vector: str, size: int):
+def matrix_of_entries(positions: pa.Array, values: pa.Array, size: int) -> np.ndarray:
+    """Rows given as lists of positions and values; positions not listed are NaN."""
+    out = np.full((len(positions), size), np.nan)
+    lengths = np.diff(positions.offsets.to_numpy())
+    out[np.repeat(np.arange(len(positions)), lengths), positions.flatten().to_numpy()] = values.flatten().to_numpy()
+    return out
+
+
+def _partials(read: Callable[[pa.RecordBatch], np.ndarray], size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, n, c = np.zeros((size, size)), np.zeros((size, size)), np.zeros((size, size))
         e, ne, rows = np.zeros(size), np.zeros(size), 0
         for batch in batches:
-            x = matrix_of(batch.column(vector), size)
+            x = read(batch)
             here = ~np.isnan(x)
             x, m = np.where(here, x, 0.0), here.astype("float64")
             s += x.T @ x
@@ -47,36 +58,57 @@ def _partials(vector: str, size: int):
             ne += m.sum(axis=0)
             rows += len(x)
         if rows:
+            upper = range(size)
+            d = c.T
             yield pa.RecordBatch.from_pydict({
                 "i": pa.array(np.arange(-1, size), pa.int32()),
-                "s": pa.array([e, *s], pa.list_(pa.float64())),
-                "n": pa.array([ne, *n], pa.list_(pa.float64())),
-                "c": pa.array([e, *c], pa.list_(pa.float64())),
+                "s": pa.array([e, *(s[i, i:] for i in upper)], pa.list_(pa.float64())),
+                "n": pa.array([ne, *(n[i, i:] for i in upper)], pa.list_(pa.float64())),
+                "c": pa.array([e, *(c[i, i:] for i in upper)], pa.list_(pa.float64())),
+                "d": pa.array([e, *(d[i, i:] for i in upper)], pa.list_(pa.float64())),
             })
 
     return run
 
 
 def outer_sums(df: DataFrame, vector: str, size: int) -> DataFrame:
-    """Sums over rows with both entries present: ``s`` = x_i x_j, ``n`` = pairs,
-    ``c`` = x_i.  Row -1 holds the plain sums and counts per position."""
+    """Sums over the rows in which both entries are present, for i <= j.
+
+    ``s`` = x_i x_j, ``n`` = rows, ``c`` = x_i, ``d`` = x_j.  Row -1 holds the
+    plain sums and counts per position.
+    """
+    rows = df.filter(F.size(vector) == size).select(F.col(vector).cast("array<double>").alias(vector))
+    return _add_up(rows, lambda batch: matrix_of(batch.column(vector), size), size)
+
+
+def _add_up(rows: DataFrame, read: Callable, size: int) -> DataFrame:
     if size > MAX_LENGTH:
         raise ValueError(f"vectors longer than {MAX_LENGTH} need a blocked matrix")
-    rows = df.filter(F.size(vector) == size).select(F.col(vector).cast("array<double>").alias(vector))
-    parts = rows.mapInArrow(_partials(vector, size), "i int, s array<double>, n array<double>, c array<double>")
-    long = parts.select("i", F.posexplode(F.arrays_zip("s", "n", "c")).alias("j", "v"))
-    return long.groupBy("i", "j").agg(F.sum("v.s").alias("s"), F.sum("v.n").cast("bigint").alias("n"), F.sum("v.c").alias("c"))
+    kinds = ", ".join(f"{x} array<double>" for x in "sncd")
+    parts = rows.mapInArrow(_partials(read, size), "i int, " + kinds)
+    long = parts.select("i", F.posexplode(F.arrays_zip("s", "n", "c", "d")).alias("p", "v"))
+    at = (F.greatest(F.col("i"), F.lit(0)) + F.col("p")).alias("j")
+    return long.groupBy("i", at).agg(F.sum("v.s").alias("s"), F.sum("v.n").cast("bigint").alias("n"),
+                                     F.sum("v.c").alias("c"), F.sum("v.d").alias("d"))
+
+
+def both_triangles(pairs: DataFrame, *values: str) -> DataFrame:
+    """Rows for i <= j completed by their mirror images."""
+    here = F.struct(F.col("i").alias("i"), F.col("j").alias("j"))
+    there = F.struct(F.col("j").alias("i"), F.col("i").alias("j"))
+    ends = F.when(F.col("i") == F.col("j"), F.array(here)).otherwise(F.array(here, there))
+    return pairs.select(F.explode(ends).alias("e"), *values).select("e.i", "e.j", *values)
 
 
 def nan_covariance(df: DataFrame, vector: str, size: int) -> DataFrame:
     """Covariance of every position pair from the rows where both are present."""
-    sums = outer_sums(df, vector, size)
+    sums = cut_lineage(outer_sums(df, vector, size))  # size squared numbers, read three times
     means = sums.filter("i = -1").select(F.col("j").alias("k"), F.try_divide("s", "n").alias("mean"))
+    pairs = both_triangles(sums.filter("i >= 0"), "s", "n")
     a = means.select(F.col("k").alias("i"), F.col("mean").alias("mean_i"))
     b = means.select(F.col("k").alias("j"), F.col("mean").alias("mean_j"))
-    pairs = sums.filter("i >= 0").join(a, "i").join(b, "j")
-    return pairs.select("i", "j", "n", "mean_i", "mean_j",
-                        (F.try_divide("s", "n") - F.col("mean_i") * F.col("mean_j")).alias("cov"))
+    return pairs.join(a, "i").join(b, "j").select(
+        "i", "j", "n", "mean_i", "mean_j", (F.try_divide("s", "n") - F.col("mean_i") * F.col("mean_j")).alias("cov"))
 
 
 class Components:
@@ -181,9 +213,6 @@ def alternating_effects(df: DataFrame, row: str, col: str, value: str, rounds: i
     Only the two effect tables change between rounds, so they alone are
     checkpointed; the data is read again and never rewritten.
     """
-    from sparkloom.operators.setops import union_all
-    from sparkloom.runtime import cut_lineage
-
     r = df.select(row).distinct().withColumn("_r", F.lit(0.0))
     c = df.select(col).distinct().withColumn("_c", F.lit(0.0))
     report = []
@@ -213,14 +242,14 @@ def overlap_significance(df: DataFrame, entity_index: str, day: str, flag: str,
     has no record) turns the pair counts into matrix products: no pairs are
     formed from the data, and the result has ``size`` squared rows.
     """
-    entries = F.map_from_entries(F.collect_list(F.struct(F.col(entity_index).cast("int"), F.col(flag).cast("double"))))
-    days = df.groupBy(day).agg(entries.alias("_m")).select(F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.try_element_at(F.col("_m"), i)).alias("v"))
-    sums = outer_sums(days, "v", size).filter("i >= 0")
-    back = sums.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("c").alias("c2"))
-    t = sums.join(back, ["i", "j"]).filter("i < j").select(
-        "i", "j", F.col("n").alias("m"), F.col("c").cast("bigint").alias("n1"), F.col("c2").cast("bigint").alias("n2"), F.col("s").cast("bigint").alias("l"))
-
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(entity_index).cast("int").alias("e"), F.col(flag).cast("double").alias("f"))))
+    lists = df.groupBy(day).agg(pairs.alias("p")).select(F.transform("p", lambda x: x["e"]).alias("e"), F.transform("p", lambda x: x["f"]).alias("f"))
+    lists = materialise(lists, "days")
+    # Every task hands on a whole matrix, so there are only as many as the products need.
+    tasks = max(1, min(df.sparkSession.sparkContext.defaultParallelism, math.ceil(lists.count() * size * size / 2e9)))
+    t = _add_up(lists.repartition(tasks), lambda b: matrix_of_entries(b.column("e"), b.column("f"), size), size)
+    t = t.filter("i >= 0 AND i < j").select(
+        "i", "j", F.col("n").alias("m"), F.col("c").cast("bigint").alias("n1"), F.col("d").cast("bigint").alias("n2"), F.col("s").cast("bigint").alias("l"))
     return t.filter("m > 0").withColumn("log_p", F.when(F.col("m") >= least, overlap_log_p("m", "n1", "n2", "l")))
 
 

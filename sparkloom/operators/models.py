@@ -180,7 +180,7 @@ def gram(df: DataFrame, features: list[str], target: str) -> Gram:
     n = len(columns)
     m = np.zeros((n, n))
     i, j, s = columns_of(outer_sums(df.select(F.array(*columns).alias("v")), "v", n).filter("i >= 0").select("i", "j", "s"))
-    m[i, j] = s
+    m[i, j] = m[j, i] = s
     return Gram(m, features)
 
 

@@ -96,15 +96,13 @@ def ppmi(counts: DataFrame) -> DataFrame:
 
 def remove_stopwords(terms: DataFrame, stop: list[str]) -> DataFrame:
     """Triplets without stop words; the vocabulary is numbered anew from 1."""
-    listed = terms.sparkSession.createDataFrame([(w,) for w in stop], "term string")
-    kept = terms.join(listed, "term", "left_anti")
+    kept = terms.filter(~F.col("term").isin(stop))
     return kept.join(dense_key(kept, ["term"], "word_id"), "term")
 
 
 def tfidf(terms: DataFrame, doc: str, max_features: int, stop: list[str]) -> DataFrame:
     """tf * (ln((1 + n) / (1 + df)) + 1) on the most frequent terms, L2-normalised."""
-    listed = terms.sparkSession.createDataFrame([(w,) for w in stop], "term string")
-    clean = terms.join(listed, "term", "left_anti")
+    clean = terms.filter(~F.col("term").isin(stop))
     features = clean.groupBy("term").agg(F.sum("count").alias("_c"), F.count(F.lit(1)).alias("_df")).orderBy(
         F.desc("_c"), "term").limit(max_features)
     n_docs = terms.select(doc).distinct().agg(F.count(F.lit(1))).scalar()

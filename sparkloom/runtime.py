@@ -30,17 +30,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the data outlives the executors that computed it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write a result that several branches read to the shared folder, once.
 
-    Unlike a checkpoint it stays columnar: each branch reads only its columns,
-    and filters reach the files.
+    It survives lost executors like a checkpoint does, but stays columnar: each
+    branch reads only its columns, filters reach the files, and the planner knows
+    the true size when it decides on a broadcast.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
@@ -48,6 +43,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A step of a loop, or a small result used several times, kept as files."""
+    return materialise(df, "step")
+
+
 def rows_at_most(df: DataFrame, limit: int) -> bool:
     """True if ``df`` holds at most ``limit`` rows; reads no more than needed."""
     return df.limit(limit + 1).count() <= limit
@@ -56,7 +56,7 @@ def rows_at_most(df: DataFrame, limit: int) -> bool:
 def range_ordered(df: DataFrame, *order: str | Column) -> DataFrame:
     """Range-partition by ``order`` and pin the partition number in ``_part``.
 
-    Range bounds come from sampling, so the rows are checkpointed: every later
+    Range bounds come from sampling, so the rows are written once: every later
     use, and every retry after a lost executor, sees the same partitions.
     Equal keys share a partition; give unique keys or aggregate beforehand.
     """

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.arrays import clip
 from sparkloom.operators.linalg import columns_of, matrix_of, outer_sums
+from sparkloom.runtime import cut_lineage, few_values
 
 MAX_CLASSES = 1000
 
@@ -82,9 +83,8 @@ def class_moments(df: DataFrame, vector: str, label: str, size: int) -> ClassMom
     rows = df.filter(F.size(vector) == size).select(F.col(vector).cast("array<double>").alias(vector), F.col(label).cast("bigint").alias(label))
     parts = rows.mapInArrow(_class_partials(vector, label, size), "label bigint, i int, s array<double>")
     long = parts.select("label", "i", F.posexplode("s").alias("j", "v")).groupBy("label", "i", "j").agg(F.sum("v").alias("v"))
-    classes = sorted(r[0] for r in long.select("label").distinct().limit(MAX_CLASSES + 1).collect())
-    if len(classes) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
+    long = cut_lineage(long)
+    classes = few_values(long, "label", MAX_CLASSES)
     at = {c: k for k, c in enumerate(classes)}
     m = np.zeros((len(classes), size + 1, size + 1))
     y, i, j, v = columns_of(long.select("label", "i", "j", "v"))  # classes * size^2 numbers
@@ -330,7 +330,7 @@ def per_cluster_fit(train: DataFrame, valid: DataFrame, cluster: str, estimators
     Clusters are few; each fit is a distributed job on its own slice.
     """
     train, valid = train.persist(), valid.persist()
-    clusters = sorted(r[0] for r in train.select(cluster).distinct().collect())
+    clusters = few_values(train, cluster)
     models, rows = {}, []
     for c in clusters:
         own, check = train.filter(F.col(cluster) == c), valid.filter(F.col(cluster) == c)

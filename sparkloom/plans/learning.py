@@ -55,6 +55,26 @@ def gaussian_nb(t: Tables) -> DataFrame:
     return models.sweep(train, test, {"gaussian": models.gaussian_nb()})
 
 
+@query("""WITH e AS (SELECT vec_id, label, i, embedding[i]::DOUBLE AS x, ('0x' || substr(md5(vec_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0 < 0.75 AS training
+  FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings)),
+m AS (SELECT label, i, avg(x) AS mu, var_pop(x) AS v, count(*) AS n FROM e WHERE training GROUP BY ALL),
+s AS (SELECT e.vec_id, m.label, ln(any_value(n)) + sum(-0.5 * ln(2 * pi() * v) - (x - mu) ** 2 / (2 * v)) AS score FROM e JOIN m ON m.i = e.i WHERE NOT training GROUP BY ALL)
+SELECT vec_id, label::BIGINT AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS r FROM s) WHERE r = 1""")
+def gaussian_nb_predictions(t: Tables) -> DataFrame:
+    """Classes by independent Gaussians of each feature."""
+    train, test = points(t)
+    scored = models.gaussian_nb().fit(train).transform(test)
+    return scored.select("vec_id", F.col("prediction").cast("bigint").alias("predicted"))
+
+
+@query("""SELECT 1 AS k, round(sum(x * x) - sum(n * m * m), 4) AS cost FROM (SELECT i, count(*) AS n, avg(x) AS m, sum(x * x) AS x2, any_value(1) AS one, list(x) AS l FROM
+  (SELECT i, embedding[i]::DOUBLE AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings)) GROUP BY i), LATERAL (SELECT sqrt(x2) AS x)""")
+def total_inertia(t: Tables) -> DataFrame:
+    """Cost of a single cluster: the scatter around the mean."""
+    rows = models.as_points(t.embeddings, "embedding", "label")
+    return clusters.inertia_curve(rows, [1]).withColumn("cost", F.round("cost", 4))
+
+
 @query()
 def lda_classifier(t: Tables) -> DataFrame:
     train, test = halves(t)

@@ -9,6 +9,7 @@ from sparkloom.functions import arrays
 from sparkloom.operators import aggregate, joins, reshape, select, sequence, setops
 from sparkloom.plans.registry import Tables, query
 from sparkloom.plans.traffic import text
+from sparkloom.runtime import few_values
 
 # ---- filters and cleaning ---------------------------------------------------
 
@@ -116,6 +117,11 @@ def select_by_name(t: Tables) -> DataFrame:
 
 # ---- frequency and aggregates -----------------------------------------------
 
+@query("SELECT DISTINCT p_brand, p_type FROM part")
+def distinct_rows(t: Tables) -> DataFrame:
+    return setops.distinct_rows(t.part, "p_brand", "p_type")
+
+
 @query("SELECT count(DISTINCT o_custkey) AS n_o_custkey, count(DISTINCT o_orderdate) AS n_o_orderdate FROM orders")
 def distinct_count(t: Tables) -> DataFrame:
     return aggregate.distinct_count(t.orders, "o_custkey", "o_orderdate")
@@ -275,15 +281,11 @@ def status_shares(t: Tables) -> DataFrame:
     return counts.select("*", *[F.round(F.col(f"n_{c}") / F.col("n_total") * 100, 4).alias(f"pct_{c}") for c in ("open", "done")])
 
 
-def _flows(t: Tables) -> list[str]:
-    return sorted(r[0] for r in t.events.select("event_type").distinct().limit(100).collect())
-
-
 @query("""SELECT date, flow, n, max(n) OVER (PARTITION BY date) AS daily_max FROM (SELECT ts::DATE::VARCHAR AS date, event_type AS flow, count(*) AS n FROM events GROUP BY ALL)""")
 def daily_flow_totals(t: Tables) -> DataFrame:
     """Daily totals side by side and stacked again, with the daily maximum."""
     counts = t.events.groupBy(F.to_date("ts").cast("string").alias("date"), F.col("event_type").alias("flow")).agg(F.count(F.lit(1)).alias("n"))
-    flows = _flows(t)
+    flows = few_values(t.events, "event_type")
     side = aggregate.totals_by_flow(counts, "date", "flow", "n", flows)
     side = side.withColumn("daily_max", F.greatest(*flows))
     long = reshape.unpivot(side, ["date", "daily_max"], flows, "flow", "n")

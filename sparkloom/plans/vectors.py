@@ -12,7 +12,7 @@ from sparkloom.plans.profiles import prices
 from sparkloom.plans.registry import Tables, query
 from sparkloom.plans.shapes import gappy_vectors
 from sparkloom.plans.traffic import segments
-from sparkloom.runtime import global_row_number, materialise
+from sparkloom.runtime import few_values, global_row_number, materialise
 
 SIZE = 64
 GAP_SQL = """gap AS (SELECT vec_id, label, i - 1 AS i, CASE WHEN (vec_id * 7 + (i - 1) * 13) % 11 <> 0 THEN embedding[i]::DOUBLE END AS x
@@ -318,7 +318,7 @@ SELECT a.ticker AS x, b.ticker AS y, round(corr(a.diff, b.diff), 6) + 0.0 AS cor
 def market_correlations(t: Tables) -> DataFrame:
     """Correlation of the daily changes of every ticker pair, from one aligned table."""
     diffs = sequence.log_diff(prices(t), ["ticker"], "date", "price", F.trunc("date", "month"))
-    names = sorted(r[0] for r in t.events.select("event_type").distinct().limit(100).collect())
+    names = few_values(t.events, "event_type")
     wide = diffs.groupBy("date").pivot("ticker", names).agg(F.first("diff"))
     out = aggregate.pairwise(wide, names).filter("x <> y")
     return out.select("x", "y", (F.round("corr", 6) + 0.0).alias("corr"))

@@ -86,17 +86,30 @@ def running_total(df: DataFrame, order: list[str | Column], value: str, out: str
 
 
 def global_row_number(df: DataFrame, order: list[str | Column], out: str) -> DataFrame:
-    """Row number 1..n over the whole table; ``order`` must be unique."""
-    ranged = range_ordered(df, *order)
-    offsets = _before(ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_s")), "_s")
-    w = Window.partitionBy("_part").orderBy(*order)
+    """Row number 1..n over the whole table; ``order`` must be unique.
+
+    Rows are range-partitioned and sorted once.  The id Spark gives to a row holds
+    its partition (high bits) and its place in it (low 33 bits), so a second
+    shuffle is not needed; the rows are written because the ranges are sampled.
+    """
+    placed = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_id", 33)).withColumn("_place", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    offsets = _before(placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_s")), "_s")
     return (
-        ranged.join(F.broadcast(offsets), "_part")
-        .withColumn(out, F.row_number().over(w).cast("bigint") + F.col("_before"))
-        .drop("_part", "_before")
+        placed.join(F.broadcast(offsets), "_part")
+        .withColumn(out, F.col("_before") + F.col("_place") + 1)
+        .drop("_id", "_part", "_place", "_before")
     )
 
 
+def few_values(df: DataFrame, column: str, limit: int = 1000) -> list:
+    """Sorted distinct values of a column that must be few: a pivot, a class, a cluster."""
+    rows = df.select(column).distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"{column} has more than {limit} values")
+    return sorted(r[0] for r in rows if r[0] is not None)
+
+
 def neighbour_in_order(
     df: DataFrame,
     keys: list[str],

@@ -75,7 +75,7 @@ def _near_counts(eps: float):
         if b is not None:
             for lo in range(0, len(a), 512):
                 d = a[lo:lo + 512, None, :] - b[None, :, :]
-                hits[lo:lo + 512] = (np.einsum("ijk,ijk->ij", d, d) <= eps * eps).sum(axis=1)
+                hits[lo:lo + 512] = (np.einsum("ijk,ijk->ij", d, d) <= eps * eps) @ right["w"].to_numpy()
         return pd.DataFrame({"id": left["id"], "hits": hits})
 
     def guarded(left, right):
@@ -150,14 +150,16 @@ def dbscan(df: DataFrame, key: str, vector: str, dims: int, eps: float, least: i
     A cell's diagonal is the radius, so a cell with ``least`` points holds only core
     points of one cluster and needs no distances inside.  Other points meet the
     neighbouring cells block by block; clusters are components of the cell graph.
-    A border point joins the smallest cluster it touches.
+    A border point joins the smallest cluster it touches.  Copies of a position are
+    one weighted spot until the end, so any number of them costs one comparison.
     """
     side = eps / math.sqrt(dims)
     v = F.col(vector).cast("array<double>")
     cell = F.transform(F.slice(v, 1, dims), lambda x: F.floor(x / side))
-    pts = cut_lineage(df.select(F.col(key).cast("bigint").alias("id"), F.slice(v, 1, dims).alias("v"), cell.alias("c"))
+    rows = cut_lineage(df.select(F.col(key).cast("bigint").alias("id"), F.slice(v, 1, dims).alias("v"), cell.alias("c"))
                       .withColumn("home", F.array_join(F.col("c").cast("array<string>"), "|")))
-    sizes = pts.groupBy("home").agg(F.count(F.lit(1)).alias("n"))
+    pts = cut_lineage(rows.groupBy("home", "c", "v").agg(F.count(F.lit(1)).alias("w"), F.min("id").alias("id")))
+    sizes = pts.groupBy("home").agg(F.sum("w").alias("n"))
     near = F.array(*[F.array(*[F.lit(int(x)).cast("bigint") for x in o]) for o in _offsets(dims)])
 
     def neighbours_of(d: DataFrame) -> DataFrame:
@@ -182,7 +184,7 @@ def dbscan(df: DataFrame, key: str, vector: str, dims: int, eps: float, least: i
         keys = ["cell", "part", "cut"]
         target = target.select(*[F.col(c).alias(c) for c in target.columns])
         keep = [c for c in ("id", "v", "home", "cluster") if c in source.columns]
-        have = [c for c in ("v", "home", "cluster") if c in target.columns]
+        have = [c for c in ("v", "home", "cluster", "w") if c in target.columns]
         return source.select(*keys, *keep).groupBy(*keys).cogroup(target.select(*keys, *have).groupBy(*keys)).applyInPandas(fn, schema)
 
     with_size = pts.join(sizes, "home")
@@ -199,7 +201,9 @@ def dbscan(df: DataFrame, key: str, vector: str, dims: int, eps: float, least: i
     rest = pts.join(cored.select("id"), "id", "left_anti")
     border = meet(neighbours_of(rest), cored, _nearest_core(eps), "id bigint, cluster bigint").groupBy("id").agg(F.min("cluster").alias("cluster"))
     outside = rest.select("id").join(border, "id", "left").select("id", F.coalesce("cluster", F.lit(-1).cast("bigint")).alias("cluster"))
-    return cored.select("id", "cluster").unionByName(outside)
+    labels = cored.select("id", "cluster").unionByName(outside)
+    spots = pts.select("home", "v", "id").join(labels, "id").select("home", "v", "cluster")
+    return rows.select("id", "home", "v").join(spots, ["home", "v"]).select("id", "cluster")
 
 
 def spectral_clusters(df: DataFrame, key: str, vector: str, k: int, neighbours: int = 10) -> DataFrame:

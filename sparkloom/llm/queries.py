@@ -5,8 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import simhash
-from sparkloom.llm.common import table
+from sparkloom.llm import classifier, langid, mixing, quality_rules, simhash, suffix_dedup
+from sparkloom.llm.common import fold, table
+
+
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), min_bytes=50)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    remainder = fold("doc_id", 4)
+    found = langid.identify_with_own_labels(docs, remainder != 2)
+    return found.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", F.size("languages").alias("n_languages"))
+
+
+def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +30,24 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.mix(table(spark, sf_dir, "documents")).taken()
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    scored = classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), usable=~held)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {f.__name__: f for f in (
+    op1_suffix_array_dedup,
+    op4_language_mixture,
+    op5_compression_bands,
     op8_simhash_near_dedup,
+    op9_source_mixing,
+    op10_quality_classifier,
 )}
 
 ORACLES: dict[str, str] = {}

@@ -43,6 +43,7 @@ from pyspark.sql.types import StructType
 from sparkloom.llm.common import pieces, text_bytes
 
 _SLICE = 1 << 18
+_COLLECTION = 1 << 17
 _NONE = np.iinfo(np.int64).max  # stands for a NULL id: smaller than no other
 _LOW = np.uint64((1 << 40) - 1)
 
@@ -52,7 +53,8 @@ class Plan:
 
     def __init__(self, min_bytes: int, buckets: int, hot_blocks: int):
         self.min_bytes, self.buckets, self.hot_blocks = min_bytes, buckets, hot_blocks
-        self.k = max(1, min_bytes // 3, min_bytes - 63)  # at most 64 strings in a segment
+        # Long anchors are rarely shared by chance, also in a large corpus; at most 64 strings to a segment.
+        self.k = max(1, min_bytes // 2, min_bytes - 63)
         self.window = min_bytes - self.k + 1
 
 
@@ -250,52 +252,49 @@ def _send_segments(left: pa.Table, right: pa.Table, plan: Plan) -> pa.Table:
 def insert_columns(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Column-wise construction: (segment, suffix length, common prefix with the row before), rows in suffix order.
 
-    Symbols are byte + 1 and 0 ends a segment; UTF-8 has no byte 255, and other input uses wider symbols.
+    Symbols are byte + 1 and 0 ends a segment; UTF-8 has no byte 255, and other input
+    uses wider symbols.  The first rows are the empty suffixes; the columns are
+    allocated once at their final length and filled from the front.
     """
     m = len(segments)
     sizes = np.array([len(s) for s in segments], np.int64)
     flat = np.frombuffer(b"".join(segments), np.uint8)
     kind = np.uint8 if not len(flat) or flat.max() < 255 else np.uint16
-    flat = flat.astype(kind) + kind(1)
-    ends = np.cumsum(sizes)
-    longest = int(sizes.max(initial=0))
+    flat = np.append(flat.astype(kind) + kind(1), kind(0))
+    ends, longest, total = np.cumsum(sizes), int(sizes.max(initial=0)), int(sizes.sum()) + m
     width = longest + 1
-    sym = np.where(sizes > 0, flat[np.maximum(ends - 1, 0)] if len(flat) else 0, 0).astype(kind)
-    common = np.zeros(m + 1, np.uint16)  # one more for range minima that reach the end
-    row = np.arange(m, dtype=np.int64) * width
-    pending = sym > 0
+    sym, common = np.zeros(total, kind), np.zeros(total + 1, np.uint8 if longest < 255 else np.uint16)
+    row = np.zeros(total, np.int32 if m * width < 1 << 31 else np.int64)
+    sym[:m] = np.where(sizes > 0, flat[np.maximum(ends - 1, 0)], 0)
+    row[:m] = np.arange(m) * width
+    waiting = np.zeros(total, bool)  # rows whose symbol has yet to be inserted before their suffix
+    fresh, n = np.flatnonzero(sym[:m]), m
     for j in range(1, longest + 1):
-        order = np.argsort(sym, kind="stable")
-        order = order[np.count_nonzero(sym == 0) :]
-        rank = np.flatnonzero(pending[order])
-        if not len(rank):
+        if not len(fresh):
             break
-        tail, c = order[rank], sym[order[rank]]
-        seg = row[tail] // width
+        have = sym[:n]
+        order = np.argsort(have, kind="stable")[n - np.count_nonzero(have) :]
+        waiting[fresh] = True
+        rank = np.flatnonzero(waiting[:n][order])
+        waiting[fresh] = False
+        tail = order[rank]
+        c, seg = have[tail], row[tail] // width
         before, after = order[np.maximum(rank - 1, 0)], order[np.minimum(rank + 1, len(order) - 1)]
-        up = (rank > 0) & (sym[before] == c)
-        down = (rank + 1 < len(order)) & (sym[after] == c)
-        prefix = np.zeros(len(rank), np.uint16)
-        prefix[up] = 1 + _range_min(common, before[up], tail[up])
-        following = 1 + _range_min(common, tail[down], after[down])
-        place = m + rank
-        total = len(sym) + len(rank)
-        old = np.ones(total, bool)
-        old[place] = False
-        grown = np.zeros(total + 1, np.uint16)
-        grown[:total][old] = common[:-1]
-        grown[place] = prefix
-        grown[place[down] + 1] = following
-        rows = np.empty(total, np.int64)
-        rows[old] = row
-        rows[place] = seg * width + j
-        syms = np.empty(total, kind)
-        syms[old] = sym
+        up, down = (rank > 0) & (have[before] == c), (rank + 1 < len(order)) & (have[after] == c)
+        common[n] = 0  # range minima may look one row past the end
+        prefix = np.zeros(len(rank), common.dtype)
+        prefix[up] = 1 + _range_min(common[: n + 1], before[up], tail[up])
+        following = 1 + _range_min(common[: n + 1], tail[down], after[down])
         more = sizes[seg] > j
-        syms[place] = np.where(more, flat[np.where(more, ends[seg] - 1 - j, 0)], 0)
-        pending = np.zeros(total, bool)
-        pending[place[more]] = True
-        sym, common, row = syms, grown, rows
+        end = n + len(rank)
+        old = np.ones(end - m, bool)
+        old[rank] = False
+        for column, new in ((sym, flat[np.where(more, ends[seg] - 1 - j, len(flat) - 1)]), (common, prefix), (row, seg * width + j)):
+            kept = column[m:n].copy()
+            column[m:end][old] = kept
+            column[m:end][rank] = new
+        common[m + rank[down] + 1] = following
+        fresh, n = m + rank[more], end
     return row // width, row % width, common[:-1]
 
 
@@ -303,7 +302,7 @@ def _range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndar
     """min(values[low + 1 : high + 1]) for each pair, low < high."""
     if not len(low):
         return np.zeros(0, values.dtype)
-    order = np.argsort(-low, kind="stable")  # descending, so what lies between two pairs costs nothing
+    order = np.argsort(low)[::-1]  # descending, so what lies between two pairs costs nothing
     pairs = np.stack([low[order] + 1, high[order] + 1], axis=1).ravel()
     out = np.empty(len(low), values.dtype)
     out[order] = np.minimum.reduceat(values, pairs)[::2]
@@ -344,15 +343,20 @@ def _judge_segments(table: pa.Table, plan: Plan) -> pa.Table:
         ids.append(_unpack(own, "<i8"))
     least = np.full(len(seen), _NONE, np.int64)
     np.minimum.at(least, np.concatenate(numbers), np.concatenate(ids))
-    # a segment alone with its anchor holds no string of another segment
+    # a segment alone with its anchor holds no string of another segment; the others
+    # form collections of whole anchors, small enough to stay in the processor's cache
     several: dict[bytes, int] = {}
     for a in anchor_of:
         several[a] = several.get(a, 0) + 1
-    among = np.array([several[a] > 1 for a in anchor_of], bool)
-    masks = np.zeros(len(seen), np.uint64)
-    inserted = [c for c, take in zip(seen, among.tolist()) if take]
-    if inserted:
-        masks[among] = _repeats(inserted, least[among], plan.min_bytes)
+    contents, masks = list(seen), np.zeros(len(seen), np.uint64)
+    among = sorted((a, i) for i, a in enumerate(anchor_of) if several[a] > 1)
+    own, held = [], 0
+    for t, (a, i) in enumerate(among):
+        own.append(i)
+        held += len(contents[i])
+        if t + 1 == len(among) or held >= _COLLECTION and among[t + 1][0] != a:
+            masks[own] = _repeats([contents[i] for i in own], least[own], plan.min_bytes)
+            own, held = [], 0
     owns = [least[n] == i for n, i in zip(numbers, ids)]
     return pa.table({
         "block": table["block"], "bucket": table["bucket"], "codes": table["codes"],
@@ -396,7 +400,7 @@ def _cut(left: pa.Table, right: pa.Table, plan: Plan, schema: pa.Schema, carried
     kept = block.data[~gone].tobytes()
     texts = [kept[a:b] for a, b in zip(kept_at[:-1].tolist(), kept_at[1:].tolist())]
     columns = [block.table["id"], pa.array(np.diff(off), pa.int64()), pa.array(np.diff(removed[off]), pa.int64()), pa.array(np.diff(spans[off]), pa.int64()),
-               pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(texts, pa.binary()), *[block.table[c] for c in carried]]
+               pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array([t.decode("utf-8", "ignore") for t in texts], pa.string()), *[block.table[c] for c in carried]]
     return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
@@ -404,16 +408,17 @@ def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 50, carry: Iterable[str] = (),
     block_bytes: int = 2 << 20, bucket_bytes: int = 16 << 20, hot_blocks: int = 1024,
 ) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, and the columns ``carry``), one row per input row.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, and the columns ``carry``), one row per input row.
 
-    ``kept`` holds the remaining bytes; a cut may fall inside a character.  A NULL
+    The digest is that of the remaining bytes; where a cut falls inside a character,
+    ``kept_text`` leaves out what is left of that character.  A NULL
     text is empty.  Rows with the same id never remove bytes from each other; a
     NULL id counts as larger than all others.  An empty table gives an empty
     result.  Carried columns keep their names behind those of the operator, which
     they must not repeat.
     """
     carry = list(carry)
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     total = text_bytes(docs, text_col)
     blocks = pieces(total, block_bytes)
     plan = Plan(min_bytes, min(pieces(total, bucket_bytes), 1 << 24), hot_blocks)
@@ -428,7 +433,7 @@ def remove_repeats(
     verdicts = segments.groupBy("bucket").applyInArrow(
         lambda t: _judge_segments(t, plan), "block long, bucket long, codes binary, owns binary, masks binary")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", *[f"{o} {kinds[o]}" for o in own]])
+    schema = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string", *[f"{o} {kinds[o]}" for o in own]])
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     cut = dealt.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(lambda a, b: _cut(a, b, plan, arrow, own), schema)
     return cut.select(*names, *[F.col(o).alias(c) for c, o in zip(carry, own)])

@@ -62,15 +62,16 @@ def statistics(text: str | None) -> list[float]:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, x): statistics of every row."""
+    """(doc_id, h, x): hash of the text and statistics of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [statistics(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "h", "x"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, x array<double>")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    return rows.mapInArrow(run, "doc_id long, h long, x array<double>")
 
 
 @dataclass
@@ -84,7 +85,7 @@ class Model:
     levels: np.ndarray
 
     def map(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.spread, -6, 6)
+        z = np.clip((x - self.mean) / self.spread, -3, 3)  # beyond the training data the kernel knows nothing
         out = np.cos(z @ self.waves + self.phase) * math.sqrt(2 / self.waves.shape[1])
         return np.hstack([out, np.ones((len(x), 1))])
 
@@ -191,7 +192,7 @@ def score(
     docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
     label_col: str = "quality", **options,
 ) -> DataFrame:
-    """(doc_id, score): probability of label 1 for every row of ``docs``, empty texts too.
+    """(doc_id, h, score): probability of label 1 for every row of ``docs``, empty texts too; ``h`` is the hash of the text.
 
     ``usable`` is a condition on ``doc_id`` that says which labels may be learned
     from.  NULL labels and labels without a document teach nothing; repeated
@@ -207,7 +208,7 @@ def score(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = model.score(_matrix(b.column(1))) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.clip(s, 0, 1), pa.float64())], names=["doc_id", "score"])
+            s = model.score(_matrix(b.column(2))) if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.clip(s, 0, 1), pa.float64())], names=["doc_id", "h", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(run, "doc_id long, h long, score double")

@@ -60,7 +60,7 @@ def _fingerprint(text: str | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number, one row per input row.
+    """(doc_id, h, fp): hash of the text and fingerprint as a signed 64-bit number, one row per input row.
 
     A-Z are lower-cased; words are runs of anything but ASCII white space; shingles
     count as often as they occur; a shorter text is one shingle; NULL and empty
@@ -70,10 +70,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([_fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.int64())], names=["doc_id", "h", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    return rows.mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def _patterns(count: int) -> list[int]:
@@ -171,10 +172,11 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id): one row per input row.
+    """(doc_id, h, fp, label, component_id): one row per input row.
 
-    ``component_id`` is the smallest id among all rows reachable over links of at
-    most ``max_bits`` differing bits.  Repeated rows and copies share a
+    ``label`` names the component, by its smallest fingerprint; ``component_id`` is
+    the smallest id among all rows reachable over links of at most ``max_bits``
+    differing bits.  Repeated rows and copies share a
     fingerprint and hence a component.  Rows with a NULL id are linked but never
     give the id; a component of such rows only has a NULL id.  An empty table
     gives an empty result; other columns are ignored.
@@ -184,5 +186,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = components(links(rows, max_bits))
     named = ids.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "label").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = named.join(least, "label").select("fp", "label", "component_id")
+    return rows.join(by_fp, "fp").select("doc_id", "h", "fp", "label", "component_id")

@@ -64,13 +64,9 @@ def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    odd = F.coalesce(F.col("page_id") % 2 != 0, F.lit(False))
-    legacy = []
-    for version, part in ((1, ~odd), (2, odd)):
-        legacy.append(scratch_path(spark, f"arc{version}"))
-        warc.write_arc(pages.where(part), legacy[-1], version)
-    made = scratch_path(spark, "warc")
-    warc.write_warc(warc.convert(warc.read_arc(spark, legacy)), made)
+    legacy, made = scratch_path(spark, "arc"), scratch_path(spark, "warc")
+    warc.write_arc(pages, legacy)
+    warc.write_warc(warc.convert(warc.read_arc(spark, [legacy])), made)
     return warc.index(warc.read_warc(spark, [made]))
 
 

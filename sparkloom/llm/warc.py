@@ -24,6 +24,8 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,14 +68,16 @@ def arc_start(version: int) -> bytes:
 
 def _as_text_file(df: DataFrame, path: str) -> None:
     # a binary column cast to string keeps its bytes
-    df.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    text = df.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n")
+    text.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
-def write_arc(pages: DataFrame, path: str, version: int, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
-    """One gzipped ARC file per partition; NULL payloads are empty."""
+def write_arc(pages: DataFrame, path: str, versions: tuple[int, ...] = (1, 2), id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
+    """One gzipped ARC file per partition, its version by the partition's number in turn; NULL payloads are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         started = False
+        version = versions[TaskContext.get().partitionId() % len(versions)]
         for b in batches:
             for page, url, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 out = [] if started else [arc_start(version)]
@@ -186,15 +190,16 @@ def _read(spark: SparkSession, paths: list[str], rows, schema: str, names: list[
 
 
 def read_arc(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(page_id, url, date, block, payload_bytes, payload_digest) of every record."""
+    """(page_id, url, date, block_zstd, payload_bytes, payload_digest) of every record; blocks are compressed as they travel."""
 
     def rows(content: bytes):
+        pack = zstandard.ZstdCompressor(level=3)
         for head, block in parse_arc(content):
             http, payload = _split_http(block)
-            yield _http_number(http, "X-Page-Id"), head["URL"], head["Archive-date"], block, len(payload), hashlib.sha256(payload).hexdigest()
+            yield _http_number(http, "X-Page-Id"), head["URL"], head["Archive-date"], pack.compress(block), len(payload), hashlib.sha256(payload).hexdigest()
 
-    return _read(spark, paths, rows, "page_id long, url string, date string, block binary, payload_bytes long, payload_digest string",
-                 ["page_id", "url", "date", "block", "payload_bytes", "payload_digest"],
+    return _read(spark, paths, rows, "page_id long, url string, date string, block_zstd binary, payload_bytes long, payload_digest string",
+                 ["page_id", "url", "date", "block_zstd", "payload_bytes", "payload_digest"],
                  [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string()], 3)
 
 
@@ -229,12 +234,17 @@ def convert(records: DataFrame, min_bytes: int = 100) -> DataFrame:
     again = long_.distinct().join(first, "payload_digest").where("page_id > first").select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+
+        def rows(b: pa.RecordBatch):
+            for page, url, date, packed, digest, first in zip(*[c.to_pylist() for c in b.columns]):
+                yield (warc_record(page, url, date, unpack.decompress(packed), digest, first),)
+
         for b in batches:
-            columns = [b.column(i) for i in range(6)]
-            yield from _batched(((warc_record(*(c[i].as_py() for c in columns)),) for i in range(b.num_rows)), ["record"], [pa.binary()], 0)
+            yield from _batched(rows(b), ["record"], [pa.binary()], 0)
 
     joined = records.join(again, (F.col("page_id") == F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left")
-    return joined.select("page_id", "url", "date", "block", "payload_digest", "first").mapInArrow(run, "record binary")
+    return joined.select("page_id", "url", "date", "block_zstd", "payload_digest", "first").mapInArrow(run, "record binary")
 
 
 def write_warc(records: DataFrame, path: str) -> None:

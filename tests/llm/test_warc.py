@@ -9,12 +9,9 @@ from sparkloom.runtime import scratch_path
 
 
 def through(spark, pages, versions=(1, 2)):
-    legacy = []
-    for i, v in enumerate(versions):
-        legacy.append(scratch_path(spark, "arc"))
-        warc.write_arc(pages.where(f"coalesce(page_id, 0) % {len(versions)} = {i}"), legacy[-1], v)
-    made = scratch_path(spark, "warc")
-    warc.write_warc(warc.convert(warc.read_arc(spark, legacy)), made)
+    legacy, made = scratch_path(spark, "arc"), scratch_path(spark, "warc")
+    warc.write_arc(pages, legacy, versions)
+    warc.write_warc(warc.convert(warc.read_arc(spark, [legacy])), made)
     return warc.read_warc(spark, [made])
 
 

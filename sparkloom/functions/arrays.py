@@ -27,10 +27,6 @@ def positive_cos(array: Column) -> Column:
     return F.filter(array, lambda x: F.cos(x) > 0)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
-
-
 def energy(a: Column) -> Column:
     """Sum of squares; gaps count as 0."""
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + F.coalesce(x * x, F.lit(0.0)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.runtime import materialise
+
 
 
 def sales_by(sale: DataFrame, keys: list[str], items: str, sales: str) -> DataFrame:
@@ -100,11 +102,12 @@ def profile_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
 def profile_text(df: DataFrame, columns: list[str], n: int = 3) -> DataFrame:
     """Per text column: distinct, missing, and the ``n`` most and least common values.
 
-    All columns are counted in one grouped pass over ``(column, value)``.
+    All columns are counted in one grouped pass over ``(column, value)``, the only one
+    that reads the table; ranks are cut to ``n`` per column before any shuffle.
     """
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("r"))
-    counts = long.groupBy("r.column", "r.value").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(long.groupBy("r.column", "r.value").agg(F.count(F.lit(1)).alias("n")), "values")
     known = counts.filter(F.col("value").isNotNull())
     most = Window.partitionBy("column").orderBy(F.desc("n"), "value")
     least = Window.partitionBy("column").orderBy("n", "value")

@@ -1,4 +1,4 @@
-"""Clustering: k-means and mixtures from pyspark.ml, grid DBSCAN, and the choice by name."""
+"""Clustering: k-means from pyspark.ml, mixtures by sums per partition, grid DBSCAN, and the choice by name."""
 
 from __future__ import annotations
 
@@ -7,12 +7,14 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans, PowerIterationClustering
+import pyarrow as pa
+from pyspark.ml.clustering import BisectingKMeans, KMeans, PowerIterationClustering
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators import linalg, reshape
+from sparkloom.operators.linalg import matrix_of
 from sparkloom.operators.neighbours import knn_join
 from sparkloom.runtime import cut_lineage
 
@@ -37,25 +39,115 @@ def inertia_curve(df: DataFrame, sizes: list[int], seed: int = 7) -> DataFrame:
         if k == 1:
             rows.append((1, float(np.trace(_scatter(df)[2]))))
         else:
-            rows.append((k, float(KMeans(k=k, seed=seed, maxIter=20).fit(df).summary.trainingCost)))
+            rows.append((k, float(KMeans(k=k, seed=seed, maxIter=100).fit(df).summary.trainingCost)))
     df.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, cost double")
 
 
-def mixture_choice(df: DataFrame, size: int, counts: list[int], seed: int = 7) -> DataFrame:
-    """AIC and BIC of Gaussian mixtures with full covariances."""
-    df = df.select("features").persist()
-    n, _, scatter = _scatter(df)
-    rows = []
-    for k in counts:
-        if k == 1:  # closed form: one Gaussian with the sample covariance
-            loglik = -0.5 * n * (size * (math.log(2 * math.pi) + 1) + np.linalg.slogdet(scatter / n)[1])
+COVARIANCES = ("spherical", "diagonal", "full")
+
+
+def _log_densities(x: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarray:
+    out = np.empty((len(x), len(means)))
+    for k, (mean, cov) in enumerate(zip(means, covs)):
+        if cov.ndim == 2:
+            low = np.linalg.cholesky(cov)
+            z = np.linalg.solve(low, (x - mean).T)
+            out[:, k] = -0.5 * (z * z).sum(axis=0) - np.log(np.diag(low)).sum()
         else:
-            loglik = GaussianMixture(k=k, seed=seed, maxIter=50).fit(df).summary.logLikelihood
-        p = k * (size + size * (size + 1) / 2) + k - 1
-        rows.append((k, float(loglik), float(2 * p - 2 * loglik), float(p * math.log(n) - 2 * loglik)))
-    df.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, log_likelihood double, aic double, bic double")
+            out[:, k] = -0.5 * ((x - mean) ** 2 / cov).sum(axis=1) - 0.5 * np.log(cov).sum()
+    return out - 0.5 * x.shape[1] * math.log(2 * math.pi)
+
+
+def _expectation(size: int, weights: np.ndarray, means: np.ndarray, covs: np.ndarray):
+    """Per partition and component: weight, sums, sums of squares or products, and (component -1) the log likelihood."""
+    def run(batches):
+        n, s, q, total, rows = np.zeros(len(means)), np.zeros_like(means), np.zeros_like(covs), 0.0, 0
+        for b in batches:
+            x = matrix_of(b.column(0), size)
+            logs = np.log(weights) + _log_densities(x, means, covs)
+            top = logs.max(axis=1, keepdims=True)
+            all_ = top[:, 0] + np.log(np.exp(logs - top).sum(axis=1))
+            r = np.exp(logs - all_[:, None])
+            total += all_.sum()
+            rows += len(x)
+            n += r.sum(axis=0)
+            s += r.T @ x
+            for k in range(len(means)):
+                q[k] += (x * r[:, k:k + 1]).T @ x if covs.ndim == 3 else r[:, k] @ (x * x)
+        yield pa.RecordBatch.from_pydict({"k": pa.array([-1, *range(len(means))], pa.int32()),
+                                          "v": pa.array([[rows, total], *[np.r_[n[k], s[k], q[k].ravel()].tolist() for k in range(len(means))]], pa.list_(pa.float64()))})
+
+    return run
+
+
+def fit_mixture(points: DataFrame, size: int, means: np.ndarray, kind: str, rounds: int = 100, tolerance: float = 1e-6, ridge: float = 1e-6):
+    """Expectation-maximisation from given means; one pass over ``points`` (one array column) per round.
+
+    What reaches the driver is bounded by components times size squared.
+    """
+    k = len(means)
+    stat = points.agg(*[F.var_pop(F.col(points.columns[0])[i]) for i in range(size)]).first()
+    spread = np.array(stat, float) + ridge
+    covs = np.stack([np.diag(spread) if kind == "full" else spread] * k)
+    if kind == "spherical":
+        covs[:] = spread.mean()
+    weights, before = np.full(k, 1 / k), -np.inf
+    for _ in range(rounds):
+        parts = points.mapInArrow(_expectation(size, weights, means, covs), "k int, v array<double>").select("k", F.posexplode("v").alias("i", "v"))
+        got = linalg.columns_of(parts.groupBy("k", "i").agg(F.sum("v").alias("v")))
+        width = 1 + size + covs[0].size
+        sums = np.zeros((k + 1, width))
+        sums[got[0] + 1, got[1]] = got[2]
+        n, like = sums[0, 0], sums[0, 1]
+        if like - before < tolerance * abs(like):
+            break
+        before = like
+        held = np.maximum(sums[1:, 0], 1e-9)
+        weights, means = np.maximum(held / n, 1e-300), sums[1:, 1:1 + size] / held[:, None]
+        if kind == "full":
+            covs = sums[1:, 1 + size:].reshape(k, size, size) / held[:, None, None] - np.einsum("ki,kj->kij", means, means) + ridge * np.eye(size)
+        else:
+            covs = np.maximum(sums[1:, 1 + size:] / held[:, None] - means ** 2, 0.0) + ridge
+            if kind == "spherical":
+                covs = np.repeat(covs.mean(axis=1, keepdims=True), size, axis=1)
+    free = {"spherical": 1, "diagonal": size, "full": size * (size + 1) // 2}[kind]
+    return float(like), int(n), k * (size + free) + k - 1, weights, means, covs
+
+
+def _criteria(like: float, n: int, p: int) -> tuple[float, float, float]:
+    return like, 2.0 * p - 2 * like, p * math.log(n) - 2 * like
+
+
+def mixture_choice(df: DataFrame, key: str, vector: str, size: int, counts: list[int], kinds: tuple[str, ...]) -> DataFrame:
+    """AIC and BIC of Gaussian mixtures; they start at rows that come first by a hash of the key."""
+    points = df.select(F.col(vector).cast("array<double>").alias("v")).filter(F.size("v") == size).persist()
+    start = np.array([r[0] for r in df.orderBy(F.xxhash64(key), key).limit(max(counts)).select(F.col(vector).cast("array<double>")).collect()])
+    rows = [(kind, k, *_criteria(*fit_mixture(points, size, start[:k], kind)[:3])) for kind in kinds for k in counts if k <= len(start)]
+    points.unpersist()
+    return df.sparkSession.createDataFrame(rows, "covariance string, k int, log_likelihood double, aic double, bic double")
+
+
+def mixture_of_classes(df: DataFrame, vector: str, label: str, size: int, kinds: tuple[str, ...]) -> DataFrame:
+    """One component per class, started at the class means; accuracy of the component as a guess of the class."""
+    v = F.col(vector).cast("array<double>")
+    rows = df.select(v.alias("v"), F.col(label).alias("y")).filter((F.size("v") == size) & F.col("y").isNotNull()).persist()
+    means = rows.groupBy("y").agg(F.array(*[F.avg(F.col("v")[i]) for i in range(size)]).alias("m")).orderBy("y").collect()  # one row per class
+    classes, start = [r.y for r in means], np.array([r.m for r in means])
+    out = []
+    for kind in kinds:
+        like, n, p, weights, centres, covs = fit_mixture(rows.select("v"), size, start, kind)
+
+        def guess(batches):
+            for b in batches:
+                best = (np.log(weights) + _log_densities(matrix_of(b.column(0), size), centres, covs)).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(best.astype(np.int32)), b.column(1)], names=["k", "y"])
+
+        y_type = rows.schema["y"].dataType.simpleString()
+        hit = rows.mapInArrow(guess, f"k int, y {y_type}").agg(F.avg((F.get(F.lit(classes), F.col("k")) == F.col("y")).cast("int"))).first()[0]
+        out.append((kind, len(classes), float(hit), *_criteria(like, n, p)))
+    rows.unpersist()
+    return df.sparkSession.createDataFrame(out, "covariance string, k int, accuracy double, log_likelihood double, aic double, bic double")
 
 
 # ---- DBSCAN on a grid -----------------------------------------------------------------
@@ -283,7 +375,3 @@ def cluster_assign(model: ProfileClusters, entities: DataFrame, own: DataFrame,
 def centres_of(df: DataFrame, k: int, seed: int = 7) -> list[list[float]]:
     """Sorted k-means centres."""
     return sorted([float(x) for x in c] for c in KMeans(k=k, seed=seed).fit(df).clusterCenters())
-
-
-def vector_column(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn(column, vector_to_array(column))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators.select import hash_share
-from sparkloom.runtime import cut_lineage, global_row_number
+from sparkloom.runtime import cut_lineage, global_row_number, join_keys
 
 
 
@@ -33,12 +33,13 @@ def stratified_folds(df: DataFrame, key: str, label: str, folds: int) -> DataFra
     """Every label dealt evenly to the folds in hash order.
 
     Ranks come from one global order, so a label holding most rows is no hot task.
+    A NULL label is a stratum of its own.
     """
     order = ["_label", "_hash", key]
     keyed = df.withColumn("_label", F.col(label)).withColumn("_hash", F.md5(F.col(key).cast("string")))
     ranked = global_row_number(keyed, order, "_rn")
     first = ranked.groupBy("_label").agg(F.min("_rn").alias("_first"))
-    return ranked.join(first, "_label").withColumn("fold", ((F.col("_rn") - F.col("_first")) % folds).cast("int")).drop(
+    return join_keys(ranked, first, ["_label"]).withColumn("fold", ((F.col("_rn") - F.col("_first")) % folds).cast("int")).drop(
         "_label", "_hash", "_rn", "_first")
 
 

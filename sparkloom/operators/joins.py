@@ -7,10 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.runtime import rows_at_most
-
-SPREAD_LIMIT = 100_000
-
 
 def star_join(fact: DataFrame, dimensions: list[tuple[DataFrame, str, str]]) -> DataFrame:
     """Inner equi-joins of a fact with ``(dimension, left key, right key)`` in turn."""
@@ -28,23 +24,21 @@ def count_matches(left: DataFrame, right: DataFrame, left_key: str, right_key: s
             .withColumn(out, F.coalesce(out, F.lit(0).cast("bigint"))))
 
 
-def cartesian(left: DataFrame, right: DataFrame, limit: int = SPREAD_LIMIT) -> DataFrame:
-    """Every left row with every row of a bounded right side.
+def cartesian(left: DataFrame, right: DataFrame, strips: int = 16) -> DataFrame:
+    """Every left row with every right row, which is what the operator stands for.
 
-    The right side is checked to hold at most ``limit`` rows and then travels as
-    one array next to each left row; nothing is shuffled.  Two sides beyond the
-    bound have no usable product, so that is an error rather than a partial result.
+    Both sides are dealt into ``strips``; a strip of one side meets every strip of the
+    other through an equality join on the pair of strips.  Nothing is counted or
+    collected first, and no task sees more than its two strips, whatever their size.
     """
-    if not rows_at_most(right, limit):
-        if not rows_at_most(left, limit):
-            raise ValueError(f"both sides of the product exceed {limit} rows")
-        return cartesian(right, left, limit).select(*left.columns, *right.columns)
-    fields = right.columns
-    bag = right.agg(F.collect_list(F.struct(*fields))).scalar()
-    # Few left rows would be packed into few tasks, which then grow by the bound.
-    tasks = max(left.sparkSession.sparkContext.defaultParallelism, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    out = left.repartition(tasks).select("*", F.explode(bag).alias("_r"))
-    return out.select(*left.columns, *[F.col(f"_r.{c}").alias(c) for c in fields])
+    every = F.explode(F.sequence(F.lit(0), F.lit(strips - 1)))
+
+    def strip(df):
+        return F.pmod(F.xxhash64(*df.columns), F.lit(strips)).cast("int")
+
+    a = left.select("*", strip(left).alias("_l"), every.alias("_r"))
+    b = right.select("*", every.alias("_l"), strip(right).alias("_r"))
+    return a.join(b, ["_l", "_r"]).select(*left.columns, *right.columns)
 
 
 def densify(left: DataFrame, right: DataFrame, fact: DataFrame, on: list[str], fill: dict) -> DataFrame:
@@ -120,6 +114,20 @@ def flag_active_intervals(points: DataFrame, point_key: str, ts: str, intervals:
     return joined.select(*points.columns, *[F.coalesce(F.col(t), F.lit(0)).alias(t) for t in titles])
 
 
+def flag_active_few(points: DataFrame, ts: str, intervals: DataFrame, title: str, start: str, end: str,
+                    before: str, after: str, titles: list[str]) -> DataFrame:
+    """:func:`flag_active_intervals` for a handful of intervals, such as literals.
+
+    The padded intervals travel as one short array that every row tests, so the
+    points are read once and nothing is shuffled.  For a table of intervals use the join.
+    """
+    padded = intervals.select(F.struct(F.col(title).alias("t"), (F.col(start) - F.expr(f"interval {before}")).alias("lo"), (F.col(end) + F.expr(f"interval {after}")).alias("hi")).alias("i"))
+    every = padded.agg(F.collect_list("i")).scalar()
+    rows = points.withColumn("_every", every)
+    flag = lambda t: F.exists("_every", lambda i: (i["t"] == t) & F.col(ts).between(i["lo"], i["hi"]))
+    return rows.select(*points.columns, *[F.coalesce(flag(t).cast("int"), F.lit(0)).alias(t) for t in titles])
+
+
 def compare_periods(df: DataFrame, period: str, first, second, keys: list[str], value: str,
                     base: Column | None = None) -> DataFrame:
     """Change ratio of ``value`` between two periods, optionally divided by the

@@ -14,14 +14,16 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
+from pyspark.ml.stat import ChiSquareTest
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from sparkloom.operators.sequence import label_encode
 from sparkloom.operators.setops import union_all
-from sparkloom.runtime import cut_lineage, materialise
-
-MAX_LENGTH = 4096
+from sparkloom.runtime import cut_lineage, global_row_number, join_keys, materialise
 
 
 def matrix_of(array: pa.Array, size: int) -> np.ndarray:
@@ -35,14 +37,6 @@ def columns_of(df: DataFrame) -> list[np.ndarray]:
     return [c.to_numpy() for c in df.toArrow().itercolumns()]
 
 
-def matrix_of_entries(positions: pa.Array, values: pa.Array, size: int) -> np.ndarray:
-    """Rows given as lists of positions and values; positions not listed are NaN."""
-    out = np.full((len(positions), size), np.nan)
-    lengths = np.diff(positions.offsets.to_numpy())
-    out[np.repeat(np.arange(len(positions)), lengths), positions.flatten().to_numpy()] = values.flatten().to_numpy()
-    return out
-
-
 def _partials(read: Callable[[pa.RecordBatch], np.ndarray], size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, n, c = np.zeros((size, size)), np.zeros((size, size)), np.zeros((size, size))
@@ -82,8 +76,6 @@ def outer_sums(df: DataFrame, vector: str, size: int) -> DataFrame:
 
 
 def _add_up(rows: DataFrame, read: Callable, size: int) -> DataFrame:
-    if size > MAX_LENGTH:
-        raise ValueError(f"vectors longer than {MAX_LENGTH} need a blocked matrix")
     kinds = ", ".join(f"{x} array<double>" for x in "sncd")
     parts = rows.mapInArrow(_partials(read, size), "i int, " + kinds)
     long = parts.select("i", F.posexplode(F.arrays_zip("s", "n", "c", "d")).alias("p", "v"))
@@ -194,6 +186,7 @@ def _times(c: Column):
 
 def two_way_effects(df: DataFrame, row: str, col: str, value: str) -> DataFrame:
     """RMS of the values, and what is left after removing row or column means."""
+    df = materialise(df.select(row, col, value), "effects")  # read three times below
     rows = df.groupBy(row).agg(F.avg(value).alias("_r"))
     cols = df.groupBy(col).agg(F.avg(value).alias("_c"))
 
@@ -201,7 +194,7 @@ def two_way_effects(df: DataFrame, row: str, col: str, value: str) -> DataFrame:
         return F.sqrt(F.avg(x * x))
 
     v = F.col(value)
-    out = df.join(rows, row).join(cols, col).agg(
+    out = join_keys(join_keys(df, rows, [row]), cols, [col]).agg(
         rms(v).alias("rms_total"), rms(v - F.col("_r")).alias("rms_minus_row"), rms(v - F.col("_c")).alias("rms_minus_col"))
     return out.withColumn("row_explained", 1 - F.pow(F.col("rms_minus_row") / F.col("rms_total"), F.lit(2))).withColumn(
         "col_explained", 1 - F.pow(F.col("rms_minus_col") / F.col("rms_total"), F.lit(2)))
@@ -210,17 +203,18 @@ def two_way_effects(df: DataFrame, row: str, col: str, value: str) -> DataFrame:
 def alternating_effects(df: DataFrame, row: str, col: str, value: str, rounds: int = 10) -> DataFrame:
     """Row and column means removed in turn; RMS left after each round.
 
-    Only the two effect tables change between rounds, so they alone are
-    checkpointed; the data is read again and never rewritten.
+    The values are written once, so what they come from is computed once; between
+    rounds only the two effect tables change.
     """
+    df = materialise(df.select(row, col, value), "effects")
     r = df.select(row).distinct().withColumn("_r", F.lit(0.0))
     c = df.select(col).distinct().withColumn("_c", F.lit(0.0))
     report = []
     for k in range(1, rounds + 1):
-        r = cut_lineage(df.join(c, col).groupBy(row).agg(F.avg(F.col(value) - F.col("_c")).alias("_r")))
-        c = cut_lineage(df.join(r, row).groupBy(col).agg(F.avg(F.col(value) - F.col("_r")).alias("_c")))
+        r = cut_lineage(join_keys(df, c, [col]).groupBy(row).agg(F.avg(F.col(value) - F.col("_c")).alias("_r")))
+        c = cut_lineage(join_keys(df, r, [row]).groupBy(col).agg(F.avg(F.col(value) - F.col("_r")).alias("_c")))
         rest = F.col(value) - F.col("_r") - F.col("_c")
-        report.append(df.join(r, row).join(c, col).agg(F.lit(k).alias("round"), F.sqrt(F.avg(rest * rest)).alias("rms")))
+        report.append(join_keys(join_keys(df, r, [row]), c, [col]).agg(F.lit(k).alias("round"), F.sqrt(F.avg(rest * rest)).alias("rms")))
     return union_all(*report)
 
 
@@ -235,37 +229,117 @@ def overlap_log_p(m: pd.Series, n1: pd.Series, n2: pd.Series, l: pd.Series) -> p
     return pd.Series((plus - minus) / m)
 
 
-def overlap_significance(df: DataFrame, entity_index: str, day: str, flag: str, size: int, least: int = 200) -> DataFrame:
-    """Normalised log probability of the common flagged days of every entity pair.
+def _block_products(width: int):
+    """Pair counts of two blocks of entities from their day rows: four matrix products."""
+    def run(t: pa.Table) -> pa.Table:
+        days = len(t)
+
+        def sides(side: str):
+            there, flags = np.zeros((days, width), np.float32), np.zeros((days, width), np.float32)
+            for d, (e, f) in enumerate(zip(t[f"e{side}"].to_pylist(), t[f"f{side}"].to_pylist())):
+                there[d, e], flags[d, e] = 1, f
+            return there, flags
+
+        (pa_, fa), (pb, fb) = sides("a"), sides("b")
+        m = pa_.T @ pb
+        a, b = t["a"][0].as_py(), t["b"][0].as_py()
+        i, j = np.nonzero(m)
+        if a == b:
+            i, j = i[i < j], j[i < j]
+        whole = lambda x: pa.array(x[i, j].astype("int64"))
+        return pa.table({"i": pa.array(a * width + i), "j": pa.array(b * width + j), "m": whole(m), "n1": whole(fa.T @ pb), "n2": whole(pa_.T @ fb), "l": whole(fa.T @ fb)})
 
-    One vector per day over a bounded number of entities (NULL where the entity
-    has no record) turns the pair counts into matrix products: no pairs are
-    formed from the data, and the result has ``size`` squared rows.
+    return run
+
+
+def overlap_significance(df: DataFrame, entity: str, day: str, flag: str, least: int = 200, width: int = 1024) -> DataFrame:
+    """Normalised log probability of the common flagged days of entity pairs that share a day.
+
+    Entities are numbered by rank and cut into blocks of ``width``.  A day is one short
+    row per block; two blocks meet on the days that have both, and their counts are
+    matrix products of ``width`` columns.  So neither a day nor the matrix of all
+    entities is ever in one task, and only pairs that share a day come out.
+    """
+    numbered = attach_number(df.select(F.col(entity).alias("_e"), F.col(day).alias("_d"), F.col(flag).cast("int").alias("_f")).where("_e is not null"))
+    spots = numbered.groupBy("_d", F.floor(F.col("_n") / width).alias("_b")).agg(
+        F.collect_list(F.struct((F.col("_n") % width).cast("int").alias("e"), F.coalesce("_f", F.lit(0)).alias("f"))).alias("s"))
+    spots = materialise(spots.select("_d", "_b", F.col("s.e").alias("e"), F.col("s.f").alias("f")), "days")
+    a, b = (spots.select("_d", F.col("_b").alias(x), F.col("e").alias(f"e{x}"), F.col("f").alias(f"f{x}")) for x in "ab")
+    met = a.join(b, "_d").where("a <= b").drop("_d")
+    t = met.groupBy("a", "b").applyInArrow(_block_products(width), "i bigint, j bigint, m bigint, n1 bigint, n2 bigint, l bigint")
+    t = t.withColumn("log_p", F.when(F.col("m") >= least, overlap_log_p("m", "n1", "n2", "l")))
+    names = materialise(numbered.select("_n", "_e").distinct(), "entities")
+    for side in "ij":
+        t = t.join(names.select(F.col("_n").alias(side), F.col("_e").alias(f"_{side}")), side).drop(side).withColumnRenamed(f"_{side}", side)
+    return t.select("i", "j", "m", "n1", "n2", "l", "log_p")
+
+
+def attach_number(df: DataFrame) -> DataFrame:
+    """Column ``_n``: 0-based rank of ``_e`` among its distinct values."""
+    ranks = cut_lineage(global_row_number(df.select("_e").distinct(), ["_e"], "_n"))
+    return df.join(ranks, "_e").withColumn("_n", F.col("_n") - 1)
+
+
+def spectral_order(pairs: DataFrame, value: str, which: int = 1, steps: int = 80) -> DataFrame:
+    """Entities in the order of an eigenvector of their similarity matrix, by |eigenvalue|.
+
+    Lanczos iteration: the matrix stays a table of pairs, and each step multiplies it
+    by one vector of the entities' length, the only thing the driver holds (``steps``
+    times).  The vectors are kept orthogonal, so few entities are solved exactly.
     """
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(entity_index).cast("int").alias("e"), F.col(flag).cast("double").alias("f"))))
-    lists = df.groupBy(day).agg(pairs.alias("p")).select(F.transform("p", lambda x: x["e"]).alias("e"), F.transform("p", lambda x: x["f"]).alias("f"))
-    lists = materialise(lists, "days")
-    # Every task hands on a whole matrix, so there are only as many as the products need.
-    tasks = max(1, min(df.sparkSession.sparkContext.defaultParallelism, math.ceil(lists.count() * size * size / 2e9)))
-    t = _add_up(lists.repartition(tasks), lambda b: matrix_of_entries(b.column("e"), b.column("f"), size), size)
-    t = t.filter("i >= 0 AND i < j").select(
-        "i", "j", F.col("n").alias("m"), F.col("c").cast("bigint").alias("n1"), F.col("d").cast("bigint").alias("n2"), F.col("s").cast("bigint").alias("l"))
-    return t.filter("m > 0").withColumn("log_p", F.when(F.col("m") >= least, overlap_log_p("m", "n1", "n2", "l")))
-
-
-def spectral_order(pairs: DataFrame, size: int, value: str, which: int = 1) -> DataFrame:
-    """Entities in the order of an eigenvector of their (bounded) similarity matrix."""
-    if size > MAX_LENGTH:
-        raise ValueError(f"at most {MAX_LENGTH} entities")
-    m = np.zeros((size, size))
-    i, j, x = columns_of(pairs.select("i", "j", value))
-    m[i, j] = m[j, i] = np.nan_to_num(x)
-    values, vecs = np.linalg.eigh(m)
-    v = vecs[:, np.argsort(-np.abs(values))[which - 1]]
+    known = pairs.select("i", "j", F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v) and v <> 0")
+    ends = pairs.select(F.col("i").alias("_e")).union(pairs.select(F.col("j").alias("_e"))).distinct()
+    ranks = cut_lineage(global_row_number(ends, ["_e"], "_n"))
+    ids = ranks.orderBy("_n").toArrow()["_e"].to_pylist()
+    size = len(ids)
+    at = lambda c: ranks.select(F.col("_e").alias(c), (F.col("_n") - 1).alias(f"_{c}"))
+    cells = materialise(known.join(at("i"), "i").join(at("j"), "j").select(F.col("_i").alias("i"), F.col("_j").alias("j"), "v"), "similarities")
+
+    def times(x: np.ndarray) -> np.ndarray:
+        def run(batches):
+            y = np.zeros(size)
+            for b in batches:
+                i, j, v = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+                np.add.at(y, i, v * x[j])
+                np.add.at(y, j, np.where(i == j, 0.0, v * x[i]))
+            at = np.flatnonzero(y)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(y[at])], names=["i", "y"])
+
+        y = np.zeros(size)
+        got = cells.mapInArrow(run, "i bigint, y double").groupBy("i").agg(F.sum("y").alias("y")).toArrow()
+        y[got["i"].to_numpy()] = got["y"].to_numpy()
+        return y
+
+    rng = np.random.default_rng(7)
+    basis, alpha, beta = [], [], []
+    x = rng.standard_normal(size)
+    while len(basis) < min(size, steps):
+        for q in basis:  # twice: what is left is orthogonal to rounding
+            x = x - (q @ x) * q
+        for q in basis:
+            x = x - (q @ x) * q
+        norm = np.linalg.norm(x)
+        if norm < 1e-10:
+            break
+        if basis:
+            beta.append(norm)
+        basis.append(x / norm)
+        x = times(basis[-1])
+        alpha.append(basis[-1] @ x)
+        if len(basis) > 12 and len(basis) % 6 == 0:
+            values, vecs = np.linalg.eigh(np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1))
+            k = np.argsort(-np.abs(values))[which - 1]
+            rest = x.copy()
+            for q in basis:
+                rest -= (q @ rest) * q
+            if np.linalg.norm(rest) * abs(vecs[-1, k]) < 1e-9 * max(1.0, abs(values[k])):
+                break
+    values, vecs = np.linalg.eigh(np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1))
+    v = np.stack(basis, axis=1) @ vecs[:, np.argsort(-np.abs(values))[which - 1]]
     v = v * np.sign(v[np.abs(v).argmax()])
-    order = sorted(range(size), key=lambda i: (v[i], i))
-    rows = [(int(i), float(v[i]), rank) for rank, i in enumerate(order, 1)]
-    return pairs.sparkSession.createDataFrame(rows, "entity int, loading double, position int")
+    order = np.lexsort((np.arange(size), v))
+    rows = [(int(ids[i]), float(v[i]), rank) for rank, i in enumerate(order.tolist(), 1)]
+    return pairs.sparkSession.createDataFrame(rows, "entity bigint, loading double, position int")
 
 
 def box_counts(series: DataFrame, key: str, index: str, value: str, boxes: int, strict: bool) -> DataFrame:
@@ -300,68 +374,35 @@ def box_count_dimension(series: DataFrame, key: str, index: str, value: str, lar
     return a.join(b, key).withColumn("dimension", slope)
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    # Continued fraction of the incomplete beta function (Lentz).
-    tiny, c = 1e-300, 1.0
-    d = 1.0 / max(1.0 - (a + b) * x / (a + 1.0), tiny)
-    out = d
-    for m in range(1, 300):
-        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 + step * d
-            c = 1.0 + step / c
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = c if abs(c) > tiny else tiny
-            out *= d * c
-        if abs(d * c - 1.0) < 1e-14:
-            break
-    return out
+def _linear(points: DataFrame, intercept: bool):
+    """Least squares of ``y`` on ``x`` by normal equations, whose summary has exact t statistics and p-values."""
+    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(points.dropna())
+    return LinearRegression(labelCol="y", fitIntercept=intercept, solver="normal", standardization=False).fit(rows).summary
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    if x <= 0.0 or x >= 1.0:
-        return 0.0 if x <= 0.0 else 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
-
-
-def upper_gamma(a: float, x: float) -> float:
-    """Regularised upper incomplete gamma function."""
-    if x <= 0.0:
-        return 1.0
-    front = math.exp(-x + a * math.log(x) - math.lgamma(a))
-    if x < a + 1.0:
-        term = total = 1.0 / a
-        k = a
-        while abs(term) > abs(total) * 1e-16:
-            k += 1.0
-            term *= x / k
-            total += term
-        return 1.0 - total * front
-    b = x + 1.0 - a
-    c, d = 1e300, 1.0 / b
-    out = d
-    for i in range(1, 1000):
-        step = -i * (i - a)
-        b += 2.0
-        d = 1.0 / (step * d + b or 1e-300)
-        c = b + step / c or 1e-300
-        out *= d * c
-        if abs(d * c - 1.0) < 1e-15:
-            break
-    return out * front
+def t_test_independent_p(df: DataFrame, value: str, first: Column) -> tuple[float, float]:
+    """(t, p): the pooled comparison of two groups is the slope of a regression on membership."""
+    s = _linear(df.select(F.col(value).cast("double").alias("y"), first.cast("double").alias("x")), True)
+    return float(s.tValues[0]), float(s.pValues[0])
 
 
-@F.pandas_udf(DoubleType())
-def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    """Two-sided p-value of Student's t."""
-    return pd.Series([incomplete_beta(n / 2.0, 0.5, n / (n + x * x)) if n and n > 0 and x == x else None for x, n in zip(t, df)], dtype="float64")
+def t_test_paired_p(df: DataFrame, key: str, a: str, b: str) -> tuple[float, float]:
+    """(t, p) of the mean difference.
 
+    With x = 1 or -1 by key and y = x * difference, the slope through the origin is
+    the mean difference and has its standard error.
+    """
+    x = F.when(F.xxhash64(key) % 2 == 0, 1.0).otherwise(-1.0)
+    s = _linear(df.select(x.alias("x"), (x * (F.col(a) - F.col(b))).alias("y")), False)
+    return float(s.tValues[0]), float(s.pValues[0])
 
-@F.pandas_udf(DoubleType())
-def chi_square_p(x: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([upper_gamma(n / 2.0, v / 2.0) if n and n > 0 else None for v, n in zip(x, df)], dtype="float64")
+
+def chi_square_p(df: DataFrame, row: str, col: str) -> tuple[float, int, float]:
+    """(statistic, degrees of freedom, p) of two categorical columns, one row per observation."""
+    coded = VectorAssembler(inputCols=["_row"], outputCol="features").transform(
+        label_encode(df.select(F.col(row).alias("_row"), F.col(col).alias("_col")), ["_row", "_col"]).select(F.col("_row").cast("double").alias("_row"), F.col("_col").cast("double").alias("_col")))
+    r = ChiSquareTest.test(coded, "features", "_col").first()
+    return float(r.statistics[0]), int(r.degreesOfFreedom[0]), float(r.pValues[0])
 
 
 def t_test_independent(df: DataFrame, value: str, first: Column) -> DataFrame:
@@ -380,29 +421,22 @@ def t_test_paired(df: DataFrame, a: str, b: str) -> DataFrame:
     return s.select("n", (F.col("n") - 1).alias("dof"), (F.col("m") / (F.col("sd") / F.sqrt("n"))).alias("t"))
 
 
-def with_student_p(tests: DataFrame) -> DataFrame:
-    return tests.withColumn("p_value", student_p("t", F.col("dof").cast("double")))
-
-
 def chi_square(df: DataFrame, row: str, col: str, count: str) -> DataFrame:
     """Independence statistic of a contingency table; cells with no rows included.
 
     sum (o - e)^2 / e over all cells equals total * (sum o^2 / (r c) - 1), so
     empty cells need not be created.
     """
-    rows = df.groupBy(row).agg(F.sum(count).alias("_r"))
-    cols = df.groupBy(col).agg(F.sum(count).alias("_c"))
-    cells = df.groupBy(row, col).agg(F.sum(count).alias("_o")).join(rows, row).join(cols, col)
-    total = df.agg(F.sum(count)).scalar()
+    table = materialise(df.groupBy(row, col).agg(F.sum(count).alias("_o")), "contingency")  # the input is read once
+    rows = table.groupBy(row).agg(F.sum("_o").alias("_r"))
+    cols = table.groupBy(col).agg(F.sum("_o").alias("_c"))
+    cells = join_keys(join_keys(table, rows, [row]), cols, [col])
+    total = table.agg(F.sum("_o")).scalar()
     part = F.sum(F.col("_o").cast("double") * F.col("_o") / (F.col("_r").cast("double") * F.col("_c")))
     dof = (rows.agg(F.count(F.lit(1))).scalar() - 1) * (cols.agg(F.count(F.lit(1))).scalar() - 1)
     return cells.agg(part.alias("_s")).select((total * (F.col("_s") - 1)).alias("statistic"), dof.alias("dof"))
 
 
-def with_chi_square_p(tests: DataFrame) -> DataFrame:
-    return tests.withColumn("p_value", chi_square_p("statistic", F.col("dof").cast("double")))
-
-
 def fourier_project(series: DataFrame, index: str, value: str, length: int, top: int) -> DataFrame:
     """Coefficients on the orthonormal constant, sine and cosine basis up to ``top``.
 

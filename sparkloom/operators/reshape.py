@@ -6,6 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.runtime import join_keys
 
 def time_spine(spark: SparkSession, minutes: int, days: int = 7) -> DataFrame:
     """Every slot of every weekday with a running index: ``dow``, ``slot``, ``idx``."""
@@ -50,9 +51,10 @@ def with_group_means(df: DataFrame, group: list[str], columns: list[str]) -> Dat
     """Row-level features with the mean of their group joined back.
 
     Means are aggregated and joined: a window would pull a hot group into one task.
+    A NULL group is a group.
     """
     means = df.groupBy(*group).agg(*[F.avg(c).alias(f"mean_{c}") for c in columns])
-    return df.join(means, group)
+    return join_keys(df, means, group)
 
 
 def pivot_table(df: DataFrame, row: str, column: str, values: list, value: str, how=F.avg) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.timeparts import time_bucket
-from sparkloom.runtime import global_row_number, neighbour_in_order, running_total
+from sparkloom.runtime import global_row_number, join_keys, neighbour_in_order, running_total
 
 
 def _running_share(hist: DataFrame, order: str, value: Column) -> Column:
@@ -52,15 +52,15 @@ def dense_key(df: DataFrame, columns: list[str], out: str) -> DataFrame:
 
 
 def attach_dense_key(df: DataFrame, columns: list[str], out: str) -> DataFrame:
-    keys = dense_key(df, columns, out)
-    return df.join(keys, columns)
+    """Every row with the surrogate id of its key; a NULL is a value like any other."""
+    return join_keys(df, dense_key(df, columns, out), columns)
 
 
 def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Each column replaced by the 0-based rank of its value among the sorted values."""
+    """Each column replaced by the 0-based rank of its value among the sorted values, NULL first."""
     for c in columns:
         codes = dense_key(df, [c], "_code").select(F.col(c), (F.col("_code") - 1).alias("_code"))
-        df = df.join(codes, c).drop(c).withColumnRenamed("_code", c)
+        df = join_keys(df, codes, [c]).drop(c).withColumnRenamed("_code", c)
     return df
 
 

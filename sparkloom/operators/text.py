@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import textfn
+from sparkloom.operators.joins import lookup_default
 from sparkloom.operators.sequence import dense_key, top_n_per_group
 from sparkloom.runtime import cut_lineage, materialise
 
@@ -41,13 +42,17 @@ def mentions_per_token(docs: DataFrame, user: str, text: str, least: int) -> Dat
     return pairs.groupBy("token").agg(F.count(F.lit(1)).alias("n_users")).filter(F.col("n_users") >= least)
 
 
-def relative_popularity(docs: DataFrame, user: str, group: str, text: str, least: int, n: int) -> DataFrame:
-    """Per group the tokens most over-represented against all users.
+def relative_popularity(docs: DataFrame, user: str, mapping: DataFrame, group: str, default, text: str, least: int, n: int) -> DataFrame:
+    """Per group the tokens most over-represented against all users; ``mapping`` gives a user's group.
+
+    Texts are cut before anything is joined, and users meet their group as distinct
+    (user, token) pairs.
 
     log2(users of the group / users overall), among tokens with enough users;
     every group is ranked in the same pass.
     """
-    pairs = docs.select(user, group, F.explode(F.array_distinct(textfn.tokenize_social(F.col(text)))).alias("token")).distinct()
+    pairs = docs.select(user, F.explode(F.array_distinct(textfn.tokenize_social(F.col(text)))).alias("token")).distinct()
+    pairs = lookup_default(pairs, mapping.withColumnRenamed(user, "_user"), user, "_user", group, default)
     per_group = pairs.groupBy("token", group).agg(F.count(F.lit(1)).alias("n_group"))
     # One entry per group and token, so the list is as short as the list of groups.
     by_token = per_group.groupBy("token").agg(F.sum("n_group").alias("n_all"), F.collect_list(F.struct(group, "n_group")).alias("g"))
@@ -60,14 +65,23 @@ def most_common(terms: DataFrame, n: int) -> DataFrame:
     return terms.groupBy("term").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "term").limit(n)
 
 
-def context_counts(docs: DataFrame, text: str, vocabulary: DataFrame, contexts: DataFrame, reach: int = 2) -> DataFrame:
-    """How many occurrences of a word have a context word within ``reach`` positions.
+def token_lists(docs: DataFrame, text: str) -> DataFrame:
+    """Texts cut into words once, for steps that read them several times: one array ``t`` per row."""
+    return materialise(docs.select(textfn.words(F.col(text)).alias("t")), "tokens")
+
+
+def most_common_words(tokens: DataFrame, n: int) -> DataFrame:
+    """The most frequent words, counted by word with partial sums."""
+    counts = tokens.select(F.explode("t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("count"))
+    return counts.orderBy(F.desc("count"), "term").limit(n)
+
+
+def context_counts(tokens: DataFrame, vocabulary: DataFrame, contexts: DataFrame, reach: int = 2) -> DataFrame:
+    """How many occurrences of a word have a context word within ``reach`` positions; ``tokens`` holds arrays ``t``.
 
     Each position yields its few neighbours directly from the token array; no
     table of positions is joined with itself.
     """
-    tokens = docs.select(textfn.words(F.col(text)).alias("t"))
-
     def around(w, i):
         before = F.slice("t", F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)))
         after = F.slice("t", i + 2, F.lit(reach))
@@ -112,16 +126,6 @@ def tfidf(terms: DataFrame, doc: str, max_features: int, stop: list[str]) -> Dat
     return weighted.select(doc, "term", (F.col("_w") / norm).alias("tfidf"))
 
 
-MAX_CLASSES = 1000
-
-
-def _class_rows(classes: DataFrame) -> list:
-    rows = classes.limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    return rows
-
-
 def _score_terms(test: DataFrame, seen: DataFrame, doc: str, label: str, weight: Column, classes: list[tuple]) -> DataFrame:
     """score = base of the class + sum over terms of count * weight.
 
@@ -139,8 +143,8 @@ def _score_terms(test: DataFrame, seen: DataFrame, doc: str, label: str, weight:
 
 
 def _label_counts(train: DataFrame, label: str, n: Column) -> DataFrame:
-    """(label, term, n): as large as the vocabulary, read by several later steps."""
-    return materialise(train.groupBy(label, "term").agg(n.alias("n")), "label-counts")
+    """(label, term, n): as large as the vocabulary, read by several later steps.  A NULL label is no class."""
+    return materialise(train.dropna(subset=[label]).groupBy(label, "term").agg(n.alias("n")), "label-counts")
 
 
 def multinomial_nb(train: DataFrame, test: DataFrame, train_docs: DataFrame, doc: str, label: str) -> DataFrame:
@@ -151,8 +155,8 @@ def multinomial_nb(train: DataFrame, test: DataFrame, train_docs: DataFrame, doc
     """
     counts = _label_counts(train, label, F.sum("count"))
     vocabulary = counts.select("term").distinct().count()
-    docs = {r[label]: r.n for r in _class_rows(train_docs.groupBy(label).agg(F.count(F.lit(1)).alias("n")))}
-    total = {r[label]: r.n for r in _class_rows(counts.groupBy(label).agg(F.sum("n").alias("n")))}
+    docs = {r[label]: r.n for r in train_docs.dropna(subset=[label]).groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = {r[label]: r.n for r in counts.groupBy(label).agg(F.sum("n").alias("n")).collect()}
     n_docs = sum(docs.values())
     classes = [(c, math.log(docs[c] / n_docs), -math.log(total[c] + vocabulary)) for c in sorted(total)]
     floors = F.create_map(*[F.lit(x) for c, _, missing in classes for x in (c, missing)])
@@ -167,12 +171,12 @@ def bernoulli_nb(train: DataFrame, test: DataFrame, train_docs: DataFrame, doc:
     """
     counts = _label_counts(train, label, F.count(F.lit(1)))
     vocabulary = counts.select("term").distinct().count()
-    docs = {r[label]: r.n for r in _class_rows(train_docs.groupBy(label).agg(F.count(F.lit(1)).alias("n")))}
+    docs = {r[label]: r.n for r in train_docs.dropna(subset=[label]).groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     n_docs = sum(docs.values())
     size = F.create_map(*[F.lit(x) for c, n in docs.items() for x in (c, n)])
     p = (F.col("n") + 1) / (size[F.col(label)] + 2)
     classes = []
-    for r in _class_rows(counts.groupBy(label).agg(F.sum(F.log(1 - p)).alias("absent"), F.count(F.lit(1)).alias("n_seen"))):
+    for r in counts.groupBy(label).agg(F.sum(F.log(1 - p)).alias("absent"), F.count(F.lit(1)).alias("n_seen")).collect():
         p0 = 1 / (docs[r[label]] + 2)
         base = math.log(docs[r[label]] / n_docs) + r.absent + (vocabulary - r.n_seen) * math.log(1 - p0)
         classes.append((r[label], base, math.log(p0) - math.log(1 - p0)))
@@ -197,8 +201,3 @@ def reassemble_fragments(fragments: DataFrame, key: str, offset: str, text: str)
 def letter_counts(docs: DataFrame, text: str) -> DataFrame:
     letters = docs.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}"), F.lit(0))).alias("letter"))
     return letters.groupBy("letter").agg(F.count(F.lit(1)).alias("n"))
-
-
-def rank_words(terms: DataFrame, n: int) -> DataFrame:
-    w = Window.orderBy(F.desc("count"), "term")
-    return most_common(terms, n).withColumn("rank", F.row_number().over(w))

@@ -1,13 +1,14 @@
 """League: matches between nations, points, coaches and boards.
 
-Scores count returned and accepted lines between a customer nation (home) and a
-supplier nation (away); only some pairings were played so that ties and undefeated
-teams both exist.
+All pairings of a customer nation (home) and a supplier nation (away) that trade.
+A score is a small number from the counts of returned and accepted lines plus the
+strength of the team, which makes ties, an undefeated leader and a team that only the
+leader beats.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators import joins, setops
@@ -18,13 +19,14 @@ from sparkloom.runtime import cut_lineage
 
 LEAGUE_SQL = """teams AS (SELECT n_name AS name, 'coach_' || n_nationkey AS coach FROM nation),
 matches AS (
-  SELECT h.n_name AS home, a.n_name AS away, count(*) FILTER (WHERE l_returnflag = 'A') AS home_score,
-         count(*) FILTER (WHERE l_returnflag = 'R') AS away_score
+  SELECT h.n_name AS home, a.n_name AS away,
+         count(*) FILTER (WHERE l_returnflag = 'A') % 3 + CASE c_nationkey WHEN 0 THEN 12 WHEN 1 THEN 8 ELSE 2 * ((24 - c_nationkey) // 6) END AS home_score,
+         count(*) FILTER (WHERE l_returnflag = 'R') % 3 + CASE s_nationkey WHEN 0 THEN 12 WHEN 1 THEN 8 ELSE 2 * ((24 - s_nationkey) // 6) END AS away_score
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
        JOIN supplier ON l_suppkey = s_suppkey JOIN nation h ON h.n_nationkey = c_nationkey
        JOIN nation a ON a.n_nationkey = s_nationkey
-  WHERE c_nationkey <> s_nationkey AND (3 * c_nationkey + s_nationkey) % 13 = 0
-  GROUP BY ALL),
+  WHERE c_nationkey <> s_nationkey
+  GROUP BY c_nationkey, s_nationkey, h.n_name, a.n_name),
 wins AS (SELECT home AS winner, away AS loser, 2 AS points FROM matches WHERE home_score > away_score
   UNION ALL SELECT away, home, 3 FROM matches WHERE home_score < away_score),
 ties AS (SELECT home AS name FROM matches WHERE home_score = away_score
@@ -48,11 +50,15 @@ def matches(t: Tables) -> DataFrame:
     lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
     played = (lines.join(away, F.col("l_suppkey") == F.col("s_suppkey"))
               .join(home, F.col("o_custkey") == F.col("c_custkey"))
-              .filter((F.col("c_nationkey") != F.col("s_nationkey"))
-                      & ((3 * F.col("c_nationkey") + F.col("s_nationkey")) % 13 == 0)))
-    return played.groupBy("home", "away").agg(
-        F.count_if(F.col("l_returnflag") == "A").alias("home_score"),
-        F.count_if(F.col("l_returnflag") == "R").alias("away_score"))
+              .filter(F.col("c_nationkey") != F.col("s_nationkey")))
+    counts = played.groupBy("home", "away", "c_nationkey", "s_nationkey").agg(
+        F.count_if(F.col("l_returnflag") == "A").alias("a"), F.count_if(F.col("l_returnflag") == "R").alias("r"))
+    return counts.select("home", "away", (F.col("a") % 3 + strength("c_nationkey")).alias("home_score"), (F.col("r") % 3 + strength("s_nationkey")).alias("away_score"))
+
+
+def strength(nation: str) -> Column:
+    k = F.col(nation)
+    return F.when(k == 0, 12).when(k == 1, 8).otherwise(2 * F.floor((24 - k) / 6)).cast("bigint")
 
 
 def winners(m: DataFrame) -> DataFrame:

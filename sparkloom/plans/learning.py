@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import textfn
-from sparkloom.operators import clusters, evaluate, models, reshape, select
+from sparkloom.operators import clusters, evaluate, models, reshape, select, setops
 from sparkloom.plans.registry import Tables, query
 from sparkloom.plans.traffic import REPORT_SQL, report, segments
-from sparkloom.runtime import scratch_path
+from sparkloom.runtime import materialise, scratch_path
 
 SIZE = 64
 CLASSES = 10
@@ -84,40 +84,45 @@ def lda_classifier(t: Tables) -> DataFrame:
 @query()
 def logistic_regression_grid(t: Tables) -> DataFrame:
     train, _ = binary_points(t)
-    return models.logistic_regression_grid(train, [0.01, 0.1])
+    return models.logistic_regression_grid(train, [0.001, 0.01, 0.1, 1.0])
+
+
+VOCABULARIES = (100, 1000, 3000)
+
+
+def _by_vocabulary(t: Tables, estimator) -> DataFrame:
+    """Errors in telling the language of a document from its words, by size of the vocabulary."""
+    docs = materialise(t.docs.select("doc_id", "lang", textfn.words(F.col("text")).alias("words")), "words")
+    inside = select.hash_share(F.col("doc_id")) < 0.75
+    parts = []
+    for size in VOCABULARIES:
+        train, test, words, classes = models.text_points(docs.filter(inside), docs.filter(~inside), "words", "lang", size)
+        parts.append(models.sweep(train, test, {f"words={size}": estimator(words, classes)}))
+    return setops.union_all(*parts)
 
 
 @query()
 def linear_svm_features(t: Tables) -> DataFrame:
-    """Accuracy by number of features."""
-    out = None
-    for size in (8, SIZE):
-        train, test = points(t, size)
-        part = models.sweep(train, test, {f"features={size}": models.linear_svm()})
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _by_vocabulary(t, lambda words, classes: models.linear_svm())
 
 
 @query()
 def linear_svm_strength(t: Tables) -> DataFrame:
-    train, test = points(t, 16)
-    return models.sweep(train, test, {f"reg={r}": models.linear_svm(r) for r in (0.001, 0.1)})
+    train, test = points(t)
+    return models.sweep(train, test, {f"reg={r}": models.linear_svm(r) for r in (0.001, 0.01, 0.1)})
 
 
 @query()
 def linear_perceptron_curve(t: Tables) -> DataFrame:
-    out = None
-    for size in (8, 32, SIZE):
-        train, test = points(t, size)
-        part = models.sweep(train, test, {f"features={size}": models.linear_perceptron(size, CLASSES)})
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _by_vocabulary(t, models.linear_perceptron)
 
 
 @query()
 def decision_tree(t: Tables) -> DataFrame:
-    train, test = points(t)
-    return models.sweep(train, test, {f"{i}, least {n}": models.decision_tree(i, n) for i in ("gini", "entropy") for n in (1, 5)}, True)
+    share = select.hash_share(F.col("vec_id"))
+    rows = t.embeddings.select("vec_id", "embedding", F.col("label").cast("bigint").alias("label"), share.alias("share"))
+    train, valid, test = (models.as_points(rows.filter(c), "embedding", "label", ["vec_id"]) for c in ("share < 0.6", "share >= 0.6 and share < 0.8", "share >= 0.8"))
+    return models.tune_and_refit(train, valid, test, {f"{i}, least {n}": models.decision_tree(i, n) for i in ("gini", "entropy") for n in (1, 5)})
 
 
 @query()
@@ -137,7 +142,7 @@ def gradient_boosting(t: Tables) -> DataFrame:
     """One class against the rest."""
     a, b = halves(t)
     train, test = (models.as_points(d.withColumn("label", evaluate.binarise(F.col("label"), 3)), "embedding", "label") for d in (a, b))
-    return models.sweep(train, test, {f"depth={d}, rounds={n}, step={s}": models.gradient_boosting(d, n, s) for d, n, s in ((2, 3, 0.1), (3, 5, 0.3))}, True)
+    return models.sweep(train, test, {f"depth={d}, rounds={n}, step={s}": models.gradient_boosting(d, n, s) for d, n, s in ((2, 20, 0.1), (3, 20, 0.3))}, True)
 
 
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
@@ -151,6 +156,46 @@ def voted(t: Tables):
     return v.filter(inside), v.filter(~inside)
 
 
+def _regression_sql(source: str, columns: list[str], group: str = "TRUE") -> str:
+    """Least squares in SQL: ``p`` is the prediction of ``y`` for every row of ``source`` (columns, y, fit).
+
+    Columns are made orthogonal one after the other on the rows to fit, so each
+    coefficient is a quotient of two sums.
+    """
+    over = f"FILTER (WHERE fit) OVER (PARTITION BY {group})"
+    out = f"(SELECT *, avg(y) {over} AS p{''.join(f', {c}::DOUBLE - avg({c}) {over} AS z{i}' for i, c in enumerate(columns))} FROM {source})"
+    for k in range(len(columns)):
+        slope = lambda v: f"coalesce(sum({v} * z{k}) {over} / nullif(sum(z{k} * z{k}) {over}, 0), 0)"  # noqa: B023,E731
+        later = "".join(f", z{j} - z{k} * {slope(f'z{j}')} AS z{j}" for j in range(k + 1, len(columns)))
+        drop = ", ".join(["p", *[f"z{j}" for j in range(k + 1, len(columns))]])
+        out = f"(SELECT * EXCLUDE ({drop}), p + z{k} * {slope('(y - p)')} AS p{later} FROM {out})"
+    return out
+
+
+_LINES_SQL = """l AS (SELECT l_quantity, l_discount, l_tax, l_linenumber, l_extendedprice AS y, ('0x' || substr(md5(l_orderkey::VARCHAR), 1, 8))::BIGINT / 4294967296.0 < 0.75 AS fit FROM lineitem)"""
+
+
+def _mse_sql(left: list[str]) -> str:
+    return f"(SELECT avg((p - y) ** 2) FROM {_regression_sql('l', left)} WHERE NOT fit)"
+
+
+def _subsets_sql() -> str:
+    """(bits, mse): every set of features and its error on the rows left out."""
+    sets = [(b, [f for i, f in enumerate(FEATURES) if b >> i & 1]) for b in range(1, 1 << len(FEATURES))]
+    return "e AS (" + " UNION ALL ".join(f"SELECT {b} AS bits, {_mse_sql(s)} AS mse" for b, s in sets) + ")"
+
+
+def _elimination_sql() -> str:
+    names = "(VALUES " + ", ".join(f"({1 << i}, '{f}')" for i, f in enumerate(FEATURES)) + ") f(bit, name)"
+    full = (1 << len(FEATURES)) - 1
+    out = f"WITH {_LINES_SQL}, {_subsets_sql()}, s0 AS (SELECT 0 AS step, 'none' AS removed, bits, mse FROM e WHERE bits = {full})"
+    for k in range(1, len(FEATURES)):
+        out += f""", s{k} AS (SELECT {k} AS step, name AS removed, e.bits, e.mse FROM s{k - 1} b JOIN {names} ON b.bits & bit > 0
+          JOIN e ON e.bits = b.bits - bit ORDER BY e.mse, name LIMIT 1), t{k} AS (SELECT s{k}.* FROM s{k}, s{k - 1} b WHERE s{k}.mse <= b.mse)"""
+        out = out.replace(f"FROM s{k - 1} b JOIN", f"FROM {'s0' if k == 1 else f't{k - 1}'} b JOIN").replace(f", s{k - 1} b WHERE s{k}.mse", f", {'s0' if k == 1 else f't{k - 1}'} b WHERE s{k}.mse")
+    return out + " " + " UNION ALL ".join(f"SELECT step, removed, round(mse, 2) AS mse FROM {'s0' if k == 0 else f't{k}'}" for k in range(len(FEATURES)))
+
+
 @query()
 def elastic_net(t: Tables) -> DataFrame:
     train, test = voted(t)
@@ -166,10 +211,17 @@ def least_squares(t: Tables) -> DataFrame:
     return out.select(F.round("mse", 2).alias("mse"), F.round("mae", 4).alias("mae"))
 
 
-@query()
+_VOTED_SQL = """WITH l AS (SELECT *, (l_quantity::BIGINT % 4) AS total, ('0x' || substr(md5(l_orderkey::VARCHAR), 1, 8))::BIGINT / 4294967296.0 < 0.75 AS inside FROM lineitem),
+h AS (SELECT *, least(total, l_linenumber % 3) AS helpful FROM l),
+v AS (SELECT h.*, cut, total <= cut AS low, inside AND total > 0 AS fit, helpful / nullif(total, 0) AS y FROM h, (SELECT unnest([1.0, 2.0]::DOUBLE[]) AS cut))
+"""
+
+
+@query(_VOTED_SQL + f"""SELECT cut AS threshold, round(avg(abs(round_even(greatest(0.0, least(1.0, p)) * total, 0) - helpful)), 6) AS mae
+FROM {_regression_sql('v', FEATURES, 'cut, low')} WHERE NOT inside GROUP BY cut""")
 def split_regression(t: Tables) -> DataFrame:
     train, test = voted(t)
-    return models.split_regression(train, test, FEATURES, "total", "helpful", [1, 2])
+    return models.split_regression(train, test, FEATURES, "total", "helpful", [1, 2]).withColumn("mae", F.round("mae", 6))
 
 
 def _grams(t: Tables):
@@ -177,34 +229,51 @@ def _grams(t: Tables):
     return (models.gram(t.lineitem.filter(inside), FEATURES, "l_extendedprice"), models.gram(t.lineitem.filter(~inside), FEATURES, "l_extendedprice"))
 
 
-@query()
+@query(f"WITH {_LINES_SQL} SELECT 'none' AS removed, round({_mse_sql(FEATURES)}, 2) AS mse" + "".join(
+    f" UNION ALL SELECT '{f}', round({_mse_sql([x for x in FEATURES if x != f])}, 2)" for f in FEATURES))
 def ablation(t: Tables) -> DataFrame:
-    return models.ablation(*_grams(t), t.spark)
+    return models.ablation(*_grams(t), t.spark).withColumn("mse", F.round("mse", 2))
 
 
-@query()
+@query(_elimination_sql())
 def backward_elimination(t: Tables) -> DataFrame:
-    return models.backward_elimination(*_grams(t), t.spark)
+    return models.backward_elimination(*_grams(t), t.spark).withColumn("mse", F.round("mse", 2))
 
 
-@query()
+_GAUSS_SQL = """WITH e AS (SELECT vec_id, label, i, embedding[i]::DOUBLE AS x, ('0x' || substr(md5(vec_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0 < 0.75 AS training
+  FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings)),
+"""
+
+
+@query(_GAUSS_SQL + """k AS (SELECT unnest([50, 150, 300]) AS n), o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS r FROM (SELECT DISTINCT vec_id FROM e WHERE training)),
+m AS (SELECT k.n, label, i, avg(x) AS mu, var_pop(x) AS v, count(*) AS c FROM e JOIN o USING (vec_id) JOIN k ON o.r <= k.n GROUP BY ALL),
+g AS (SELECT n, max(v) AS most FROM (SELECT k.n, i, var_pop(x) AS v FROM e JOIN o USING (vec_id) JOIN k ON o.r <= k.n GROUP BY ALL) GROUP BY n),
+s AS (SELECT m.n, e.vec_id, e.label, m.label AS guess, ln(any_value(c)) + sum(-0.5 * ln(2 * pi() * (v + 1e-9 * most)) - (x - mu) ** 2 / (2 * (v + 1e-9 * most))) AS score
+  FROM e JOIN m ON m.i = e.i JOIN g ON g.n = m.n WHERE NOT training GROUP BY ALL)
+SELECT n::BIGINT AS n, round(avg((label = guess)::INTEGER), 6) AS accuracy FROM (SELECT *, row_number() OVER (PARTITION BY n, vec_id ORDER BY score DESC, guess) AS r FROM s) WHERE r = 1 GROUP BY n""")
 def learning_curve(t: Tables) -> DataFrame:
     train, test = points(t)
-    return models.learning_curve(train, test, "vec_id", [50, 150, 300], models.gaussian_nb())
+    return models.learning_curve(train, test, "vec_id", [50, 150, 300], models.gaussian_nb()).withColumn("accuracy", F.round("accuracy", 6))
 
 
 # ---- clusters ---------------------------------------------------------------------------
 
 @query()
 def kmeans_inertia(t: Tables) -> DataFrame:
-    train, _ = points(t)
-    return clusters.inertia_curve(train, [1, 2, 5, 10])
+    rows = models.as_points(t.embeddings, "embedding", "label")
+    return clusters.inertia_curve(rows, [1, 2, 5, 10, 20, 50, 100])
 
 
 @query()
 def mixture_choice(t: Tables) -> DataFrame:
-    rows = models.as_points(t.embeddings, "embedding", "label", size=3)
-    return clusters.mixture_choice(rows, 3, [1, 2, 3])
+    """AIC and BIC by number of components and kind of covariance, on whole vectors."""
+    return clusters.mixture_choice(t.embeddings, "vec_id", "embedding", SIZE, [1, 2, 3], clusters.COVARIANCES)
+
+
+@query()
+def mixture_of_classes(t: Tables) -> DataFrame:
+    """Mixtures that start at the class means, and how well their components tell the classes."""
+    return clusters.mixture_of_classes(t.embeddings, "embedding", "label", SIZE, clusters.COVARIANCES)
 
 
 @query()
@@ -248,7 +317,7 @@ def cluster_profiles(t: Tables) -> DataFrame:
 
 
 def _clustered(t: Tables):
-    train, test = points(t, 16)
+    train, test = points(t)
     model = KMeans(k=3, seed=7).fit(train.select("features"))
     return [model.transform(d).withColumnRenamed("prediction", "cluster") for d in (train, test)]
 
@@ -269,7 +338,9 @@ def ensemble_of_models(t: Tables) -> DataFrame:
     return models.ensemble_predict(test, "cluster", fitted, best).select("vec_id", "cluster", "label", "prediction")
 
 
-@query()
+@query(_GAUSS_SQL + """m AS (SELECT label, i, avg(x) AS mu, var_pop(x) AS v, count(*) AS n FROM e WHERE training GROUP BY ALL),
+s AS (SELECT e.vec_id, e.label, m.label AS guess, ln(any_value(n)) + sum(-0.5 * ln(2 * pi() * v) - (x - mu) ** 2 / (2 * v)) AS score FROM e JOIN m ON m.i = e.i WHERE NOT training GROUP BY ALL)
+SELECT vec_id, label::DOUBLE AS label, guess::DOUBLE AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, guess) AS r FROM s) WHERE r = 1""")
 def persisted_model(t: Tables) -> DataFrame:
     """A fitted model saved, loaded and applied."""
     train, test = points(t)

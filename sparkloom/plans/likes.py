@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sparkloom.operators.joins import semi_join
 from sparkloom.operators.setops import union_distinct
 from sparkloom.plans.registry import Tables, query
+from sparkloom.runtime import materialise
 
 LIKES_SQL = """likes AS (SELECT DISTINCT o_custkey AS user_id, l_partkey AS video_id
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -80,7 +81,7 @@ def friends_of_friends_likes(t: Tables) -> DataFrame:
  (SELECT video_id FROM likes WHERE user_id = (SELECT x_id FROM x)))"""))
 def my_kind_likes(t: Tables) -> DataFrame:
     """Likes of every user who shares a liked video with X (X included)."""
-    l = likes(t)
+    l = materialise(likes(t), "likes")
     liked = l.filter(F.col("user_id") == user_x(t)).select("video_id")
     kin = semi_join(l, liked, "video_id").select("user_id").distinct()
     return top_videos(t, semi_join(l, kin, "user_id"))
@@ -107,7 +108,7 @@ SELECT video_id, video_name, weighted_likes FROM (
   SELECT l.video_id, round(sum(wt), 6) AS weighted_likes FROM likes l JOIN w ON w.user_id = l.user_id
   GROUP BY l.video_id) JOIN video USING (video_id) ORDER BY weighted_likes DESC, video_id LIMIT 10""")
 def weighted_recommend(t: Tables) -> DataFrame:
-    l = likes(t)
+    l = materialise(likes(t), "likes")
     weights = co_likes(l, user_x(t)).select("user_id", F.log10(1 + F.col("n_shared")).alias("wt"))
     best = (l.join(weights, "user_id").groupBy("video_id").agg(F.round(F.sum("wt"), 6).alias("weighted_likes"))
             .orderBy(F.desc("weighted_likes"), "video_id").limit(10))

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.runtime import spread
 from sparkloom.sources.readers import scan_parquet
 
 TABLES = (
@@ -17,11 +16,20 @@ TABLES = (
 
 
 class Tables:
-    """Lazy access to the parquet tables of one folder: ``t.orders``."""
+    """Lazy access to the parquet tables of one folder: ``t.orders``.
 
-    def __init__(self, spark: SparkSession, folder: str):
+    ``spread`` deals documents and vectors into that many partitions by key before
+    work that costs far more than the read.  Give it for tables of a single file,
+    which one task would read and process; tables of many files need none.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, spread: int | None = None):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self.spread = spread
+
+    def _dealt(self, df: DataFrame, key: str) -> DataFrame:
+        return df.repartition(self.spread, key) if self.spread else df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
@@ -30,12 +38,11 @@ class Tables:
 
     @property
     def docs(self) -> DataFrame:
-        """Documents, moved to all cores where the files have too few splits."""
-        return spread(self.documents, "doc_id")
+        return self._dealt(self.documents, "doc_id")
 
     @property
     def vectors(self) -> DataFrame:
-        return spread(self.embeddings, "vec_id")
+        return self._dealt(self.embeddings, "vec_id")
 
 
 @dataclass(frozen=True)

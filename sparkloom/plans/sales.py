@@ -93,15 +93,12 @@ def sales_by_product_and_customer(t: Tables) -> DataFrame:
 
 @query("WITH " + SALE_SQL + """, combos AS (
   SELECT category, n_name AS state_name FROM (SELECT DISTINCT p_type AS category FROM part), nation),
-totals AS (SELECT category, state_name, round(sum(quantity * price), 2) AS sales_total FROM wide
-           WHERE category <> 'PROMO' OR state_name <> 'NATION_3' GROUP BY category, state_name)
+totals AS (SELECT category, state_name, round(sum(quantity * price), 2) AS sales_total FROM wide GROUP BY category, state_name)
 SELECT c.category, c.state_name, coalesce(sales_total, 0.0) AS total_sales
 FROM combos c LEFT JOIN totals t ON c.category = t.category AND c.state_name = t.state_name
 ORDER BY sales_total DESC NULLS LAST""")
 def sales_densified_category_state(t: Tables) -> DataFrame:
-    """One combination is withheld so that a fill value is seen."""
-    rows = wide(t).filter((F.col("category") != "PROMO") | (F.col("state_name") != "NATION_3"))
-    totals = (rows.groupBy("category", "state_name")
+    totals = (wide(t).groupBy("category", "state_name")
               .agg(F.round(F.sum(F.col("quantity") * F.col("price")), 2).alias("total_sales")))
     full = joins.densify(categories(t), states(t), totals, ["category", "state_name"], {"total_sales": 0.0})
     return full.orderBy(F.desc_nulls_last("total_sales"), "category", "state_name")
@@ -152,15 +149,21 @@ m AS (SELECT category, state_name, max(quantity) AS max_qty, max(sales) AS max_s
 """
 
 
+def named_totals(t: Tables) -> DataFrame:
+    """Totals per customer and product with their names: lines are summed by two ids before any string is joined."""
+    sums = sale(t).groupBy("customer_id", "product_id").agg(
+        F.sum("quantity").alias("quantity"), F.sum(F.col("quantity") * F.col("price")).alias("sales"))
+    return sums.join(products(t), "product_id").join(customers(t), "customer_id")
+
+
 def level_one(t: Tables) -> DataFrame:
-    return wide(t).groupBy("category", "state_name", "customer_name", "product_name").agg(
-        F.sum("quantity").alias("quantity"), F.round(F.sum(F.col("quantity") * F.col("price")), 2).alias("sales"))
+    return named_totals(t).groupBy("category", "state_name", "customer_name", "product_name").agg(
+        F.sum("quantity").alias("quantity"), F.round(F.sum("sales"), 2).alias("sales"))
 
 
 @query(LEVEL_SQL + "SELECT * FROM m")
 def max_of_summed_sales(t: Tables) -> DataFrame:
-    rows = wide(t).withColumn("sales", F.col("quantity") * F.col("price"))
-    out = max_of_sums(rows, ["category", "state_name"], ["customer_name", "product_name"],
+    out = max_of_sums(named_totals(t), ["category", "state_name"], ["customer_name", "product_name"],
                       {"quantity": "max_qty", "sales": "max_sales"})
     return out.withColumn("max_sales", F.round("max_sales", 2))
 

@@ -195,12 +195,12 @@ def nonsparse_profile(t: Tables) -> DataFrame:
 
 
 @query("""SELECT year(o_orderdate)::INTEGER AS year, """ + ", ".join(
-    f"round(avg(o_totalprice) FILTER (WHERE c_nationkey = {n}), 4) AS n{n}" for n in range(5)) + " FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 5 GROUP BY 1")
+    f"round(avg(o_totalprice) FILTER (WHERE c_nationkey = {n}), 6) AS n{n}" for n in range(25)) + " FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
 def pivot_year_station(t: Tables) -> DataFrame:
-    rows = t.orders.join(t.customer.filter("c_nationkey < 5"), F.col("o_custkey") == F.col("c_custkey")).select(
+    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
         F.year("o_orderdate").alias("year"), "c_nationkey", "o_totalprice")
-    wide = reshape.pivot_table(rows, "year", "c_nationkey", list(range(5)), "o_totalprice")
-    return wide.select("year", *[F.round(str(n), 4).alias(f"n{n}") for n in range(5)])
+    wide = reshape.pivot_table(rows, "year", "c_nationkey", list(range(25)), "o_totalprice")
+    return wide.select("year", *[F.round(str(n), 6).alias(f"n{n}") for n in range(25)])
 
 
 @query("""SELECT p_partkey, name, value FROM (SELECT p_partkey, 'size' AS name, p_size::DOUBLE AS value FROM part UNION ALL SELECT p_partkey, 'price', p_retailprice FROM part)""")
@@ -268,9 +268,9 @@ def columns_to_vector(t: Tables) -> DataFrame:
     return v.select("p_partkey", F.round(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
-@query("WITH " + REPORT_SQL + """, f AS (SELECT dow, slot, count(*) AS n FROM report WHERE segment_id % 3 = 0 GROUP BY ALL)
+@query("WITH " + REPORT_SQL + """, f AS (SELECT dow, slot, count(*) AS n FROM report GROUP BY ALL)
 SELECT d::INTEGER AS dow, (s * 30)::INTEGER AS slot, (d * 48 + s)::INTEGER AS idx, coalesce(n, 0) AS n
 FROM (SELECT unnest(range(0, 7)) AS d) CROSS JOIN (SELECT unnest(range(0, 48)) AS s) LEFT JOIN f ON dow = d AND slot = s * 30""")
 def time_spine_counts(t: Tables) -> DataFrame:
-    counts = report(t).filter("segment_id % 3 = 0").groupBy("dow", "slot").agg(F.count(F.lit(1)).alias("n"))
+    counts = report(t).groupBy("dow", "slot").agg(F.count(F.lit(1)).alias("n"))
     return reshape.time_spine(t.spark, 30).join(counts, ["dow", "slot"], "left").select("dow", "slot", "idx", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))

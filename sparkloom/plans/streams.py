@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.plans.league import LEAGUE_SQL, matches, teams
 from sparkloom.plans.registry import Tables, query
 from sparkloom.plans.traffic import REPORT_SQL
-from sparkloom.runtime import scratch_path
+from sparkloom.runtime import materialise, scratch_path
 from sparkloom.streaming import buckets, scoreboard
 
 
@@ -17,7 +17,7 @@ def write_change_files(t: Tables, path: str) -> None:
 
     One file per step, written in order, so that the stream reads them in order.
     """
-    m = matches(t).select(F.struct("home", "away", "home_score", "away_score").alias("m"))
+    m = materialise(matches(t), "matches").select(F.struct("home", "away", "home_score", "away_score").alias("m"))
     draft = F.struct(F.col("m.home").alias("home"), F.col("m.away").alias("away"),
                      (F.col("m.home_score") + 1).alias("home_score"), F.col("m.away_score").alias("away_score"))
     extra = F.struct(F.col("m.away").alias("home"), F.col("m.home").alias("away"),
@@ -43,7 +43,6 @@ def stream_scoreboard(t: Tables) -> DataFrame:
 def stream_time_buckets(t: Tables) -> DataFrame:
     """Half-hour statistics of the event stream, equal to the batch form."""
     events = buckets.read_events(t.spark, t.folder, "events.parquet")
-    stats = buckets.bucket_stats(events, 30, "1 hour")
-    out = buckets.run_to_table(stats, scratch_path(t.spark, "buckets"), scratch_path(t.spark, "offsets"))
+    out = buckets.bucket_totals(events, 30, scratch_path(t.spark, "buckets"), scratch_path(t.spark, "offsets"))
     return out.select(F.col("bucket").cast("timestamp_ntz").cast("string").alias("bucket"), "segment_id", "min_level", "max_level",
                       F.round("avg_level", 6).alias("avg_level"), "n")

@@ -47,14 +47,36 @@ def top_kmers(t: Tables) -> DataFrame:
     return text.top_kmers(t.docs, "text", 3, 10)
 
 
+# The alternatives of the tokenizer written out for the SQL side, in order: phone number, address, emoticon either
+# way round, tag, user, hashtag, dashed word, number, word, dots, anything else that is seen.
+_SOCIAL_SQL = (
+    r"(?i)(?:(?:\+?[01][\-\s.]*)?(?:[\(]?\d{3}[\-\s.\)]*)?\d{3}[\-\s.]*\d{4})"
+    r"|http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\(\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
+    r"|(?:[<>]?[:;=8][\-o\*\']?[\)\]\(\[dDpP/\:\}\{@\|\\]|[\)\]\(\[dDpP/\:\}\{@\|\\][\-o\*\']?[:;=8][<>]?)"
+    r"|<[^>]+>|(?:@[\p{L}\p{N}_]+)|(?:#+[\p{L}\p{N}_]+[\p{L}\p{N}_\'\-]*[\p{L}\p{N}_]+)|(?:[a-z][a-z'\-_]+[a-z])"
+    r"|(?:[+\-]?\d+[,/.:-]\d+[+\-]?)|(?:[\p{L}\p{N}_]+)|(?:\.(?:\s*\.)+)|(?:[^\s\p{Z}])")
+
+
 def _token_sql(source: str) -> str:
-    return (rf"list_transform(regexp_extract_all({source}, '{_sql(textfn.SOCIAL)}'), lambda w: "
-            rf"CASE WHEN regexp_matches(w, '(?i){_sql(textfn.URL)}') THEN w ELSE lower(w) END)")
+    return (rf"list_transform(regexp_extract_all({source}, '{_sql(_SOCIAL_SQL)}'), lambda w: "
+            rf"CASE WHEN regexp_matches(w, '(?i)http[s]?://([a-z0-9$-_@.&+!*(),]|%[0-9a-f][0-9a-f])') THEN w ELSE lower(w) END)")
+
+
+# Named references of the Latin-1 block and of markup; &amp; becomes a word.
+_NAMES = {"quot": 34, "lt": 60, "gt": 62, "nbsp": 160, "iexcl": 161, "cent": 162, "pound": 163, "yen": 165, "sect": 167, "copy": 169, "laquo": 171,
+          "reg": 174, "deg": 176, "plusmn": 177, "middot": 183, "raquo": 187, "iquest": 191, "Agrave": 192, "Eacute": 201, "agrave": 224, "aacute": 225,
+          "acirc": 226, "auml": 228, "ccedil": 231, "egrave": 232, "eacute": 233, "ecirc": 234, "iacute": 237, "icirc": 238, "ntilde": 241,
+          "oacute": 243, "ocirc": 244, "ouml": 246, "uacute": 250, "ucirc": 251, "uuml": 252, "szlig": 223, "ndash": 8211, "mdash": 8212, "hellip": 8230, "euro": 8364}
+
 
+def _unescaped(source: str) -> str:
+    for name, code in _NAMES.items():
+        source = f"replace({source}, '&{name};', chr({code}))"
+    return f"replace({source}, '&amp;', ' and ')"
 
-# The pages hold only these references besides &amp;.
-_ENT = "replace(replace(replace(replace(html, '&middot;', chr(183)), '&copy;', chr(169)), '&quot;', '\"'), '&amp;', ' and ')"
-_DOC_ENT = "replace(text, '&amp;', ' and ')"
+
+_ENT = _unescaped("html")
+_DOC_ENT = _unescaped("text")
 
 
 @query(f"SELECT doc_id, len(w) AS n_tokens, md5(array_to_string(w, chr(10))) AS digest FROM (SELECT doc_id, {_token_sql(_DOC_ENT)} AS w FROM documents)")
@@ -75,16 +97,21 @@ _PAIRS_SQL = f"pairs AS (SELECT DISTINCT source, {_GROUP_SQL} AS grp, unnest({_t
 
 def user_groups(t: Tables) -> DataFrame:
     """Group 0..6 of the known users."""
+    return group_of(t.documents.select("source").distinct())
+
+
+def group_of(users: DataFrame) -> DataFrame:
     number = F.regexp_replace("source", "src", "").cast("int")
-    return t.docs.select("source").distinct().withColumn("grp", number % 7).filter(number < 14)
+    return users.withColumn("grp", number % 7).filter(number < 14)
 
 
 @query(f"SELECT grp, count(*) AS n_posts, count(DISTINCT source) AS n_users FROM (SELECT source, {_GROUP_SQL} AS grp FROM documents) GROUP BY grp")
 def posts_by_group(t: Tables) -> DataFrame:
     """Users missing from the lookup fall into group 7."""
-    mapping = user_groups(t).withColumnRenamed("source", "user")
-    tagged = joins.lookup_default(t.docs.select("source"), mapping, "source", "user", "grp", 7)
-    return tagged.groupBy("grp").agg(F.count(F.lit(1)).alias("n_posts"), F.countDistinct("source").alias("n_users"))
+    posts = materialise(t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "posts")  # one row per user
+    mapping = group_of(posts.select("source")).withColumnRenamed("source", "user")
+    tagged = joins.lookup_default(posts, mapping, "source", "user", "grp", 7)
+    return tagged.groupBy("grp").agg(F.sum("n").alias("n_posts"), F.count("source").alias("n_users"))
 
 
 @query("WITH " + _PAIRS_SQL + " SELECT token, count(*) AS n_users FROM pairs GROUP BY token HAVING count(*) >= 5")
@@ -98,25 +125,27 @@ s AS (SELECT grp, token, n_group, n_all, log2(n_group / n_all) AS p FROM g JOIN
 SELECT grp, token, n_group, n_all, round(p, 6) AS popularity, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY grp ORDER BY p DESC, token)::INTEGER AS rank FROM s) WHERE rank <= 10""")
 def relative_popularity(t: Tables) -> DataFrame:
-    mapping = user_groups(t).withColumnRenamed("source", "user")
-    tagged = joins.lookup_default(t.docs.select("source", "text"), mapping, "source", "user", "grp", 7)
-    out = text.relative_popularity(tagged, "source", "grp", "text", 5, 10)
+    out = text.relative_popularity(t.docs.select("source", "text"), "source", materialise(user_groups(t), "groups"), "grp", 7, "text", 5, 10)
     return out.withColumn("popularity", F.round("popularity", 6) + 0.0)
 
 
 CTX_SQL = TOK_SQL + r""", pos AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM
   (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents)),
-v AS (SELECT term FROM dt GROUP BY term ORDER BY sum(count) DESC, term LIMIT 200),
-c AS (SELECT term FROM dt GROUP BY term ORDER BY sum(count) DESC, term LIMIT 50),
+v AS (SELECT term FROM dt GROUP BY term ORDER BY sum(count) DESC, term LIMIT 5000),
+c AS (SELECT term FROM dt GROUP BY term ORDER BY sum(count) DESC, term LIMIT 1000),
 cc AS (SELECT a.word, b.word AS context, count(DISTINCT (a.doc_id, a.p)) AS n
   FROM (SELECT *, unnest([-2, -1, 1, 2]) AS d FROM pos WHERE word IN (SELECT term FROM v)) a
   JOIN pos b ON a.doc_id = b.doc_id AND b.p = a.p + a.d WHERE b.word IN (SELECT term FROM c) GROUP BY ALL)
 """
 
 
+VOCABULARY, CONTEXTS = 5000, 1000
+
+
 def _contexts(t: Tables) -> DataFrame:
-    top = cut_lineage(text.most_common(text.doc_terms(t.docs, "doc_id", "text"), 200))
-    return text.context_counts(t.docs, "text", top, top.orderBy(F.desc("count"), "term").limit(50))
+    tokens = text.token_lists(t.docs, "text")
+    top = cut_lineage(text.most_common_words(tokens, VOCABULARY))
+    return text.context_counts(tokens, top, top.orderBy(F.desc("count"), "term").limit(CONTEXTS))
 
 
 @query("WITH " + CTX_SQL + "SELECT * FROM cc")
@@ -204,7 +233,7 @@ def text_shape(t: Tables) -> DataFrame:
 
 @query(rf"""WITH a AS (SELECT doc_id, len(regexp_extract_all(lower(text), '{_W}')) AS w,
  greatest(1, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: regexp_matches(s, '\S')))) AS s,
- len(regexp_extract_all(lower(text), '{textfn.VOWELS}')) AS y FROM documents)
+ len(regexp_extract_all(lower(text), '[aeiouyàâäéèêëîïôöùûüáíóúñ]+')) AS y FROM documents)
 SELECT doc_id, round(206.835::DOUBLE - 1.015::DOUBLE * (w / s) - 84.6::DOUBLE * (y / nullif(w, 0)), 4) AS flesch,
  round(0.39::DOUBLE * (w / s) + 11.8::DOUBLE * (y / nullif(w, 0)) - 15.59::DOUBLE, 4) AS grade FROM a""")
 def readability(t: Tables) -> DataFrame:

@@ -147,8 +147,8 @@ SELECT event_id, """ + ", ".join(
     f"(EXISTS (SELECT 1 FROM e WHERE title = '{x}' AND ts BETWEEN lo AND hi))::INTEGER AS \"{x}\"" for x in _TITLES)
     + " FROM report")
 def special_event_flags(t: Tables) -> DataFrame:
-    return joins.flag_active_intervals(t.events.select("event_id", "ts"), "event_id", "ts", literal_intervals(t), "title",
-                                       "event_start", "event_end", "1 hour", "1 hour", _TITLES).drop("ts")
+    return joins.flag_active_few(t.events.select("event_id", "ts"), "ts", literal_intervals(t), "title",
+                                 "event_start", "event_end", "1 hour", "1 hour", _TITLES).drop("ts")
 
 
 _GAME_VALUES = ", ".join(f"(TIMESTAMP '{a}', TIMESTAMP '{b}')" for a, b in GAMES)
@@ -276,12 +276,11 @@ def times_covering_80_pct(t: Tables) -> DataFrame:
     return text(sequence.covering(sequence.cumulative_pct(report(t), "bucket", "segment_id"), 80.0))
 
 
-@query("WITH " + REPORT_SQL + """, c AS (SELECT segment_id, count(*) AS n FROM report WHERE level >= 4 AND segment_id % 10 <> 3 GROUP BY 1),
+@query("WITH " + REPORT_SQL + """, c AS (SELECT segment_id, count(*) AS n FROM report GROUP BY 1),
 h AS (SELECT n, count(*) AS e FROM c GROUP BY 1), w AS (SELECT n, sum(e) OVER (ORDER BY e DESC) / sum(e) OVER () AS p FROM h)
 SELECT s.segment_id, coalesce(round(p, 4), 0.0) AS cum_pct FROM segment s LEFT JOIN c ON c.segment_id = s.segment_id LEFT JOIN w ON w.n = c.n""")
 def cumulative_segment_pct_by_freq(t: Tables) -> DataFrame:
-    seen = report(t).filter((F.col("level") >= 4) & (F.col("segment_id") % 10 != 3))
-    return sequence.cumulative_pct_by_freq(seen, segments(t).select("segment_id"), "segment_id")
+    return sequence.cumulative_pct_by_freq(report(t), segments(t).select("segment_id"), "segment_id")
 
 
 @query("WITH " + REPORT_SQL + ", one AS (SELECT * FROM segment WHERE " + _IN_BOX + "), r AS (SELECT report.* FROM report JOIN one USING (segment_id))"

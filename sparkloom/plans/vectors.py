@@ -35,6 +35,14 @@ def pca_total_variance(t: Tables) -> DataFrame:
     return table.agg(F.round(F.sum("eigenvalue"), 6).alias("total_variance"))
 
 
+@query("""WITH v AS (SELECT l_linenumber AS line, round(sum(l_extendedprice), 2) AS value FROM lineitem GROUP BY 1)
+SELECT line, value, round(sum(value) OVER (ORDER BY line) / sum(value) OVER (), 6) AS cum_share FROM v""")
+def running_share(t: Tables) -> DataFrame:
+    """Running share of a short list: the value of all first lines, second lines, and so on."""
+    v = t.lineitem.groupBy(F.col("l_linenumber").alias("line")).agg(F.round(F.sum("l_extendedprice"), 2).alias("value"))
+    return sequence.running_share(v, "line", "value").withColumn("cum_share", F.round("cum_share", 6))
+
+
 @query()
 def pca_components(t: Tables) -> DataFrame:
     """Components with their share and the running share of variance."""
@@ -108,23 +116,20 @@ p AS (SELECT a.user_id AS i, b.user_id AS j, count(*) AS m, sum(a.f)::BIGINT AS
   FROM d a JOIN d b ON a.day = b.day AND a.user_id < b.user_id GROUP BY ALL),
 g AS (SELECT *, (-lgamma(l + 1) - lgamma(n1 - l + 1) - lgamma(n2 - l + 1) - lgamma(m - n1 - n2 + l + 1) - lgamma(m + 1) + lgamma(n1 + 1) + lgamma(m - n1 + 1)
   + lgamma(n2 + 1) + lgamma(m - n2 + 1)) / m AS lp FROM p)
-SELECT i::INTEGER AS i, j::INTEGER AS j, m, n1, n2, l, CASE WHEN m >= 20 THEN round(lp, 6) + 0.0 END AS log_p FROM g""")
+SELECT i, j, m, n1, n2, l, CASE WHEN m >= 20 THEN round(lp, 6) + 0.0 END AS log_p FROM g""")
 def overlap_significance(t: Tables) -> DataFrame:
     return overlaps(t).withColumn("log_p", F.round("log_p", 6) + 0.0)
 
 
 def overlaps(t: Tables) -> DataFrame:
     d = daily_means(t).select(F.col("user_id").alias("e"), "day", (F.col("s") > 40).cast("int").alias("f"))
-    size = d.agg(F.max("e")).first()[0] + 1
-    return linalg.overlap_significance(d, "e", "day", "f", int(size), 20)
+    return linalg.overlap_significance(d, "e", "day", "f", 20)
 
 
 @query()
 def spectral_order(t: Tables) -> DataFrame:
     """Entities ordered by an eigenvector, joined back to their coordinates."""
-    pairs = overlaps(t)
-    size = int(t.events.agg(F.max("user_id")).first()[0]) + 1
-    order = linalg.spectral_order(pairs, size, "log_p")
+    order = linalg.spectral_order(overlaps(t), "log_p")
     return order.join(segments(t), F.col("entity") == F.col("segment_id")).select("segment_id", "lat1", "lon1", "loading", "position")
 
 
@@ -226,9 +231,8 @@ def t_test_paired(t: Tables) -> DataFrame:
 
 @query()
 def t_test_p_values(t: Tables) -> DataFrame:
-    a = linalg.t_test_independent(t.events, "value", F.col("user_id") % 2 == 0).select(F.lit("independent").alias("test"), "dof", "t")
-    b = linalg.t_test_paired(_paired(t), "a", "b").select(F.lit("paired").alias("test"), "dof", "t")
-    return linalg.with_student_p(a.unionByName(b))
+    rows = [("independent", *linalg.t_test_independent_p(t.events, "value", F.col("user_id") % 2 == 0)), ("paired", *linalg.t_test_paired_p(_paired(t), "o_custkey", "a", "b"))]
+    return t.spark.createDataFrame(rows, "test string, t double, p_value double")
 
 
 _CHI_SQL = """WITH o AS (SELECT event_type, user_id % 3 AS g, count(*) AS o FROM events GROUP BY ALL), r AS (SELECT event_type, sum(o) AS r FROM o GROUP BY 1),
@@ -249,7 +253,8 @@ def _chi(t: Tables) -> DataFrame:
 
 @query()
 def chi_square_p_value(t: Tables) -> DataFrame:
-    return linalg.with_chi_square_p(_chi(t))
+    rows = t.events.select("event_type", (F.col("user_id") % 3).alias("g"))
+    return t.spark.createDataFrame([linalg.chi_square_p(rows, "event_type", "g")], "statistic double, dof int, p_value double")
 
 
 # ---- neighbours -------------------------------------------------------------------

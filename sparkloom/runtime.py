@@ -26,8 +26,28 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+_own_folders: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new path in this application's own part of the shared folder, which is deleted when the application ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/sparkloom-{spark.sparkContext.applicationId}"
+    if folder not in _own_folders:
+        _own_folders.add(folder)
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's steps now; results that still read them must be written before."""
+    for folder in [f for f in _own_folders if f.endswith(spark.sparkContext.applicationId)]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _own_folders.discard(folder)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -48,11 +68,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return materialise(df, "step")
 
 
-def rows_at_most(df: DataFrame, limit: int) -> bool:
-    """True if ``df`` holds at most ``limit`` rows; reads no more than needed."""
-    return df.limit(limit + 1).count() <= limit
-
-
 def range_ordered(df: DataFrame, *order: str | Column) -> DataFrame:
     """Range-partition by ``order`` and pin the partition number in ``_part``.
 
@@ -102,12 +117,10 @@ def global_row_number(df: DataFrame, order: list[str | Column], out: str) -> Dat
     )
 
 
-def few_values(df: DataFrame, column: str, limit: int = 1000) -> list:
-    """Sorted distinct values of a column that must be few: a pivot, a class, a cluster."""
-    rows = df.select(column).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} values")
-    return sorted(r[0] for r in rows if r[0] is not None)
+def few_values(df: DataFrame, column: str) -> list:
+    """Sorted distinct values of a column that become columns or models: a pivot, a class, a cluster.  NULL is last."""
+    values = [r[0] for r in df.select(column).distinct().collect()]
+    return sorted(v for v in values if v is not None) + [None] * (None in values)
 
 
 def neighbour_in_order(
@@ -150,14 +163,11 @@ def neighbour_in_order(
     return joined.select(*df.columns, *[near[n].alias(n) for n in columns.values()])
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rebalance a scan with fewer splits than the session has cores.
+def join_keys(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equality join on columns of the same names in which NULL equals NULL.
 
-    A file of one row group is read by one task; work that costs far more than
-    the read (tokenising, distances) is then better moved to all cores.  Large
-    tables have more splits than cores and pass through unchanged.
+    The keys of ``df`` are kept once, so rows with a NULL key are not lost.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, *keys)
-    return df
+    renamed = other.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *[c for c in other.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    return df.join(renamed, on, how).drop(*[f"_key{i}" for i in range(len(keys))])

@@ -76,14 +76,17 @@ def scan_fixed_width(spark: SparkSession, path, specs: list[tuple]) -> DataFrame
 
 
 def scan_per_key_files(spark: SparkSession, folder: str, schema, keep: list[str] | None = None,
-                       omit: list[str] | None = None, header: bool = True) -> DataFrame:
-    """A folder with one delimited file per key; the key is the file's name.
+                       omit: list[str] | None = None, header: bool = True, by_folder: bool = False) -> DataFrame:
+    """A folder with one delimited file per key; the key is the file's name, or ``key=`` in the name of its folder.
 
     The allow and deny lists compare metadata only, so files left out are
     pruned before any line is parsed.
     """
-    df = (spark.read.schema(schema).csv(folder, header=header)
-          .select("*", F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("key")))
+    if by_folder:
+        df = spark.read.schema(f"{schema}, key string").csv(folder, header=header)
+    else:
+        df = (spark.read.schema(schema).csv(folder, header=header)
+              .select("*", F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("key")))
     if keep:
         df = df.filter(F.col("key").isin(keep))
     if omit:

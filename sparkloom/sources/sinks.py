@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.runtime import rows_at_most
+from sparkloom.runtime import global_row_number
 from sparkloom.sources.readers import scan_csv
 
 
@@ -56,9 +56,14 @@ def write_geojson(features: DataFrame, path: str, column: str = "feature") -> No
     features.select(F.to_json(column).alias("value")).write.mode("overwrite").text(path)
 
 
-def feature_collection(features: DataFrame, column: str = "feature", limit: int = 50_000) -> DataFrame:
-    """One FeatureCollection document of a checked, bounded number of features."""
-    if not rows_at_most(features, limit):
-        raise ValueError(f"more than {limit} features: write them line by line")
-    bag = F.array_sort(F.collect_list(F.to_json(column)))
-    return features.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(bag, ","), F.lit("]}")).alias("value"))
+def write_feature_collection(features: DataFrame, path: str, column: str = "feature") -> None:
+    """One FeatureCollection document as a folder of parts.
+
+    Its parts in the order of their names make up the document; every task writes
+    its own stretch, so the number of features is not bounded.
+    """
+    body = global_row_number(features.select(F.to_json(column).alias("value")).withColumn("_id", F.monotonically_increasing_id()), ["value", "_id"], "_at")
+    lines = body.select("_at", F.when(F.col("_at") > 1, F.concat(F.lit(","), "value")).otherwise(F.col("value")).alias("value"))
+    spark = features.sparkSession
+    frame = spark.createDataFrame([(0, '{"type":"FeatureCollection","features":['), (1 << 62, "]}")], "_at bigint, value string")
+    lines.unionByName(frame).repartitionByRange("_at").sortWithinPartitions("_at").select("value").write.mode("overwrite").text(path)

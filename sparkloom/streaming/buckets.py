@@ -1,4 +1,8 @@
-"""Streaming form of the per-bucket level statistics."""
+"""Streaming forms of the per-bucket level statistics.
+
+``bucket_totals`` counts every row; ``bucket_stats`` with ``run_to_table`` or
+``closed_buckets`` bounds its state by a watermark and drops what comes later than it.
+"""
 
 from __future__ import annotations
 
@@ -26,6 +30,28 @@ def bucket_stats(events: DataFrame, minutes: int, lateness: str) -> DataFrame:
         F.col("window.start").alias("bucket"), "segment_id", "min_level", "max_level", "avg_level", "n")
 
 
+def bucket_totals(events: DataFrame, minutes: int, target: str, checkpoint: str) -> DataFrame:
+    """Statistics of all events of a stream, whatever their order and files: equal to the batch form.
+
+    No watermark, so no row is late.  A batch is reduced to mergeable partials under its
+    own number, which a replay overwrites; reading merges the partials.
+    """
+    spark = events.sparkSession
+    keys = ["bucket", "segment_id"]
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(F.window(F.col("ts").cast("timestamp"), f"{minutes} minutes")["start"].alias("bucket"), F.col("user_id").alias("segment_id"),
+                            (1 + F.col("event_id") % 5).cast("int").alias("level"))
+        partial = rows.groupBy(*keys).agg(F.min("level").alias("low"), F.max("level").alias("high"), F.sum("level").alias("total"), F.count("level").alias("known"), F.count(F.lit(1)).alias("n"))
+        partial.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    job = events.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    job.awaitTermination()
+    merged = spark.read.parquet(target).groupBy(*keys)
+    return merged.agg(F.min("low").alias("min_level"), F.max("high").alias("max_level"),
+                      F.try_divide(F.sum("total"), F.sum("known")).alias("avg_level"), F.sum("n").alias("n"))
+
+
 def run_to_table(stats: DataFrame, target: str, checkpoint: str) -> DataFrame:
     """Write every update under its batch number and return the newest row per window.
 

@@ -115,12 +115,56 @@ def test_densify_has_every_combination(tables):
     assert g.filter("level = 0").count() > 0
 
 
-def test_cartesian_bound(spark):
-    a, b = spark.range(3).withColumnRenamed("id", "a"), spark.range(4).withColumnRenamed("id", "b")
-    assert joins.cartesian(a, b).count() == 12
-    assert joins.cartesian(a, b, limit=3).columns == ["a", "b"]  # the smaller side is spread instead
-    with pytest.raises(ValueError):
-        joins.cartesian(a, b, limit=2)
+def test_cartesian_has_every_pair(spark):
+    a, b = spark.range(300).withColumnRenamed("id", "a"), spark.range(40).withColumnRenamed("id", "b")
+    got = joins.cartesian(a, b)
+    assert got.columns == ["a", "b"] and got.count() == got.distinct().count() == 12_000
+    assert joins.cartesian(a, b.limit(0)).count() == 0
+
+
+def test_null_keys_keep_their_rows(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (2, None, 4.0), (3, None, 6.0), (None, "a", 8.0)], "k int, g string, x double")
+    keyed = sequence.attach_dense_key(df, ["k", "g"], "id").collect()
+    assert len(keyed) == 4 and sorted(r.id for r in keyed) == [1, 2, 3, 4]
+    assert sorted((r.k, r.g) for r in sequence.label_encode(df, ["k", "g"]).collect()) == [(0, 1), (1, 1), (2, 0), (3, 0)]
+    assert sequence.label_encode(df, ["k", "g"]).columns and df.count() == evaluate.stratified_folds(df, "x", "g", 2).count()
+    means = {(r.k, r.g): r.mean_x for r in reshape.with_group_means(df, ["g"], ["x"]).collect()}
+    assert means == {(1, "a"): 5.0, (2, None): 5.0, (3, None): 5.0, (None, "a"): 5.0}
+    effects = linalg.two_way_effects(df, "k", "g", "x").first()
+    assert abs(effects.rms_total - math.sqrt(30)) < 1e-9 and effects.rms_minus_row == 0.0
+    assert linalg.chi_square(df, "k", "g", "x").first().dof == 3
+
+
+def test_few_comparisons_in_three_dimensions(spark):
+    rng = np.random.default_rng(2)
+    x = rng.uniform(size=(6000, 3))
+    df = vectors(spark, x)
+    compared = neighbours.knn_join(df, df, "id", "v", 5, block=500, counted=True).first().compared
+    assert compared < 0.1 * len(x) ** 2
+
+
+def test_overlap_of_many_entities(spark):
+    # 20,000 entities with sparse ids, each on three days of its group of ten
+    rows = spark.range(20_000).select((F.col("id") * 1000 + 7).alias("e"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"), "id").select(
+        "e", (F.floor(F.col("id") / 10) * 3 + F.col("k")).alias("d"), ((F.col("id") + F.col("k")) % 2).cast("int").alias("f"))
+    got = linalg.overlap_significance(rows, "e", "d", "f", 3)
+    n, least, most, low, high = got.agg(F.count(F.lit(1)), F.min("m"), F.max("m"), F.min("i"), F.max("j")).first()
+    assert (n, least, most, low, high) == (2000 * 45, 3, 3, 7, 19_999_007)
+    one = got.where("i = 7 and j = 1007").first()
+    assert (one.n1, one.n2, one.l) == (1, 2, 0)
+
+
+def test_spectral_order_equals_dense(spark):
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(150, 150))
+    m = m + m.T
+    m[np.abs(m) < 1] = 0
+    pairs = spark.createDataFrame([(i * 11, j * 11, float(m[i, j])) for i in range(150) for j in range(i, 150)], "i bigint, j bigint, v double")
+    got = linalg.spectral_order(pairs, "v", steps=150).orderBy("entity").collect()
+    values, vecs = np.linalg.eigh(m)
+    want = vecs[:, np.abs(values).argmax()]
+    want = want * np.sign(want[np.abs(want).argmax()])
+    assert np.allclose([r.loading for r in got], want, atol=1e-6)
 
 
 def test_cumulative_share_reaches_hundred(tables):
@@ -257,7 +301,7 @@ def test_aggregates_on_empty_and_null_input(spark):
 
 def test_overlap_formula(spark):
     rows = [(e, d, int((d * (e + 1)) % 3 == 0)) for e in range(3) for d in range(30) if (d + e) % 5]
-    got = linalg.overlap_significance(spark.createDataFrame(rows, "e int, d int, f int"), "e", "d", "f", 3, 10).collect()
+    got = linalg.overlap_significance(spark.createDataFrame(rows, "e int, d int, f int"), "e", "d", "f", 10).collect()
     for r in got:
         a, b = ({d: f for e, d, f in rows if e == x} for x in (r.i, r.j))
         days = a.keys() & b.keys()
@@ -265,3 +309,24 @@ def test_overlap_formula(spark):
         g = lambda n: math.lgamma(n + 1)
         want = (-g(l) - g(n1 - l) - g(n2 - l) - g(m - n1 - n2 + l) - g(m) + g(n1) + g(m - n1) + g(n2) + g(m - n2)) / m
         assert (r.m, r.n1, r.n2, r.l) == (m, n1, n2, l) and r.log_p == pytest.approx(want)
+
+
+@pytest.mark.parametrize("kind, free", [("spherical", 1), ("diagonal", 3), ("full", 6)])
+def test_mixture(spark, kind, free):
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(0, 1, (200, 3)), rng.normal(6, 0.5, (150, 3))])
+    df = spark.createDataFrame([([float(a) for a in v], int(i >= 200)) for i, v in enumerate(x)], "v array<double>, y int").repartition(3)
+    like, n, p, *_ = clusters.fit_mixture(df.select("v"), 3, x[:1], kind)
+    d = x - x.mean(0)
+    cov = {"full": d.T @ d / len(x), "diagonal": np.diag((d * d).mean(0)), "spherical": np.eye(3) * (d * d).mean()}[kind]
+    want = -0.5 * len(x) * (3 * math.log(2 * math.pi) + np.linalg.slogdet(cov)[1]) - 0.5 * np.einsum("ij,jk,ik->", d, np.linalg.inv(cov), d)
+    assert (n, p) == (350, 3 + free) and like == pytest.approx(want, rel=1e-4)
+    r = clusters.mixture_of_classes(df, "v", "y", 3, (kind,)).first()
+    assert r.accuracy == 1.0 and r.bic < p * math.log(n) - 2 * like
+
+
+def test_best_setting_is_refitted(spark):
+    rows = [([float(i % 2), float(i)], i % 2) for i in range(60)]
+    a, b, c = (models.as_points(spark.createDataFrame(rows[i:i + 20], "v array<double>, y int"), "v", "y") for i in (0, 20, 40))
+    got = models.tune_and_refit(a, b, c, {"deep": models.decision_tree("gini", 1), "stump": models.decision_tree("gini", 15)}).collect()
+    assert {r.setting: r.test_error for r in got} == {"deep": 0.0, "stump": None}

@@ -66,3 +66,12 @@ def test_tokens_are_cut_once(tables):
     p = plan(texts.top_kmers(tables))
     assert p.count("regexp_extract_all") <= 2
     assert textfn.WORD and traffic.BOX
+
+
+@pytest.mark.parametrize("name, table", [
+    ("ppmi", "documents"), ("context_counts", "documents"), ("relative_popularity", "documents"), ("weighted_recommend", "lineitem"), ("my_kind_likes", "lineitem"),
+    ("cross_top_report", "lineitem"), ("max_of_summed_sales", "lineitem"), ("two_way_effects", "events"), ("alternating_effects", "events"), ("chi_square", "events"),
+    ("special_event_flags", "events"), ("posts_by_group", "documents"), ("overlap_significance", "events")])
+def test_each_table_is_read_once(tables, name, table):
+    """What is left to run after the steps that were written reads the table at most once."""
+    assert plan(load()[name].run(tables)).count(f"{table}.parquet]") <= 1

@@ -67,8 +67,10 @@ def test_bucketed_tables_join_without_shuffle(spark, tables, tmp_path):
         spark.sql("DROP TABLE b_lines")
 
 
-def test_document_bound(spark):
-    feats = spark.range(3).select(F.struct(F.lit("Feature").alias("type"), F.col("id")).alias("feature"))
-    assert len(json.loads(sinks.feature_collection(feats).first()[0])["features"]) == 3
-    with pytest.raises(ValueError):
-        sinks.feature_collection(feats, limit=2)
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_document_in_parts(spark, tmp_path, n):
+    feats = spark.range(n).select(F.struct(F.lit("Feature").alias("type"), F.col("id")).alias("feature"))
+    path = tmp_path / "document"
+    sinks.write_feature_collection(feats, str(path))
+    whole = "".join(p.read_text() for p in sorted(path.glob("part-*")))
+    assert sorted(f["id"] for f in json.loads(whole)["features"]) == list(range(n))

@@ -1,5 +1,6 @@
 """Streams: state equals the batch result, replays change nothing, late rows are dropped."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators.aggregate import league_points
@@ -37,6 +38,16 @@ def write_events(spark, path, groups):
         rows.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(path)
 
 
+@pytest.mark.parametrize("files, how", [(1, "ts"), (4, "ts"), (16, "event_id"), (5, "value")])
+def test_totals_do_not_depend_on_files(spark, tables, tmp_path, files, how):
+    path = str(tmp_path / "in")
+    placed = tables.events.repartitionByRange(files, how)
+    placed.write.parquet(path)
+    got = buckets.bucket_totals(buckets.read_events(spark, path), 30, str(tmp_path / "out"), str(tmp_path / "cp"))
+    want = buckets.bucket_stats(tables.events, 30, "1 hour")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     path = str(tmp_path / "in")
     # The engine drops rows by the watermark of the batch before, hence a batch in between.

@@ -27,7 +27,7 @@ HEADLINE = [
     "nan_covariance", "project_residuals", "overlap_significance", "box_count_dimension", "nearest_in_space", "cosine_neighbours",
     "knn_euclidean", "metrics_by_cluster", "stratified_folds", "least_squares",
     # models and clusters
-    "gaussian_generative", "gaussian_nb", "decision_tree", "kmeans_inertia", "mixture_choice", "cluster_density", "cluster_profiles",
+    "gaussian_generative", "gaussian_nb", "decision_tree", "kmeans_inertia", "cluster_density", "cluster_profiles",
     # more neighbours, streaming
     "closest_pairs", "knn_manhattan", "spectral_order", "stream_scoreboard", "stream_time_buckets",
 ]

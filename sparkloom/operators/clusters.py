@@ -81,7 +81,13 @@ def _expectation(size: int, weights: np.ndarray, means: np.ndarray, covs: np.nda
     return run
 
 
-def fit_mixture(points: DataFrame, size: int, means: np.ndarray, kind: str, rounds: int = 100, tolerance: float = 1e-6, ridge: float = 1e-6):
+def _add_lists(t: pa.Table) -> pa.Table:
+    v = t["v"].combine_chunks()
+    total = np.asarray(v.flatten()).reshape(len(v), -1).sum(axis=0)
+    return pa.table({"k": t["k"][:1], "v": pa.array([total], pa.list_(pa.float64()))})
+
+
+def fit_mixture(points: DataFrame, size: int, means: np.ndarray, kind: str, rounds: int = 100, tolerance: float = 1e-5, ridge: float = 1e-6):
     """Expectation-maximisation from given means; one pass over ``points`` (one array column) per round.
 
     What reaches the driver is bounded by components times size squared.
@@ -94,11 +100,10 @@ def fit_mixture(points: DataFrame, size: int, means: np.ndarray, kind: str, roun
         covs[:] = spread.mean()
     weights, before = np.full(k, 1 / k), -np.inf
     for _ in range(rounds):
-        parts = points.mapInArrow(_expectation(size, weights, means, covs), "k int, v array<double>").select("k", F.posexplode("v").alias("i", "v"))
-        got = linalg.columns_of(parts.groupBy("k", "i").agg(F.sum("v").alias("v")))
-        width = 1 + size + covs[0].size
-        sums = np.zeros((k + 1, width))
-        sums[got[0] + 1, got[1]] = got[2]
+        parts = points.mapInArrow(_expectation(size, weights, means, covs), "k int, v array<double>").groupBy("k").applyInArrow(_add_lists, "k int, v array<double>")
+        sums = np.zeros((k + 1, 1 + size + covs[0].size))
+        for r in parts.collect():
+            sums[r.k + 1, : len(r.v)] = r.v
         n, like = sums[0, 0], sums[0, 1]
         if like - before < tolerance * abs(like):
             break

@@ -153,11 +153,12 @@ def knn_join(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: in
         raise ValueError(f"metric must be one of {METRICS}")
     want = k if include_self else k + 1
     cols = [F.col(key).cast("bigint").alias(key), F.col(vector).cast("array<double>").alias(vector)]
+    same = queries is corpus
     queries, corpus = queries.select(*cols), corpus.select(*cols)
     centre = choose_pivots(corpus, key, vector, pivots or max(16, math.isqrt(corpus.count())), metric)
     kind = "id bigint, vec array<double>, cell int, reach double"
     cells = materialise(corpus.mapInArrow(_to_cells(key, vector, centre, metric), kind), "cells")
-    asked = materialise(queries.mapInArrow(_to_cells(key, vector, centre, metric), kind), "asked")
+    asked = cells if same else materialise(queries.mapInArrow(_to_cells(key, vector, centre, metric), kind), "asked")
 
     # rings: consecutive stretches of a cell by distance to its pivot, at most about ``block`` points
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("far"))
@@ -177,7 +178,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: in
         rings = rings.join(many, ["cell", "part"]).withColumn("part", F.col("part") * 1_000_000 + F.pmod(F.xxhash64("id"), F.col("_salts")).cast("int")).drop("_salts")
     else:
         rings = cells.withColumn("part", F.lit(0))
-    spans = materialise(rings.groupBy("cell", "part").agg(F.min("reach").alias("low"), F.max("reach").alias("high")), "spans")
+    spans = rings.groupBy("cell", "part").agg(F.min("reach").alias("low"), F.max("reach").alias("high"))
 
     # Own cell first.  Its points around the query's own distance to the pivot bound the k-th distance.
     w = Window.partitionBy("cell").orderBy("reach", "cid")

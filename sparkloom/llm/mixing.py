@@ -102,7 +102,7 @@ class Mixture:
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1),
-    share: float = 1.5, cap: float = 2.0, block_words: int = 128, shard_slots: int = 65536, seed: int = 42, piece_rows: int = 50_000,
+    share: float = 1.5, cap: float = 2.0, block_words: int = 128, shard_slots: int = 65536, seed: int = 42, piece_rows: int = 4_000,
 ) -> Mixture:
     """Plan a mixture of ``share`` times all words.
 

@@ -49,6 +49,21 @@ def test_dense_cloud_loses_no_link(spark, bits, hot):
     assert {n: got.get(n, n) for n in want} == want
 
 
+def test_a_long_chain_is_one_component(spark, monkeypatch):
+    rnd = random.Random(5)
+    chain = [rnd.getrandbits(64)]
+    while len(chain) < 1000:
+        chain.append(chain[-1] ^ sum(1 << i for i in rnd.sample(range(64), rnd.choice([1, 2]))))
+    rounds = []
+    real = simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", lambda df, name: rounds.append(name) or real(df, name))
+    points = sorted({simhash._signed(p) for p in chain})
+    df = spark.createDataFrame([(p,) for p in points], "fp long")
+    got = {r.node: r.label for r in simhash.components(simhash.links(df)).collect()}
+    assert got == {p: points[0] for p in points}
+    assert rounds.count("labels") <= 20
+
+
 def test_empty_table_and_clashing_columns(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, fp int, label int, key int")
     assert simhash.near_duplicates(empty).count() == 0

@@ -44,3 +44,19 @@ def test_a_repetitive_stretch_is_found_by_chunks():
     assert inside and share == 0
     _, share, inside = rules.compression(clean + b"ab " * 8000, rules.Bands(), zip_)
     assert not inside and share > 0.3
+
+
+def test_encoded_noise_is_outside_and_prose_inside():
+    rnd = random.Random(4)
+    zip_ = rules.zstandard.ZstdCompressor(level=3)
+    spaced = lambda s, w: " ".join(s[i : i + w] for i in range(0, len(s), w))
+    inside = lambda s: rules.compression(s.encode(), rules.Bands(), zip_)[2]
+    for n in (300, 383, 500, 600, 767, 1000, 1500, 2000, 2500, 4096, 8000, 12_000, 20_000, 140_000):
+        raw = rnd.randbytes(n)
+        for width in (7, 9, n):
+            assert not inside(spaced(base64.b64encode(raw).decode(), width)[:n]), (n, width)
+            if n >= 5120:
+                assert not inside(spaced(raw.hex(), 2 * width)[:n]), (n, width)
+        assert not inside("".join(chr(rnd.randrange(32, 127)) for _ in range(n))), n
+        assert inside(prose(rnd, n)[:n]), n
+    assert not inside(prose(rnd, 9000)[:32_768] + rnd.randbytes(16_384).hex())  # half of it hexadecimal

@@ -6,8 +6,8 @@ has both), and successive changes of a (pattern, category) become validity inter
 [from, to).  A pattern is a host, which covers its subdomains, or a host with path
 segments, which covers everything below.
 
-A capture asks for its host, every parent domain and every path prefix.  Captures are
-first reduced to distinct (pattern, day) questions, so a host with a third of all
+A capture asks for its host, every parent domain and every path prefix, down to the
+deepest pattern of the list.  Captures are first reduced to distinct (pattern, day) questions, so a host with a third of all
 pages is as many questions as it has days; an as-of join finds the intervals that
 hold on that day; answers are joined back, the most specific pattern first.
 """
@@ -36,7 +36,7 @@ def path(url: Column) -> Column:
     return F.array_remove(F.split(after, "/"), "")
 
 
-def questions(url: Column, segments: int = 2) -> Column:
+def questions(url: Column, segments: int) -> Column:
     """Patterns that would match: the host with its parents (at least two labels), and the host with 1..segments path segments."""
     h, p = host(url), path(url)
     labels = F.split(h, r"\.")
@@ -56,19 +56,20 @@ def intervals(changes: DataFrame) -> DataFrame:
     return steps.where("action = 'add'").select("pattern", "category", F.col("changed").alias("valid_from"), "valid_to")
 
 
-def evaluate(captures: DataFrame, changes: DataFrame, id_col: str = "page_id", url_col: str = "url", fetched_col: str = "fetched", segments: int = 2) -> DataFrame:
+def evaluate(captures: DataFrame, changes: DataFrame, id_col: str = "page_id", url_col: str = "url", fetched_col: str = "fetched") -> DataFrame:
     """(id, host, fetched, blocked, pattern, category, valid_from): one row per capture.
 
     Of several active entries the longest pattern wins, then the first category.  A
     NULL or malformed URL has no host, a NULL date no active entry: both pass.
     Repeated captures are judged alike; empty tables are no special case.
     """
+    active = materialise(intervals(changes), "intervals")
+    segments = active.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
     rows = captures.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(fetched_col).cast("date").alias("fetched"))
     asked = rows.select("id", host(F.col("url")).alias("host"), "fetched", questions(F.col("url"), segments).alias("patterns"))
     # one question set per (url patterns, day), answered once
     sets = materialise(asked.select("patterns", "fetched").dropna().distinct().withColumn("key", F.xxhash64("patterns")), "questions")
     each = sets.select(F.explode("patterns").alias("pattern"), "fetched").distinct()
-    active = intervals(changes)
     hit = each.join(active, "pattern").where("valid_from <= fetched and fetched < valid_to").groupBy("pattern", "fetched").agg(F.min(F.struct("category", "valid_from")).alias("entry"))
     best = sets.select("key", "patterns", "fetched", F.explode("patterns").alias("pattern")).join(hit, ["pattern", "fetched"]).groupBy("key", "patterns", "fetched").agg(
         F.max_by(F.struct("pattern", "entry"), F.struct(F.length("pattern"), "pattern")).alias("found"))

@@ -52,6 +52,14 @@ def test_equals_brute_force(spark):
     assert url_filter.evaluate(c.limit(0), log).count() == 0
 
 
+def test_deep_entries_match(spark):
+    urls = ["http://a.com/p/q/r/s", "http://a.com/p/q/r/s/t?x", "http://a.com/p/q/r", "http://a.com/p/q/r/other", "http://b.org/x/y/z"]
+    c = spark.createDataFrame([(i, u, DAY) for i, u in enumerate(urls)], "page_id long, url string, fetched date")
+    log = spark.createDataFrame([("a.com/p/q/r/s", "spam", "add", DAY), ("a.com/p", "adult", "add", DAY), ("b.org/x/y/z", "spam", "add", DAY)], "pattern string, category string, action string, changed date")
+    got = {r.page_id: (r.pattern, r.category) for r in url_filter.evaluate(c, log).collect()}
+    assert got == {0: ("a.com/p/q/r/s", "spam"), 1: ("a.com/p/q/r/s", "spam"), 2: ("a.com/p", "adult"), 3: ("a.com/p", "adult"), 4: ("b.org/x/y/z", "spam")}
+
+
 def test_no_python_in_the_plan(spark):
     c = spark.createDataFrame([(1, "http://a.b/", DAY)], "page_id long, url string, fetched date")
     log = spark.createDataFrame([("a.b", "x", "add", DAY)], "pattern string, category string, action string, changed date")

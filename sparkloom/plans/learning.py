@@ -307,11 +307,10 @@ def cluster_density(t: Tables) -> DataFrame:
 
 @query()
 def cluster_profiles(t: Tables) -> DataFrame:
-    """Weekly profiles to clusters; segments left out of training go by road type, then by an empty profile."""
+    """Weekly profiles to clusters; segments without reports would go by road type, then by an empty profile."""
     rep = report(t).withColumn("road_type", (F.col("segment_id") % 4).cast("int"))
-    known = rep.filter((F.col("segment_id") % 10 != 7) & (F.col("road_type") != 3))
-    own = reshape.pivot_profile(known, "segment_id", "dow", "slot", "level", 120)
-    by_type = reshape.pivot_profile(known, "road_type", "dow", "slot", "level", 120)
+    own = reshape.pivot_profile(rep, "segment_id", "dow", "slot", "level", 120)
+    by_type = reshape.pivot_profile(rep, "road_type", "dow", "slot", "level", 120)
     model = clusters.cluster_train(own, "segment_id", "vector", 84, 4)
     return clusters.cluster_assign(model, segments(t).select("segment_id", "road_type"), own, by_type, "segment_id", "road_type")
 

@@ -9,7 +9,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import functions as F
 
 from sparkloom.operators import aggregate, clusters, evaluate, joins, linalg, models, neighbours, reshape, select, sequence, text
-from sparkloom.plans import shapes, traffic
+from sparkloom.plans import learning, shapes, traffic
 from sparkloom.runtime import global_row_number, neighbour_in_order, running_total
 
 
@@ -330,3 +330,28 @@ def test_best_setting_is_refitted(spark):
     a, b, c = (models.as_points(spark.createDataFrame(rows[i:i + 20], "v array<double>, y int"), "v", "y") for i in (0, 20, 40))
     got = models.tune_and_refit(a, b, c, {"deep": models.decision_tree("gini", 1), "stump": models.decision_tree("gini", 15)}).collect()
     assert {r.setting: r.test_error for r in got} == {"deep": 0.0, "stump": None}
+
+
+def test_all_reports_teach_the_profile_clusters(tables, monkeypatch):
+    """No segment or road type with reports falls back to another profile."""
+    seen = {}
+    real = clusters.cluster_assign
+
+    def spy(model, entities, own, by_type, entity, kind):
+        seen.update(own={r[0] for r in own.select(entity).collect()}, by_type={r[0] for r in by_type.select(kind).collect()}, entities=entities.collect())
+        return real(model, entities, own, by_type, entity, kind)
+
+    monkeypatch.setattr(clusters, "cluster_assign", spy)
+    got = {r.segment_id for r in learning.cluster_profiles(tables).collect()}
+    assert seen["own"] == got == {r.segment_id for r in seen["entities"]}
+    assert seen["by_type"] == {r.road_type for r in seen["entities"]}
+    assert any(i is not None and i % 10 == 7 for i in got) and 3 in seen["by_type"]
+
+
+def test_profile_clusters_fall_back_to_the_type_then_to_an_empty_profile(spark):
+    model = clusters.ProfileClusters(np.zeros(2), np.ones(2), np.eye(2), np.array([[0.0, 0.0], [10.0, 0.0], [0.0, 10.0]]))
+    entities = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, None)], "id int, kind int")
+    own = spark.createDataFrame([(1, [9.0, 0.0])], "id int, vector array<double>")
+    by_type = spark.createDataFrame([(0, [0.0, 9.0])], "kind int, vector array<double>")
+    got = clusters.cluster_assign(model, entities, own, by_type, "id", "kind")
+    assert {r.id: r.cluster for r in got.collect()} == {1: 1, 2: 2, 3: 0, 4: 0}

@@ -355,17 +355,3 @@ def test_profile_clusters_fall_back_to_the_type_then_to_an_empty_profile(spark):
     by_type = spark.createDataFrame([(0, [0.0, 9.0])], "kind int, vector array<double>")
     got = clusters.cluster_assign(model, entities, own, by_type, "id", "kind")
     assert {r.id: r.cluster for r in got.collect()} == {1: 1, 2: 2, 3: 0, 4: 0}
-
-
-def test_power_iteration_has_converged(tables, monkeypatch):
-    """Four times as many iterations give the same groups."""
-    def groups():
-        found = {}
-        for r in learning.cluster_spectral(tables).collect():
-            found.setdefault(r.cluster, set()).add(r.id)
-        return sorted(map(sorted, found.values()))
-
-    got = groups()
-    real = clusters.PowerIterationClustering
-    monkeypatch.setattr(clusters, "PowerIterationClustering", lambda maxIter, **kw: real(maxIter=400, **kw))
-    assert got == groups()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat_format, classifier, decontaminate, langid, mixing, quality_rules, simhash, suffix_dedup, url_filter, warc
+from sparkloom.llm import chat_format, classifier, decontaminate, divergence, forced_bpe, hard_negatives, langid, mixing, quality_rules, simhash, suffix_dedup, url_filter, warc
 from sparkloom.llm.common import fold, table
 from sparkloom.runtime import scratch_path
 
@@ -91,6 +91,22 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = forced_bpe.decode(forced_bpe.encode(table(spark, sf_dir, "documents")))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return read.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), anchors=F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_array_dedup,
     op2_chat_formatting,
@@ -102,6 +118,9 @@ QUERIES = {f.__name__: f for f in (
     op8_simhash_near_dedup,
     op9_source_mixing,
     op10_quality_classifier,
+    op11_forced_boundary_bpe,
+    op12_source_divergence,
+    op13_hard_negatives,
 )}
 
 
@@ -186,4 +205,36 @@ of as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item
 select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(c.n_hit, 0) as bigint) as n_hit, cast(coalesce(o.n_items, 0) as bigint) as n_items,
   sha256(coalesce(o.ids, '')) as items_sha256, coalesce(c.n_hit, 0) > 0 and 20 * coalesce(c.n_hit, 0) >= len(d.w) as contaminated
 from doc d left join covered c on c.doc_id = d.doc_id left join of o on o.doc_id = d.doc_id""",
+    "op12_source_divergence": r"""
+with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as row,
+    unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+kept as (select lang, term, count(*) as n from d group by lang, term having count(distinct row) >= 10),
+grp as (select distinct coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+cnt as (select d.lang, d.source, d.term, count(*) as n from d join kept k on k.lang = d.lang and k.term = d.term group by all),
+vs as (select g.lang, (select count(*) from kept k where k.lang = g.lang) as v, (select coalesce(sum(n), 0) from kept k where k.lang = g.lang) as size from (select distinct lang from grp) g),
+gs as (select g.lang, g.source, vs.v, coalesce(sum(c.n), 0) as size from grp g join vs on vs.lang = g.lang left join cnt c on c.lang = g.lang and c.source = g.source group by all),
+price as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + cast(1000000000 as hugeint) * (coalesce(c.n, 0) + 2) // (g.size + 2 * g.v) as p,
+    1 + cast(1000000000 as hugeint) * (k.n + 2) // (vs.size + 2 * vs.v) as q
+  from gs g join kept k on k.lang = g.lang join vs on vs.lang = g.lang left join cnt c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+sums as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value from price a join price b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+found as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0) as value
+  from grp a join grp b on a.lang = b.lang and a.source <> b.source left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source
+  union all select lang, source, 'term', term, (p - q) * (p - q) // (p + q) from price where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from found)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank from ranked where part = 'pair' or rank <= 10""",
+    "op13_hard_negatives": """
+with r as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings where label is not null and vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_dot_product(a.v, b.v) as bigint) as score
+  from r a join r b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+pos as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+neg as (
+  select p.anchor_id, p.positive_id, s.vec_id as negative_id, p.positive_score, s.score as negative_score,
+    row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id) as rank
+  from pos p join s on s.anchor_id = p.anchor_id and not s.same and 30 * p.positive_score <= 100 * s.score and 100 * s.score <= 90 * p.positive_score)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from neg where rank <= 10""",
 }

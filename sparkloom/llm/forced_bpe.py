@@ -5,10 +5,11 @@ crosses a pair of symbols that stands in no token: such a pair is a certain cut.
 pairs come from the merges themselves (every token spelt in base symbols), the texts
 are cut there, each fragment is encoded on its own, and the ids are strung together.
 
-Cuts are made in three steps.  ASCII white space is in no token, and what stands
-between it is normalised alike alone or in its text, so texts fall into chunks there;
-special tokens and the pattern cut a chunk into words; forbidden pairs cut words into
-fragments.  Ids of short chunks and fragments are kept by each worker, up to a bound.
+Cuts are made in three steps: special tokens cut a text, the pattern of the file cuts
+what lies between them into words, forbidden pairs cut words into fragments.  All new
+words of a batch are one stream of symbols, cut at once, and their short fragments are
+merged side by side, one merge of each per round.  Words are kept by each worker with
+their ids, up to a bound.
 """
 
 from __future__ import annotations
@@ -16,25 +17,25 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PATH = "/opt/tokenizers/word_bpe_49k.json"
 
-_SPACE = re.compile(r"[ \t-\r]+")
-# fixed values: the pattern of the vocabulary, and what it comes to in lower-case ASCII without white space
+# fixed value: the pattern of the vocabulary
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
-_SHORT, _HELD = 48, 1 << 19  # symbols of what is kept, entries kept at once
-_BATCH = 1 << 21  # ids in a batch of results
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")  # the same in lower-case ASCII
+_WIDE = regex.compile(_PATTERN)
+_SHORT, _HELD = 48, 1 << 18  # symbols of fragments merged side by side, words kept at once
+_BATCH = 1 << 20  # letters encoded at once
 
 
 def _letters() -> list[str]:
@@ -64,6 +65,8 @@ class Codec:
         patterns = [p["pattern"].get("Regex") for p in spec["pre_tokenizer"].get("pretokenizers", []) if p["type"] == "Split"]
         changes = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         self._known = patterns == [_PATTERN] and changes == ["NFC", "Replace", "Lowercase"]
+        self._agreed: set[str] = set()
+        self._odd: set[str] = set()
         letters = _letters()
         self._bytes = {c: i for i, c in enumerate(letters)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -80,43 +83,64 @@ class Codec:
         spelt.update((i, (i,)) for i in vocab.values() if i not in made)
         for (a, b), rank in self.ranks.items():  # in the order of ranks, so parts come first
             spelt.setdefault(self.new[rank], spelt[a] + spelt[b])
-        self.first = [vocab[c] for c in letters]  # base symbol of each byte, inside and at the end of a word
-        self.last = [vocab[c + end] for c in letters]
-        #: pairs of base symbols that stand side by side in some token; every other pair is a certain cut
-        self.inside = {pair for s in spelt.values() for pair in zip(s, s[1:])}
+        self.first = np.array([vocab[c] for c in letters], np.int32)  # base symbol of each byte, inside and at the end of a word
+        self.last = np.array([vocab[c + end] for c in letters], np.int32)
+        #: for pairs of bytes, the second inside or at the end of a word: whether they stand side by side in some token; any other pair is a certain cut
+        self.inside = np.zeros((2, 256, 256), bool)
+        byte = {int(i): (0, b) for b, i in enumerate(self.first)} | {int(i): (1, b) for b, i in enumerate(self.last)}
+        for s in spelt.values():
+            for x, y in zip(s, s[1:]):
+                self.inside[byte[y][0], byte[x][1], byte[y][1]] = True
+        pairs = np.array([(a << 32) + b for a, b in self.ranks], np.int64)
+        order = np.argsort(pairs)
+        self._pairs, self._pair_ranks, self._new = pairs[order], np.arange(len(pairs), dtype=np.int32)[order], np.array(self.new, np.int32)
 
         names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.names = pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
-        self._chunks: dict[str, bytes] = {}
-        self._kept: dict[bytes, bytes] = {}
-
-    def fragments(self, word: bytes) -> list[list[int]]:
-        """Base symbols of a word, cut at every pair that stands in no token."""
-        first = self.first
-        symbols = [first[b] for b in word[:-1]]
-        symbols.append(self.last[word[-1]])
-        inside = self.inside
-        cuts = [i for i, p in enumerate(zip(symbols, symbols[1:]), 1) if p not in inside]
-        return [symbols[a:b] for a, b in zip([0, *cuts], [*cuts, len(symbols)])] if cuts else [symbols]
-
-    def merge(self, ids: list[int]) -> list[int]:
-        """Merges of a fragment in the order of rank, then place."""
-        if len(ids) > _SHORT:
-            return self._merge_long(ids)
-        get, new, none = self.ranks.get, self.new, len(self.new)
-        ranks = [get(p, none) for p in zip(ids, ids[1:])]
-        while ranks and (best := min(ranks)) < none:
-            i = ranks.index(best)
-            ids[i : i + 2] = [new[best]]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = get((ids[i], ids[i + 1]), none)
-            if i:
-                ranks[i - 1] = get((ids[i - 1], ids[i]), none)
+        self._kept: dict[str, bytes] = {}
+
+    def fragments(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(base symbols, starts of fragments, starts of words) of words strung together, cut at every pair that stands in no token."""
+        stream = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum([len(w) for w in words])
+        final = np.zeros(len(stream), np.int8)
+        final[ends - 1] = 1
+        cut = np.ones(len(stream), bool)
+        cut[1:] = (final[:-1] == 1) | ~self.inside[final[1:], stream[:-1], stream[1:]]
+        return np.where(final == 1, self.last[stream], self.first[stream]), np.flatnonzero(cut), np.r_[0, ends[:-1]]
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = (a.astype(np.int64) << 32) + b
+        at = np.minimum(np.searchsorted(self._pairs, key), len(self._pairs) - 1)
+        return np.where(self._pairs[at] == key, self._pair_ranks[at], len(self.new)).astype(np.int32)
+
+    def merge(self, ids: np.ndarray) -> np.ndarray:
+        """Merges of many fragments in the order of rank, then place: a row each, filled up with -1."""
+        ids = ids.copy()
+        none, columns = len(self.new), np.arange(ids.shape[1] - 1)
+        ranks = self._rank(ids[:, :-1], ids[:, 1:])
+        open_ = np.arange(len(ids) if len(columns) else 0)
+        while len(open_):
+            r = ranks[open_]
+            at = r.argmin(axis=1)
+            best = r[np.arange(len(r)), at]
+            go = best < none
+            open_, r, at, best = open_[go], r[go], at[go], best[go]
+            x, n = ids[open_], np.arange(len(open_))
+            behind = columns > at[:, None]
+            x[:, :-1] = np.where(behind, x[:, 1:], x[:, :-1])
+            x[:, -1] = -1
+            x[n, at] = self._new[best]
+            r[:, :-1] = np.where(behind[:, :-1], r[:, 1:], r[:, :-1])
+            r[:, -1] = none
+            r[n, at] = self._rank(x[n, at], x[n, at + 1])
+            left = np.flatnonzero(at)
+            r[left, at[left] - 1] = self._rank(x[left, at[left] - 1], x[left, at[left]])
+            ids[open_], ranks[open_] = x, r
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
-        """The same through a heap, so the time of a fragment of any length grows with it and its logarithm."""
+        """The same of one long fragment through a heap, so its time grows with its length and its logarithm."""
         ranks, size = self.ranks, len(ids)
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
         heap = [(ranks[p], i, *p) for i, p in enumerate(zip(ids, ids[1:])) if p in ranks]
@@ -137,46 +161,72 @@ class Codec:
                 heapq.heappush(heap, (ranks[pair], h, *pair))
         return [i for i in ids if i >= 0]
 
-    def _word(self, word: bytes) -> bytes:
-        """Ids of a word as 32-bit numbers."""
-        packed = self._kept.get(word)
-        if packed is None:
-            packed = array("i", [i for part in self.fragments(word) for i in self.merge(part)]).tobytes()
-            if len(word) <= _SHORT:
-                if len(self._kept) >= _HELD:
-                    self._kept.clear()
-                self._kept[word] = packed
-        return packed
-
-    def words(self, text: str) -> list[bytes]:
-        """Bytes of the words that the normaliser and the pattern of the file make of a text without special tokens."""
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words as 32-bit numbers."""
+        symbols, starts, word_starts = self.fragments([w.encode() for w in words])
+        sizes = np.diff(np.r_[starts, len(symbols)])
+        flat = np.full(len(symbols), -1, np.int32)  # the ids of a fragment from its start on
+        for low, high in ((0, 8), (8, 16), (16, _SHORT)):
+            own = np.flatnonzero((sizes > low) & (sizes <= high))
+            if len(own):
+                at = starts[own, None] + np.arange(high)
+                there = np.arange(high) < sizes[own, None]
+                flat[at[there]] = self.merge(np.where(there, symbols[np.minimum(at, len(symbols) - 1)], -1))[there]
+        for i in np.flatnonzero(sizes > _SHORT):
+            ids = self._merge_long(symbols[starts[i] : starts[i] + sizes[i]].tolist())
+            flat[starts[i] : starts[i] + len(ids)] = ids
+        kept = flat >= 0
+        ids, ends = flat[kept], np.r_[np.cumsum(kept)[word_starts[1:] - 1], kept.sum()].tolist()
+        return {w: ids[a:b].tobytes() for w, a, b in zip(words, [0, *ends], ends)}
+
+    def _alike(self, text: str) -> bool:
+        """Whether the pattern means the same here and in the library for all characters of a text; each is asked once."""
+        new = set(text) - self._agreed
+        for c in new:
+            kind = "letter" if regex.match(r"\p{L}", c) else "number" if regex.match(r"\p{N}", c) else "space" if regex.match(r"\s", c) else "other"
+            # a letter joins the letter before, all but spaces and numbers join the sign behind
+            want = {"letter": [(0, 2), (2, 3)], "number": [(0, 1), (1, 2), (2, 3)], "space": [(0, 1), (2, 3)], "other": [(0, 1), (1, 3)]}[kind]
+            (self._agreed if [at for _, at in self._split(f"a{c}#")] == want else self._odd).add(c)
+        return not self._odd or self._odd.isdisjoint(new)
+
+    def words(self, text: str) -> list[str]:
+        """The words that the normaliser and the pattern of the file make of a text without special tokens."""
         if self._known and text.isascii():
-            return [w.encode() for w in _ASCII.findall(text.lower())]
+            return _ASCII.findall(text.lower())
+        text = self._normalise(text)
+        if self._known and self._alike(text):
+            return _WIDE.findall(text)
         own = self._bytes
-        return [bytes(map(own.__getitem__, w)) for w, _ in self._split(self._normalise(text)) if w]
-
-    def _plain(self, text: str) -> bytes:
-        return b"".join([self._word(w) for w in self.words(text)])
-
-    def _chunk(self, chunk: str) -> bytes:
-        """Ids of what stands between white space, with the special tokens in it."""
-        if self._specials and self._specials.search(chunk):
-            parts, at = [], 0
-            for m in self._specials.finditer(chunk):
-                parts += [self._plain(chunk[at : m.start()]), array("i", [self.special[m[0]]]).tobytes()]
+        return [bytes(map(own.__getitem__, w)).decode() for w, _ in self._split(text) if w]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        parts: list[list[bytes | list[str]]] = []  # of each text: ids of special tokens, and words between them
+        for text in texts:
+            own, at = [], 0
+            for m in self._specials.finditer(text) if self._specials else ():
+                own += [self.words(text[at : m.start()]), np.array([self.special[m[0]]], "i4").tobytes()]
                 at = m.end()
-            packed = b"".join([*parts, self._plain(chunk[at:])])
-        else:
-            packed = self._plain(chunk)
-        if len(chunk) <= _SHORT:
-            if len(self._chunks) >= _HELD:
-                self._chunks.clear()
-            self._chunks[chunk] = packed
-        return packed
-
-    def encode(self, text: str) -> np.ndarray:
-        held, make = self._chunks, self._chunk
-        return np.frombuffer(b"".join([held[c] if c in held else make(c) for c in _SPACE.split(text) if c]), "i4")
+            parts.append([*own, self.words(text[at:] if at else text)])
+        held = self._kept
+        new = {w for own in parts for p in own if isinstance(p, list) for w in p if w not in held}
+        if len(held) + len(new) > _HELD:
+            used = {w for own in parts for p in own if isinstance(p, list) for w in p if w in held}
+            self._kept = held = {w: held[w] for w in used}
+        if new:
+            held.update(self._learn(list(new)))
+        return [np.frombuffer(b"".join([p if isinstance(p, bytes) else b"".join([held[w] for w in p]) for p in own]), "i4") for own in parts]
+
+    def decode(self, lists: pa.ListArray) -> pa.Array:
+        """The text of each list of ids."""
+        flat = lists.flatten()
+        known = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(self.names))), False)
+        words = self.names.take(pc.if_else(known, flat, pa.scalar(None, flat.type)))
+        here = pc.is_valid(words).to_numpy(zero_copy_only=False)
+        before = np.r_[0, np.cumsum(here)]
+        ends = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())]
+        parts = pa.LargeListArray.from_arrays(pa.array(before[ends], pa.int64()), words.filter(pa.array(here)).cast(pa.large_string()))
+        text = pc.binary_join(parts, pa.scalar(" ", pa.large_string()))
+        return pc.if_else(pc.is_valid(lists), text, pa.scalar(None, pa.large_string())).cast(pa.string())
 
 
 @lru_cache(maxsize=2)
@@ -188,31 +238,37 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(r) for r in rows])], pa.int32()), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32), pa.int32()))
 
 
-def encode(docs: DataFrame, path: str = PATH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str = PATH, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """(doc_id, ids): the token ids of every whole text, one row per input row.
 
     As the tokenizers library encodes without added special tokens: those that stand
     in a text are found as they are written.  A NULL or empty text, and one of white
     space only, has no ids.  Repeated rows and NULL ids are rows like others, an empty
     table gives an empty result, other columns are ignored.  ``path`` must exist on
-    every executor.
+    every executor.  ``decoded`` adds ``text``, decoded from the ids, in the same pass.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
+
+        def batch(names, rows):
+            ids = _lists(rows)
+            return pa.RecordBatch.from_pydict({"doc_id": pa.array(names, pa.int64()), "ids": ids} | ({"text": own.decode(ids)} if decoded else {}))
+
         for b in batches:
-            names, rows, held = [], [], 0
+            names, texts, held = [], [], 0
             for i, t in zip(b.column(0), b.column(1)):
                 names.append(i.as_py())
-                rows.append(own.encode(t.as_py() or ""))
-                held += len(rows[-1])
+                texts.append(t.as_py() or "")
+                held += len(texts[-1])
                 if held >= _BATCH:
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _lists(rows)], names=["doc_id", "ids"])
-                    names, rows, held = [], [], 0
+                    yield batch(names, own.encode(texts))
+                    names, texts, held = [], [], 0
             if names:
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _lists(rows)], names=["doc_id", "ids"])
+                yield batch(names, own.encode(texts))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return read.mapInArrow(run, "doc_id long, ids array<int>" + (", text string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, path: str = PATH, ids_col: str = "ids") -> DataFrame:
@@ -226,19 +282,7 @@ def decode(encoded: DataFrame, path: str = PATH, ids_col: str = "ids") -> DataFr
     at = kept.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
         for b in batches:
-            lists = b.column(at)
-            flat = lists.flatten()
-            known = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(own.names))), False)
-            words = own.names.take(pc.if_else(known, flat, pa.scalar(None, flat.type)))
-            here = pc.is_valid(words).to_numpy(zero_copy_only=False)
-            before = np.r_[0, np.cumsum(here)]
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
-            ends = np.r_[0, np.cumsum(sizes)]
-            parts = pa.LargeListArray.from_arrays(pa.array(before[ends], pa.int64()), words.filter(pa.array(here)))
-            text = pc.binary_join(parts.cast(pa.large_list(pa.large_string())), pa.scalar(" ", pa.large_string()))
-            text = pc.if_else(pc.is_valid(lists), text, pa.scalar(None, pa.large_string()))
-            yield pa.RecordBatch.from_arrays([*b.columns, text.cast(pa.string())], names=[*kept, "text"])
+            yield pa.RecordBatch.from_arrays([*b.columns, codec(path).decode(b.column(at))], names=[*kept, "text"])
 
     return encoded.select(*kept).mapInArrow(run, schema)

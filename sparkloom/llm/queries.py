@@ -92,7 +92,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = forced_bpe.decode(forced_bpe.encode(table(spark, sf_dir, "documents")))
+    read = forced_bpe.encode(table(spark, sf_dir, "documents"), decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return read.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.linalg import pair_moments
 from sparkloom.runtime import materialise
 
 
-
 def sales_by(sale: DataFrame, keys: list[str], items: str, sales: str) -> DataFrame:
     return sale.groupBy(*keys).agg(F.sum("quantity").alias(items),
                                    F.round(F.sum(F.col("quantity") * F.col("price")), 2).alias(sales))
@@ -148,13 +148,10 @@ def null_report(df: DataFrame) -> DataFrame:
 
 
 def pairwise(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Sample covariance and Pearson correlation of every column pair, one pass."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    packed = df.agg(*[F.struct(F.covar_samp(a, b).alias("cov"), F.corr(a, b).alias("corr")).alias(f"p{i}")
-                      for i, (a, b) in enumerate(pairs)])
-    rows = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"p{i}").alias("s"))
-                     for i, (a, b) in enumerate(pairs)])
-    return packed.select(F.explode(rows).alias("r")).select("r.x", "r.y", "r.s.cov", "r.s.corr")
+    """Sample covariance and Pearson correlation of every column pair (x, y), by sums of products of whole rows."""
+    found = pair_moments(df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("v")), "v", len(columns))
+    names = F.lit(list(columns))
+    return found.select(names[F.col("i")].alias("x"), names[F.col("j")].alias("y"), "cov", "corr")
 
 
 def moments(df: DataFrame, column: str, shares: tuple[float, ...] = (0.001, 0.01, 0.99, 0.999),

@@ -1,22 +1,24 @@
-"""Clustering: k-means from pyspark.ml, mixtures by sums per partition, grid DBSCAN, and the choice by name."""
+"""Clustering: k-means from pyspark.ml and by batches, mixtures by sums per partition, grid DBSCAN, spectral, and the choice by name."""
 
 from __future__ import annotations
 
 import itertools
 import math
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import BisectingKMeans, KMeans, PowerIterationClustering
+from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators import linalg, reshape
+from sparkloom.operators.eigen import leading_vectors
 from sparkloom.operators.linalg import matrix_of
 from sparkloom.operators.neighbours import knn_join
-from sparkloom.runtime import cut_lineage
+from sparkloom.runtime import cut_lineage, materialise, scratch_path
 
 
 def _scatter(points: DataFrame) -> tuple[int, int, np.ndarray]:
@@ -124,13 +126,18 @@ def _criteria(like: float, n: int, p: int) -> tuple[float, float, float]:
     return like, 2.0 * p - 2 * like, p * math.log(n) - 2 * like
 
 
-def mixture_choice(df: DataFrame, key: str, vector: str, size: int, counts: list[int], kinds: tuple[str, ...]) -> DataFrame:
-    """AIC and BIC of Gaussian mixtures; they start at rows that come first by a hash of the key."""
-    points = df.select(F.col(vector).cast("array<double>").alias("v")).filter(F.size("v") == size).persist()
-    start = np.array([r[0] for r in df.orderBy(F.xxhash64(key), key).limit(max(counts)).select(F.col(vector).cast("array<double>")).collect()])
-    rows = [(kind, k, *_criteria(*fit_mixture(points, size, start[:k], kind)[:3])) for kind in kinds for k in counts if k <= len(start)]
-    points.unpersist()
-    return df.sparkSession.createDataFrame(rows, "covariance string, k int, log_likelihood double, aic double, bic double")
+def mixture_choice(df: DataFrame, key: str, vector: str, size: int, counts: list[int], kinds: tuple[str, ...], starts: int = 2) -> DataFrame:
+    """AIC and BIC of Gaussian mixtures; of ``starts`` seeded starts the likeliest is kept."""
+    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.size("v") == size).persist()
+    seeds = [(k, s) for k in counts for n in range(starts if k > 1 else 1) if len(s := seed_centres(rows, size, k, 7 + n)) == k]
+    with ThreadPool(4) as pool:  # fits are separate chains of jobs
+        found = pool.starmap(lambda kind, k, s: (kind, k, fit_mixture(rows.select("v"), size, s, kind)[:3]), [(kind, *s) for kind in kinds for s in seeds])
+    rows.unpersist()
+    best = {}
+    for kind, k, fit in found:
+        best[kind, k] = max(best.get((kind, k), fit), fit, key=lambda r: r[0])
+    out = [(*name, *_criteria(*fit)) for name, fit in best.items()]
+    return df.sparkSession.createDataFrame(sorted(out), "covariance string, k int, log_likelihood double, aic double, bic double")
 
 
 def mixture_of_classes(df: DataFrame, vector: str, label: str, size: int, kinds: tuple[str, ...]) -> DataFrame:
@@ -221,24 +228,27 @@ def _nearest_core(eps: float):
     return run
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame, counted: list | None = None) -> DataFrame:
     """Smallest node name reachable from each node: ``node, root``.
 
-    Labels spread along edges and then jump to the label of their label, so the
-    number of rounds grows with the logarithm of a chain's length.
+    A round takes the smallest label around a node, hands it to the node's old label as
+    well, so that whole trees hook onto each other, and then the label of the label.
+    Rounds grow with the logarithm of a chain (1,000 nodes in random order: about ten).
+    ``counted`` gets an entry for each round.
     """
     both = cut_lineage(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut_lineage(nodes.select("node", F.col("node").alias("root")))
     while True:
-        spread = both.join(labels, both.a == labels.node).groupBy(F.col("b").alias("node")).agg(F.min("root").alias("near"))
-        step = labels.join(spread, "node", "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("new"))
-        jump = step.select(F.col("node").alias("_n"), F.col("new").alias("_j"))
-        nxt = step.join(jump, F.col("new") == F.col("_n"), "left").select("node", "root", F.least("new", F.coalesce("_j", "new")).alias("new"))
-        nxt = cut_lineage(nxt)
-        changed = nxt.filter(F.col("root") != F.col("new")).limit(1).count()
-        labels = nxt.select("node", F.col("new").alias("root"))
-        if not changed:
-            return labels
+        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        step = cut_lineage(labels.join(near, "node", "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root")))
+        hooks = step.groupBy(F.col("old").alias("node")).agg(F.min("root").alias("hook"))
+        step = step.join(hooks, "node", "left").select("node", "old", F.least("root", F.coalesce("hook", "root")).alias("root"))
+        jump = step.select(F.col("node").alias("_n"), F.col("root").alias("_j"))
+        labels = cut_lineage(step.join(jump, step.root == jump._n, "left").select("node", "old", F.least("root", F.coalesce("_j", "root")).alias("root")))
+        if counted is not None:
+            counted.append(1)
+        if labels.where("root <> old").isEmpty():
+            return labels.select("node", "root")
 
 
 def dbscan(df: DataFrame, key: str, vector: str, dims: int, eps: float, least: int, block: int = 5000) -> DataFrame:
@@ -303,18 +313,184 @@ def dbscan(df: DataFrame, key: str, vector: str, dims: int, eps: float, least: i
     return rows.select("id", "home", "v").join(spots, ["home", "v"]).select("id", "cluster")
 
 
-def spectral_clusters(df: DataFrame, key: str, vector: str, k: int, neighbours: int = 10) -> DataFrame:
-    """Power iteration on the graph of nearest neighbours; only k edges per row exist."""
-    near = knn_join(df, df, key, vector, neighbours, include_self=False)
-    edges = near.select(F.least("qid", "cid").alias("src"), F.greatest("qid", "cid").alias("dst"), (1 / (1 + F.col("distance"))).alias("weight"))
-    edges = edges.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
-    found = PowerIterationClustering(k=k, maxIter=15, weightCol="weight").assignClusters(edges)
-    return found.select("id", F.col("cluster").cast("bigint").alias("cluster"))
+def neighbour_graph(df: DataFrame, key: str, vector: str, neighbours: int) -> tuple[DataFrame, DataFrame]:
+    """(cells, nodes) of half the identity plus half the normalised graph of nearest neighbours; its eigenvalues lie in [0, 1]."""
+    near = materialise(knn_join(df, df, key, vector, neighbours, include_self=False), "neighbours")
+    pairs = near.select(F.least("qid", "cid").alias("i"), F.greatest("qid", "cid").alias("j"), (1 / (1 + F.col("distance"))).alias("w"))
+    pairs = pairs.groupBy("i", "j").agg(F.max("w").alias("w"))
+    both = materialise(pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")), "graph")
+    degree = both.groupBy("i").agg(F.sum("w").alias("d"))
+    scaled = both.join(degree, "i").join(degree.select(F.col("i").alias("j"), F.col("d").alias("e")), "j").select("i", "j", (F.col("w") / F.sqrt(F.col("d") * F.col("e")) / 2).alias("v"))
+    nodes = df.select(F.col(key).cast("bigint").alias("node")).distinct()
+    return scaled.unionByName(nodes.select(F.col("node").alias("i"), F.col("node").alias("j"), F.lit(0.5).alias("v"))), nodes
+
+
+def spectral_clusters(df: DataFrame, key: str, vector: str, k: int, neighbours: int = 10, tolerance: float = 1e-5, seed: int = 7) -> DataFrame:
+    """k-means on the leading eigenvectors of the neighbour graph, each row scaled to length one: ``id, cluster``.
+
+    Only ``neighbours`` edges per row exist.  The vectors are tables and are iterated until
+    they have converged to ``tolerance``; it raises if they do not.
+    """
+    cells, nodes = neighbour_graph(df, key, vector, neighbours)
+    _, x = leading_vectors(cells, nodes, k, tolerance, spare=k + 4)
+    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, b: a + b * b))
+    points = materialise(x.select(F.col("node").alias("id"), F.transform("x", lambda v: F.when(norm > 0, v / norm).otherwise(0.0)).alias("x")), "embedded")
+    points = points.select("id", array_to_vector("x").alias("features"))
+    return KMeans(k=k, seed=seed, maxIter=100).fit(points).transform(points).select("id", F.col("prediction").cast("bigint").alias("cluster"))
+
+
+# ---- k-means by seeded batches, and seeds for it and for mixtures ---------------------------
+
+def _nearest_centres(centres: np.ndarray):
+    """Place of the nearest centre and squared distance for each row of a matrix."""
+    square = (centres * centres).sum(axis=1)
+
+    def run(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, far = np.empty(len(x), int), np.empty(len(x))
+        for lo in range(0, len(x), 4096):
+            p = x[lo:lo + 4096]
+            at[lo:lo + 4096] = (square - 2 * p @ centres.T).argmin(axis=1)
+            d = p - centres[at[lo:lo + 4096]]
+            far[lo:lo + 4096] = np.einsum("ij,ij->i", d, d)
+        return at, far
+
+    return run
+
+
+def _batch_sums(size: int, centres: np.ndarray):
+    """Per centre: rows, sums and cost, added up in a partition; ``part`` keeps the order of later additions."""
+    def run(batches):
+        nearest, n, s, cost, part = _nearest_centres(centres), np.zeros(len(centres)), np.zeros_like(centres), np.zeros(len(centres)), 0
+        for b in batches:
+            x = matrix_of(b.column("v"), size)
+            at, far = nearest(x)
+            n += np.bincount(at, minlength=len(n))
+            cost += np.bincount(at, far, minlength=len(n))
+            np.add.at(s, at, x)
+            part = b.column("part")[0].as_py()
+        keep = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"k": pa.array(keep, pa.int32()), "part": pa.array([part] * len(keep), pa.int32()), "n": pa.array(n[keep]), "cost": pa.array(cost[keep]), "s": pa.array(s[keep].tolist(), pa.list_(pa.float64()))})
+
+    return run
+
+
+def _centre_sums(points: DataFrame, size: int, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Rows and sums of each centre, and the whole cost; a row per centre reaches the driver."""
+    found = points.withColumn("part", F.spark_partition_id()).mapInArrow(_batch_sums(size, centres), "k int, part int, n double, cost double, s array<double>")
+
+    def add(t: pa.Table) -> pa.Table:
+        order = np.argsort(t["part"].to_numpy(), kind="stable")
+        s = np.stack(t["s"].to_numpy())[order].sum(axis=0)
+        return pa.table({"k": t["k"][:1], "n": pa.array([t["n"].to_numpy()[order].sum()]), "cost": pa.array([t["cost"].to_numpy()[order].sum()]), "s": pa.array([s], pa.list_(pa.float64()))})
+
+    n, s, cost = np.zeros(len(centres)), np.zeros_like(centres), 0.0
+    for r in sorted(found.groupBy("k").applyInArrow(add, "k int, n double, cost double, s array<double>").collect()):
+        n[r.k], s[r.k] = r.n, r.s
+        cost += r.cost
+    return n, s, cost
+
+
+def seed_centres(points: DataFrame, size: int, k: int, seed: int, rounds: int = 5) -> np.ndarray:
+    """k starting centres by oversampling (k-means||) from ``points`` (id, v).
+
+    Each round draws about 2k rows with a chance in proportion to their squared distance
+    from all rows drawn so far; the draw depends on the key and the seed alone.  What was
+    drawn, about ``rounds`` times 2k rows, is weighed by the rows nearest to it and clustered
+    on the driver; of ten tries the cheapest counts.
+    """
+    uniform = lambda n: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(n)), F.lit(1 << 40)) + 0.5) / (1 << 40)
+    first = points.orderBy(uniform(0), "id").select("v").first()
+    if first is None:
+        return np.zeros((0, size))
+    drawn = np.array([first.v], float)
+    for n in range(1, rounds + 1):
+        _, _, cost = _centre_sums(points, size, drawn)
+        if cost <= 0:
+            break
+        nearest, share = _nearest_centres(drawn), 2 * k / cost
+
+        def draw(batches):
+            for b in batches:
+                far = nearest(matrix_of(b.column("v"), size))[1]
+                keep = pa.array(b.column("u").to_numpy() < share * far)
+                yield pa.RecordBatch.from_arrays([b.column("v").filter(keep), b.column("id").filter(keep)], names=["v", "id"])
+
+        more = points.select("id", "v", uniform(n).alias("u")).mapInArrow(draw, "v array<double>, id bigint").orderBy("id").collect()  # about 2k rows
+        if more:
+            drawn = np.vstack([drawn, np.array([r.v for r in more], float)])
+    drawn = np.unique(drawn, axis=0)
+    weight, _, _ = _centre_sums(points, size, drawn)
+    rng = np.random.default_rng(seed)
+    best = min((_thinned(drawn, weight, k, rng) for _ in range(10)), key=lambda found: found[0])
+    return best[1]
+
+
+def _thinned(rows: np.ndarray, weight: np.ndarray, k: int, rng) -> tuple[float, np.ndarray]:
+    """(cost, centres): k of a few weighted rows, drawn by squared distance and then improved; no more than there are rows."""
+    chosen = [int(rng.choice(len(rows), p=weight / weight.sum()))]
+    far = ((rows - rows[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < min(k, len(rows)):
+        pull = weight * far
+        pull = pull if pull.sum() > 0 else far
+        if pull.sum() <= 0:
+            break
+        chosen.append(int(rng.choice(len(rows), p=pull / pull.sum())))
+        far = np.minimum(far, ((rows - rows[chosen[-1]]) ** 2).sum(axis=1))
+    centres, before = rows[chosen].copy(), math.inf
+    while True:
+        at, far = _nearest_centres(centres)(rows)
+        cost = float(weight @ far)
+        if not cost < before * (1 - 1e-9):
+            return cost, centres
+        before = cost
+        held = np.bincount(at, weight, minlength=len(centres))
+        moved = np.stack([np.bincount(at, weight * rows[:, j], minlength=len(centres)) for j in range(rows.shape[1])], axis=1)
+        here = held > 0
+        centres[here] = moved[here] / held[here, None]
+
+
+def minibatch_kmeans(df: DataFrame, key: str, vector: str, k: int, batches: int = 10, epochs: int = 5, seed: int = 7) -> tuple[np.ndarray, DataFrame]:
+    """Centres moved by one seeded batch after the other, and ``id, cluster`` of all rows.
+
+    Rows are dealt to ``batches`` files by a hash of their key, so a step reads its own
+    batch and nothing else.  Each centre has a learning rate of its own: the share of its
+    rows in this batch among all it has seen.  Sums of a batch are added in a fixed order,
+    so reruns agree.
+    """
+    v = F.col(vector).cast("array<double>")
+    rows = df.select(F.col(key).cast("bigint").alias("id"), v.alias("v")).where("id is not null and v is not null")
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "batches")
+    rows.withColumn("batch", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(batches)).cast("int")).repartition("batch", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("batch", "id").write.partitionBy("batch").parquet(path)
+    dealt = spark.read.schema("id bigint, v array<double>, batch int").parquet(path)
+    first = dealt.first()
+    if first is None:
+        return np.zeros((0, 0)), rows.select("id", F.lit(0).cast("bigint").alias("cluster")).limit(0)
+    size = len(first.v)
+    centres = seed_centres(dealt.select("id", "v"), size, k, seed)
+    seen = np.zeros(len(centres))
+    for step in range(epochs * batches):
+        n, s, _ = _centre_sums(dealt.where(F.col("batch") == step % batches).select("v"), size, centres)
+        seen += n
+        here = n > 0
+        centres[here] += (s[here] - n[here, None] * centres[here]) / seen[here, None]
+    nearest = _nearest_centres(centres)
+
+    def assign(batches_):
+        for b in batches_:
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(nearest(matrix_of(b.column("v"), size))[0], pa.int64())], names=["id", "cluster"])
+
+    return centres, rows.mapInArrow(assign, "id bigint, cluster bigint")
 
 
 def cluster_by(name: str, df: DataFrame, key: str, vector: str, k: int, **options) -> DataFrame:
-    """Cluster rows with the algorithm of the given name: ``id, cluster``."""
-    if name in ("KMeans", "MiniBatchKMeans", "Ward"):
+    """Cluster rows with the algorithm of the given name: ``id, cluster``.
+
+    "Ward" is bisecting k-means, which also cuts where the sum of squares falls most but
+    from the whole down; agglomeration from single rows up needs all pairs.
+    """
+    if name == "MiniBatchKMeans":
+        return minibatch_kmeans(df, key, vector, k, **options)[1]
+    if name in ("KMeans", "Ward"):
         model = BisectingKMeans(k=k, seed=7) if name == "Ward" else KMeans(k=k, seed=7)
         points = df.select(F.col(key).cast("bigint").alias("id"), array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
         return model.fit(points).transform(points).select("id", F.col("prediction").cast("bigint").alias("cluster"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.runtime import fits_broadcast, global_row_number, materialise, running_totals
+
 
 def star_join(fact: DataFrame, dimensions: list[tuple[DataFrame, str, str]]) -> DataFrame:
     """Inner equi-joins of a fact with ``(dimension, left key, right key)`` in turn."""
@@ -24,13 +27,20 @@ def count_matches(left: DataFrame, right: DataFrame, left_key: str, right_key: s
             .withColumn(out, F.coalesce(out, F.lit(0).cast("bigint"))))
 
 
-def cartesian(left: DataFrame, right: DataFrame, strips: int = 16) -> DataFrame:
+def cartesian(left: DataFrame, right: DataFrame, strips: int | None = None) -> DataFrame:
     """Every left row with every right row, which is what the operator stands for.
 
-    Both sides are dealt into ``strips``; a strip of one side meets every strip of the
-    other through an equality join on the pair of strips.  Nothing is counted or
-    collected first, and no task sees more than its two strips, whatever their size.
+    Both sides are dealt into strips; a strip of one side meets every strip of the other
+    through an equality join on the pair of strips.  There are as many strips as let the
+    pairs fill the session's shuffle partitions, more of them on a larger cluster.  A
+    side that Catalyst knows to be small is sent to all rows of the other instead; sides
+    of unknown size are written first, since either way they are read many times.
     """
+    if strips is None:
+        left, right = (d if fits_broadcast(d) else materialise(d, "side") for d in (left, right))
+        if fits_broadcast(left) or fits_broadcast(right):
+            return left.crossJoin(right)
+        strips = max(2, math.isqrt(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1) + 1)
     every = F.explode(F.sequence(F.lit(0), F.lit(strips - 1)))
 
     def strip(df):
@@ -82,13 +92,29 @@ def lookup_with_fallback(keys: DataFrame, primary: DataFrame, secondary: DataFra
             .withColumn(value, F.coalesce("_p", "_s", F.lit(default))).drop("_p", "_s"))
 
 
+def _edges(intervals: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """Per key and time how many closed intervals begin (side 0) or end (side 2); equal edges are one row.
+
+    Intervals without a start or an end, or that end before they start, hold no point.
+    """
+    real = intervals.where(F.col(start) <= F.col(end))
+    edge = lambda at, side, step: real.select(*keys, F.col(at).alias("_at"), F.lit(side).alias("_side"), F.lit(step).cast("bigint").alias("_step"))
+    return edge(start, 0, 1).unionByName(edge(end, 2, -1)).groupBy(*keys, "_at", "_side").agg(F.sum("_step").alias("_step"))
+
+
 def merge_intervals(intervals: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Union of overlapping closed intervals per key set."""
-    by = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    opened = intervals.withColumn("_new", F.coalesce((F.col(start) > reach).cast("int"), F.lit(1)))
-    block = opened.withColumn("_block", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return block.groupBy(*keys, "_block").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_block")
+    """Union of overlapping or touching closed intervals per key set, by a sweep.
+
+    Edges are range-partitioned by key and time and the number of open intervals is
+    carried from piece to piece; what a key opens it also closes, so the count needs no
+    key.  A key with most intervals is many tasks, and a long interval is two rows.
+    """
+    swept = running_totals(_edges(intervals, keys, start, end), [*keys, "_at", "_side"], {"_step": "_open"})
+    # only where nothing was open before, and where nothing is open after
+    borders = swept.where(((F.col("_side") == 0) & (F.col("_open") == F.col("_step"))) | (F.col("_open") == 0))
+    placed = global_row_number(borders, [*keys, "_at", "_side"], "_n")  # begin, end, begin, end, ...
+    merged = placed.groupBy(*keys, F.floor((F.col("_n") + 1) / 2).alias("_block"))
+    return merged.agg(F.min("_at").alias(start), F.max("_at").alias(end)).drop("_block")
 
 
 def flag_active_intervals(points: DataFrame, point_key: str, ts: str, intervals: DataFrame, title: str,
@@ -96,22 +122,26 @@ def flag_active_intervals(points: DataFrame, point_key: str, ts: str, intervals:
                           titles: list[str]) -> DataFrame:
     """One 0/1 column per title: does the point lie in a padded interval of it?
 
-    Padded intervals are merged, cut into days and joined on the day, so the join
-    is an equi-join and a point meets at most a handful of candidates.
+    A sweep over points and interval ends in the order of time: both are
+    range-partitioned together, and the number of open intervals of each title is
+    carried from piece to piece.  An interval is two rows however long it is, a title
+    with most intervals is many tasks, and many points of one time are, too, as ends
+    come before and after all of them.  A point without a time lies in none.
     """
-    padded = merge_intervals(
-        intervals.select(
-            F.col(title).alias("_title"),
-            (F.col(start) - F.expr(f"interval {before}")).alias("_lo"),
-            (F.col(end) + F.expr(f"interval {after}")).alias("_hi"),
-        ), ["_title"], "_lo", "_hi")
-    days = padded.withColumn("_day", F.explode(F.sequence(F.to_date("_lo"), F.to_date("_hi"))))
-    hits = (points.select(point_key, F.col(ts).alias("_ts"), F.to_date(ts).alias("_day"))
-            .join(days, "_day").filter(F.col("_ts").between(F.col("_lo"), F.col("_hi")))
-            .groupBy(point_key)
-            .agg(*[F.max((F.col("_title") == t).cast("int")).alias(t) for t in titles]))
-    joined = points.join(hits, point_key, "left")
-    return joined.select(*points.columns, *[F.coalesce(F.col(t), F.lit(0)).alias(t) for t in titles])
+    padded = intervals.select(
+        F.col(title).alias("_title"),
+        (F.col(start) - F.expr(f"interval {before}")).alias("_lo"),
+        (F.col(end) + F.expr(f"interval {after}")).alias("_hi"),
+    ).where(F.col("_title").isin(titles))
+    row = F.struct(*points.columns)
+    steps = [f"_step{i}" for i in range(len(titles))]
+    edges = _edges(padded, ["_title"], "_lo", "_hi").select(
+        "_at", "_side", *[F.when(F.col("_title") == t, F.col("_step")).otherwise(0).alias(s) for t, s in zip(titles, steps)], F.lit(0).cast("bigint").alias("_salt"))
+    marks = points.select(F.col(ts).alias("_at"), F.lit(1).alias("_side"), *[F.lit(0).cast("bigint").alias(s) for s in steps],
+                          F.xxhash64(point_key).alias("_salt"), row.alias("_row"))
+    swept = running_totals(marks.unionByName(edges, allowMissingColumns=True), ["_at", "_side", "_salt"], {s: f"_open{i}" for i, s in enumerate(steps)})
+    flags = [(F.col("_at").isNotNull() & (F.col(f"_open{i}") > 0)).cast("int").alias(t) for i, t in enumerate(titles)]
+    return swept.where("_side = 1").select("_row.*", *flags)
 
 
 def flag_active_few(points: DataFrame, ts: str, intervals: DataFrame, title: str, start: str, end: str,

@@ -7,9 +7,8 @@ length, never by the number of rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -84,6 +83,38 @@ def _add_up(rows: DataFrame, read: Callable, size: int) -> DataFrame:
                                      F.sum("v.c").alias("c"), F.sum("v.d").alias("d"))
 
 
+def pair_moments(df: DataFrame, vector: str, size: int) -> DataFrame:
+    """(i, j, n, cov, corr) for i <= j from the rows in which both entries are present: sample covariance and Pearson correlation.
+
+    Partitions add up products of whole blocks of rows, so any number of positions takes
+    one pass after the means; NULL where fewer than two rows, or no variance, leave it undefined.
+    """
+    v = F.col(vector).cast("array<double>")
+    rows = df.select(v.alias("v")).where(F.size("v") == size)
+    means = {r.p: r.m for r in rows.select(F.posexplode("v").alias("p", "x")).groupBy("p").agg(F.avg("x").alias("m")).collect()}  # one per position
+    shift = np.array([means.get(i) or 0.0 for i in range(size)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, c, q = (np.zeros((size, size)) for _ in range(4))
+        for b in batches:
+            x = matrix_of(b.column("v"), size) - shift
+            m = (~np.isnan(x)).astype("float64")
+            x = np.where(m > 0, x, 0.0)
+            n, s, c, q = n + m.T @ m, s + x.T @ x, c + x.T @ m, q + (x * x).T @ m
+        for i in range(size):  # a row of the triangle each
+            yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int32())} | {k: pa.array([a.tolist()], pa.list_(pa.float64())) for k, a in
+                                             (("n", n[i, i:]), ("s", s[i, i:]), ("a", c[i, i:]), ("b", c[i:, i]), ("aa", q[i, i:]), ("bb", q[i:, i]))})
+
+    kinds = ("n", "s", "a", "b", "aa", "bb")
+    parts = rows.mapInArrow(run, "i int, " + ", ".join(f"{k} array<double>" for k in kinds))
+    long = parts.select("i", F.posexplode(F.arrays_zip(*kinds)).alias("p", "z"))
+    t = long.groupBy("i", (F.col("i") + F.col("p")).alias("j")).agg(*[F.sum(f"z.{k}").alias(k) for k in kinds])
+    apart = F.col("s") - F.try_divide(F.col("a") * F.col("b"), "n")
+    spread = lambda x: F.col(x + x) - F.try_divide(F.col(x) * F.col(x), "n")
+    return t.select("i", "j", F.col("n").cast("bigint").alias("n"), F.when(F.col("n") > 1, apart / (F.col("n") - 1)).alias("cov"),
+                    F.when(F.col("n") > 1, F.try_divide(apart, F.sqrt(F.greatest(spread("a"), F.lit(0.0)) * F.greatest(spread("b"), F.lit(0.0))))).alias("corr"))
+
+
 def both_triangles(pairs: DataFrame, *values: str) -> DataFrame:
     """Rows for i <= j completed by their mirror images."""
     here = F.struct(F.col("i").alias("i"), F.col("j").alias("j"))
@@ -280,68 +311,6 @@ def attach_number(df: DataFrame) -> DataFrame:
     return df.join(ranks, "_e").withColumn("_n", F.col("_n") - 1)
 
 
-def spectral_order(pairs: DataFrame, value: str, which: int = 1, steps: int = 80) -> DataFrame:
-    """Entities in the order of an eigenvector of their similarity matrix, by |eigenvalue|.
-
-    Lanczos iteration: the matrix stays a table of pairs, and each step multiplies it
-    by one vector of the entities' length, the only thing the driver holds (``steps``
-    times).  The vectors are kept orthogonal, so few entities are solved exactly.
-    """
-    known = pairs.select("i", "j", F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v) and v <> 0")
-    ends = pairs.select(F.col("i").alias("_e")).union(pairs.select(F.col("j").alias("_e"))).distinct()
-    ranks = cut_lineage(global_row_number(ends, ["_e"], "_n"))
-    ids = ranks.orderBy("_n").toArrow()["_e"].to_pylist()
-    size = len(ids)
-    at = lambda c: ranks.select(F.col("_e").alias(c), (F.col("_n") - 1).alias(f"_{c}"))
-    cells = materialise(known.join(at("i"), "i").join(at("j"), "j").select(F.col("_i").alias("i"), F.col("_j").alias("j"), "v"), "similarities")
-
-    def times(x: np.ndarray) -> np.ndarray:
-        def run(batches):
-            y = np.zeros(size)
-            for b in batches:
-                i, j, v = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-                np.add.at(y, i, v * x[j])
-                np.add.at(y, j, np.where(i == j, 0.0, v * x[i]))
-            at = np.flatnonzero(y)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(y[at])], names=["i", "y"])
-
-        y = np.zeros(size)
-        got = cells.mapInArrow(run, "i bigint, y double").groupBy("i").agg(F.sum("y").alias("y")).toArrow()
-        y[got["i"].to_numpy()] = got["y"].to_numpy()
-        return y
-
-    rng = np.random.default_rng(7)
-    basis, alpha, beta = [], [], []
-    x = rng.standard_normal(size)
-    while len(basis) < min(size, steps):
-        for q in basis:  # twice: what is left is orthogonal to rounding
-            x = x - (q @ x) * q
-        for q in basis:
-            x = x - (q @ x) * q
-        norm = np.linalg.norm(x)
-        if norm < 1e-10:
-            break
-        if basis:
-            beta.append(norm)
-        basis.append(x / norm)
-        x = times(basis[-1])
-        alpha.append(basis[-1] @ x)
-        if len(basis) > 12 and len(basis) % 6 == 0:
-            values, vecs = np.linalg.eigh(np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1))
-            k = np.argsort(-np.abs(values))[which - 1]
-            rest = x.copy()
-            for q in basis:
-                rest -= (q @ rest) * q
-            if np.linalg.norm(rest) * abs(vecs[-1, k]) < 1e-9 * max(1.0, abs(values[k])):
-                break
-    values, vecs = np.linalg.eigh(np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1))
-    v = np.stack(basis, axis=1) @ vecs[:, np.argsort(-np.abs(values))[which - 1]]
-    v = v * np.sign(v[np.abs(v).argmax()])
-    order = np.lexsort((np.arange(size), v))
-    rows = [(int(ids[i]), float(v[i]), rank) for rank, i in enumerate(order.tolist(), 1)]
-    return pairs.sparkSession.createDataFrame(rows, "entity bigint, loading double, position int")
-
-
 def box_counts(series: DataFrame, key: str, index: str, value: str, boxes: int, strict: bool) -> DataFrame:
     """Occupied boxes of each series on a grid of ``boxes`` by ``boxes``.
 

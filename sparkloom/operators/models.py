@@ -7,6 +7,7 @@ tables, one row per setting.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -19,13 +20,13 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import CountVectorizer, IDF
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.arrays import clip
 from sparkloom.operators.linalg import columns_of, matrix_of, outer_sums
+from sparkloom.operators.trees import ExtraTrees
 from sparkloom.runtime import cut_lineage, few_values
 
 
@@ -230,21 +231,49 @@ def scaled_count_mae(df: DataFrame, rate, total: str, actual: str) -> DataFrame:
     return df.agg(F.avg(F.abs(predicted - F.col(actual))).alias("mae"))
 
 
+def elastic_net_path(g: Gram, alphas: list[float], mix: float = 0.5, tolerance: float = 1e-12) -> dict[float, dict[str, float]]:
+    """Elastic-net fits for all strengths from one set of sums, in the library's scaling.
+
+    With features divided by their deviations it minimises half the mean squared error
+    plus alpha * mix * |b|_1 + alpha * (1 - mix) / (2 s) * |b|^2, s the target's deviation.
+    Coordinate descent, from the strongest penalty down, each start at the last solution;
+    it ends when no coefficient moves by ``tolerance`` of the target's deviation.
+    """
+    n = g.matrix[0, 0]
+    mean = g.matrix[0, 1:] / n
+    cov = g.matrix[1:, 1:] / n - np.outer(mean, mean)
+    deviation = np.sqrt(np.maximum(np.diag(cov), 0.0) * n / max(n - 1, 1))
+    deviation[deviation < 1e-12 * np.maximum(1.0, np.abs(mean))] = 0.0
+    scale, spread = deviation[:-1], deviation[-1]
+    used = np.flatnonzero(scale)
+    a = cov[np.ix_(used, used)] / np.outer(scale[used], scale[used])
+    b = cov[used, -1] / scale[used]
+    beta, found = np.zeros(len(used)), {}
+    for alpha in sorted(alphas, reverse=True):
+        first, second = alpha * mix, alpha * (1 - mix) / spread if spread else 0.0
+        moved = math.inf
+        while moved > tolerance * spread and spread:
+            moved = 0.0
+            for j in range(len(used)):
+                pull = b[j] - a[j] @ beta + a[j, j] * beta[j]
+                new = math.copysign(max(abs(pull) - first, 0.0), pull) / (a[j, j] + second)
+                moved, beta[j] = max(moved, abs(new - beta[j])), new
+        slopes = np.zeros(len(scale))
+        slopes[used] = beta / scale[used]
+        found[alpha] = {"intercept": float(mean[-1] - slopes @ mean[:-1]), **dict(zip(g.features, slopes.tolist()))}
+    return {alpha: found[alpha] for alpha in alphas}
+
+
 def elastic_net_sweep(train: DataFrame, test: DataFrame, features: list[str], total: str, actual: str,
                       alphas: list[float], mix: float = 0.5) -> DataFrame:
-    """MAE on rounded counts for each regularisation strength."""
-    def points(d):
-        return d.withColumn("features", array_to_vector(F.array(*[F.col(f).cast("double") for f in features]))).withColumn(
-            "label", F.try_divide(actual, total)).filter(F.col("label").isNotNull())
-
-    tr = points(train).select("features", "label").persist()
-    te = points(test)
-    rows = []
-    for a in alphas:
-        model = LinearRegression(regParam=a, elasticNetParam=mix).fit(tr)
-        rows.append((float(a), scaled_count_mae(model.transform(te), F.col("prediction"), total, actual).first()[0]))
-    tr.unpersist()
-    return train.sparkSession.createDataFrame(rows, "alpha double, mae double")
+    """MAE on rounded counts for each regularisation strength; training rows are read once, test rows once."""
+    rate = F.try_divide(F.col(actual).cast("double"), F.col(total).cast("double"))
+    path = elastic_net_path(gram(train.withColumn("_rate", rate).where("_rate is not null"), features, "_rate"), alphas, mix)
+    known = test.where(rate.isNotNull())
+    guess = [F.bround(clip(linear_prediction(path[a]), 0.0, 1.0) * F.col(total), 0) for a in alphas]
+    wide = known.agg(*[F.avg(F.abs(p - F.col(actual))).alias(f"m{i}") for i, p in enumerate(guess)])
+    each = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.col(f"m{i}").alias("mae")) for i, a in enumerate(alphas)]))
+    return wide.select(each.alias("r")).select("r.alpha", "r.mae")
 
 
 def split_regression(train: DataFrame, test: DataFrame, features: list[str], total: str, actual: str,
@@ -333,10 +362,9 @@ def random_forest(depth: int, trees: int = 100) -> RandomForestClassifier:
     return RandomForestClassifier(maxDepth=depth, numTrees=trees, seed=7)
 
 
-def extra_trees(depth: int, trees: int = 100) -> RandomForestClassifier:
-    """Near extremely randomised trees, not the same: one random feature per split and eight
-    cut points at quantiles, where the original draws the cut points at random."""
-    return RandomForestClassifier(maxDepth=depth, numTrees=trees, featureSubsetStrategy="1", maxBins=8, subsamplingRate=1.0, seed=7)
+def extra_trees(depth: int, trees: int = 100) -> ExtraTrees:
+    """Cut points drawn at random between the extremes of a node, one for each of a few random features."""
+    return ExtraTrees(depth, trees)
 
 
 def gradient_boosting(depth: int, rounds: int, step: float) -> GBTClassifier:

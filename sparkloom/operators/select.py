@@ -76,6 +76,16 @@ def sample_by_key(df: DataFrame, key: str, percent: float) -> DataFrame:
     return df.filter(hash_share(F.col(key)) < percent / 100.0)
 
 
+def sample_blocks(df: DataFrame, percent: float, name: Column | str = "_metadata.file_path") -> DataFrame:
+    """Whole files of a table, drawn by a hash of their ``name``: the same files on every run.
+
+    ``name`` is made from ``_metadata.file_path`` alone, so the draw is settled while files
+    are listed and the others are never opened: bytes read are in proportion to
+    ``percent``.  ``df`` is a table as read; a block is a file, of whatever size it was written.
+    """
+    return df.where(hash_share(F.col(name) if isinstance(name, str) else name) < percent / 100.0)
+
+
 Selector = Callable[[DataFrame], DataFrame]
 
 

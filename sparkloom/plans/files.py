@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators import select
 from sparkloom.operators import text as corpus
 from sparkloom.operators.sequence import attach_dense_key
 from sparkloom.plans.profiles import prices
@@ -86,11 +87,22 @@ def triplets(t: Tables) -> DataFrame:
 
 @query("""SELECT ts::DATE::VARCHAR AS date, round(avg(value), 6) AS price, event_type AS key FROM events WHERE event_type <> 'view' GROUP BY ALL""")
 def per_key_files(t: Tables) -> DataFrame:
-    """One folder of files per ticker, read by the names of the folders; only the wanted ones are opened."""
+    """One file per ticker, named after it; files of tickers that are not wanted are never opened."""
     path = scratch_path(t.spark, "tickers")
     rows = prices(t).select(F.col("date").cast("string").alias("date"), "price", F.col("ticker").alias("key"))
-    rows.write.mode("overwrite").partitionBy("key").csv(path, header=True)
-    return readers.scan_per_key_files(t.spark, path, schemas.PRICE, omit=["view"], by_folder=True)
+    sinks.write_per_key_files(rows, "key", path)
+    return readers.scan_per_key_files(t.spark, path, schemas.PRICE, omit=["view"])
+
+
+@query("""SELECT 'block=' || (o_orderkey % 64) AS block, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders
+WHERE ('0x' || substr(md5('block=' || (o_orderkey % 64)), 1, 8))::BIGINT / 4294967296.0 < 0.2 GROUP BY 1""")
+def sample_blocks(t: Tables) -> DataFrame:
+    """A fifth of the files of a table; the others are not opened."""
+    path = scratch_path(t.spark, "blocks")
+    t.orders.withColumn("block", F.col("o_orderkey") % 64).repartition("block").write.partitionBy("block").parquet(path)
+    name = F.regexp_extract("_metadata.file_path", r"/(block=\d+)/", 1)
+    drawn = select.sample_blocks(t.spark.read.parquet(path).select("o_totalprice", "_metadata", name.alias("block")), 20, name)
+    return drawn.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '2-HIGH'")

@@ -267,7 +267,7 @@ def kmeans_inertia(t: Tables) -> DataFrame:
 @query()
 def mixture_choice(t: Tables) -> DataFrame:
     """AIC and BIC by number of components and kind of covariance, on whole vectors."""
-    return clusters.mixture_choice(t.embeddings, "vec_id", "embedding", SIZE, [1, 2, 3], clusters.COVARIANCES)
+    return clusters.mixture_choice(t.embeddings, "vec_id", "embedding", SIZE, [1, 2, 3, 4], clusters.COVARIANCES)
 
 
 @query()
@@ -281,6 +281,12 @@ def cluster_bisecting(t: Tables) -> DataFrame:
     return clusters.cluster_by("Ward", t.embeddings, "vec_id", "embedding", 5)
 
 
+@query()
+def cluster_minibatch(t: Tables) -> DataFrame:
+    """k-means whose centres are moved by one batch of rows after the other."""
+    return clusters.cluster_by("MiniBatchKMeans", t.embeddings, "vec_id", "embedding", 5)
+
+
 @query()
 def cluster_spectral(t: Tables) -> DataFrame:
     return clusters.cluster_by("SpectralClustering", t.embeddings, "vec_id", "embedding", 5)

@@ -304,15 +304,15 @@ def prices(t: Tables) -> DataFrame:
     return t.events.groupBy(F.to_date("ts").alias("date"), F.col("event_type").alias("ticker")).agg(F.round(F.avg("value"), 6).alias("price"))
 
 
-@query("WITH " + PRICE_SQL + """SELECT a.date::VARCHAR AS date, a.price AS click, b.price AS error FROM
-  (SELECT * FROM price WHERE ticker = 'click' AND day(date) % 7 <> 0) a FULL JOIN (SELECT * FROM price WHERE ticker = 'error' AND day(date) % 5 <> 0) b
-  ON a.date = b.date WHERE a.date IS NOT NULL UNION ALL
-  SELECT date::VARCHAR, NULL, price FROM price WHERE ticker = 'error' AND day(date) % 5 <> 0 AND day(date) % 7 = 0""")
+_SERIES = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("WITH " + PRICE_SQL + "SELECT date::VARCHAR AS date, " + ", ".join(f"max(price) FILTER (ticker = '{k}') AS {k}" for k in _SERIES)
+       + " FROM price GROUP BY date")
 def align_series(t: Tables) -> DataFrame:
+    """Daily prices of all five tickers side by side; a day that some lack has NULLs."""
     p = prices(t)
-    click = p.filter((F.col("ticker") == "click") & (F.dayofmonth("date") % 7 != 0))
-    error = p.filter((F.col("ticker") == "error") & (F.dayofmonth("date") % 5 != 0))
-    return text(joins.align_by_key({"click": click, "error": error}, "date", "price"))
+    return text(joins.align_by_key({k: p.where(F.col("ticker") == k) for k in _SERIES}, "date", "price"))
 
 
 @query("""SELECT a.l_partkey, a.l_suppkey, q, coalesce(returned, 0) AS returned FROM

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators import aggregate, linalg, neighbours, select, sequence
+from sparkloom.operators import aggregate, approximate, eigen, linalg, neighbours, select, sequence
 from sparkloom.plans.profiles import prices
 from sparkloom.plans.registry import Tables, query
 from sparkloom.plans.shapes import gappy_vectors
@@ -100,7 +100,7 @@ def two_way_effects(t: Tables) -> DataFrame:
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
-_ROUNDS = 4
+_ROUNDS = 10
 
 
 @query("WITH " + DAILY_SQL + ", r0 AS (SELECT DISTINCT user_id, 0.0::DOUBLE AS r FROM daily), c0 AS (SELECT DISTINCT day, 0.0::DOUBLE AS c FROM daily)" + "".join(
@@ -129,7 +129,7 @@ def overlaps(t: Tables) -> DataFrame:
 @query()
 def spectral_order(t: Tables) -> DataFrame:
     """Entities ordered by an eigenvector, joined back to their coordinates."""
-    order = linalg.spectral_order(overlaps(t), "log_p")
+    order = eigen.spectral_order(overlaps(t), "log_p")
     return order.join(segments(t), F.col("entity") == F.col("segment_id")).select("segment_id", "lat1", "lon1", "loading", "position")
 
 
@@ -143,18 +143,21 @@ def event_series(t: Tables) -> DataFrame:
 
 
 def _boxes_sql(n: int, op: str) -> str:
-    return f"""(SELECT k.event_type, count(*) AS n FROM (SELECT event_type, y0, y1, (y1 - y0) / {n} AS h FROM ext) k, range({n}) c(c), range({n}) b(b)
-  WHERE EXISTS (SELECT 1 FROM ser s WHERE s.event_type = k.event_type AND floor(((s.idx + 1) * {n} - 1) / s.cnt) = c AND floor((s.value - k.y0) / k.h) = b)
-  OR EXISTS (SELECT 1 FROM (SELECT event_type, floor(((idx + 1) * {n} - 1) / cnt) AS c, min(value) AS lo, max(value) AS hi FROM ser GROUP BY ALL) m
-    WHERE m.event_type = k.event_type AND m.c = c.c AND m.lo <= k.y0 + b * k.h AND m.hi {op} k.y0 + (b + 1) * k.h) GROUP BY 1)"""
+    """Column by column: boxes that hold a value, and boxes between the least and the greatest value of the column."""
+    return f"""(WITH k AS (SELECT event_type, y0, (y1 - y0) / {n} AS h FROM ext),
+  v AS (SELECT s.event_type, floor(((s.idx + 1) * {n} - 1) / s.cnt) AS c, s.value, k.y0, k.h FROM ser s JOIN k ON k.event_type = s.event_type),
+  m AS (SELECT event_type, c, min(value) AS lo, max(value) AS hi, any_value(y0) AS y0, any_value(h) AS h FROM v GROUP BY event_type, c),
+  b AS (SELECT event_type, c, floor((value - y0) / h)::BIGINT AS b FROM v
+    UNION SELECT event_type, c, b FROM (SELECT *, unnest(range(floor((lo - y0) / h)::BIGINT, floor((hi - y0) / h)::BIGINT + 1)) AS b FROM m) WHERE lo <= y0 + b * h AND hi {op} y0 + (b + 1) * h)
+  SELECT event_type, count(*) AS n FROM b WHERE b < {n} GROUP BY event_type)"""
 
 
 @query("""WITH ser AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx, count(*) OVER (PARTITION BY event_type) AS cnt FROM events),
 ext AS (SELECT event_type, min(value) AS y0, max(value) AS y1 FROM events GROUP BY 1)
-SELECT event_type, a.n AS n_large, b.n AS n_small, round((ln(b.n) - ln(a.n)) / (ln(64) - ln(8)), 6) AS dimension FROM """
-       + _boxes_sql(8, ">") + " a JOIN " + _boxes_sql(64, ">=") + " b USING (event_type)")
+SELECT event_type, a.n AS n_large, b.n AS n_small, round((ln(b.n) - ln(a.n)) / (ln(2048) - ln(32)), 6) AS dimension FROM """
+       + _boxes_sql(32, ">") + " a JOIN " + _boxes_sql(2048, ">=") + " b USING (event_type)")
 def box_count_dimension(t: Tables) -> DataFrame:
-    out = linalg.box_count_dimension(event_series(t), "event_type", "idx", "value", 8, 64)
+    out = linalg.box_count_dimension(event_series(t), "event_type", "idx", "value")
     return out.withColumn("dimension", F.round("dimension", 6))
 
 
@@ -287,6 +290,34 @@ def closest_pairs(t: Tables) -> DataFrame:
     return neighbours.closest_pairs(t.vectors, "vec_id", "embedding", 10).withColumn("cosine", F.round("cosine", 6) + 0.0)
 
 
+def asked_vectors(t: Tables) -> DataFrame:
+    """The stated query set of the approximate search: every fiftieth vector."""
+    return t.vectors.where("vec_id % 50 = 0")
+
+
+@query()
+def approximate_neighbours(t: Tables) -> DataFrame:
+    """About the ten most similar vectors of each asked one, found through hash tables."""
+    return approximate.approximate_cosine(asked_vectors(t), t.vectors, "vec_id", "embedding", 10)
+
+
+@query("""SELECT count(*) AS asked, count(*) * 10 AS wanted, true AS reached FROM embeddings WHERE vec_id % 50 = 0""")
+def approximate_recall(t: Tables) -> DataFrame:
+    """Whether nine tenths of the true neighbours come out, measured against the exact search."""
+    exact = neighbours.knn_join(neighbours.unit_vectors(asked_vectors(t), "embedding"), neighbours.unit_vectors(t.vectors, "embedding"), "vec_id", "embedding", 11)
+    exact = exact.where("qid <> cid and rank <= 11").select("qid", "cid")
+    met = exact.join(approximate_neighbours(t).select("qid", "cid", F.lit(1).alias("hit")), ["qid", "cid"], "left")
+    return met.agg(F.count_distinct("qid").alias("asked"), F.count(F.lit(1)).alias("wanted"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("reached"))
+
+
+@query()
+def approximate_votes(t: Tables) -> DataFrame:
+    """Classes of held-out vectors by the votes of their approximate neighbours."""
+    inside = select.hash_share(F.col("vec_id")) < 0.8
+    near = approximate.approximate_join(t.vectors.filter(~inside), t.vectors.filter(inside), "vec_id", "embedding", 5)
+    return neighbours.knn_votes(near, t.embeddings, "vec_id", "label", [1, 3, 5])
+
+
 def _knn_sql(metric: str) -> str:
     return f"""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, ('0x' || substr(md5(vec_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0 < 0.8 AS training FROM embeddings),
 p AS (SELECT a.vec_id AS qid, b.label, b.vec_id AS cid, {metric} AS d FROM e a JOIN e b ON NOT a.training AND b.training),

@@ -78,26 +78,29 @@ def range_ordered(df: DataFrame, *order: str | Column) -> DataFrame:
     return cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
 
 
-def _before(parts: DataFrame, value: str) -> DataFrame:
+def _before(parts: DataFrame, values: dict[str, str]) -> DataFrame:
     # One row per partition, so this window never sees data-sized input.
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.select("_part", F.coalesce(F.sum(value).over(w), F.lit(0)).alias("_before"))
+    return parts.select("_part", *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(out) for v, out in values.items()])
 
 
-def running_total(df: DataFrame, order: list[str | Column], value: str, out: str) -> DataFrame:
-    """Running sum of ``value`` over the whole table in ``order``, in parallel.
+def running_totals(df: DataFrame, order: list[str | Column], values: dict[str, str]) -> DataFrame:
+    """Running sums over the whole table in ``order``, in parallel: column -> name of its sum.
 
     Each range partition is summed on its own; partition totals (one row each)
     become offsets.  No task ever holds more than one range partition.
     """
     ranged = range_ordered(df, *order)
-    offsets = _before(ranged.groupBy("_part").agg(F.sum(value).alias("_s")), "_s")
+    before = {v: f"_b{i}" for i, v in enumerate(values)}
+    offsets = _before(ranged.groupBy("_part").agg(*[F.sum(v).alias(v) for v in values]), before)
     w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        ranged.join(F.broadcast(offsets), "_part")
-        .withColumn(out, F.sum(value).over(w) + F.col("_before"))
-        .drop("_part", "_before")
-    )
+    summed = ranged.join(F.broadcast(offsets), "_part").select("*", *[(F.sum(v).over(w) + F.col(before[v])).alias(out) for v, out in values.items()])
+    return summed.drop("_part", *before.values())
+
+
+def running_total(df: DataFrame, order: list[str | Column], value: str, out: str) -> DataFrame:
+    """Running sum of ``value`` over the whole table in ``order``: see :func:`running_totals`."""
+    return running_totals(df, order, {value: out})
 
 
 def global_row_number(df: DataFrame, order: list[str | Column], out: str) -> DataFrame:
@@ -109,7 +112,7 @@ def global_row_number(df: DataFrame, order: list[str | Column], out: str) -> Dat
     """
     placed = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
     placed = placed.withColumn("_part", F.shiftright("_id", 33)).withColumn("_place", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
-    offsets = _before(placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_s")), "_s")
+    offsets = _before(placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_s")), {"_s": "_before"})
     return (
         placed.join(F.broadcast(offsets), "_part")
         .withColumn(out, F.col("_before") + F.col("_place") + 1)
@@ -117,6 +120,13 @@ def global_row_number(df: DataFrame, order: list[str | Column], out: str) -> Dat
     )
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether Catalyst's estimate of the size lies within the session's broadcast threshold."""
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return 0 <= estimate <= limit
+
+
 def few_values(df: DataFrame, column: str) -> list:
     """Sorted distinct values of a column that become columns or models: a pivot, a class, a cluster.  NULL is last."""
     values = [r[0] for r in df.select(column).distinct().collect()]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.runtime import global_row_number
+from sparkloom.runtime import global_row_number, scratch_path
 from sparkloom.sources.readers import scan_csv
 
 
@@ -67,3 +67,24 @@ def write_feature_collection(features: DataFrame, path: str, column: str = "feat
     spark = features.sparkSession
     frame = spark.createDataFrame([(0, '{"type":"FeatureCollection","features":['), (1 << 62, "]}")], "_at bigint, value string")
     lines.unionByName(frame).repartitionByRange("_at").sortWithinPartitions("_at").select("value").write.mode("overwrite").text(path)
+
+
+def write_per_key_files(df: DataFrame, key: str, folder: str, header: bool = True) -> None:
+    """One delimited file per key, named after it: ``folder/<key>.csv``.
+
+    A key's rows are one file and hence one task, which is what the layout asks for;
+    keys whose text is not a file name are an error.  Files appear by renames, one per key.
+    """
+    spark, draft = df.sparkSession, scratch_path(df.sparkSession, "keys")
+    named = df.withColumn("_name", F.col(key).cast("string"))
+    odd = named.where(F.col("_name").isNull() | ~F.col("_name").rlike(r"^[A-Za-z0-9_.-]+$") | F.col("_name").rlike(r"^[._]")).limit(1).count()
+    if odd:
+        raise ValueError(f"a value of {key} is not a file name")
+    named.drop(key).repartition("_name").write.partitionBy("_name").csv(draft, header=header)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path(folder))
+    for f in files.globStatus(path(f"{draft}/_name=*/part-*")):
+        name = f.getPath().getParent().getName().removeprefix("_name=")
+        if not files.rename(f.getPath(), path(f"{folder}/{name}.csv")):
+            raise RuntimeError(f"{folder}/{name}.csv could not be written")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.streaming.runs import Runs
+
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -30,26 +32,34 @@ def bucket_stats(events: DataFrame, minutes: int, lateness: str) -> DataFrame:
         F.col("window.start").alias("bucket"), "segment_id", "min_level", "max_level", "avg_level", "n")
 
 
-def bucket_totals(events: DataFrame, minutes: int, target: str, checkpoint: str) -> DataFrame:
+KEYS = ["bucket", "segment_id"]
+
+
+def merge_partials(partials: DataFrame) -> DataFrame:
+    return partials.groupBy(*KEYS).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("total").alias("total"), F.sum("known").alias("known"), F.sum("n").alias("n"))
+
+
+def bucket_totals(events: DataFrame, minutes: int, target: str, checkpoint: str, fan: int = 8) -> DataFrame:
     """Statistics of all events of a stream, whatever their order and files: equal to the batch form.
 
-    No watermark, so no row is late.  A batch is reduced to mergeable partials under its
-    own number, which a replay overwrites; reading merges the partials.
+    No watermark, so no row is late.  A batch is reduced to mergeable partials, which
+    :class:`Runs` keeps in levels: the files read grow with the logarithm of the batches,
+    and a replayed batch counts once.  ``target`` belongs to ``checkpoint``: batches of
+    another job would be taken for replays.
     """
-    spark = events.sparkSession
-    keys = ["bucket", "segment_id"]
+    runs = Runs(events.sparkSession, target, merge_partials, fan)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select(F.window(F.col("ts").cast("timestamp"), f"{minutes} minutes")["start"].alias("bucket"), F.col("user_id").alias("segment_id"),
                             (1 + F.col("event_id") % 5).cast("int").alias("level"))
-        partial = rows.groupBy(*keys).agg(F.min("level").alias("low"), F.max("level").alias("high"), F.sum("level").alias("total"), F.count("level").alias("known"), F.count(F.lit(1)).alias("n"))
-        partial.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        runs.add(rows.groupBy(*KEYS).agg(F.min("level").alias("low"), F.max("level").alias("high"), F.sum("level").alias("total"), F.count("level").alias("known"), F.count(F.lit(1)).alias("n")), batch_id)
 
     job = events.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     job.awaitTermination()
-    merged = spark.read.parquet(target).groupBy(*keys)
-    return merged.agg(F.min("low").alias("min_level"), F.max("high").alias("max_level"),
-                      F.try_divide(F.sum("total"), F.sum("known")).alias("avg_level"), F.sum("n").alias("n"))
+    merged = runs.read()
+    if merged is None:
+        raise ValueError("the stream has no input yet")
+    return merged.select(*KEYS, F.col("low").alias("min_level"), F.col("high").alias("max_level"), F.try_divide("total", "known").alias("avg_level"), "n")
 
 
 def run_to_table(stats: DataFrame, target: str, checkpoint: str) -> DataFrame:

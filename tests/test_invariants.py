@@ -8,7 +8,7 @@ from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import functions as F
 
-from sparkloom.operators import aggregate, clusters, evaluate, joins, linalg, models, neighbours, reshape, select, sequence, text
+from sparkloom.operators import aggregate, clusters, eigen, evaluate, joins, linalg, models, neighbours, reshape, select, sequence, text
 from sparkloom.plans import learning, shapes, traffic
 from sparkloom.runtime import global_row_number, neighbour_in_order, running_total
 
@@ -160,7 +160,7 @@ def test_spectral_order_equals_dense(spark):
     m = m + m.T
     m[np.abs(m) < 1] = 0
     pairs = spark.createDataFrame([(i * 11, j * 11, float(m[i, j])) for i in range(150) for j in range(i, 150)], "i bigint, j bigint, v double")
-    got = linalg.spectral_order(pairs, "v", steps=150).orderBy("entity").collect()
+    got = eigen.spectral_order(pairs, "v").orderBy("entity").collect()
     values, vecs = np.linalg.eigh(m)
     want = vecs[:, np.abs(values).argmax()]
     want = want * np.sign(want[np.abs(want).argmax()])

@@ -113,19 +113,36 @@ def _reach(sample: np.ndarray, rows: int, wanted: float, k: int, tables: list[in
 
 
 def _closest(size: int, k: int):
+    """The k nearest rows of each query among all buckets of one shelf that it asks for."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        compared = 0
         if left.num_rows and right.num_rows:
             left, right = left.combine_chunks(), right.combine_chunks()
+            names = pa.chunked_array([*left["node"].chunks, *right["node"].chunks]).combine_chunks().dictionary_encode().indices.to_numpy()
+            asked, held = names[:len(left)], names[len(left):]
+            by_left, by_right = np.argsort(asked, kind="stable"), np.argsort(held, kind="stable")
             q, c = matrix_of(left["vec"].chunk(0), size), matrix_of(right["vec"].chunk(0), size)
             qid, cid = left["id"].to_numpy(), right["id"].to_numpy()
-            for lo in range(0, len(q), 256):
-                d = distances(q[lo:lo + 256], c, "l2")
-                best = np.lexsort((np.broadcast_to(cid, d.shape), d), axis=1)[:, :k]
-                counted = np.zeros(best.shape, np.int64)
-                counted[:, 0] = len(c)
-                found.append((np.repeat(qid[lo:lo + 256], best.shape[1]), cid[best].ravel(), np.take_along_axis(d, best, axis=1).ravel(), counted.ravel()))
-        return pa.table(dict(zip(("qid", "sid", "distance", "compared"), map(np.concatenate, zip(*found)))))
+            for n in np.unique(asked):
+                ql = by_left[slice(*np.searchsorted(asked[by_left], [n, n + 1]))]
+                cl = by_right[slice(*np.searchsorted(held[by_right], [n, n + 1]))]
+                for lo in range(0, len(ql) if len(cl) else 0, 256):
+                    rows = ql[lo:lo + 256]
+                    d = distances(q[rows], c[cl], "l2")
+                    best = np.lexsort((np.broadcast_to(cid[cl], d.shape), d), axis=1)[:, :k]
+                    compared += d.size
+                    found.append((np.repeat(qid[rows], best.shape[1]), cid[cl][best].ravel(), np.take_along_axis(d, best, axis=1).ravel()))
+        q, c, d = map(np.concatenate, zip(*found))
+        order = np.lexsort((c, d, q))
+        q, c, d = q[order], c[order], d[order]
+        new = np.ones(len(q), bool)  # tables meet the same row more than once, at the same distance
+        new[1:] = (q[1:] != q[:-1]) | (c[1:] != c[:-1])
+        q, c, d = q[new], c[new], d[new]
+        first = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
+        counted = np.zeros(np.count_nonzero(first), np.int64)
+        counted[:1] = compared
+        return pa.table({"qid": q[first], "sid": c[first], "distance": d[first], "compared": counted})
 
     return run
 
@@ -193,15 +210,18 @@ def approximate_join(queries: DataFrame, corpus: DataFrame, key: str, vector: st
         inner = materialise(measured(open_, ["node"]), "inner")
     visits, leaves = (d[0] if len(d) == 1 else _union(d) for d in (visits, leaves))
 
-    # blocks bound both sides of a task: a bucket many queries ask for, and one that cannot be cut
-    loads = visits.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / 4096).cast("int").alias("blocks"), F.ceil(F.max("n") / (4 * limit)).cast("int").alias("cuts"))
+    # a shelf holds many buckets, so that a query brings back few rows; blocks bound both sides of
+    # a task: a shelf that many queries ask for, and one with a bucket that cannot be cut
+    shelves = max(1, math.ceil(whole.n * tables / (16 * limit)))
+    shelf = F.pmod(F.xxhash64("node"), F.lit(shelves)).alias("shelf")
+    loads = visits.groupBy(shelf).agg(F.ceil(F.count(F.lit(1)) / (64 * limit)).cast("int").alias("blocks"), F.ceil(F.max("n") / (16 * limit)).cast("int").alias("cuts"))
     loads = materialise(loads, "loads")
     deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     copy = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = visits.join(loads, "node").withColumn("part", deal("blocks")).withColumn("cut", copy("cuts")).select("node", "part", "cut", "id", "vec")
-    right = leaves.join(loads, "node").withColumn("part", copy("blocks")).withColumn("cut", deal("cuts")).select("node", "part", "cut", "id", "vec")
+    left = visits.withColumn("shelf", shelf).join(loads, "shelf").withColumn("part", deal("blocks")).withColumn("cut", copy("cuts")).select("shelf", "part", "cut", "node", "id", "vec")
+    right = leaves.withColumn("shelf", shelf).join(loads, "shelf").withColumn("part", copy("blocks")).withColumn("cut", deal("cuts")).select("shelf", "part", "cut", "node", "id", "vec")
     left, right = (d.select(*[F.col(c).alias(c) for c in d.columns]) for d in (left, right))
-    by = ["node", "part", "cut"]
+    by = ["shelf", "part", "cut"]
     met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_closest(size, want), "qid bigint, sid bigint, distance double, compared bigint")
     if counted:
         return met.agg(F.sum("compared").alias("compared"))

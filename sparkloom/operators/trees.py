@@ -4,9 +4,9 @@ At every open node some features are drawn, and for each a cut point between the
 and the greatest value it has there; the best of these cuts is taken.  All draws depend
 on the seed, the tree and the node alone.  All trees grow a level together in two passes
 over the rows: one for the extremes, one for class counts on both sides of each cut.
-Partitions add up their own rows before anything is shuffled, and the best cut of a node
-is chosen where its sums meet, so the driver holds the forest and nothing else: at most
-``trees`` times two to the power of ``depth`` nodes.
+Partitions add up their own rows before anything is shuffled; the driver sees extremes
+and class counts of open nodes and holds the forest: at most ``trees`` times two to the
+power of ``depth`` nodes, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -160,7 +160,7 @@ class ExtraTrees:
 
         edge = lambda f, c: F.array(*[f(F.col(c)[i]) for i in range(count)]).alias(c)
         span = rows.select("x").mapInArrow(extremes, "tree int, node bigint, low array<double>, high array<double>").groupBy("tree", "node").agg(edge(F.min, "low"), edge(F.max, "high"))
-        points = {(r.tree, r.node): np.array(r.low) + drawn[r.tree, r.node][1] * (np.array(r.high) - np.array(r.low)) for r in span.toLocalIterator()}  # a node each
+        points = {(r.tree, r.node): np.array(r.low) + drawn[r.tree, r.node][1] * (np.array(r.high) - np.array(r.low)) for r in span.collect()}  # a node each
 
         def sides(batches):
             found = {k: np.zeros((count, 2, len(labels)), np.int64) for k in points}
@@ -172,24 +172,21 @@ class ExtraTrees:
                         here = right[y[own] == c]
                         found[t, n][:, 1, c] += here.sum(axis=0)
                         found[t, n][:, 0, c] += (~here).sum(axis=0)
-            found = {k: v for k, v in found.items() if v.any()}
-            yield pa.RecordBatch.from_pydict({"tree": pa.array([k[0] for k in found], pa.int32()), "node": pa.array([k[1] for k in found], pa.int64()),
-                                              "n": pa.array([v.ravel() for v in found.values()], pa.list_(pa.int64()))})
-
-        least = self.least
-
-        def choose(t: pa.Table) -> pa.Table:
-            n = np.stack(t["n"].to_numpy()).sum(axis=0).reshape(count, 2, -1)
-            at = best_cut(n, least)
-            return pa.table({"tree": t["tree"][:1], "node": t["node"][:1], "cut": pa.array([at], pa.int32()), "n": pa.array([n[max(at, 0)].ravel()], pa.list_(pa.int64()))})
-
-        cuts = rows.mapInArrow(sides, "tree int, node bigint, n array<bigint>").groupBy("tree", "node").applyInArrow(choose, "tree int, node bigint, cut int, n array<bigint>")
+            rows_ = [(*k, i, n) for k, v in found.items() if v.any() for i, n in enumerate(v)]
+            t, n, i, c = zip(*rows_) if rows_ else ((), (), (), ())
+            yield pa.RecordBatch.from_pydict({"tree": pa.array(t, pa.int32()), "node": pa.array(n, pa.int64()), "cut": pa.array(i, pa.int32()),
+                                              "n": pa.array([x.ravel() for x in c], pa.list_(pa.int64()))})
+
+        whole = F.array(*[F.sum(F.col("n")[i]) for i in range(2 * len(labels))]).alias("n")
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for r in rows.mapInArrow(sides, "tree int, node bigint, cut int, n array<bigint>").groupBy("tree", "node", "cut").agg(whole).collect():  # a cut of a node each
+            sums.setdefault((r.tree, r.node), np.zeros((count, 2, len(labels)), np.int64))[r.cut] = np.array(r.n).reshape(2, -1)
         grown = False
-        for r in cuts.toLocalIterator():  # a node each
-            if r.cut < 0:
+        for (tree, node), n in sums.items():
+            at = best_cut(n, self.least)
+            if at < 0:
                 continue
             grown = True
-            forest.cuts[r.tree, r.node] = int(drawn[r.tree, r.node][0][r.cut]), float(points[r.tree, r.node][r.cut])
-            left, right = np.array(r.n).reshape(2, -1)
-            forest.counts[r.tree, 2 * r.node], forest.counts[r.tree, 2 * r.node + 1] = left, right
+            forest.cuts[tree, node] = int(drawn[tree, node][0][at]), float(points[tree, node][at])
+            forest.counts[tree, 2 * node], forest.counts[tree, 2 * node + 1] = n[at]
         return grown

@@ -83,8 +83,12 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", smoot
     return Model(languages, np.log(counts) - np.log(counts.sum(axis=1, keepdims=True)))
 
 
-def _mixtures(grams: list[np.ndarray], logs: np.ndarray, penalty: float, rounds: int = 40) -> np.ndarray:
-    """Proportions [text, language] of the chosen sets; every text has at least one gram."""
+def _mixtures(grams: list[np.ndarray], logs: np.ndarray, penalty: float, tolerance: float = 1e-5) -> np.ndarray:
+    """Proportions [text, language] of the chosen sets; every text has at least one gram.
+
+    Each text is iterated until its own proportions move by less than ``tolerance``, so
+    they do not depend on the texts beside it.
+    """
     docs, langs = len(grams), len(logs)
     counted = [np.unique(g, return_counts=True) for g in grams]
     sizes = np.array([len(u) for u, _ in counted])
@@ -119,13 +123,16 @@ def _mixtures(grams: list[np.ndarray], logs: np.ndarray, penalty: float, rounds:
         at = np.r_[0, np.cumsum(own)[:-1]]
         trial = share[chosen] * 0.7
         trial[np.arange(len(chosen)), add] = 0.3
-        for _ in range(rounds):
-            part = np.repeat(trial.T, own, axis=1) * p
-            new = (np.add.reduceat(part / part.sum(axis=0) * t, at, axis=1) / total[chosen]).T
-            moved = np.abs(new - trial).max()
-            trial = new
-            if moved < 1e-3:
-                break
+        moving, q, u, size, first = np.arange(len(chosen)), p, t, own, at
+        while len(moving):
+            part = np.repeat(trial[moving].T, size, axis=1) * q
+            new = (np.add.reduceat(part / part.sum(axis=0) * u, first, axis=1) / total[chosen[moving]]).T
+            more = np.abs(new - trial[moving]).max(axis=1) >= tolerance
+            trial[moving] = new
+            if not more.all():
+                grams_left = np.repeat(more, size)
+                moving, q, u, size = moving[more], q[:, grams_left], u[grams_left], size[more]
+                first = np.r_[0, np.cumsum(size)[:-1]]
         mixed = (np.repeat(trial.T, own, axis=1) * p).sum(axis=0)
         value = np.add.reduceat(np.log(mixed) * t, at) + single.max(axis=0)[chosen]
         better = value - fitted[chosen] > limit[chosen]

@@ -32,7 +32,8 @@ def test_mixtures(spark, model):
     assert langid.identify(df, model).count() == len(rows)
     whole = [tuple(r) for r in langid.identify(df, model).orderBy("doc_id").collect()]
     small = [tuple(r) for r in langid.identify(df, model, batch_grams=1).orderBy("doc_id").collect()]
-    assert [r[1] for r in whole] == [r[1] for r in small]  # batches do not matter
+    assert [r[1:4] for r in whole] == [r[1:4] for r in small]  # batches do not matter
+    assert all(abs(a - b) < 1e-12 for r, s in zip(whole, small) for a, b in zip(r[4], s[4])) and [r[2] for r in whole] == [r[2] for r in small]
 
 
 def test_proportions_are_the_likeliest(model):
@@ -46,6 +47,24 @@ def test_proportions_are_the_likeliest(model):
     assert like(share) > grid - 0.05 and share[2] == 0
 
 
+def test_texts_do_not_depend_on_their_neighbours(model):
+    import numpy as np
+
+    rnd = random.Random(5)
+    grams = [langid._grams(" ".join(sample(rnd, lang, rnd.randint(1, 80)) for lang in rnd.sample(list(WORDS), rnd.randint(1, 3)))) for _ in range(80)]
+    together = langid._mixtures(grams, model.logs, 4.0)
+    assert (together > 0).sum(axis=1).max() == 3
+    for g, share in zip(grams, together):
+        assert np.array_equal(langid._mixtures([g], model.logs, 4.0)[0], share)
+
+
+def test_equal_likelihoods_go_to_the_first_language():
+    import numpy as np
+
+    share = langid._mixtures([np.array([1, 2, 3, 3])], np.log(np.full((3, 8), 1 / 8)), 4.0)
+    assert share.tolist() == [[1, 0, 0]]
+
+
 def test_nothing_learned_and_empty(spark, model):
     df = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
     none = langid.learn(spark.createDataFrame([], "lang string, text string"))

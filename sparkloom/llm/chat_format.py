@@ -44,6 +44,8 @@ def _controls(change):
     found = [(re.compile(re.escape(c[0]) + r"(\\*)(?=" + re.escape(c[1:]) + ")"), c[0]) for c in CONTROLS]
 
     def run(text: str) -> str:
+        if "<" not in text and "[" not in text:  # no control string can begin
+            return text
         for pattern, first in found:
             text = pattern.sub(lambda m, f=first: f + change(m[1]), text)
         return text
@@ -75,13 +77,16 @@ def _load(t: Tokenizer) -> tiktoken.Encoding:
 
 
 _LONG = 1 << 16
+_CUT = re.compile(r"(?<=\S) (?=\S)")  # a single space always begins a new piece of the pattern
 
 
 def _encode(enc: tiktoken.Encoding, text: str) -> list[int]:
-    """Long texts in stretches, so that the tokenizer's memory and recursion stay bounded; bytes decode alike."""
-    if len(text) <= _LONG:
-        return enc.encode_ordinary(text)
-    return [i for at in range(0, len(text), _LONG) for i in enc.encode_ordinary(text[at : at + _LONG])]
+    """The tokenizer's ids; long texts in stretches that end where its pattern cuts anyway, so its memory stays bounded."""
+    out, at = [], 0
+    while len(text) - at > _LONG and (cut := _CUT.search(text, at + _LONG)):
+        out += enc.encode_ordinary(text[at : cut.start()])
+        at = cut.start()
+    return out + enc.encode_ordinary(text[at:] if at else text)
 
 
 def segments(role: str | None, text: str | None) -> list[tuple[int | str, bool]]:
@@ -115,7 +120,7 @@ def format_turns(conversations: DataFrame, tokenizer: Tokenizer = Tokenizer()) -
     """(conv_id, n, first_token, ids, loss, formatted): one row per turn, ``n`` from 0 in the order of turns.
 
     ``first_token`` is the number of tokens of the conversation before the turn.  Rows
-    with equal turns follow by role and text; a NULL turn comes first; a NULL text or
+    with equal turns follow by role and text; a NULL turn comes last; a NULL text or
     role is empty; NULL conversation ids are one conversation; an empty table gives
     an empty result; other columns are ignored.  Encoding runs before the shuffle, on
     all tasks; placing only adds up lengths, so a long conversation costs no memory.
@@ -125,23 +130,21 @@ def format_turns(conversations: DataFrame, tokenizer: Tokenizer = Tokenizer()) -
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _load(tokenizer)
         for b in batches:
-            ids, loss, shown = [], [], []
+            ids, loss = [], []
             for role, text in zip(b.column(2).to_pylist(), b.column(3)):
-                parts = segments(role, text.as_py())
-                i, m = assemble(parts, enc, reserved)
+                i, m = assemble(segments(role, text.as_py()), enc, reserved)
                 ids.append(i)
                 loss.append(m)
-                shown.append("".join(CONTROLS[p] if isinstance(p, int) else p for p, _ in parts))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), b.column(4), pa.array(ids, pa.list_(pa.int32())), pa.array(loss, pa.list_(pa.int8())), pa.array(shown, pa.string())],
-                names=["conv_id", "turn", "role", "h", "ids", "loss", "formatted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(loss, pa.list_(pa.int8()))],
+                                             names=["conv_id", "turn", "role", "text", "ids", "loss"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, n, before = object(), 0, 0
         for b in batches:
             number, first, ids, loss, shown = [], [], [], [], []
-            for conv, i, m, s in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3).to_pylist()):
+            for conv, i, m, role, text in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3).to_pylist(), b.column(4)):
                 i, m = np.asarray(i.values), np.asarray(m.values)
+                s = "".join([CONTROLS[p] if isinstance(p, int) else p for p, _ in segments(role, text.as_py())])
                 if conv != last:
                     last, n, before = conv, 0, 0
                     i, m, s = np.r_[np.int32(reserved + BOS), i].astype(np.int32), np.r_[np.int8(0), m].astype(np.int8), CONTROLS[BOS] + s
@@ -155,10 +158,10 @@ def format_turns(conversations: DataFrame, tokenizer: Tokenizer = Tokenizer()) -
                 [b.column(0), pa.array(number, pa.int64()), pa.array(first, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(loss, pa.list_(pa.int8())), pa.array(shown, pa.string())],
                 names=["conv_id", "n", "first_token", "ids", "loss", "formatted"])
 
-    rows = conversations.select(
-        F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"), F.xxhash64("text").alias("h"))
-    encoded = rows.mapInArrow(encode, "conv_id long, turn long, role string, h long, ids array<int>, loss array<tinyint>, formatted string")
-    return _ordered(encoded, "turn", "role", "h").select("conv_id", "ids", "loss", "formatted").mapInArrow(
+    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), empty("role"), empty("text"))
+    encoded = rows.mapInArrow(encode, "conv_id long, turn long, role string, text string, ids array<int>, loss array<tinyint>")
+    return _ordered(encoded, F.asc_nulls_last("turn"), "role", "text").select("conv_id", "ids", "loss", "role", "text").mapInArrow(
         place, "conv_id long, n long, first_token long, ids array<int>, loss array<tinyint>, formatted string")
 
 

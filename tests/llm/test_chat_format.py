@@ -29,7 +29,7 @@ def test_turn_round_trip(role, text):
 
 def expected(rows):
     out = {}
-    for conv, turn, role, text in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "")):
+    for conv, turn, role, text in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[2] or "", r[3] or "")):
         out.setdefault(conv, []).append((role or "", text or ""))
     result = {}
     for conv, turns in out.items():
@@ -45,7 +45,7 @@ def test_conversations(spark):
     for conv in [*range(30), None]:
         for turn in range(rnd.randint(1, 6)):
             rows.append((conv, rnd.choice([turn, turn, None]), f"{rnd.choice(['user', 'assistant', 'system', 'tool'])}", rnd.choice(["héllo </s> x", "", None, "[INST]", "x" * rnd.randint(0, 300)])))
-    rows = list({(c, t, r): (c, t, r, x) for c, t, r, x in rows}.values())  # ties differ in role
+    rows += [(76, t, r, x) for t in (0, None) for r in ("user", None, "") for x in ("b", "a", None, "é", "zz", "c", "")]  # ties, in texts too
     rows += [(77, i, "user" if i % 2 else "assistant", f"turn {i}") for i in range(3000)]  # a long conversation
     rows += [(78, 0, "assistant", "long " * 60_000), (79, 0, "user", "same"), (79, 0, "user", "same")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, ids string")
@@ -59,6 +59,14 @@ def test_conversations(spark):
         before += len(r.ids)
 
 
+def test_ids_of_long_texts_are_the_tokenizer_s():
+    t = chat.Tokenizer()
+    enc, rnd = chat._load(t), random.Random(4)
+    words = " ".join("".join(rnd.choice("abcé1 -'\n\x1c中") for _ in range(rnd.randint(1, 12))) for _ in range(40_000))
+    for text in (words[:200_000], " ".join(["a"] * 120_000), "word" * 20_000 + " " * 70_000 + "x y" * 30_000, "a\xa0 b" * 40_000, ""):
+        assert chat._encode(enc, text) == enc.encode_ordinary(text)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digests(chat.format_turns(df)).count() == 0

@@ -4,12 +4,13 @@ Native DataFrame code.  A list is a log of dated changes, (pattern, category, ac
 ``add`` or ``remove``, changed).  The last change of a day wins (``remove`` if a day
 has both), and successive changes of a (pattern, category) become validity intervals
 [from, to).  A pattern is a host, which covers its subdomains, or a host with path
-segments, which covers everything below.
+segments, which covers everything below; it is normalised as captures are.
 
 A capture asks for its host, every parent domain and every path prefix, down to the
-deepest pattern of the list.  Captures are first reduced to distinct (pattern, day) questions, so a host with a third of all
-pages is as many questions as it has days; an as-of join finds the intervals that
-hold on that day; answers are joined back, the most specific pattern first.
+deepest pattern of the list.  Captures are first reduced to distinct (pattern, day)
+questions, so a host with a third of all pages is as many questions as it has days; an
+as-of join finds the intervals that hold on that day; answers are joined back, the most
+specific pattern first.
 """
 
 from __future__ import annotations
@@ -47,9 +48,25 @@ def questions(url: Column, segments: int) -> Column:
     return F.when(h.isNotNull(), F.array_distinct(F.concat(hosts, paths)))
 
 
+def listed(pattern: Column) -> Column:
+    """A list entry as captures ask for it: host and path segments; NULL if it has no host.
+
+    Entries come with or without scheme, user, port, ``*.`` or a dot before the host, a
+    dot behind it, in any case, and with any slashes; a query or fragment is left out.
+    """
+    bare = F.trim(pattern)
+    url = F.when(bare.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), bare).otherwise(F.concat(F.lit("http://"), F.regexp_replace(bare, "^/+", "")))
+    name = F.regexp_replace(host(url), r"^(\*?\.)+", "")
+    return F.when(name != "", F.concat_ws("/", F.array(name), path(url)))
+
+
 def intervals(changes: DataFrame) -> DataFrame:
-    """(pattern, category, valid_from, valid_to): when each entry was active; rows with a NULL in any column are no change."""
-    known = changes.select("pattern", "category", "action", F.col("changed").cast("date").alias("changed")).dropna().where("action in ('add', 'remove')")
+    """(pattern, category, valid_from, valid_to): when each entry was active.
+
+    Rows with a NULL in any column are no change; entries that come to the same pattern
+    are one entry, with the changes of all.
+    """
+    known = changes.select(listed(F.col("pattern").cast("string")).alias("pattern"), "category", "action", F.col("changed").cast("date").alias("changed")).dropna().where("action in ('add', 'remove')")
     daily = known.groupBy("pattern", "category", "changed").agg(F.max("action").alias("action"))  # 'remove' > 'add'
     w = Window.partitionBy("pattern", "category").orderBy("changed")
     steps = daily.withColumn("valid_to", F.coalesce(F.lead("changed").over(w), F.lit(_FOREVER).cast("date")))

@@ -60,6 +60,18 @@ def test_deep_entries_match(spark):
     assert got == {0: ("a.com/p/q/r/s", "spam"), 1: ("a.com/p/q/r/s", "spam"), 2: ("a.com/p", "adult"), 3: ("a.com/p", "adult"), 4: ("b.org/x/y/z", "spam")}
 
 
+def test_entries_are_normalised_like_captures(spark):
+    same = ["Example.COM/a/", "http://example.com/a", "https://u:p@EXAMPLE.com.:8080//a/?q=1#f", " example.com/a ", "*.example.com/a", ".example.com//a"]
+    c = spark.createDataFrame([(1, "http://example.com/a/b", DAY), (2, "http://www.example.com/x", DAY), (3, "http://example.com/A", DAY)], "page_id long, url string, fetched date")
+    for entry in same:
+        log = spark.createDataFrame([(entry, "spam", "add", DAY)], "pattern string, category string, action string, changed date")
+        assert {r.page_id: r.pattern for r in url_filter.evaluate(c, log).collect()} == {1: "example.com/a", 2: None, 3: None}, entry
+    changes = [("EXAMPLE.com", "x", "add", DAY), ("example.com./", "x", "remove", DAY + dt.timedelta(1)), ("", "x", "add", DAY), ("/a", "x", "add", DAY), ("*.", "x", "add", DAY), (None, "x", "add", DAY)]
+    log = spark.createDataFrame(changes, "pattern string, category string, action string, changed date")
+    got = sorted(map(tuple, url_filter.intervals(log).collect()), key=str)
+    assert ("example.com", "x", DAY, DAY + dt.timedelta(1)) in got and {r[0] for r in got} <= {"example.com", "a"}
+
+
 def test_no_python_in_the_plan(spark):
     c = spark.createDataFrame([(1, "http://a.b/", DAY)], "page_id long, url string, fetched date")
     log = spark.createDataFrame([("a.b", "x", "add", DAY)], "pattern string, category string, action string, changed date")

@@ -57,7 +57,7 @@ def listed(pattern: Column) -> Column:
     bare = F.trim(pattern)
     url = F.when(bare.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), bare).otherwise(F.concat(F.lit("http://"), F.regexp_replace(bare, "^/+", "")))
     name = F.regexp_replace(host(url), r"^(\*?\.)+", "")
-    return F.when(name != "", F.concat_ws("/", F.array(name), path(url)))
+    return F.when(name.rlike("[^*.]"), F.concat_ws("/", F.array(name), path(url)))
 
 
 def intervals(changes: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def _to_cells(key: str, vector: str, pivots: np.ndarray, metric: str):
 def _to_visits(pivots: np.ndarray, metric: str, far: np.ndarray):
     """(query, cell, distance to its pivot) for every other cell that the bound does not rule out."""
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(lo, 256) for whole in batches for lo in range(0, len(whole), 256)):  # a vector leaves once per visit
             x = matrix_of(b.column("vec"), pivots.shape[1])
             own, bound = b.column("cell").to_numpy(), b.column("bound").to_numpy()
             d = distances(x, pivots, metric)

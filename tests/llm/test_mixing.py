@@ -80,3 +80,14 @@ def test_empty_tables(spark):
     assert mixing.mix(df).taken().count() == 0
     df = spark.createDataFrame([(1, None, None), (2, "", "a")], "doc_id long, text string, source string")
     assert [(r.doc_id, r.size, r.taken) for r in mixing.mix(df).taken().orderBy("doc_id").collect()] == [(1, 0, 0), (2, 0, 0)]
+
+
+def test_no_python_in_the_plan(spark, monkeypatch):
+    plans = []
+    real = mixing.materialise
+    monkeypatch.setattr(mixing, "materialise", lambda df, label: (plans.append(df), real(df, label))[1])
+    plans.append(mixing.mix(spark.createDataFrame(documents(spark, 60), "doc_id long, text string, source string")).taken())
+    assert len(plans) > 3
+    for df in plans:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

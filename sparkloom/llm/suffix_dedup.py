@@ -10,18 +10,24 @@ built in one place; Spark cuts it into collections of bounded size:
     Strings with the same anchor form a *segment* (one stretch of text).
 2.  Anchors go, packed by block, to the bucket of their hash.  An anchor met in one
     document only cannot take part in a repeat; buckets answer with two bits each.
-3.  Segments of shared anchors go to the bucket of their anchor, equal ones
-    collapsed with the smallest id.  Anchors met in more than ``hot_blocks`` blocks
-    are cut into single strings dealt by their own hash, so no anchor is one task.
-4.  Every bucket is a collection of short documents.  Its transform is built column
-    by column: each round inserts one symbol per segment, right to left, at the place
-    that the stable order of the symbols (the LF mapping) gives, and updates common
-    prefixes from range minima.  Symbols, prefixes and row numbers are sequential
-    arrays that are read and rewritten once a round; the bucket size bounds them, and
-    the shuffle between blocks and buckets is the external storage.  Runs of common
-    prefixes of ``min_bytes`` or more are equal strings; the smallest id of a run
-    decides which of them are repeats.
-5.  Buckets answer every block with its verdicts; blocks mark bytes and cut texts.
+3.  A block is a collection of its own first: the transform of its segments of shared
+    anchors marks what it repeats itself, and finds equal segments, of which the one
+    with the smallest id goes to the bucket of the anchor.  So a passage that fills a
+    block leaves it once.  Anchors met in more than ``hot_blocks`` blocks are cut into
+    single strings dealt by their own hash, so no anchor is one task; these strings
+    take the same way through both transforms.
+4.  Every bucket is a collection of the segments sent, each a row with its id, equal
+    ones included.  A transform is built column by column: each round inserts one
+    symbol per segment, right to left, at the place that the stable order of the
+    symbols (the LF mapping) gives, and updates common prefixes from range minima.
+    All strings of a segment hold its anchor, so the anchor is one symbol, numbered in
+    the collection, and ``min_bytes`` bytes are ``window`` symbols.  Symbols and
+    prefixes are sequential arrays that are read and rewritten once a round; the
+    collection's size bounds them, and the shuffle between blocks and buckets is the
+    external storage.  Runs of common prefixes of ``window`` or more are equal strings;
+    the smallest id of a run decides which of them are repeats.
+5.  Buckets answer every block with its verdicts and hand back what the block's own
+    transform found; blocks mark bytes and cut texts.
 
 The documents are shuffled once: the three passes over blocks share that exchange.
 """
@@ -162,24 +168,14 @@ class Block:
         bucket = np.r_[(self.key[plain] >> np.uint64(40)).astype(np.int64), np.full(len(single), -1)]
         return first, last, offset, bucket
 
-    def collapsed(self, codes: dict[int, bytes]):
-        """Segments, the number of each one's content, and for each content: first segment and bucket.
-
-        Contents are numbered in the order in which they occur; hot strings follow the others.
-        """
-        first, last, offset, bucket = self.shared(codes)
-        raw, size, seen, number, heads = self.data.tobytes(), self.plan.min_bytes, {}, np.empty(len(first), np.int64), []
-        for i, (s, e) in enumerate(zip(first.tolist(), (last + size).tolist())):
-            content = raw[s:e]
-            number[i] = j = seen.setdefault(content, len(heads))
-            if j == len(heads):
-                heads.append(i)
-        contents = list(seen)
-        heads = np.array(heads, np.int64)
-        where = bucket[heads] if len(heads) else heads
+    def heads(self, first: np.ndarray, last: np.ndarray, bucket: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Segments that stand for their equals, and the bucket of each; hot strings are dealt by their own hash."""
+        heads = np.flatnonzero(head == np.arange(len(head)))
+        where = bucket[heads]
         for j in np.flatnonzero(where < 0).tolist():
-            where[j] = xxhash.xxh64_intdigest(contents[j]) % self.plan.buckets
-        return first, last, offset, number, heads, where, contents
+            s = int(first[heads[j]])
+            where[j] = xxhash.xxh64_intdigest(self.data[s : s + self.plan.min_bytes]) % self.plan.buckets
+        return heads, where
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -231,44 +227,53 @@ def _judge_anchors(table: pa.Table, plan: Plan) -> pa.Table:
 def _send_segments(left: pa.Table, right: pa.Table, plan: Plan) -> pa.Table:
     block = Block(left, plan)
     codes = dict(zip(right["bucket"].to_pylist(), right["codes"].to_pylist()))
-    first, last, offset, _, heads, where, contents = block.collapsed(codes)
+    first, last, offset, bucket = block.shared(codes)
+    row_id = block.ids[np.searchsorted(block.offsets, first, side="right") - 1] if len(first) else first
+    masks, head = _repeats(block.data, first, last, offset, row_id, plan)
+    heads, where = block.heads(first, last, bucket, head)
     order = np.argsort(where, kind="stable")
-    out = {c: [] for c in ("bucket", "codes", "sizes", "offsets", "ids", "chars")}
-    ids = block.ids[np.searchsorted(block.offsets, first[heads], side="right") - 1] if len(heads) else heads
-    size = (last - first)[heads] + plan.min_bytes if len(heads) else heads
-    at = offset[heads] if len(heads) else heads
+    out = {c: [] for c in ("bucket", "codes", "equals", "inner", "sizes", "offsets", "ids", "chars")}
+    size = last[heads] - first[heads] + plan.min_bytes
     sent = where[order]
     for b in sorted({*codes, *sent.tolist()}):
         own = order[np.searchsorted(sent, b) : np.searchsorted(sent, b, side="right")]
+        out["equals"].append(None if out["bucket"] else _pack(np.arange(len(head)) - head))
+        out["inner"].append(None if out["bucket"] else _pack(masks))
         out["bucket"].append(b)
         out["codes"].append(codes.get(b))
-        for name, values, kind in (("sizes", size, "<u2"), ("offsets", at, "<u2"), ("ids", ids, "<i8")):
+        for name, values, kind in (("sizes", size, "<u2"), ("offsets", offset[heads], "<u2"), ("ids", row_id[heads], "<i8")):
             out[name].append(_pack(values[own].astype(kind)))
-        out["chars"].append(zstandard.compress(b"".join([contents[j] for j in own.tolist()]), 1))
+        out["chars"].append(_pack(block.data[_stretches(first[heads[own]], size[own])]))
     made = {c: pa.array(v, pa.int64() if c == "bucket" else pa.binary()) for c, v in out.items()}
     return pa.table({"block": pa.array([left["block"][0].as_py() if len(left) else right["block"][0].as_py()] * len(made["bucket"]), pa.int64()), **made})
 
 
+def _stretches(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each stretch, one behind the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 def insert_columns(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Column-wise construction: (segment, suffix length, common prefix with the row before), rows in suffix order.
+    """Column-wise construction: (segment, suffix length, common prefix with the row before), rows in suffix order."""
+    return insert_symbols(np.frombuffer(b"".join(segments), np.uint8).astype(np.uint16) + np.uint16(1), np.array([len(s) for s in segments], np.int64))
+
+
+def insert_symbols(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``insert_columns``, of segments of unsigned symbols above 0 one behind the other; 0 ends a segment.
 
-    Symbols are byte + 1 and 0 ends a segment; UTF-8 has no byte 255, and other input
-    uses wider symbols.  The first rows are the empty suffixes; the columns are
-    allocated once at their final length and filled from the front.
+    The first rows are the empty suffixes; the columns are allocated once at their
+    final length and filled from the front.  Which suffix a row is follows from the
+    finished transform, by going backwards through all segments at once.
     """
-    m = len(segments)
-    sizes = np.array([len(s) for s in segments], np.int64)
-    flat = np.frombuffer(b"".join(segments), np.uint8)
-    kind = np.uint8 if not len(flat) or flat.max() < 255 else np.uint16
-    flat = np.append(flat.astype(kind) + kind(1), kind(0))
+    m, kind = len(sizes), flat.dtype.type
+    flat = np.append(flat, kind(0))
     ends, longest, total = np.cumsum(sizes), int(sizes.max(initial=0)), int(sizes.sum()) + m
-    width = longest + 1
     sym, common = np.zeros(total, kind), np.zeros(total + 1, np.uint8 if longest < 255 else np.uint16)
-    row = np.zeros(total, np.int32 if m * width < 1 << 31 else np.int64)
     sym[:m] = np.where(sizes > 0, flat[np.maximum(ends - 1, 0)], 0)
-    row[:m] = np.arange(m) * width
+    owner = np.zeros(total, np.int32)  # segment of each fresh row
     waiting = np.zeros(total, bool)  # rows whose symbol has yet to be inserted before their suffix
     fresh, n = np.flatnonzero(sym[:m]), m
+    owner[fresh] = fresh
     for j in range(1, longest + 1):
         if not len(fresh):
             break
@@ -278,7 +283,7 @@ def insert_columns(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nd
         rank = np.flatnonzero(waiting[:n][order])
         waiting[fresh] = False
         tail = order[rank]
-        c, seg = have[tail], row[tail] // width
+        c, seg = have[tail], owner[tail]
         before, after = order[np.maximum(rank - 1, 0)], order[np.minimum(rank + 1, len(order) - 1)]
         up, down = (rank > 0) & (have[before] == c), (rank + 1 < len(order)) & (have[after] == c)
         common[n] = 0  # range minima may look one row past the end
@@ -289,13 +294,23 @@ def insert_columns(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nd
         end = n + len(rank)
         old = np.ones(end - m, bool)
         old[rank] = False
-        for column, new in ((sym, flat[np.where(more, ends[seg] - 1 - j, len(flat) - 1)]), (common, prefix), (row, seg * width + j)):
+        for column, new in ((sym, flat[np.where(more, ends[seg] - 1 - j, len(flat) - 1)]), (common, prefix)):
             kept = column[m:n].copy()
             column[m:end][old] = kept
             column[m:end][rank] = new
         common[m + rank[down] + 1] = following
         fresh, n = m + rank[more], end
-    return row // width, row % width, common[:-1]
+        owner[fresh] = seg[more]
+    place = np.empty(total, np.int64)
+    order = np.argsort(sym, kind="stable")[m:]  # one end a segment
+    place[order] = np.arange(m, total)
+    row, length = np.zeros(total, np.int64), np.zeros(total, np.int64)
+    row[:m] = own = at = np.arange(m)
+    for j in range(1, longest + 1):
+        left = sym[at] > 0
+        own, at = own[left], place[at[left]]
+        row[at], length[at] = own, j
+    return row, length, common[:-1]
 
 
 def _range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -309,59 +324,80 @@ def _range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndar
     return out
 
 
-def _repeats(contents: list[bytes], least: np.ndarray, min_bytes: int) -> np.ndarray:
-    """For each distinct segment a mask of its strings that a smaller id than the segment's smallest also holds."""
-    masks = np.zeros(len(contents), np.uint64)
-    seg, length, common = insert_columns(contents)
-    inside = common >= min_bytes
-    start = np.flatnonzero(~inside)
-    if not len(start):
-        return masks
-    group = np.cumsum(~inside) - 1
-    smallest = np.minimum.reduceat(least[seg], start)[group]
-    hit = np.flatnonzero((smallest < least[seg]) & (length >= min_bytes))
-    sizes = np.array([len(c) for c in contents], np.int64)
-    at = (sizes[seg[hit]] - length[hit]).astype(np.uint64)
-    np.bitwise_or.at(masks, seg[hit], np.uint64(1) << at)
-    return masks
+def _by_anchor(anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal rows of bytes stand together, and in this order whether a row begins a new one."""
+    n, k = anchors.shape
+    wide = np.zeros((n, -(-k // 8) * 8), np.uint8)
+    wide[:, :k] = anchors
+    words = wide.view(np.uint64)
+    mixed = np.zeros(n, np.uint64)
+    for column in words.T:
+        mixed = (mixed ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+    order = np.argsort(mixed, kind="stable")
+    new = lambda a: np.r_[True, (a[1:] != a[:-1]).any(axis=1)]
+    begins = new(words[order])
+    if (begins[1:] & (mixed[order][1:] == mixed[order][:-1])).any():  # two anchors of one hash
+        order = np.lexsort(words.T)
+        begins = new(words[order])
+    return order, begins
+
+
+def _repeats(data: np.ndarray, first: np.ndarray, last: np.ndarray, offset: np.ndarray, ids: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """For each segment a mask of its strings that a segment of a smaller id also holds, and the first segment equal to it.
+
+    A segment alone with its anchor holds no string of another one; the others form
+    collections of whole anchors, small enough to stay in the processor's cache.
+    """
+    masks, head = np.zeros(len(first), np.uint64), np.arange(len(first))
+    if not len(first):
+        return masks, head
+    anchors = np.lib.stride_tricks.sliding_window_view(data, plan.k)[first + offset]
+    order, begins = _by_anchor(anchors)
+    start = np.flatnonzero(begins)
+    several = np.diff(np.r_[start, len(order)]) > 1
+    inside = several[np.cumsum(begins) - 1]
+    among, begins = order[inside], begins[inside]
+    size = last[among] - first[among] + plan.window  # in symbols
+    start = np.flatnonzero(begins)
+    held, cut = np.cumsum(size), [0]
+    while cut[-1] < len(among):  # whole anchors, until a collection is full
+        full = np.searchsorted(held, held[cut[-1]] - size[cut[-1]] + _COLLECTION)
+        nth = np.searchsorted(start, full, side="right")
+        cut.append(int(start[nth]) if nth < len(start) else len(among))
+    for lo, hi in zip(cut, cut[1:]):
+        own, n = among[lo:hi], size[lo:hi]
+        number = np.cumsum(begins[lo:hi])
+        step = _stretches(np.zeros(len(own), np.int64), n)
+        beyond = step - np.repeat(offset[own], n)
+        at = np.repeat(first[own], n) + step + (beyond > 0) * (plan.k - 1)
+        kind = np.uint16 if number[-1] < 60_000 else np.uint32
+        flat = np.where(beyond == 0, np.repeat(number + 256, n), data[at].astype(np.int64) + 1).astype(kind)
+        seg, length, common = insert_symbols(flat, n)
+        equal = common >= plan.window
+        run = np.flatnonzero(~equal)
+        smallest = np.minimum.reduceat(ids[own][seg], run)[np.cumsum(~equal) - 1]
+        hit = np.flatnonzero((smallest < ids[own][seg]) & (length >= plan.window))
+        np.bitwise_or.at(masks, own[seg[hit]], np.uint64(1) << (n[seg[hit]] - length[hit]).astype(np.uint64))
+        other = np.r_[True, (length[1:] != length[:-1]) | (common[1:] != length[1:])]
+        whole = np.flatnonzero(length == n[seg])
+        of = np.cumsum(other)[whole]
+        run = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        head[own[seg[whole]]] = np.repeat(np.minimum.reduceat(own[seg[whole]], run), np.diff(np.r_[run, len(whole)]))
+    return masks, head
 
 
 def _judge_segments(table: pa.Table, plan: Plan) -> pa.Table:
-    seen: dict[bytes, int] = {}
-    anchor_of: list[bytes] = []
-    numbers, ids = [], []
-    for sizes, offsets, own, chars in zip(*[table[c].to_pylist() for c in ("sizes", "offsets", "ids", "chars")]):
-        ends = np.cumsum(_unpack(sizes, "<u2").astype(np.int64)).tolist()
-        raw, s = zstandard.decompress(chars), 0
-        number = np.empty(len(ends), np.int64)
-        for i, (e, a) in enumerate(zip(ends, _unpack(offsets, "<u2").tolist())):
-            content, s0, s = raw[s:e], s, e
-            number[i] = j = seen.setdefault(content, len(anchor_of))
-            if j == len(anchor_of):
-                anchor_of.append(raw[s0 + a : s0 + a + plan.k])
-        numbers.append(number)
-        ids.append(_unpack(own, "<i8"))
-    least = np.full(len(seen), _NONE, np.int64)
-    np.minimum.at(least, np.concatenate(numbers), np.concatenate(ids))
-    # a segment alone with its anchor holds no string of another segment; the others
-    # form collections of whole anchors, small enough to stay in the processor's cache
-    several: dict[bytes, int] = {}
-    for a in anchor_of:
-        several[a] = several.get(a, 0) + 1
-    contents, masks = list(seen), np.zeros(len(seen), np.uint64)
-    among = sorted((a, i) for i, a in enumerate(anchor_of) if several[a] > 1)
-    own, held = [], 0
-    for t, (a, i) in enumerate(among):
-        own.append(i)
-        held += len(contents[i])
-        if t + 1 == len(among) or held >= _COLLECTION and among[t + 1][0] != a:
-            masks[own] = _repeats([contents[i] for i in own], least[own], plan.min_bytes)
-            own, held = [], 0
-    owns = [least[n] == i for n, i in zip(numbers, ids)]
+    columns = {c: table[c].to_pylist() for c in ("sizes", "offsets", "ids", "chars")}
+    whole = lambda c, kind: [_unpack(x, kind) for x in columns.pop(c)]
+    sizes = whole("sizes", "<u2")
+    cut = np.cumsum([0, *map(len, sizes)]).tolist()
+    size, offset = np.concatenate(sizes).astype(np.int64), np.concatenate(whole("offsets", "<u2")).astype(np.int64)
+    first = np.cumsum(size) - size
+    masks, _ = _repeats(np.concatenate(whole("chars", np.uint8)), first, first + size - plan.min_bytes, offset, np.concatenate(whole("ids", "<i8")), plan)
     return pa.table({
-        "block": table["block"], "bucket": table["bucket"], "codes": table["codes"],
-        "owns": pa.array([np.packbits(o).tobytes() for o in owns], pa.binary()),
-        "masks": pa.array([_pack(masks[n[o]]) for n, o in zip(numbers, owns)], pa.binary()),
+        "block": table["block"], "bucket": table["bucket"], "codes": table["codes"], "equals": table["equals"], "inner": table["inner"],
+        "masks": pa.array([_pack(masks[a:b]) for a, b in zip(cut, cut[1:])], pa.binary()),
     })
 
 
@@ -369,24 +405,22 @@ def _cut(left: pa.Table, right: pa.Table, plan: Plan, schema: pa.Schema, carried
     if not len(left):
         return schema.empty_table()
     block = Block(left, plan)
-    reply = {b: x for b, *x in zip(*[right[c].to_pylist() for c in ("bucket", "codes", "owns", "masks")])}
-    first, last, _, number, heads, where, _ = block.collapsed({b: x[0] for b, x in reply.items() if x[0] is not None})
-    owns, masks = np.zeros(len(heads), bool), np.zeros(len(heads), np.uint64)
-    order = np.argsort(where, kind="stable")
-    cut = np.flatnonzero(np.r_[True, np.diff(where[order]) != 0, True]) if len(order) else []
-    for lo, hi in zip(cut[:-1], cut[1:]):
-        own, (_, bits, kept) = order[lo:hi], reply[int(where[order[lo]])]
-        owns[own] = np.unpackbits(np.frombuffer(bits, np.uint8))[: len(own)]
-        masks[own[owns[own]]] = _unpack(kept, np.uint64)
+    reply = {b: x for b, *x in zip(*[right[c].to_pylist() for c in ("bucket", "codes", "equals", "inner", "masks")])}
+    first, last, _, bucket = block.shared({b: x[0] for b, x in reply.items() if x[0] is not None})
     n, size = len(block.data), plan.min_bytes
     marks = np.zeros(n + 1, np.int32)
     if len(first):
-        row_id = block.ids[np.searchsorted(block.offsets, first, side="right") - 1]
-        whole = ~owns[number] | (row_id > row_id[heads[number]])
-        np.add.at(marks, first[whole], 1)
-        np.add.at(marks, last[whole] + size, -1)
-        part = np.flatnonzero(~whole & (masks[number] > 0))
-        bits = np.unpackbits(masks[number[part]].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ahead, inner = next(x[1:3] for x in reply.values() if x[1] is not None)
+        head, masks = np.arange(len(first)) - _unpack(ahead, np.int64), _unpack(inner, np.uint64).copy()
+        heads, where = block.heads(first, last, bucket, head)
+        found = np.zeros(len(first), np.uint64)
+        order = np.argsort(where, kind="stable")
+        cut = np.flatnonzero(np.r_[True, np.diff(where[order]) != 0, True])
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            found[heads[order[lo:hi]]] = _unpack(reply[int(where[order[lo]])][3], np.uint64)
+        masks |= found[head]
+        part = np.flatnonzero(masks)
+        bits = np.unpackbits(masks[part].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         which, at = np.nonzero(bits)
         np.add.at(marks, first[part[which]] + at, 1)
         np.add.at(marks, first[part[which]] + at + size, -1)
@@ -429,9 +463,9 @@ def remove_repeats(
     anchors = dealt.groupBy("block").applyInArrow(lambda t: _send_anchors(t, plan), "bucket long, block long, keys binary, several binary")
     codes = anchors.groupBy("bucket").applyInArrow(lambda t: _judge_anchors(t, plan), "block long, bucket long, codes binary")
     segments = dealt.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(
-        lambda a, b: _send_segments(a, b, plan), "block long, bucket long, codes binary, sizes binary, offsets binary, ids binary, chars binary")
+        lambda a, b: _send_segments(a, b, plan), "block long, bucket long, codes binary, equals binary, inner binary, sizes binary, offsets binary, ids binary, chars binary")
     verdicts = segments.groupBy("bucket").applyInArrow(
-        lambda t: _judge_segments(t, plan), "block long, bucket long, codes binary, owns binary, masks binary")
+        lambda t: _judge_segments(t, plan), "block long, bucket long, codes binary, equals binary, inner binary, masks binary")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string", *[f"{o} {kinds[o]}" for o in own]])
     arrow = to_arrow_schema(StructType.fromDDL(schema))

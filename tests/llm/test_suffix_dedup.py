@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from sparkloom.llm import suffix_dedup
@@ -59,3 +60,35 @@ def test_cut_inside_a_character(spark):
     rows = [(1, "x" * 49 + "é"), (2, "x" * 49 + "è")]  # the 50th byte is the first of both characters
     got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[2]["n_removed"] == 50 and got[2]["kept_text"] == ""
+
+
+def test_equal_segments_are_rows_of_the_transform():
+    rnd = random.Random(8)
+    plan = suffix_dedup.Plan(50, 1, 1024)
+    for _ in range(20):
+        anchor = bytes(rnd.choice(b"abcdef") for _ in range(plan.k))
+        pool = []
+        for _ in range(6):
+            left, right = rnd.randint(0, 25), rnd.randint(25, 40)
+            pool.append((left, bytes(rnd.choice(b"xy") for _ in range(left)) + anchor + bytes(rnd.choice(b"xy") for _ in range(min(right, 25)))))
+        rows = [(rnd.randint(0, 9), *rnd.choice(pool)) for _ in range(40)]
+        size = np.array([len(c) for _, _, c in rows])
+        first = np.cumsum(size) - size
+        data = np.frombuffer(b"".join(c for _, _, c in rows), np.uint8)
+        ids = np.array([i for i, _, _ in rows])
+        masks, head = suffix_dedup._repeats(data, first, first + size - 50, np.array([o for _, o, _ in rows]), ids, plan)
+        held = {}
+        for i, _, c in rows:
+            for a in range(len(c) - 49):
+                held[c[a : a + 50]] = min(i, held.get(c[a : a + 50], i))
+        for j, (i, _, c) in enumerate(rows):
+            assert int(masks[j]) == sum(1 << a for a in range(len(c) - 49) if held[c[a : a + 50]] < i)
+            assert head[j] == next(h for h, r in enumerate(rows) if r[2] == c)
+
+
+def test_many_repeated_rows(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(i // 3, text + str(i % 2)) for i in range(600)] + [(None, text)] * 5
+    for hot in (0, 1024):
+        got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA), block_bytes=4000, bucket_bytes=4000, hot_blocks=hot)
+        assert result(got) == brute.repeats(rows, 50)

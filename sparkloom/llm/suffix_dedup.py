@@ -270,40 +270,44 @@ def insert_symbols(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.
     ends, longest, total = np.cumsum(sizes), int(sizes.max(initial=0)), int(sizes.sum()) + m
     sym, common = np.zeros(total, kind), np.zeros(total + 1, np.uint8 if longest < 255 else np.uint16)
     sym[:m] = np.where(sizes > 0, flat[np.maximum(ends - 1, 0)], 0)
-    owner = np.zeros(total, np.int32)  # segment of each fresh row
-    waiting = np.zeros(total, bool)  # rows whose symbol has yet to be inserted before their suffix
-    fresh, n = np.flatnonzero(sym[:m]), m
-    owner[fresh] = fresh
+    fresh, n = np.flatnonzero(sym[:m]), m  # rows whose symbol has yet to be inserted before their suffix
+    owner = fresh
+    # The LF mapping as a sorted list of (symbol, row): entry t is the row that row m + t extends by a symbol.
+    low = np.int64((1 << 32) - 1)
+    mapping = np.zeros(0, np.int64)
     for j in range(1, longest + 1):
         if not len(fresh):
             break
-        have = sym[:n]
-        order = np.argsort(have, kind="stable")[n - np.count_nonzero(have) :]
-        waiting[fresh] = True
-        rank = np.flatnonzero(waiting[:n][order])
-        waiting[fresh] = False
-        tail = order[rank]
-        c, seg = have[tail], owner[tail]
-        before, after = order[np.maximum(rank - 1, 0)], order[np.minimum(rank + 1, len(order) - 1)]
-        up, down = (rank > 0) & (have[before] == c), (rank + 1 < len(order)) & (have[after] == c)
+        order = np.argsort(sym[fresh], kind="stable")
+        new, seg = (sym[fresh].astype(np.int64) << 32 | fresh)[order], owner[order]
+        back = np.empty(len(order), np.int64)  # the new entries by row, the last one first
+        back[order] = np.arange(len(order))
+        back = back[::-1]
+        rank = np.searchsorted(mapping, new) + np.arange(len(new))
+        end = n + len(new)
+        old = np.ones(end - m, bool)
+        old[rank] = False
+        merged = np.empty(end - m, np.int64)
+        merged[old], merged[rank] = mapping, new
+        before, after = merged[np.maximum(rank - 1, 0)], merged[np.minimum(rank + 1, end - m - 1)]
+        up, down = (rank > 0) & (before >> 32 == new >> 32), (rank + 1 < end - m) & (after >> 32 == new >> 32)
+        up, down = back[up[back]], back[down[back]]
         common[n] = 0  # range minima may look one row past the end
         prefix = np.zeros(len(rank), common.dtype)
-        prefix[up] = 1 + _range_min(common[: n + 1], before[up], tail[up])
-        following = 1 + _range_min(common[: n + 1], tail[down], after[down])
+        prefix[up] = 1 + _range_min(common[: n + 1], before[up] & low, new[up] & low)
+        following = 1 + _range_min(common[: n + 1], new[down] & low, after[down] & low)
         more = sizes[seg] > j
-        end = n + len(rank)
-        old = np.ones(end - m, bool)
-        old[rank] = False
-        for column, new in ((sym, flat[np.where(more, ends[seg] - 1 - j, len(flat) - 1)]), (common, prefix)):
+        for column, fill in ((sym, flat[np.where(more, ends[seg] - 1 - j, len(flat) - 1)]), (common, prefix)):
             kept = column[m:n].copy()
             column[m:end][old] = kept
-            column[m:end][rank] = new
+            column[m:end][rank] = fill
         common[m + rank[down] + 1] = following
-        fresh, n = m + rank[more], end
-        owner[fresh] = seg[more]
+        moved = np.zeros(n, np.int64)  # how far the insertion moved each row
+        moved[m:] = np.flatnonzero(old) - np.arange(n - m)
+        mapping = merged + moved[merged & low]
+        fresh, owner, n = m + rank[more], seg[more], end
     place = np.empty(total, np.int64)
-    order = np.argsort(sym, kind="stable")[m:]  # one end a segment
-    place[order] = np.arange(m, total)
+    place[mapping & low] = np.arange(m, total)
     row, length = np.zeros(total, np.int64), np.zeros(total, np.int64)
     row[:m] = own = at = np.arange(m)
     for j in range(1, longest + 1):
@@ -314,14 +318,15 @@ def insert_symbols(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """min(values[low + 1 : high + 1]) for each pair, low < high."""
+    """min(values[low + 1 : high + 1]) for each pair, low < high.
+
+    No pair may begin behind the end of the one before it: then what lies between two costs nothing.
+    """
     if not len(low):
         return np.zeros(0, values.dtype)
-    order = np.argsort(low)[::-1]  # descending, so what lies between two pairs costs nothing
-    pairs = np.stack([low[order] + 1, high[order] + 1], axis=1).ravel()
-    out = np.empty(len(low), values.dtype)
-    out[order] = np.minimum.reduceat(values, pairs)[::2]
-    return out
+    pairs = np.empty(2 * len(low), np.int64)
+    pairs[::2], pairs[1::2] = low + 1, high + 1
+    return np.minimum.reduceat(values, pairs)[::2]
 
 
 def _by_anchor(anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -48,7 +48,7 @@ from pyspark.sql.types import StructType
 
 from sparkloom.llm.common import pieces, text_bytes
 
-_SLICE = 1 << 18
+_SLICE = 1 << 15  # positions hashed at a time, small enough for the processor's cache
 _COLLECTION = 1 << 17
 _NONE = np.iinfo(np.int64).max  # stands for a NULL id: smaller than no other
 _LOW = np.uint64((1 << 40) - 1)
@@ -141,24 +141,31 @@ class Block:
         self.key = (bucket << np.uint64(40)) | (h & _LOW)
         self.row = np.searchsorted(off, self.first, side="right") - 1
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys in order, and whether two ids hold the key."""
+    def _by_key(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys in order, the segments in this order, and how many hold each key."""
         order = np.argsort(self.key, kind="stable")
-        key, ids = self.key[order], self.ids[self.row[order]]
+        key = self.key[order]
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        end = np.r_[start[1:], len(key)] - 1 if len(key) else start
-        return key[start], ids[start] != ids[end]
+        return key[start], order, np.diff(np.r_[start, len(key)])
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys in order, and whether two ids hold the key."""
+        keys, order, held = self._by_key()
+        ids = self.ids[self.row[order]]
+        end = np.cumsum(held) - 1
+        return keys, ids[end + 1 - held] != ids[end]
 
     def shared(self, codes: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(first, last, anchor offset, bucket) of the segments of shared anchors; hot ones cut into single strings (bucket -1)."""
-        keys, _ = self.anchors()
+        keys, order, held = self._by_key()
         code = np.zeros(len(keys), np.uint8)
         of = (keys >> np.uint64(40)).astype(np.int64)
         cut = np.searchsorted(of, np.unique(of), side="left").tolist() + [len(of)]
         for lo, hi in zip(cut, cut[1:]):
             bits = np.unpackbits(np.frombuffer(codes[int(of[lo])], np.uint8).reshape(2, -1), axis=1)[:, : hi - lo]
             code[lo:hi] = bits[0] + 2 * bits[1]
-        mine = code[np.searchsorted(keys, self.key)] if len(keys) else code
+        mine = np.empty(len(order), np.uint8)
+        mine[order] = np.repeat(code, held)
         plain, hot = np.flatnonzero(mine == 1), np.flatnonzero(mine == 2)
         n = self.last[hot] - self.first[hot] + 1
         single = np.repeat(self.first[hot] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(hot) else hot

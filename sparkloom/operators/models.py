@@ -400,13 +400,18 @@ def per_cluster_fit(train: DataFrame, valid: DataFrame, cluster: str, estimators
 
 
 def ensemble_predict(df: DataFrame, cluster: str, models: dict, best: DataFrame) -> DataFrame:
-    """Each cluster predicted by its best model; the parts are put together again."""
-    parts = []
+    """Each cluster predicted by its best model; the parts are put together again.
+
+    Rows of a cluster without one (never met in training, or no score above 0) are predicted 0.
+    """
+    parts, left = [], F.lit(True)
     for r in best.collect():  # one row per cluster
-        scored = models[r[cluster], r["model"]].transform(df.filter(F.col(cluster).eqNullSafe(F.lit(r[cluster]))))
+        here = F.col(cluster).eqNullSafe(F.lit(r[cluster]))
+        scored = models[r[cluster], r["model"]].transform(df.filter(here))
         parts.append(scored.select(*df.columns, "prediction"))
-    out = parts[0]
-    for p in parts[1:]:
+        left = left & ~here
+    out = df.filter(left).select(*df.columns, F.lit(0.0).alias("prediction"))
+    for p in parts:
         out = out.unionByName(p)
     return out
 

@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from sparkloom.operators import clusters, evaluate, models
+from sparkloom.operators import aggregate, clusters, evaluate, models, select
 
 
 def vectors(spark, x, y, **more):
@@ -178,3 +178,30 @@ def test_ensemble_without_any_model(spark):
     nothing = spark.createDataFrame([], "cluster int, model string, score double")
     out = models.ensemble_predict(test, "cluster", {}, nothing)
     assert out.count() == len(y) and {r.prediction for r in out.collect()} == {0.0}
+
+
+def test_discriminant_equals_numpy(spark):
+    rng = np.random.default_rng(11)
+    y = np.arange(500) % 3
+    x = rng.normal(size=(500, 3)) @ [[1, 0.5, 0], [0, 1, 0], [0, 0.2, 2]] + y[:, None] * [0.7, -0.4, 0.5]
+    df = vectors(spark, x, y)
+    got = {r.id: r.predicted for r in models.lda_classifier(df, df, "v", "label", 3).collect()}
+    means = np.array([x[y == k].mean(axis=0) for k in range(3)])
+    pooled = (x - means[y]).T @ (x - means[y]) / 500
+    d = x[:, None] - means
+    score = np.log(np.bincount(y) / 500) - 0.5 * np.einsum("nki,ij,nkj->nk", d, np.linalg.inv(pooled), d)
+    assert np.mean([got[i] == c for i, c in enumerate(score.argmax(axis=1))]) > 0.995
+
+
+def test_approximate_counts(spark):
+    df = spark.range(60_000).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b"), F.when(F.col("id") < 0, 1).alias("c"))
+    r = aggregate.approximate_distinct(df, "a", "b", "c").first()
+    assert abs(r.n_a / 60_000 - 1) < 0.06 and (r.n_b, r.n_c) == (7, 0)  # three deviations; few values are exact
+
+
+def test_samples_of_rows(spark):
+    df = spark.range(0, 50_000, 1, 8)
+    one, again, other = ({r.id for r in select.sample_rows(df, 20, seed=s).collect()} for s in (11, 11, 12))
+    assert one == again != other
+    assert abs(len(one) - 10_000) < 4 * np.sqrt(50_000 * 0.2 * 0.8)
+    assert abs(len(one & other) - 2000) < 4 * np.sqrt(2000)  # independent draws

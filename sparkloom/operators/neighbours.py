@@ -1,11 +1,13 @@
 """Exact nearest neighbours without a cross join.
 
 Points belong to the cell of the nearest of some pivots, whose number grows with the
-square root of the rows, and cells are cut into rings of bounded size by the distance
-to their pivot.  A query is first compared with the rings of its own cell around its
-own distance, which gives a true bound on its k-th distance; the triangle inequality
-then rules out cells and rings that lie beyond it, and single points inside a ring.
-Corpus blocks are copied only as often as the queries that visit them need blocks.
+square root of the rows, and whole cells are packed into blocks of bounded size; a cell
+too large for one is cut.  A query is first compared with its own cell, which gives a
+true bound on its k-th distance.  Then every block of queries meets every block of
+points: the triangle inequality rules out cells and stretches of cells that lie beyond
+the bound, which shrinks as rows are found, and what is left is screened in single
+precision before distances are computed from differences.  A row is copied once per
+block of the other side, never per visited cell.
 
 How much is ruled out depends on the intrinsic dimension of the data: points spread in
 three dimensions lose more than nine tenths of all comparisons; in 64 independent
@@ -14,10 +16,10 @@ dimensions all distances are alike and an exact search meets nearly every pair.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +28,7 @@ from sparkloom.operators.linalg import matrix_of
 from sparkloom.runtime import materialise
 
 METRICS = ("l1", "l2", "linf")
+_SPREAD = 8  # blocks of each side at least, where the rows suffice for them
 
 
 def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -71,23 +74,145 @@ def _to_cells(key: str, vector: str, pivots: np.ndarray, metric: str):
     return run
 
 
-def _to_visits(pivots: np.ndarray, metric: str, far: np.ndarray):
-    """(query, cell, distance to its pivot) for every other cell that the bound does not rule out."""
-    def run(batches):
-        for b in (whole.slice(lo, 256) for whole in batches for lo in range(0, len(whole), 256)):  # a vector leaves once per visit
-            x = matrix_of(b.column("vec"), pivots.shape[1])
-            own, bound = b.column("cell").to_numpy(), b.column("bound").to_numpy()
-            d = distances(x, pivots, metric)
-            limit = (bound * (1 + 1e-9) + 1e-9)[:, None]
-            nearest = d[np.arange(len(x)), own][:, None]
-            # a point of cell j is nearer to pivot j than to the query's pivot, hence the second bound
-            visit = (d - far[None, :] <= limit) & ((d - nearest) / 2 <= limit) & (far[None, :] >= 0)
-            visit[np.arange(len(x)), own] = False
-            q, cell = np.nonzero(visit)
-            take = pa.array(q)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id").take(take), b.column("vec").take(take), pa.array(cell, pa.int32()), pa.array(d[q, cell]), b.column("bound").take(take)],
-                names=["id", "vec", "cell", "reach", "bound"])
+_SCREENED = 2048  # queries screened at once
+
+
+class _Screen:
+    """A cheap measure that is never above the distance by more than a known error; squares for l2.
+
+    Only pairs within the bound by this measure are computed from differences.  l2 takes
+    products in single precision, linf the first dimensions that rule out most pairs, l1
+    steps so short that 16 bits hold their sum, where sum |x - y| = 2 sum max(x, y) - sum x - sum y.
+    """
+
+    def __init__(self, q: np.ndarray, c: np.ndarray, metric: str):
+        peak = max(np.abs(q).max(initial=0.0), np.abs(c).max(initial=0.0))
+        kind = np.float32 if peak < 1e15 else np.float64
+        self.metric, size = metric, q.shape[1]
+        self.error = (size + 8) * 2 * float(np.finfo(kind).eps)
+        levels = 65_535 // max(1, size)
+        self.step = 0.0
+        if metric == "l1" and levels >= 256 and np.isfinite(q).all() and np.isfinite(c).all():
+            # values beyond the ends are drawn in, which makes no distance larger
+            low, high = np.quantile(c[:: max(1, len(c) // 2000)], [0.001, 0.999])
+            self.step = (high - low) / levels
+        if self.step > 0:
+            steps = lambda x: np.rint((np.clip(x, low, high) - low) / self.step).clip(0, levels).astype(np.uint16)
+            self.q, self.c = steps(q), steps(c)
+            self.qn, self.cn = (x.sum(axis=1, dtype=np.int64) for x in (self.q, self.c))
+            self.error = size + 2  # half a step for each end in each dimension, and the rounding of the bound
+        else:
+            self.q, self.c = q.astype(kind), c.astype(kind)
+            norm = {"l2": lambda x: np.einsum("ij,ij->i", x, x), "l1": lambda x: np.abs(x).sum(axis=1), "linf": lambda x: np.abs(x).max(axis=1)}[metric]
+            self.qn, self.cn = norm(q), norm(c)
+
+    def near(self, rows: np.ndarray, a: int, b: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(i, j) of all pairs of ``rows[i]`` and row ``a + j`` that may lie within the bound."""
+        q, c = self.q[rows], self.c[a:b]
+        if self.metric == "l2":
+            d = q @ c.T
+            d *= -2
+            d += self.cn[a:b].astype(d.dtype)
+            limit = bound * bound * (1 + 1e-9) - self.qn[rows] + self.error * (self.qn[rows] + self.cn[a:b].max())
+            return np.nonzero(d <= limit.astype(d.dtype)[:, None])
+        q = np.ascontiguousarray(q.T)
+        one = np.empty((32, len(rows)), q.dtype)
+        found = []
+        for lo in range(0, len(c), 32):  # so few rows that both tiles stay in the cache
+            part = one[:len(c) - lo]
+            sums = np.zeros_like(part)
+            if self.step > 0:
+                limit = (bound / self.step + self.error + self.qn[rows]) / 2
+                for x, y in zip(q, c[lo:lo + 32].T):
+                    np.maximum(x[None, :], y[:, None], out=part)
+                    np.add(sums, part, out=sums)
+                top = np.minimum(limit[None, :] + self.cn[a + lo:a + lo + len(part), None] / 2, 65_535).astype(np.uint16)
+                j, i = np.nonzero(sums <= top)
+            else:
+                limit = (bound * (1 + 1e-9) + self.error * (self.qn[rows] + self.cn[a:b].max())).astype(q.dtype)
+                add = np.add if self.metric == "l1" else np.maximum
+                for n, (x, y) in enumerate(zip(q, c[lo:lo + 32].T), 1):
+                    np.subtract(x[None, :], y[:, None], out=part)
+                    np.abs(part, out=part)
+                    add(sums, part, out=sums)
+                    if add is np.maximum and n % 8 == 0 and 32 * np.count_nonzero(sums <= limit) < sums.size:
+                        break
+                j, i = np.nonzero(sums <= limit)
+            found.append((i, j + lo))
+        return tuple(map(np.concatenate, zip(*found)))
+
+
+class _Found:
+    """The nearest rows found so far of every query of a block, and the bound they give."""
+
+    def __init__(self, bound: np.ndarray, k: int):
+        self.d, self.id = np.full((len(bound), k), np.inf), np.zeros((len(bound), k), np.int64)
+        self.k, self.bound = k, bound.copy()
+
+    def merge(self, i: np.ndarray, cid: np.ndarray, d: np.ndarray) -> None:
+        if not len(i):
+            return
+        seen = np.unique(i)
+        held = np.isfinite(self.d[seen])
+        i = np.concatenate([np.broadcast_to(seen[:, None], held.shape)[held], i])
+        cid, d = np.concatenate([self.id[seen][held], cid]), np.concatenate([self.d[seen][held], d])
+        order = np.lexsort((cid, d, i))
+        i, cid, d = i[order], cid[order], d[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i, "left")
+        first = place < self.k
+        self.d[i[first], place[first]], self.id[i[first], place[first]] = d[first], cid[first]
+        self.bound[seen] = np.minimum(self.bound[seen], self.d[seen, -1])
+
+
+def _exact(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of rows side by side, computed from differences."""
+    d = q - c
+    if metric == "l2":
+        return np.sqrt(np.einsum("ij,ij->i", d, d))
+    return np.abs(d).sum(axis=1) if metric == "l1" else np.abs(d).max(axis=1)
+
+
+def _search(left: pa.Table, right: pa.Table, pivots: np.ndarray, metric: str, k: int, own: bool) -> tuple[_Found, int]:
+    """The k nearest rows of ``right`` within the bound of each query of ``left``; with ``own`` in its own cell only."""
+    size = pivots.shape[1]
+    q, qcell, qreach = matrix_of(left["vec"].combine_chunks(), size), left["cell"].to_numpy(), left["reach"].to_numpy()
+    right = right.sort_by([("cell", "ascending"), ("reach", "ascending")])
+    c, cid, ccell, reach = matrix_of(right["vec"].combine_chunks(), size), right["id"].to_numpy(), right["cell"].to_numpy(), right["reach"].to_numpy()
+    found, screen, compared = _Found(left["bound"].to_numpy(), k), _Screen(q, c, metric), 0
+    for cell in np.unique(ccell):
+        lo, hi = np.searchsorted(ccell, [cell, cell + 1])
+        rows = np.flatnonzero(qcell == cell) if own else np.arange(len(q))
+        d = distances(q[rows], pivots[cell:cell + 1], metric)[:, 0]
+        slack = found.bound[rows] * (1 + 1e-9) + 1e-9
+        # a point of a cell is nearer to its pivot than to the query's pivot, hence the second bound
+        visit = (d - reach[hi - 1] <= slack) & (reach[lo] - d <= slack) & ((d - qreach[rows]) / 2 <= slack)
+        rows, d = rows[visit], d[visit]
+        order = np.argsort(d, kind="stable")
+        rows, d = rows[order], d[order]
+        for at in range(0, len(rows), _SCREENED):  # queries of like distance to the pivot share a stretch of the cell
+            some, near = rows[at:at + _SCREENED], d[at:at + _SCREENED]
+            slack = found.bound[some] * (1 + 1e-9) + 1e-9
+            a, end = lo + int(np.searchsorted(reach[lo:hi], (near - slack).min(), "left")), lo + int(np.searchsorted(reach[lo:hi], (near + slack).max(), "right"))
+            while a < end:
+                b = min(end, a + (1024 if np.isfinite(found.bound[some]).all() else max(k, 64)))
+                i, j = screen.near(some, a, b, found.bound[some])
+                compared += len(some) * (b - a)
+                for p in range(0, len(i), 1 << 16):
+                    x, y = some[i[p:p + (1 << 16)]], a + j[p:p + (1 << 16)]
+                    exact = _exact(q[x], c[y], metric)
+                    keep = exact <= found.bound[x] * (1 + 1e-9) + 1e-9
+                    found.merge(x[keep], cid[y[keep]], exact[keep])
+                a = b
+    return found, compared
+
+
+def _bounds(pivots: np.ndarray, metric: str, k: int):
+    """Queries with the distance of the k-th row of their own cell as a bound."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        bound = left["bound"].to_numpy()
+        if len(left) and len(right):
+            bound = _search(left, right, pivots, metric, k, True)[0].bound
+        return pa.table([*[left[c] for c in ("id", "vec", "cell", "reach")], pa.array(bound, pa.float64())], names=["id", "vec", "cell", "reach", "bound"])
 
     return run
 
@@ -95,46 +220,34 @@ def _to_visits(pivots: np.ndarray, metric: str, far: np.ndarray):
 _FOUND = "qid bigint, cid bigint, distance double, compared bigint"
 
 
-def _best(metric: str, k: int):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"qid": [np.zeros(0, "int64")], "cid": [np.zeros(0, "int64")], "distance": [np.zeros(0)], "compared": [np.zeros(0, "int64")]}
+def _best(pivots: np.ndarray, metric: str, k: int, counted: bool):
+    """The k nearest of a block of rows for a block of queries; with ``counted`` one row that counts the pairs met."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
         if len(left) and len(right):
-            right = right.sort_values(["reach", "id"], kind="stable")
-            c, cid, reach = np.stack(right["vec"].to_numpy()).astype("float64"), right["id"].to_numpy(), right["reach"].to_numpy()
-            left = left.sort_values("reach", kind="stable")
-            q, qid = np.stack(left["vec"].to_numpy()).astype("float64"), left["id"].to_numpy()
-            slack = left["bound"].to_numpy() * (1 + 1e-9) + 1e-9
-            low = np.searchsorted(reach, left["reach"].to_numpy() - slack, side="left")
-            high = np.searchsorted(reach, left["reach"].to_numpy() + slack, side="right")
-            for lo in range(0, len(q), 64):  # queries of like distance to the pivot share a stretch of the ring
-                a, b = int(low[lo:lo + 64].min()), int(high[lo:lo + 64].max())
-                if a >= b:
-                    continue
-                own = cid[a:b]
-                d = distances(q[lo:lo + 64], c[a:b], metric)
-                take = min(k, b - a)
-                best = np.lexsort((np.broadcast_to(own, d.shape), d), axis=1)[:, :take]
-                out["qid"].append(np.repeat(qid[lo:lo + 64], take))
-                out["cid"].append(own[best].ravel())
-                out["distance"].append(np.take_along_axis(d, best, axis=1).ravel())
-                counted = np.zeros(best.shape, "int64")
-                counted[:, 0] = b - a
-                out["compared"].append(counted.ravel())
-        return pd.DataFrame({n: np.concatenate(v) for n, v in out.items()})
+            found, compared = _search(left, right, pivots, metric, k, False)
+            if counted:
+                rows = (np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1), np.array([compared]))
+            else:
+                i, j = np.nonzero(np.isfinite(found.d))
+                rows = (left["id"].to_numpy()[i], found.id[i, j], found.d[i, j], np.zeros(len(i), np.int64))
+        return pa.table([pa.array(x) for x in rows], names=["qid", "cid", "distance", "compared"])
 
     return run
 
 
-def _meet(visits: DataFrame, rings: DataFrame, spans: DataFrame, metric: str, k: int, block: int) -> DataFrame:
-    """The k best of every visited ring for each query; rings are copied once per block of visiting queries."""
-    slack = F.col("bound") * (1 + 1e-9) + 1e-9
-    met = visits.join(spans, "cell").where((F.col("low") <= F.col("reach") + slack) & (F.col("high") >= F.col("reach") - slack)).drop("low", "high")
-    met = materialise(met, "visits")
-    loads = met.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    left = met.join(loads, ["cell", "part"]).withColumn("q", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
-    right = rings.join(loads, ["cell", "part"]).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    keys = ["cell", "part", "q"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_best(metric, k), _FOUND)
+def _pack(sizes: dict[int, int], least: int, block: int) -> dict[int, list[int]]:
+    """cell -> bins of at most about ``block`` rows; a cell of more than a bin's share is cut into pieces of its own."""
+    share = max(1, min(block, -(-sum(sizes.values()) // least)))
+    pieces = sorted(((-(-n // -(-n // share)), cell) for cell, n in sizes.items() for _ in range(-(-n // share))), reverse=True)
+    loads = [(0, b) for b in range(-(-sum(n for n, _ in pieces) // share))]
+    heapq.heapify(loads)
+    bins: dict[int, list[int]] = {}
+    for n, cell in pieces:
+        load, b = heapq.heappop(loads)
+        bins.setdefault(cell, []).append(b)
+        heapq.heappush(loads, (load + n, b))
+    return {cell: sorted(set(b)) for cell, b in bins.items()}
 
 
 def _nearest(found: DataFrame, k: int) -> DataFrame:
@@ -143,11 +256,11 @@ def _nearest(found: DataFrame, k: int) -> DataFrame:
 
 
 def knn_join(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, metric: str = "l2",
-             pivots: int | None = None, block: int = 20_000, include_self: bool = True, counted: bool = False) -> DataFrame:
+             pivots: int | None = None, block: int = 40_000, include_self: bool = True, counted: bool = False) -> DataFrame:
     """The k nearest corpus rows of each query row: ``qid, cid, distance, rank``.
 
     Keys are bigint.  Ties go to the smaller corpus key.  The result is exact.
-    ``counted`` returns the number of distances computed instead.
+    ``counted`` returns the number of pairs met instead.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
@@ -159,41 +272,40 @@ def knn_join(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: in
     kind = "id bigint, vec array<double>, cell int, reach double"
     cells = materialise(corpus.mapInArrow(_to_cells(key, vector, centre, metric), kind), "cells")
     asked = cells if same else materialise(queries.mapInArrow(_to_cells(key, vector, centre, metric), kind), "asked")
-
-    # rings: consecutive stretches of a cell by distance to its pivot, at most about ``block`` points
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("far"))
-    far = np.full(len(centre), -1.0)
-    edges = {}
-    for r in sizes.collect():  # one row per pivot
-        far[r.cell] = r.far
-        if r.n > block:
-            edges[r.cell] = -(-r.n // block)
-    if edges:
-        cuts = cells.where(F.col("cell").isin(list(edges))).groupBy("cell").agg(F.percentile_approx("reach", [i / max(edges.values()) for i in range(1, max(edges.values()))], 10_000).alias("cuts"))
-        part = F.coalesce(F.size(F.filter("cuts", lambda x: x < F.col("reach"))), F.lit(0))
-        # points at the same distance share a stretch: a salt cuts what still is too large
-        rings = cells.join(cuts, "cell", "left").withColumn("part", F.when(F.col("cuts").isNotNull(), part).otherwise(0)).drop("cuts")
-        rings = materialise(rings, "rings")
-        many = rings.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / (2 * block)).cast("int").alias("_salts"))
-        rings = rings.join(many, ["cell", "part"]).withColumn("part", F.col("part") * 1_000_000 + F.pmod(F.xxhash64("id"), F.col("_salts")).cast("int")).drop("_salts")
-    else:
-        rings = cells.withColumn("part", F.lit(0))
-    spans = rings.groupBy("cell", "part").agg(F.min("reach").alias("low"), F.max("reach").alias("high"))
-
-    # Own cell first.  Its points around the query's own distance to the pivot bound the k-th distance.
-    w = Window.partitionBy("cell").orderBy("reach", "cid")
-    first = cells.select("cell", "reach", F.col("id").alias("cid")).withColumn("t", F.row_number().over(w)).where(F.col("t") <= want)
-    reachable = first.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("kth"))
-    start = asked.join(reachable, "cell", "left").withColumn("bound", F.when(F.col("n") >= want, F.col("reach") + F.col("kth")).otherwise(F.lit(float("inf")))).drop("n", "kth")
-    met = materialise(_meet(start, rings, spans, metric, want, block), "own")
-    own = _nearest(met, want)
-    true = own.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("kth"))
-    bounded = start.join(true, F.col("id") == F.col("qid"), "left").withColumn("bound", F.when(F.col("n") >= want, F.least("bound", "kth")).otherwise(F.col("bound"))).select("id", "vec", "cell", "reach", "bound")
-    visits = bounded.mapInArrow(_to_visits(centre, metric, far), kind + ", bound double")
-    rest = _meet(visits, rings, spans, metric, want, block)
+    # of copies of a vector no more than ``want`` can come out, those of the smallest keys
+    nth = F.row_number().over(Window.partitionBy(F.xxhash64("vec"), "vec").orderBy("id"))
+    cells = materialise(cells.withColumn("_nth", nth).where(F.col("_nth") <= want).drop("_nth"), "distinct")
+
+    sizes = {r.cell: r.n for r in cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per pivot
+    rows, asks = sum(sizes.values()), asked.count()
+    bins = _pack(sizes, min(_SPREAD, -(-rows // 1000)), block)
+    count = 1 + max((b for x in bins.values() for b in x), default=0)
+    parts = max(1, -(-asks // block), min(_SPREAD, asks // 1000))
+    spark = cells.sparkSession
+    where = F.broadcast(spark.createDataFrame([(c, b) for c, b in bins.items()], "cell int, bins array<int>"))
+    pick = lambda salt: F.element_at("bins", F.pmod(F.xxhash64("id", F.lit(salt)), F.size("bins")).cast("int") + 1).alias("bin")
+    dealt = materialise(cells.join(where, "cell").select("id", "vec", "cell", "reach", pick(0)), "dealt")
+    tasks = min(2000, 4 * count * parts)
+
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        by = ["bin", "part"]
+        left, right = (d.repartition(tasks, *by) for d in (left, right))  # a pair of blocks is little data and much work
+        return left.groupBy(*by).cogroup(right.groupBy(*by))
+
+    # Own cell first, or one piece of it.  Its rows bound the k-th distance.
+    home = asked.join(where, "cell", "left").select("id", "vec", "cell", "reach", F.lit(float("inf")).alias("bound"), F.coalesce(pick(1), F.lit(0)).alias("bin"))
+    loads = home.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
+    loads = F.broadcast(materialise(loads, "loads"))  # one row per bin
+    start = home.join(loads, "bin").withColumn("part", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).drop("n")
+    near = dealt.join(loads, "bin").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+    bounded = materialise(meet(start, near).applyInArrow(_bounds(centre, metric, want), kind + ", bound double"), "bounds")
+
+    left = bounded.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    right = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    found = meet(left, right).applyInArrow(_best(centre, metric, want, counted), _FOUND)
     if counted:
-        return met.unionByName(rest).agg(F.sum("compared").alias("compared"))
-    found = own.select("qid", "cid", "distance").unionByName(rest.drop("compared"))
+        return found.agg(F.sum("compared").alias("compared"))
+    found = found.drop("compared")
     if not include_self:
         found = found.filter("qid <> cid")
     return _nearest(found, k)

@@ -1,6 +1,7 @@
 """Operators against brute force and against properties they must have."""
 
 import math
+import pathlib
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import aggregate, clusters, eigen, evaluate, joins, linalg, models, neighbours, reshape, select, sequence, text
 from sparkloom.plans import learning, shapes, traffic
-from sparkloom.runtime import global_row_number, neighbour_in_order, running_total
+from sparkloom.runtime import global_row_number, neighbour_in_order, running_total, scratch_path
 
 
 def vectors(spark, x, first=0):
@@ -40,6 +41,36 @@ def test_knn_with_fewer_rows_than_k(spark):
     assert [r.cid for r in got.orderBy("rank").collect()] == [1, 0]
 
 
+def scratch_bytes(spark):
+    folder = pathlib.Path(scratch_path(spark, "size").removeprefix("file:")).parent
+    return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+
+@pytest.mark.parametrize("metric", neighbours.METRICS)
+def test_knn_writes_a_vector_a_few_times_however_many_cells_it_visits(spark, metric):
+    x = np.random.default_rng(11).normal(size=(3000, 64))
+    x[100:140] = x[100]
+    df = vectors(spark, x)
+    before = scratch_bytes(spark)
+    got = neighbours.knn_join(df, df.where("id >= 0"), "id", "v", 4, metric).where("qid < 150")
+    found = {}
+    for r in got.orderBy("qid", "rank").collect():
+        found.setdefault(r.qid, []).append(r.cid)
+    assert [found[i] for i in range(150)] == brute(x[:150], x, 4, metric)
+    assert scratch_bytes(spark) - before < 8 * x.nbytes
+
+
+def test_knn_far_values_and_many_copies(spark):
+    x = np.random.default_rng(12).normal(size=(700, 6)) * 10.0 ** np.random.default_rng(13).integers(-3, 18, size=(700, 1))
+    x[200:500] = x[7]
+    for metric in neighbours.METRICS:
+        df = vectors(spark, x)
+        found = {}
+        for r in neighbours.knn_join(df, df, "id", "v", 3, metric, block=60).orderBy("qid", "rank").collect():
+            found.setdefault(r.qid, []).append(r.cid)
+        assert [found[i] for i in range(len(x))] == brute(x, x, 3, metric)
+
+
 def dbscan_brute(x, eps, least):
     d = ((x[:, None] - x[None]) ** 2).sum(-1) <= eps * eps
     core = d.sum(1) >= least

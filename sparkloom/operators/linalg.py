@@ -324,15 +324,17 @@ def box_counts(series: DataFrame, key: str, index: str, value: str, boxes: int,
     spots = series.join(extent, key).filter(F.col("_y1") > F.col("_y0")).select(
         key, column.alias("_col"), F.col(value).alias("_v"), h.alias("_h"), F.col("_y0"),
         F.floor((F.col(value) - F.col("_y0")) / h).cast("int").alias("_box"))
-    held = spots.filter(F.col("_box") < boxes).select(key, "_col", "_box")
-    per_column = spots.groupBy(key, "_col").agg(F.min("_box").alias("_lo"), F.max("_box").alias("_hi"), F.max("_v").alias("_top"),
-                                                F.first("_h").alias("_h"), F.first("_y0").alias("_y0"))
+    # each box once, then each column with the boxes that it holds, no more than the grid has
+    held = spots.groupBy(key, "_col", "_box").agg(F.max("_v").alias("_top"), F.first("_h").alias("_h"), F.first("_y0").alias("_y0"))
+    per_column = held.groupBy(key, "_col").agg(F.min("_box").alias("_lo"), F.max("_box").alias("_hi"), F.max("_top").alias("_top"),
+                                               F.first("_h").alias("_h"), F.first("_y0").alias("_y0"), F.collect_list("_box").alias("_held"))
     edge = F.col("_y0") + F.col("_hi") * F.col("_h")
     reaches = F.col("_top") > edge if strict else F.col("_top") >= edge
     last = F.when(reaches, F.col("_hi") - 1).otherwise(F.col("_hi") - 2)
-    between = per_column.withColumn("_last", last).filter(F.col("_last") > F.col("_lo")).select(
-        key, "_col", F.explode(F.sequence(F.col("_lo") + 1, F.col("_last"))).alias("_box"))
-    return held.unionByName(between).distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n_boxes"))
+    # all boxes from the lowest up to the last one crossed, and those held outside of them
+    outside = F.filter("_held", lambda b: (b < boxes) & ((b <= F.col("_lo")) | (b > F.col("_last"))))
+    n = F.greatest(F.col("_last") - F.col("_lo"), F.lit(0)) + F.size(outside)
+    return per_column.withColumn("_last", last).groupBy(key).agg(F.sum(n.cast("bigint")).alias("_n")).where("_n > 0").select(key, F.col("_n").alias("n_boxes"))
 
 
 def box_count_dimension(series: DataFrame, key: str, index: str, value: str, large: int = 32, small: int = 2048) -> DataFrame:

@@ -71,6 +71,33 @@ def test_knn_far_values_and_many_copies(spark):
         assert [found[i] for i in range(len(x))] == brute(x, x, 3, metric)
 
 
+def boxes_brute(values, n, strict):
+    y0, h = min(values), (max(values) - min(values)) / n
+    columns = {}
+    for i, v in enumerate(values):
+        columns.setdefault(((i + 1) * n - 1) // len(values), []).append(v)
+    found = set()
+    for c, vs in columns.items():
+        found |= {(c, math.floor((v - y0) / h)) for v in vs}
+        for b in range(n):
+            top = y0 + (b + 1) * h
+            if min(vs) <= y0 + b * h and (max(vs) > top if strict else max(vs) >= top):
+                found.add((c, b))
+    return sum(b < n for _, b in found)
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_box_counts_against_brute_force(spark, strict):
+    rng = np.random.default_rng(14)
+    series = {"a": rng.integers(0, 64, 900), "b": rng.integers(0, 3, 40) * 16, "c": np.arange(65), "flat": np.ones(9)}
+    rows = [(k, i, float(v)) for k, x in series.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "k string, i bigint, v double").repartition(5)
+    plan = linalg.box_counts(df, "k", "i", "v", 32, strict)
+    assert {r.k: r.n_boxes for r in plan.collect()} == {k: boxes_brute(x.astype(float).tolist(), 32, strict) for k, x in series.items() if k != "flat"}
+    # a union whose parts are coalesced each for itself cannot be grouped: the plan has none
+    assert "Union" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
 def dbscan_brute(x, eps, least):
     d = ((x[:, None] - x[None]) ** 2).sum(-1) <= eps * eps
     core = d.sum(1) >= least

@@ -31,6 +31,7 @@ from sparkloom.runtime import materialise
 
 _BITS = 12  # planes of one cut at most
 _DEPTH = 50  # cuts after which rows count as inseparable and are compared in blocks
+_SENT = 8192  # rows that leave a task at once
 _SAMPLE = 8192  # rows from which the reach is measured
 
 
@@ -77,10 +78,11 @@ def _probe(size: int, seed: int, level: int, reach: float):
                         rows = own[lo:lo + step]
                         home = (m[rows, :n] > 0) @ (1 << np.arange(n))
                         q, flip = np.nonzero((m[rows, :n] ** 2) @ flips.T <= reach)
-                        where = at[rows[q]]
-                        node = [f"{names[w]}.{k}" for w, k in zip(where.tolist(), (home[q] ^ flip).tolist())]
-                        take = pa.array(where)
-                        yield pa.RecordBatch.from_arrays([pa.array(node, pa.string()), b.column("tab").take(take), b.column("id").take(take), b.column("vec").take(take)], names=["node", "tab", "id", "vec"])
+                        for p in range(0, len(q), _SENT):  # a vector leaves once per bucket
+                            where, key = at[rows[q[p:p + _SENT]]], home[q[p:p + _SENT]] ^ flip[p:p + _SENT]
+                            node = [f"{names[w]}.{k}" for w, k in zip(where.tolist(), key.tolist())]
+                            take = pa.array(where)
+                            yield pa.RecordBatch.from_arrays([pa.array(node, pa.string()), b.column("tab").take(take), b.column("id").take(take), b.column("vec").take(take)], names=["node", "tab", "id", "vec"])
 
     return run
 

@@ -86,3 +86,14 @@ def test_cosine_form(spark):
     df = spark.createDataFrame(rows, "id bigint, v array<double>")
     got = approximate.approximate_cosine(df.where("id = 0"), df, "id", "v", 2).orderBy("rank").collect()
     assert [r.cid for r in got] == [1, 2] and abs(got[0].cosine - 2 / np.hypot(2, 0.1)) < 1e-9 and abs(got[1].cosine) < 1e-9
+
+
+def test_probes_leave_in_bounded_batches():
+    rng = np.random.default_rng(9)
+    rows, size = 600, 4
+    flat = lambda x: pa.array([r.tolist() for r in x], pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["0"] * rows), pa.array([0] * rows, pa.int32()), pa.array(np.arange(rows)), flat(rng.standard_normal((rows, size))), flat(np.zeros((rows, size))),
+         pa.array(np.ones(rows)), pa.array([10] * rows, pa.int32())], names=["node", "tab", "id", "vec", "centre", "spread", "bits"])
+    sent = [len(b) for b in approximate._probe(size, 7, 0, float("inf"))(iter([batch]))]
+    assert sum(sent) == rows * 1024 and max(sent) <= 8192

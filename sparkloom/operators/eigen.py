@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators.linalg import matrix_of
-from sparkloom.runtime import global_row_number, materialise
+from sparkloom.runtime import global_row_number, materialise, release
 
 _STATE = "node bigint, s array<double>, a array<double>"
 
@@ -86,7 +86,7 @@ def leading_vectors(cells: DataFrame, nodes: DataFrame, count: int, tolerance: f
         # the block alone, with a fresh product
         y = multiply(cells, x, width)
         zero = F.array(*[F.lit(0.0)] * width)
-        state = materialise(x.join(y, "node", "left").select("node", F.col("x").alias("s"), F.coalesce("y", zero).alias("a")), "block")
+        state = kept = materialise(x.join(y, "node", "left").select("node", F.col("x").alias("s"), F.coalesce("y", zero).alias("a")), "block")
         g, h = _summed(state, width)
         values, mix = _best(g, h, width)
         state, held = state.mapInArrow(_combine(width, mix), _STATE), width
@@ -106,8 +106,11 @@ def leading_vectors(cells: DataFrame, nodes: DataFrame, count: int, tolerance: f
             y = multiply(cells, open_.select("node", "x"), len(values))
             none = F.array(*[F.lit(0.0)] * len(values))
             state = open_.join(y, "node", "left").select("node", F.concat("s", "x").alias("s"), F.concat("a", F.coalesce("y", none)).alias("a"))
-            # [block, last step, residuals]
+            # [block, last step, residuals]; what they were made of is read no more
             state, held = materialise(state, "step"), held + len(values)
+            release(kept)
+            release(open_)
+            kept = state
             g, h = _summed(state, held)
             before = len(values)
             values, mix = _best(g, h, min(width, held))

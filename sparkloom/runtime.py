@@ -68,6 +68,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return materialise(df, "step")
 
 
+def release(step: DataFrame) -> None:
+    """Delete the files of a materialised step that nothing reads any more, such as the last but one round of a loop."""
+    spark = step.sparkSession
+    for folder in {f.rpartition("/")[0] for f in step.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def range_ordered(df: DataFrame, *order: str | Column) -> DataFrame:
     """Range-partition by ``order`` and pin the partition number in ``_part``.
 

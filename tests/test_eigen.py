@@ -1,5 +1,7 @@
 """Eigenvectors of tables, and what is built on them."""
 
+import pathlib
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import clusters, eigen
 from sparkloom.operators.linalg import matrix_of
+from sparkloom.runtime import scratch_path
 
 
 def tables(spark, m):
@@ -89,3 +92,17 @@ def test_products_are_summed_per_partition():
     assert np.allclose(out.column("g").to_numpy().reshape(3, 3), s.T @ s) and np.allclose(out.column("h").to_numpy().reshape(3, 3), s.T @ a)
     mixed = next(eigen._combine(3, np.ones((3, 2)))(iter([batch])))
     assert np.allclose(matrix_of(mixed.column("s"), 2), s @ np.ones((3, 2)))
+
+
+def test_rounds_leave_no_files_behind(spark):
+    rng = np.random.default_rng(8)
+    n = 400
+    x = rng.normal(size=(n, 3))
+    v = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1))
+    cells = spark.createDataFrame(pa.table({"i": np.repeat(np.arange(n), n), "j": np.tile(np.arange(n), n), "v": v.ravel()}))
+    folder = pathlib.Path(scratch_path(spark, "size").removeprefix("file:")).parent
+    steps = lambda: {p.name for p in folder.iterdir() if p.name.partition("-")[0] in ("step", "residuals")}
+    before = steps()
+    values, _ = eigen.leading_vectors(cells, spark.range(n).select(F.col("id").alias("node")), 2)
+    assert np.allclose(values, np.sort(np.linalg.eigvalsh(v))[::-1][:2])
+    assert len(steps() - before) <= 4  # the last of each, for the block and its check

@@ -212,6 +212,15 @@ def test_overlap_of_many_entities(spark):
     assert (one.n1, one.n2, one.l) == (1, 2, 0)
 
 
+def test_overlap_moves_no_pairs(spark):
+    """Pairs come out of their block with names and probability: no join or exchange is above it."""
+    rows = spark.range(300).select(F.concat(F.lit("e"), "id").alias("e"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("d"), (F.col("id") % 2).cast("int").alias("f"))
+    got = linalg.overlap_significance(rows.where("d <> id % 4"), "e", "d", "f", 3, 64)
+    above = got._jdf.queryExecution().optimizedPlan().toString().partition("FlatMapGroupsInArrow")[0]
+    assert "Join" not in above and "Repartition" not in above
+    assert got.count() == 300 * 299 // 2 and got.where("i >= j").isEmpty() and got.where("log_p is null").count() == got.where("m < 3").count() > 0
+
+
 def test_spectral_order_equals_dense(spark):
     rng = np.random.default_rng(4)
     m = rng.normal(size=(150, 150))

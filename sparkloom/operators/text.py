@@ -8,20 +8,51 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from sparkloom.functions import textfn
 from sparkloom.operators.joins import lookup_default
 from sparkloom.operators.sequence import dense_key, top_n_per_group
-from sparkloom.runtime import cut_lineage, materialise
+from sparkloom.runtime import cut_lineage, join_keys, materialise
 
 
 
 def doc_terms(docs: DataFrame, doc: str, text: str, keep: list[str] | None = None) -> DataFrame:
-    """Long ``(doc, term, count)`` triplets of whole texts."""
-    tokens = docs.select(doc, *(keep or []), F.explode(textfn.words(F.col(text))).alias("term"))
-    return tokens.groupBy(doc, *(keep or []), "term").agg(F.count(F.lit(1)).alias("count"))
+    """Long ``(doc, term, count)`` triplets of whole texts.
+
+    A text is counted in its own row, so terms are not shuffled; only documents of
+    several rows, found by their keys alone, are added up across rows.
+    """
+    keys = [doc, *(keep or [])]
+    rows = docs.select(*keys, text)
+    again = materialise(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").drop("_rows"), "repeated")
+    if again.isEmpty():
+        return _row_terms(rows, keys, text)
+    parts = _row_terms(join_keys(rows, again, keys, "left_semi"), keys, text)
+    merged = parts.groupBy(*keys, "term").agg(F.sum("count").alias("count"))
+    return _row_terms(join_keys(rows, again, keys, "left_anti"), keys, text).unionByName(merged)
+
+
+def _row_terms(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """The distinct words of each row with their counts, batch by batch."""
+    def run(batches):
+        for b in batches:
+            spots = b.column("_w")
+            if not len(spots.flatten()):
+                continue
+            words = spots.flatten().dictionary_encode()
+            found = pc.list_parent_indices(spots).to_numpy().astype("int64") * len(words.dictionary) + words.indices.to_numpy()
+            pairs, n = np.unique(found, return_counts=True)
+            row, term = (pa.array(x) for x in np.divmod(pairs, len(words.dictionary)))
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(row) for k in keys], words.dictionary.take(term), pa.array(n)], names=[*keys, "term", "count"])
+
+    schema = StructType([*rows.select(*keys).schema, StructField("term", StringType()), StructField("count", LongType())])
+    return rows.select(*keys, textfn.words(F.col(text)).alias("_w")).mapInArrow(run, schema)
 
 
 def count_kmers(docs: DataFrame, text: str, k: int) -> DataFrame:

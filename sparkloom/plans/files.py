@@ -14,7 +14,7 @@ from sparkloom.plans.profiles import prices
 from sparkloom.plans.registry import Tables, query
 from sparkloom.plans.traffic import REPORT_SQL, report, segments
 from sparkloom.plans.texts import TOK_SQL
-from sparkloom.runtime import scratch_path
+from sparkloom.runtime import materialise, scratch_path
 from sparkloom.sources import readers, schemas, sinks
 
 _CUSTOMER_SQL = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
@@ -80,7 +80,7 @@ def fixed_width(t: Tables) -> DataFrame:
 SELECT doc_id, word_id, count FROM dt JOIN ids USING (term)""")
 def triplets(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "triplets")
-    terms = attach_dense_key(corpus.doc_terms(t.docs, "doc_id", "text"), ["term"], "word_id")
+    terms = attach_dense_key(materialise(corpus.doc_terms(t.docs, "doc_id", "text"), "terms"), ["term"], "word_id")
     sinks.write_triplets(terms.select("doc_id", "word_id", "count"), path)
     return readers.scan_triplets(t.spark, path)
 

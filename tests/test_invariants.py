@@ -422,3 +422,29 @@ def test_profile_clusters_fall_back_to_the_type_then_to_an_empty_profile(spark):
     by_type = spark.createDataFrame([(0, [0.0, 9.0])], "kind int, vector array<double>")
     got = clusters.cluster_assign(model, entities, own, by_type, "id", "kind")
     assert {r.id: r.cluster for r in got.collect()} == {1: 1, 2: 2, 3: 0, 4: 0}
+
+
+def test_terms_are_counted_in_their_row(spark):
+    docs = spark.createDataFrame([(1, "en", "a b A"), (2, "en", None), (3, "de", " -- "), (None, "de", "c c")], "id bigint, lang string, text string")
+    got = text.doc_terms(docs, "id", "text", ["lang"])
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "en", "a", 2), (1, "en", "b", 1), (None, "de", "c", 2)], key=str)
+
+
+def test_terms_of_repeated_documents_are_added_up(spark):
+    rows = [(1, "en", "a b"), (1, "en", "b c"), (1, "de", "b"), (None, "en", "x"), (None, "en", "x y"), (7, None, "z"), (7, None, "z"), (8, "en", "q")]
+    got = text.doc_terms(spark.createDataFrame(rows, "id bigint, lang string, text string").repartition(5), "id", "text", ["lang"])
+    want = [(1, "en", "a", 1), (1, "en", "b", 2), (1, "en", "c", 1), (1, "de", "b", 1), (None, "en", "x", 2), (None, "en", "y", 1), (7, None, "z", 2), (8, "en", "q", 1)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_only_labelled_documents_are_cut(tables):
+    """The join with the labels is below the cutting of texts."""
+    p = learning.binary_points(tables)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" in p.partition("Join")[0] and "regexp" not in p.partition("Join")[2]
+
+
+def test_dense_rows_are_dealt_by_their_size(spark):
+    rows = spark.range(1000).coalesce(1)
+    assert models.dealt_for_dense(rows, 100, 80_000).rdd.getNumPartitions() == 10
+    assert models.dealt_for_dense(rows, 100).rdd.getNumPartitions() == 1

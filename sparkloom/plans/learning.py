@@ -31,8 +31,9 @@ def points(t: Tables, size: int | None = None):
 def binary_points(t: Tables):
     """Documents with text-shape features and their quality label."""
     shape = textfn.text_shape(F.col("text"), F.col("tokens"), F.col("sents"))
-    cut = t.docs.select("doc_id", "text", textfn.shape_tokens(F.col("text")).alias("tokens"), textfn.sentences(F.col("text")).alias("sents"))
-    docs = cut.select("doc_id", F.array(*[c.cast("double") for c in shape.values()]).alias("v")).join(t.labels, "doc_id")
+    known = t.docs.select("doc_id", "text").join(t.labels, "doc_id")  # the others are never cut
+    cut = known.select("doc_id", "quality", "text", textfn.shape_tokens(F.col("text")).alias("tokens"), textfn.sentences(F.col("text")).alias("sents"))
+    docs = cut.select("doc_id", "quality", F.array(*[c.cast("double") for c in shape.values()]).alias("v"))
     inside = select.hash_share(F.col("doc_id")) < 0.75
     return (models.as_points(docs.filter(inside), "v", "quality", ["doc_id"]), models.as_points(docs.filter(~inside), "v", "quality", ["doc_id"]))
 

@@ -328,6 +328,12 @@ def text_points(train: DataFrame, test: DataFrame, tokens: str, label: str, size
     return a, b, len(counter.vocabulary), len(classes)
 
 
+def dealt_for_dense(train: DataFrame, size: int, each: int = 128 << 20) -> DataFrame:
+    """Rows for an estimator that stacks sparse vectors as dense ones and keeps them: partitions hold about ``each`` bytes of these."""
+    parts = math.ceil(train.count() * size * 8 / each)
+    return train.repartition(max(parts, train.rdd.getNumPartitions())) if parts > 1 else train
+
+
 def gaussian_nb() -> NaiveBayes:
     return NaiveBayes(modelType="gaussian")
 

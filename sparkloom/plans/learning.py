@@ -91,13 +91,14 @@ def logistic_regression_grid(t: Tables) -> DataFrame:
 VOCABULARIES = (100, 1000, 3000)
 
 
-def _by_vocabulary(t: Tables, estimator) -> DataFrame:
+def _by_vocabulary(t: Tables, estimator, dense: bool = False) -> DataFrame:
     """Errors in telling the language of a document from its words, by size of the vocabulary."""
     docs = materialise(t.docs.select("doc_id", "lang", textfn.words(F.col("text")).alias("words")), "words")
     inside = select.hash_share(F.col("doc_id")) < 0.75
     parts = []
     for size in VOCABULARIES:
         train, test, words, classes = models.text_points(docs.filter(inside), docs.filter(~inside), "words", "lang", size)
+        train = models.dealt_for_dense(train, words) if dense else train
         parts.append(models.sweep(train, test, {f"words={size}": estimator(words, classes)}))
     return setops.union_all(*parts)
 
@@ -115,7 +116,7 @@ def linear_svm_strength(t: Tables) -> DataFrame:
 
 @query()
 def linear_perceptron_curve(t: Tables) -> DataFrame:
-    return _by_vocabulary(t, models.linear_perceptron)
+    return _by_vocabulary(t, models.linear_perceptron, dense=True)
 
 
 @query()

@@ -4,7 +4,9 @@ A block of vectors is improved in the space of itself, its residuals and its las
 (a locally optimal block method).  A round multiplies the residuals by the matrix, one
 join and one grouping, adds up the inner products of all columns, and combines the
 columns row by row.  The driver sees these products only, a square matrix of three
-times the block's width, whatever the number of entities.
+times the block's width, whatever the number of entities.  The matrix is a table of its
+cells or, where nearly every pair has one, ``BlockPairs`` whose cells are made anew for
+each product and are neither written nor moved.
 """
 
 from __future__ import annotations
@@ -14,18 +16,68 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators.linalg import matrix_of
+from sparkloom.operators.linalg import BlockPairs, matrix_of
 from sparkloom.runtime import global_row_number, materialise, release
 
 _STATE = "node bigint, s array<double>, a array<double>"
 
 
-def multiply(cells: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
+def multiply(cells: DataFrame | BlockPairs, vectors: DataFrame, width: int) -> DataFrame:
     """(node, y): the matrix of ``cells`` (i, j, v), all cells given, times a block of ``vectors`` (node, x)."""
+    if isinstance(cells, BlockPairs):
+        return _multiply_blocks(cells, vectors, width)
     each = cells.join(vectors, cells.j == vectors.node).groupBy("i").agg(*[F.sum(F.col("v") * F.col("x")[c]).alias(f"y{c}") for c in range(width)])
     return each.select(F.col("i").alias("node"), F.array(*[f"y{c}" for c in range(width)]).alias("y"))
 
 
+def _multiply_blocks(m: BlockPairs, vectors: DataFrame, width: int) -> DataFrame:
+    """Two blocks meet with their parts of the vectors; the parts of the product are added up by block."""
+    parts = vectors.join(m.places, "node").groupBy("block").agg(F.collect_list(F.struct("at", F.slice("x", 1, width).alias("x"))).alias("s"))
+    a, b = (parts.select(F.col("block").alias(x), F.col("s.at").alias(f"at{x}"), F.flatten("s.x").alias(f"x{x}")) for x in "ab")
+    met = m.table.join(a, "a").join(b, "b").repartition(m.parts, "a", "b")
+    each = met.mapInArrow(_block_parts(m.strips, m.width, width), "block bigint, y array<double>")
+    added = each.groupBy("block").applyInArrow(_added(m.width, width), "block bigint, at int, y array<double>")
+    return added.join(m.places, ["block", "at"]).select("node", "y")
+
+
+def _block_parts(strips, size: int, width: int, held: int = 256):
+    """Products of two blocks and their parts of the vectors, both ways, added up while at most ``held`` blocks are met."""
+    def out(sums: dict[int, np.ndarray]):
+        for block, y in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([y.ravel()], pa.list_(pa.float64()))], names=["block", "y"])
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k in range(len(batch)):
+                row, x = batch.slice(k, 1), {}
+                for side in "ab":
+                    x[side] = np.zeros((size, width))
+                    x[side][row.column(f"at{side}").flatten().to_numpy()] = matrix_of(row.column(f"x{side}"), width)
+                row = row.drop_columns(["ata", "xa", "atb", "xb"]).to_pylist()[0]
+                a, b = (sums.setdefault(row[side], np.zeros((size, width))) for side in "ab")
+                for lo, v in strips(row):
+                    hi = lo + len(v)
+                    a[lo:hi] += v @ x["b"]
+                    b += v.T @ x["a"][lo:hi]
+                if len(sums) > held:
+                    yield from out(sums)
+                    sums = {}
+        yield from out(sums)
+
+    return run
+
+
+def _added(size: int, width: int):
+    """A block's part of the product, as rows."""
+    def run(t: pa.Table) -> pa.Table:
+        y = sum(matrix_of(c, size * width).sum(0) for c in t["y"].chunks).reshape(size, width)
+        ends = pa.array(np.arange(size + 1, dtype=np.int32) * width)
+        return pa.table({"block": pa.array(np.full(size, t["block"][0].as_py())), "at": pa.array(np.arange(size, dtype=np.int32)), "y": pa.ListArray.from_arrays(ends, pa.array(y.ravel()))})
+
+    return run
+
+
 def _start(width: int) -> Column:
     """Pseudorandom entries that depend on the entity and the column alone."""
     return F.array(*[F.xxhash64("node", F.lit(c)).cast("double") / F.lit(2.0**63) for c in range(width)])
@@ -68,18 +120,19 @@ def _best(g: np.ndarray, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndar
     return values[order], base @ vectors[:, order]
 
 
-def leading_vectors(cells: DataFrame, nodes: DataFrame, count: int, tolerance: float = 1e-8, spare: int = 4, rounds: int = 300) -> tuple[np.ndarray, DataFrame]:
+def leading_vectors(cells: DataFrame | BlockPairs, nodes: DataFrame, count: int, tolerance: float = 1e-8, spare: int = 4, rounds: int = 300) -> tuple[np.ndarray, DataFrame]:
     """Eigenvalues of largest magnitude and their vectors: (values, table of ``node`` and ``x``).
 
-    ``cells`` has (i, j, v) for every non-zero cell, both halves; ``nodes`` has ``node``,
-    every entity once.  It ends when what is left of each wanted vector, |A x - value x|,
+    ``cells`` has (i, j, v) for every non-zero cell, both halves, or makes them by blocks;
+    ``nodes`` has ``node``, every entity once.  It ends when what is left of each wanted vector, |A x - value x|,
     is below ``tolerance`` times the largest value, checked with a fresh product, and
     raises if ``rounds`` do not suffice: an unconverged vector never comes out.
     """
     size = nodes.count()
     width = min(size, count + spare)
     count = min(count, width)
-    cells = materialise(cells.select("i", "j", "v"), "cells")
+    if isinstance(cells, DataFrame):
+        cells = materialise(cells.select("i", "j", "v"), "cells")
     x = nodes.select("node", _start(width).alias("x"))
     done = 0
     while True:
@@ -131,7 +184,7 @@ def _summed(state: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return g, h
 
 
-def _left(cells: DataFrame, x: DataFrame, values: np.ndarray, count: int):
+def _left(cells: DataFrame | BlockPairs, x: DataFrame, values: np.ndarray, count: int):
     """Squared lengths of A x - value x, with a product of its own."""
     x = materialise(x, "found")
     y = multiply(cells, x, count)
@@ -141,18 +194,29 @@ def _left(cells: DataFrame, x: DataFrame, values: np.ndarray, count: int):
     return both.agg(*[F.sum(part(c) * part(c)).alias(f"r{c}") for c in range(count)]).first()
 
 
-def spectral_order(pairs: DataFrame, value: str, which: int = 1, tolerance: float = 1e-9) -> DataFrame:
+def spectral_order(pairs: DataFrame | BlockPairs, value: str, which: int = 1, tolerance: float = 1e-9) -> DataFrame:
     """Entities in the order of an eigenvector of their similarity matrix, by |eigenvalue|: ``entity, loading, position``.
 
-    ``pairs`` has each pair (i, j) once; missing, NULL and NaN similarities are 0.  The
-    matrix and the vectors stay tables; the sign makes the largest entry positive.
+    ``pairs`` has each pair (i, j) once, or makes them by blocks; missing, NULL and NaN
+    similarities are 0.  The matrix and the vectors stay tables; the sign makes the
+    largest entry positive.
     """
-    known = pairs.select("i", "j", F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v) and v <> 0")
-    ends = pairs.select(F.col("i").alias("node")).union(pairs.select(F.col("j").alias("node"))).distinct()
-    cells = known.unionByName(known.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+    cells, ends = (_by_blocks if isinstance(pairs, BlockPairs) else _by_cells)(pairs, value)
     _, x = leading_vectors(cells, ends, which, tolerance)
     loading = x.select(F.col("node").alias("entity"), F.col("x")[which - 1].alias("loading"))
     top = loading.agg(F.max_by("loading", F.struct(F.abs("loading"), -F.col("entity")))).first()[0]
     if top is not None and top < 0:
         loading = loading.withColumn("loading", -F.col("loading"))
     return global_row_number(loading, ["loading", "entity"], "position").select("entity", "loading", F.col("position").cast("int").alias("position"))
+
+
+def _by_blocks(pairs: BlockPairs, value: str) -> tuple[BlockPairs, DataFrame]:
+    if value != pairs.value:
+        raise ValueError(f"the blocks hold {pairs.value}, not {value}")
+    return pairs, pairs.places.select("node")
+
+
+def _by_cells(pairs: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
+    known = pairs.select("i", "j", F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v) and v <> 0")
+    ends = pairs.select(F.col("i").alias("node")).union(pairs.select(F.col("j").alias("node"))).distinct()
+    return known.unionByName(known.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v")), ends

@@ -7,8 +7,10 @@ length, never by the number of rows.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -283,7 +285,96 @@ def _block_products(width: int, least: int):
     return run
 
 
-def overlap_significance(df: DataFrame, entity: str, day: str, flag: str, least: int = 200, width: int = 1024) -> DataFrame:
+@dataclass(frozen=True)
+class BlockPairs:
+    """A symmetric matrix of entities whose cells are never a table: a task makes those of two blocks from a short row.
+
+    ``table`` has one row (a, b, ...) for every two blocks, a <= b, that have cells; ``places`` has (node, block, at) of
+    every entity with a cell.  ``strips`` yields (first row, cells) of such a row, some matrix rows at a time; of a
+    block with itself only the cells above the diagonal are filled.  ``parts``: partitions to deal the rows to.
+    """
+
+    table: DataFrame
+    places: DataFrame
+    width: int
+    value: str
+    strips: Callable[[dict], Iterator[tuple[int, np.ndarray]]]
+    parts: int
+
+
+#: Up to so many combinations of counts (44 common days) are priced once and looked up.
+_PRICED = 1 << 22
+
+
+@functools.lru_cache(maxsize=4)
+def _prices(k: int, least: int) -> np.ndarray:
+    """``overlap_log_p`` at ((m k + n1) k + n2) k + l for all counts under ``k``; 0 where it has no value."""
+    out = np.zeros((k, k**3))
+    n1, n2, l = (x.ravel() for x in np.indices((k, k, k)))
+    for m in range(max(least, 1), k):
+        real = np.flatnonzero((n1 <= m) & (n2 <= m) & (l <= np.minimum(n1, n2)) & (l >= n1 + n2 - m))
+        out[m, real] = overlap_log_p(np.full(len(real), m), n1[real], n2[real], l[real])
+    return out.ravel()
+
+
+def _overlap_strips(width: int, least: int, rows: int = 256):
+    """Log probabilities of two blocks of entities, from the bits of their common days."""
+    def run(row: dict) -> Iterator[tuple[int, np.ndarray]]:
+        def bits(side: str) -> np.ndarray:
+            return np.unpackbits(np.frombuffer(b"".join(row[side]), np.uint8).reshape(-1, width // 8), axis=1, bitorder="little").astype(np.float32)
+
+        pa_, fa, pb, fb = (bits(side) for side in ("pa", "fa", "pb", "fb"))
+        k = len(pa_) + 1
+        looked_up = k**4 <= _PRICED
+        if looked_up:  # one product gives all four counts, as digits to the base k: below 2 ** 24, and so exact
+            left, right = np.vstack([pa_, fa]).T.copy(), np.vstack([k**3 * pb + k * fb, k**2 * pb + fb])
+            prices = _prices(k, least)
+        for lo in range(0, width, rows):
+            if looked_up:
+                v = prices.take((left[lo:lo + rows] @ right).astype(np.intp), mode="clip")
+            else:
+                pl, fl = pa_[:, lo:lo + rows].T, fa[:, lo:lo + rows].T
+                m = pl @ pb
+                spot = np.flatnonzero(m >= max(least, 1))
+                v = np.zeros(m.shape)
+                v.ravel()[spot] = overlap_log_p(*((x.ravel()[spot]).astype("int64") for x in (m, fl @ pb, pl @ fb, fl @ fb)))
+            yield lo, np.triu(v, lo + 1) if row["a"] == row["b"] else v
+
+    return run
+
+
+def _bits(width: int):
+    """Lists of places as bits."""
+    def run(batches):
+        for b in batches:
+            out = []
+            for c in ("p", "f"):
+                lists, bits = b.column(c), np.zeros((len(b), width), np.uint8)
+                bits[pc.list_parent_indices(lists).to_numpy(), lists.flatten().to_numpy()] = 1
+                out.append(pa.array([x.tobytes() for x in np.packbits(bits, axis=1, bitorder="little")], pa.binary()))
+            yield pa.RecordBatch.from_arrays([b.column("d"), b.column("b"), *out], names=["d", "b", "p", "f"])
+
+    return run
+
+
+def _overlap_blocks(numbered: DataFrame, least: int, width: int, pairs_each: int = 64) -> BlockPairs:
+    """The matrix of ``log_p`` from numbered rows: a day is a row of bits per block, two blocks keep the days that have both."""
+    block, at = F.floor(F.col("_n") / width), (F.col("_n") % width).cast("int")
+    kind = numbered.schema["_d"].dataType.simpleString()
+    spots = numbered.where("_d is not null").groupBy(F.col("_d").alias("d"), block.alias("b")).agg(
+        F.collect_set(at).alias("p"), F.collect_set(F.when(F.col("_f") == 1, at)).alias("f"))
+    spots = materialise(spots.mapInArrow(_bits(width), f"d {kind}, b bigint, p binary, f binary"), "days")
+    a, b = (spots.select("d", F.col("b").alias(x), F.col("p").alias(f"p{x}"), F.col("f").alias(f"f{x}")) for x in "ab")
+    met = a.join(b, "d").where("a <= b").groupBy("a", "b").agg(F.collect_list(F.struct("pa", "fa", "pb", "fb")).alias("s"))
+    table = materialise(met.select("a", "b", *[F.col(f"s.{c}").alias(c) for c in ("pa", "fa", "pb", "fb")]), "blocks")
+    shared = numbered.groupBy("_d").agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi")).where("_lo < _hi").select("_d")
+    places = numbered.join(shared, "_d").select(F.col("_e").alias("node"), block.alias("block"), at.alias("at")).distinct()
+    n = table.count()
+    parts = min(max(int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / pairs_each)), max(n, 1))
+    return BlockPairs(table, materialise(places, "places"), width, "log_p", _overlap_strips(width, least), parts)
+
+
+def overlap_significance(df: DataFrame, entity: str, day: str, flag: str, least: int = 200, width: int = 1024, in_blocks: bool = False) -> DataFrame | BlockPairs:
     """Normalised log probability of the common flagged days of entity pairs that share a day.
 
     Entities are numbered by rank and cut into blocks of ``width``.  A day is one short
@@ -292,9 +383,14 @@ def overlap_significance(df: DataFrame, entity: str, day: str, flag: str, least:
     entities is ever in one task, and only pairs that share a day come out.  Blocks know
     their entities and price their pairs, so that a pair is never moved; as their input
     is short beside what comes out of it, they are dealt over all shuffle partitions.
+
+    ``in_blocks`` gives the matrix of ``log_p`` itself instead of a row per pair, for operators that multiply it
+    (``eigen.spectral_order``); a day must then have an entity once.
     """
     spark, kind = df.sparkSession, df.select(F.col(entity)).schema[0].dataType.simpleString()
     numbered = attach_number(df.select(F.col(entity).alias("_e"), F.col(day).alias("_d"), F.col(flag).cast("int").alias("_f")).where("_e is not null"))
+    if in_blocks:
+        return _overlap_blocks(numbered, least, width)
     spots = numbered.groupBy("_d", F.floor(F.col("_n") / width).alias("_b")).agg(
         F.collect_list(F.struct((F.col("_n") % width).cast("int").alias("e"), F.coalesce("_f", F.lit(0)).alias("f"), F.col("_e").alias("k"))).alias("s"))
     spots = materialise(spots.select("_d", "_b", *[F.col(f"s.{c}").alias(c) for c in "efk"]), "days")

@@ -127,15 +127,15 @@ def _rounded(value: str, digits: int) -> Column:
     return F.signum(x) * F.floor(F.abs(x) * unit + 0.5) / unit + 0.0
 
 
-def overlaps(t: Tables) -> DataFrame:
+def overlaps(t: Tables, **form) -> DataFrame | linalg.BlockPairs:
     d = daily_means(t).select(F.col("user_id").alias("e"), "day", (F.col("s") > 40).cast("int").alias("f"))
-    return linalg.overlap_significance(d, "e", "day", "f", 20)
+    return linalg.overlap_significance(d, "e", "day", "f", 20, **form)
 
 
 @query()
 def spectral_order(t: Tables) -> DataFrame:
     """Entities ordered by an eigenvector, joined back to their coordinates."""
-    order = eigen.spectral_order(overlaps(t), "log_p")
+    order = eigen.spectral_order(overlaps(t, in_blocks=True, width=2048), "log_p")
     return order.join(segments(t), F.col("entity") == F.col("segment_id")).select("segment_id", "lat1", "lon1", "loading", "position")
 
 

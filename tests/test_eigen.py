@@ -7,8 +7,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import clusters, eigen
+from sparkloom.operators import clusters, eigen, linalg
 from sparkloom.operators.linalg import matrix_of
+from sparkloom.plans.catalog import load
+from sparkloom.plans.registry import Tables
 from sparkloom.runtime import scratch_path
 
 
@@ -106,3 +108,49 @@ def test_rounds_leave_no_files_behind(spark):
     values, _ = eigen.leading_vectors(cells, spark.range(n).select(F.col("id").alias("node")), 2)
     assert np.allclose(values, np.sort(np.linalg.eigvalsh(v))[::-1][:2])
     assert len(steps() - before) <= 4  # the last of each, for the block and its check
+
+
+@pytest.mark.parametrize("days", [12, 60])  # counts looked up, counts priced one by one
+def test_blocks_equal_pairs(spark, days):
+    rng = np.random.default_rng(days)
+    rows = [(e * 5, d, int(rng.random() < 0.5)) for e in range(70) for d in range(days) if rng.random() < 0.6]
+    rows += [(1, 1000, 1), (2, None, 1), (3, None, 0), (None, 0, 1), (4, 2000, None), (6, 2000, 1)]  # alone on its day, no day, no entity, no flag
+    df = spark.createDataFrame(rows, "e bigint, d int, f int")
+    pairs = linalg.overlap_significance(df, "e", "d", "f", 4)
+    blocks = linalg.overlap_significance(df, "e", "d", "f", 4, 16, in_blocks=True)
+    ends = sorted(r.node for r in blocks.places.collect())
+    known = pairs.collect()
+    assert ends == sorted({x for r in known for x in (r.i, r.j)}) and {4, 6} <= set(ends) and not {1, 2, 3} & set(ends)
+    at, m = {e: k for k, e in enumerate(ends)}, np.zeros((len(ends), len(ends)))
+    for r in known:
+        m[at[r.i], at[r.j]] = m[at[r.j], at[r.i]] = r.log_p or 0.0
+    x = rng.normal(size=(len(ends), 3))
+    v = spark.createDataFrame([(e, x[at[e]].tolist()) for e in ends], "node bigint, x array<double>")
+    got = {r.node: r.y for r in eigen.multiply(blocks, v, 2).collect()}
+    assert np.count_nonzero(m) and np.allclose([got[e] for e in ends], m @ x[:, :2], rtol=1e-12, atol=1e-12)
+    order = [{r.entity: r.loading for r in eigen.spectral_order(p, "log_p").collect()} for p in (pairs, blocks)]
+    assert order[0].keys() == order[1].keys() and all(abs(order[0][e] - order[1][e]) < 1e-7 for e in order[0])
+
+
+def test_the_query_writes_no_cells(spark, tmp_path):
+    """200 segments that all share days: none of their 19,900 pairs is written, and the vector is that of the dense matrix."""
+    n, days = 200, 25
+    s = F.pmod(F.xxhash64("u", "d"), F.lit(80)).cast("double")
+    rows = spark.range(n).withColumnRenamed("id", "u").select("u", F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("d"))
+    rows = rows.select(F.monotonically_increasing_id().alias("event_id"), F.expr("timestamp'2024-01-01 01:00:00' + make_interval(0, 0, 0, d)").alias("ts"), F.col("u").alias("user_id"), s.alias("value"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    folder = pathlib.Path(scratch_path(spark, "size").removeprefix("file:")).parent
+    cells = lambda: {p.name for p in folder.iterdir() if p.name.startswith("cells-")}
+    before = cells()
+    got = {r.segment_id: r.loading for r in load()["spectral_order"].run(Tables(spark, str(tmp_path))).collect()}
+    assert cells() == before
+    f = np.zeros((n, days), int)
+    for r in rows.collect():
+        f[r.user_id, r.ts.day - 1] = r.value > 40
+    own = f.sum(1)
+    m = linalg.overlap_log_p(np.full(n * n, days), np.repeat(own, n), np.tile(own, n), (f @ f.T).ravel()).reshape(n, n)
+    np.fill_diagonal(m, 0)
+    values, dense = np.linalg.eigh(m)
+    want = dense[:, np.abs(values).argmax()]
+    want = want * np.sign(want[np.abs(want).argmax()])
+    assert np.allclose([got[k] for k in range(n)], want, atol=1e-6)

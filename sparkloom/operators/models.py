@@ -291,12 +291,23 @@ def split_regression(train: DataFrame, test: DataFrame, features: list[str], tot
 
 # ---- pyspark.ml sweeps ------------------------------------------------------------------
 
-def sweep(train: DataFrame, test: DataFrame, settings: dict[str, object], also_train: bool = False) -> DataFrame:
+def gathered(cached: DataFrame, each: int = 128 << 20) -> DataFrame:
+    """Cached rows in as many partitions as hold about ``each`` bytes of the cache, or as they have if these are fewer.
+
+    For estimators of hundreds of short jobs over the same rows, several at a time: such a job then costs
+    a pass over its bytes, not the start of a task for every piece of a file and of a tree of sums above them.
+    """
+    cached.count()  # fills the cache, whose size Catalyst then knows
+    size = int(cached.select("*")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return cached.coalesce(max(1, math.ceil(size / each)))
+
+
+def sweep(train: DataFrame, test: DataFrame, settings: dict[str, object], also_train: bool = False, gather: bool = False) -> DataFrame:
     """Fit each named estimator and report its error on the test (and training) rows."""
     train = train.persist()
-    rows = []
+    rows, learned = [], gathered(train) if gather else train
     for name, estimator in settings.items():
-        model = estimator.fit(train)
+        model = estimator.fit(learned)
         own = 1.0 - accuracy(model.transform(train)) if also_train else None
         rows.append((name, own, 1.0 - accuracy(model.transform(test))))
     train.unpersist()
@@ -352,7 +363,8 @@ def logistic_regression_grid(train: DataFrame, regs: list[float], folds: int = 3
 
 
 def linear_svm(reg: float = 0.01, iterations: int = 100) -> OneVsRest:
-    return OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=iterations, tol=1e-3), parallelism=8)
+    """One class against the rest; up to 16 classes are fitted at a time, as one fit alone is a chain of short jobs."""
+    return OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=iterations, tol=1e-3), parallelism=16)
 
 
 def linear_perceptron(size: int, classes: int, seed: int = 7) -> MultilayerPerceptronClassifier:

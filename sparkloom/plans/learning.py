@@ -91,7 +91,7 @@ def logistic_regression_grid(t: Tables) -> DataFrame:
 VOCABULARIES = (100, 1000, 3000)
 
 
-def _by_vocabulary(t: Tables, estimator, dense: bool = False) -> DataFrame:
+def _by_vocabulary(t: Tables, estimator, dense: bool = False, gather: bool = False) -> DataFrame:
     """Errors in telling the language of a document from its words, by size of the vocabulary."""
     docs = materialise(t.docs.select("doc_id", "lang", textfn.words(F.col("text")).alias("words")), "words")
     inside = select.hash_share(F.col("doc_id")) < 0.75
@@ -99,19 +99,19 @@ def _by_vocabulary(t: Tables, estimator, dense: bool = False) -> DataFrame:
     for size in VOCABULARIES:
         train, test, words, classes = models.text_points(docs.filter(inside), docs.filter(~inside), "words", "lang", size)
         train = models.dealt_for_dense(train, words) if dense else train
-        parts.append(models.sweep(train, test, {f"words={size}": estimator(words, classes)}))
+        parts.append(models.sweep(train, test, {f"words={size}": estimator(words, classes)}, gather=gather))
     return setops.union_all(*parts)
 
 
 @query()
 def linear_svm_features(t: Tables) -> DataFrame:
-    return _by_vocabulary(t, lambda words, classes: models.linear_svm())
+    return _by_vocabulary(t, lambda words, classes: models.linear_svm(), gather=True)
 
 
 @query()
 def linear_svm_strength(t: Tables) -> DataFrame:
     train, test = points(t)
-    return models.sweep(train, test, {f"reg={r}": models.linear_svm(r) for r in (0.001, 0.01, 0.1)})
+    return models.sweep(train, test, {f"reg={r}": models.linear_svm(r) for r in (0.001, 0.01, 0.1)}, gather=True)
 
 
 @query()

@@ -205,3 +205,46 @@ def test_samples_of_rows(spark):
     assert one == again != other
     assert abs(len(one) - 10_000) < 4 * np.sqrt(50_000 * 0.2 * 0.8)
     assert abs(len(one & other) - 2000) < 4 * np.sqrt(2000)  # independent draws
+
+
+def test_gathered_rows_are_whole_and_in_few_partitions(spark):
+    x, y = overlapping(9, 900)
+    df = points(spark, x, y).repartition(30).persist()
+    size = lambda each: models.gathered(df, each).rdd.getNumPartitions()
+    assert size(1 << 20) == 1 and 1 < size(8000) < 30 and size(1) == 30  # by bytes, never more than there were
+    assert sorted(map(str, models.gathered(df, 8000).collect())) == sorted(map(str, df.collect()))
+    df.unpersist()
+
+
+def test_linear_svms_are_not_fitted_on_pieces_of_files(spark, tmp_path, monkeypatch):
+    """40 small files are one partition of each of the hundreds of passes, with the errors of fits on all pieces."""
+    from sparkloom.plans import learning
+    from sparkloom.plans.registry import Tables
+
+    rng = np.random.default_rng(11)
+    y = np.arange(400) % 3
+    x = rng.normal(size=(3, 64))[y] + rng.normal(size=(400, 64))
+    df = spark.createDataFrame([(i, r.tolist(), int(c)) for i, (r, c) in enumerate(zip(x, y))], "vec_id bigint, embedding array<float>, label int")
+    df.repartition(40).write.parquet(f"{tmp_path}/embeddings.parquet")
+    seen, plain = [], models.linear_svm
+
+    class Watched:
+        def __init__(self, reg):
+            self.svm = plain(reg, 10)
+
+        def fit(self, rows):
+            seen.append(rows.rdd.getNumPartitions())
+            return self.svm.fit(rows)
+
+    monkeypatch.setattr(models, "linear_svm", Watched)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        tables = Tables(spark, str(tmp_path))
+        got = {r.setting: r.test_error for r in learning.linear_svm_strength(tables).collect()}
+        train, test = learning.points(tables)
+        pieces = train.rdd.getNumPartitions()
+        want = {r.setting: r.test_error for r in models.sweep(train, test, {f"reg={r}": Watched(r) for r in (0.001, 0.01, 0.1)}).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen == [1] * 3 + [pieces] * 3 and pieces > 8
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.05 for k in got)

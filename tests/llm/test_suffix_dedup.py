@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkloom.llm import suffix_dedup
@@ -92,3 +93,58 @@ def test_many_repeated_rows(spark):
     for hot in (0, 1024):
         got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA), block_bytes=4000, bucket_bytes=4000, hot_blocks=hot)
         assert result(got) == brute.repeats(rows, 50)
+
+
+def test_rows_begin_at_the_anchor():
+    rnd = random.Random(11)
+    for _ in range(60):
+        ends = [(rnd.randint(1, 3), bytes(rnd.choice(b"ab\x00") for _ in range(rnd.randint(0, 4)))) for _ in range(rnd.randint(1, 12))]
+        number, right = np.sort([n for n, _ in ends]), [e for _, e in ends]
+        order, begun = suffix_dedup._from_anchor(np.frombuffer(b"".join(right) + b"x", np.uint8), np.cumsum([0] + [len(e) for e in right[:-1]]), np.array([len(e) for e in right]), number)
+        right = [(-int(number[o]), *right[o]) for o in order.tolist()]  # symbols of anchors stand for one place, their order is free
+        left = [[(d << 8) + rnd.choice(b"ab\xff") + 1 for d in reversed(range(rnd.randint(0, 4)))] for _ in right]
+        flat, sizes = np.array([x for part in left for x in part], np.uint16), np.array([len(part) for part in left])
+        seg, length, common = suffix_dedup.insert_symbols(flat, sizes, begun)
+        rows = [(*left[i][len(left[i]) - n :], *right[i]) for i, n in zip(seg.tolist(), length.tolist())]
+        assert len(rows) == sum(len(part) + 1 for part in left)
+        assert [r[:n] for r, n in zip(rows, length.tolist())] == sorted(r[:n] for r, n in zip(rows, length.tolist()))
+        for a, b, c in zip(rows, rows[1:], common[1:].tolist()):
+            assert c == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def blocks_of(texts, per_block):
+    for i in range(0, len(texts), per_block):
+        ids = list(range(i, min(i + per_block, len(texts))))
+        yield pa.table({"id": pa.array(ids, pa.int64()), "text": pa.array([texts[j] for j in ids]), "block": pa.array([i] * len(ids), pa.int64())})
+
+
+@pytest.mark.parametrize("hot_blocks, hot", [(2, False), (0, True)])
+def test_anchors_in_many_blocks_stay_whole(monkeypatch, hot_blocks, hot):
+    line = " ".join(f"word{i}" for i in range(60))
+    plan = suffix_dedup.Plan(50, 1, hot_blocks)
+    blocks = list(blocks_of([f"{i} " + line for i in range(40)], 5))
+    anchors = pa.concat_tables([suffix_dedup._send_anchors(b, plan) for b in blocks])
+    codes = suffix_dedup._judge_anchors(anchors, plan)
+    bits = [np.unpackbits(np.frombuffer(c, np.uint8).reshape(2, -1), axis=1) for c in codes["codes"].to_pylist()]
+    # eight blocks hold each anchor, in one segment or a few: one task can take them
+    assert any(b[1].any() for b in bits) == hot and any(b[0].any() for b in bits) != hot
+    inserted, insert = [], suffix_dedup.insert_symbols
+    monkeypatch.setattr(suffix_dedup, "insert_symbols", lambda flat, *rest: inserted.append(len(flat)) or insert(flat, *rest))
+    one = codes.filter(pa.array(np.array(codes["block"].to_pylist()) == 5))
+    suffix_dedup._send_segments(blocks[1], one, plan)
+    # a byte is in at most two segments: hot ones are not cut into strings of 26 symbols before the block's own transform
+    assert sum(inserted) <= 2 * sum(len(t) for t in blocks[1]["text"].to_pylist())
+
+
+def test_found_strings_do_not_leave_the_block():
+    plan, line = suffix_dedup.Plan(50, 1, 0), " ".join(f"word{i}" for i in range(30))
+    block = next(blocks_of(["a" + line, line, line + "b"], 3))
+    codes = suffix_dedup._judge_anchors(suffix_dedup._send_anchors(block, plan), plan)
+    sent = suffix_dedup._send_segments(block, codes, plan)
+    strings = {("a" + line + "b")[i : i + 50] for i in range(len(line) + 2 - 49)}
+    _, unpack = suffix_dedup._packing()
+    ids = unpack(sent["ids"][0].as_py(), "<i8")
+    # each string leaves once, with its smallest id (single strings, as every shared anchor is hot)
+    shared = strings - {("a" + line)[:50], (line + "b")[-50:]}
+    assert len(shared) <= len(ids) <= len(strings) and set(unpack(sent["sizes"][0].as_py(), "<u2").tolist()) == {50}
+    assert (ids == 0).sum() >= len(shared)

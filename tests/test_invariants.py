@@ -2,8 +2,10 @@
 
 import math
 import pathlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import CountVectorizer
@@ -221,6 +223,43 @@ def test_overlap_moves_no_pairs(spark):
     assert got.count() == 300 * 299 // 2 and got.where("i >= j").isEmpty() and got.where("log_p is null").count() == got.where("m < 3").count() > 0
 
 
+@pytest.mark.parametrize("n, days, width", [(300, 12, 8), (300, 2, 20), (600, 3, 512)])  # several blocks to a strip; counts priced one by one, looked up, by several rows of a block
+def test_overlap_of_strips_equals_products(spark, n, days, width):
+    rng = np.random.default_rng(days)
+    there, flags = rng.random((n, days)) < 0.5, rng.random((n, days)) < 0.5
+    there[: n // 3, 0] = False  # blocks that do not have the day
+    flags &= there
+    rows = [(f"e{e:04}", d, int(flags[e, d])) for e, d in zip(*np.nonzero(there))]
+    rows = [(e, int(d), f) for e, d, f in rows] + [(None, 0, 1), ("x", None, 1), ("e0001", None, 1)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        got = linalg.overlap_significance(spark.createDataFrame(rows, "e string, d int, f int"), "e", "d", "f", 2, width).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    p, f = there.astype(int), flags.astype(int)
+    m, n1, n2, l = p @ p.T, f @ p.T, p @ f.T, f @ f.T
+    i, j = np.nonzero(np.triu(m, 1))
+    log_p = linalg.overlap_log_p(*(x[i, j] for x in (m, n1, n2, l)))
+    want = {(f"e{a:04}", f"e{b:04}"): (m[a, b], n1[a, b], n2[a, b], l[a, b], v if m[a, b] >= 2 else None) for a, b, v in zip(i.tolist(), j.tolist(), log_p.tolist())}
+    assert len(got) == len(want) and {(r.i, r.j): (r.m, r.n1, r.n2, r.l, r.log_p) for r in got} == want
+
+
+def test_overlap_copies_days_as_bits(spark, monkeypatch):
+    """A day of 4,000 entities meets the others as bits, and not as a row per entity and block."""
+    def sizes(width, least):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            size = sum(b.nbytes for b in batches)
+            yield pa.RecordBatch.from_pydict({"i": [0], "j": [0], **{c: [size] for c in ("m", "n1", "n2", "l")}, "log_p": [0.0]})
+
+        return run
+
+    monkeypatch.setattr(linalg, "_strip_pairs", sizes)
+    rows = spark.range(4000).select(F.col("id").alias("e"), F.explode(F.sequence(F.lit(0), F.lit(23))).alias("d"), (F.col("id") % 2).cast("int").alias("f"))
+    moved = linalg.overlap_significance(rows, "e", "d", "f", 3, 64).agg(F.sum("m")).first()[0]
+    assert 4000 * 24 // 4 < moved < 4000 * 24 * 4000 // 64  # a byte for each entity, day and block would be more
+
+
 def test_spectral_order_equals_dense(spark):
     rng = np.random.default_rng(4)
     m = rng.normal(size=(150, 150))
